@@ -1,0 +1,15 @@
+"""Size-checked broadcast for dimension-like inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when a count proves it has at most ``max_rows`` rows;
+    otherwise return it unchanged so the planner (with AQE) shuffles both sides."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
