@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = positive_zero_sql(sql)
         return fn
 
     return deco
@@ -32,7 +32,36 @@ def rounded(df: DataFrame, places: int = 6, **special: int) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), special.get(f.name, places)).alias(f.name))
+            # + 0.0 turns a rounded -0.0 into 0.0 (both engines then print the same value)
+            cols.append((F.round(F.col(f.name).cast("double"), special.get(f.name, places)) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
+
+
+def positive_zero_sql(text: str) -> str:
+    """Wrap every ``round(...)`` of an oracle query as ``(round(...) + 0e0)`` so a rounded
+    tiny negative compares equal to Spark's 0.0 instead of printing as -0.0."""
+    out, i = [], 0
+    low = text.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(text[i:])
+                return "".join(out)
+            out.append(text[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            if text[k] == "(":
+                depth += 1
+            elif text[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = positive_zero_sql(text[j + 6:k])
+        out.append(text[i:j] + "(round(" + inner + ") + 0e0)")
+        i = k + 1
