@@ -13,3 +13,9 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFr
     otherwise return it unchanged so the planner (with AQE) shuffles both sides."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def bounded_broadcast_count(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> tuple[DataFrame, int]:
+    """:func:`bounded_broadcast` that also returns the row count (capped at max_rows + 1)."""
+    n = df.limit(max_rows + 1).count()
+    return (F.broadcast(df) if n <= max_rows else df), n
