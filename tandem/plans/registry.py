@@ -27,11 +27,11 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, places: int = 6, **special: int) -> DataFrame:
-    """Round every double column (``special`` overrides places per column) so engines agree
-    on value hashes despite summation order."""
+    """Round every double column (``special`` overrides places per column, ``None`` keeps
+    the exact value) so engines agree on value hashes despite summation order."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and special.get(f.name, places) is not None:
             # + 0.0 turns a rounded -0.0 into 0.0 (both engines then print the same value)
             cols.append((F.round(F.col(f.name).cast("double"), special.get(f.name, places)) + F.lit(0.0)).alias(f.name))
         else:
