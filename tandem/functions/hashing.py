@@ -56,3 +56,57 @@ def seed_in_range(lo: int, hi: int, *keys) -> Column:
 def gumbel(u: Column) -> Column:
     """Gumbel noise from a uniform, with the reference's 1e-20 guards."""
     return -F.log(-F.log(u + F.lit(1e-20)) + F.lit(1e-20))
+
+
+# ---- fast keyed permutation hash for repeated draws (sub-sampling iterations) -----------
+# A 31-bit row seed comes from md5 once per row; each draw mixes it with the draw number
+# by multiplications modulo the Mersenne prime 2^31 - 1 and xor-shifts. All products stay
+# below 2^62, so Spark (ANSI), DuckDB and numpy compute identical values.
+# fixed values of this hash:
+MIX_P = 2147483647
+MIX_STEP = 1103515245
+MIX_MULTS = (48271, 1583458089, 16807)
+MIX_SHIFTS = (16, 13)
+
+
+def row_seed(*keys) -> Column:
+    """31-bit seed of a row (first 8 hex digits of md5 of the keys, modulo 2^31 - 1)."""
+    text = F.concat_ws("|", *[_key(k) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.lit(MIX_P)
+
+
+def mix(seed: Column, draw: Column) -> Column:
+    """Draw ``draw`` of a row with 31-bit ``seed``: an integer in [0, 2^31 - 1)."""
+    p = F.lit(MIX_P)
+    x = (seed + ((draw + 1).cast("bigint") * F.lit(MIX_STEP)) % p) % p
+    x = (x * F.lit(MIX_MULTS[0])) % p
+    x = x.bitwiseXOR(F.shiftright(x, MIX_SHIFTS[0]))
+    x = (x * F.lit(MIX_MULTS[1])) % p
+    x = x.bitwiseXOR(F.shiftright(x, MIX_SHIFTS[1]))
+    return (x * F.lit(MIX_MULTS[2])) % p
+
+
+def mix_np(seed, draw):
+    """numpy twin of :func:`mix` (int64 arrays, broadcastable)."""
+    import numpy as np
+    p = np.int64(MIX_P)
+    x = (seed + ((draw + 1).astype(np.int64) * np.int64(MIX_STEP)) % p) % p
+    x = (x * np.int64(MIX_MULTS[0])) % p
+    x = x ^ (x >> MIX_SHIFTS[0])
+    x = (x * np.int64(MIX_MULTS[1])) % p
+    x = x ^ (x >> MIX_SHIFTS[1])
+    return (x * np.int64(MIX_MULTS[2])) % p
+
+
+def row_seed_sql(*keys: str) -> str:
+    return f"(('0x'||substr(md5(concat_ws('|',{','.join(keys)})),1,8))::BIGINT % {MIX_P})"
+
+
+def mix_sql(seed: str, draw: str) -> str:
+    p = MIX_P
+    x = f"(({seed} + ((cast({draw} as bigint) + 1) * {MIX_STEP}) % {p}) % {p})"
+    x = f"(({x} * {MIX_MULTS[0]}) % {p})"
+    x = f"xor({x}, {x} >> {MIX_SHIFTS[0]})"
+    x = f"(({x} * {MIX_MULTS[1]}) % {p})"
+    x = f"xor({x}, {x} >> {MIX_SHIFTS[1]})"
+    return f"(({x} * {MIX_MULTS[2]}) % {p})"

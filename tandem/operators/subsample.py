@@ -1,14 +1,14 @@
 """Estimation error of a mean difference against the number of samples.
 
-For every (group, iteration) the rows are put in one random order (a keyed uniform
-per row and iteration); the sample of size n is the first n rows of that order, so
-the samples of one iteration are nested prefixes (as pandas draws with one
+For every (group, iteration) the rows are put in one random order (a keyed hash per
+row and iteration); the sample of size n is the first n rows of that order, so the
+samples of one iteration are nested prefixes (as pandas draws with one
 ``random_state`` are). The error at n is |full mean - prefix mean|.
 
-Prefix sums need each row's rank inside (group, iteration). To keep every window
-partition bounded even when one group holds a third of all rows, the uniform
-range is cut into ``ceil(N / bucket_rows)`` buckets: bucket totals give each
-bucket's offset (a small table), and only rows of one bucket are sorted together.
+Prefix sums need each row's rank inside (group, iteration). Every ordering step works
+on a bounded set of rows even when one group holds a third of all rows: small groups
+are ordered per (group, block of iterations); large groups are cut by hash range into
+buckets whose totals give each bucket's offset.
 """
 
 from __future__ import annotations
@@ -21,20 +21,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandem.functions.hashing import TWO_52
+from tandem.functions.hashing import MIX_P, mix, mix_np, row_seed
 from tandem.operators.joins import bounded_broadcast_count
 
 # ---- fixed values of the reference's error study -------------------------------------
 ITERATIONS = 1000
 STEP = 20
-BUCKET_ROWS = 4096     # expected rows sorted together per (group, iteration, bucket)
-ITER_BLOCK = 50        # iterations drawn inside one task for groups of at most BUCKET_ROWS rows
+BUCKET_ROWS = 65536    # bound on rows ordered together (per group-block, or per bucket)
+ITER_BLOCK = 50        # iterations drawn by one grouped call for groups of at most BUCKET_ROWS rows
 
 
 def reference_means(wide: DataFrame, values: Sequence[str], groups: Sequence[str]) -> DataFrame:
     """A10 + P10: full-sample mean of each value column per group, and the group size."""
     return wide.groupBy(*groups).agg(F.count(F.lit(1)).cast("bigint").alias("n_total"),
-                                     *[F.avg(v).alias(f"ref_{v}") for v in values])
+                                     *[F.avg(v).alias(f"ref_{v}") for v in values],
+                                     *[F.sum(v).alias(f"sum_{v}") for v in values])
+
+
+def _prefix_block(values: list[str], units: list[str], iterations: int, step: int):
+    """Grouped function for one (group, block of iterations): N rows (N <= bucket_rows).
+    For each iteration of the block: order rows by (draw hash, units), prefix sums of the
+    values, kept at n = step, 2 step, ... < N."""
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        gid, blk = int(pdf["gid"].iloc[0]), int(pdf["blk"].iloc[0])
+        its = np.arange(blk * ITER_BLOCK, min((blk + 1) * ITER_BLOCK, iterations), dtype=np.int64)
+        ns = np.arange(step, n, step)
+        if len(ns) == 0 or len(its) == 0:
+            return pd.DataFrame({"gid": [], "iter": [], "n": [], **{f"p_{v}": [] for v in values}})
+        # tie-break rank of each row in unit order
+        tie = np.empty(n, dtype=np.int64)
+        tie[np.lexsort([pdf[u].to_numpy() for u in reversed(units)])] = np.arange(n)
+        h = mix_np(pdf["r"].to_numpy(dtype=np.int64)[None, :], its[:, None])          # (iters, N)
+        order = np.argsort(h * n + tie[None, :], axis=1)
+        out = {"gid": np.full(len(its) * len(ns), gid, dtype=np.int32),
+               "iter": np.repeat(its.astype(np.int32), len(ns)), "n": np.tile(ns.astype(np.int64), len(its))}
+        for v in values:
+            vals = pdf[v].to_numpy(dtype=np.float64)
+            csum = np.cumsum(vals[order], axis=1)
+            out[f"p_{v}"] = csum[:, ns - 1].ravel()
+        return pd.DataFrame(out)
+
+    return fn
 
 
 def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str], units: Sequence[str],
@@ -43,8 +72,15 @@ def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str
     """A11 + W3 + P16: error |mean - prefix mean| for n = step, 2 step, ... < N, per group
     and iteration, one ``err_<value>`` column per value column.
 
-    ``units`` identify a row inside its group (they also break ties of the random key,
-    which is the keyed uniform of (seed, groups, units, iteration)).
+    The random order of iteration i sorts rows by mix(row seed, i) (ties by ``units``),
+    where the row seed is md5 of (seed, groups, units): see :func:`tandem.functions.hashing.mix`.
+
+    * Groups of at most ``bucket_rows`` rows: rows are shuffled once per block of
+      iterations on (group, block); one grouped numpy function orders and sums each
+      iteration of the block (its input is bounded by ``bucket_rows``).
+    * Larger groups: the hash range is cut into ceil(N / bucket_rows) buckets; bucket
+      totals give offsets (a small table) and a JVM window sorts only the rows of one
+      (group, iteration, bucket).
     """
     groups, units, values = list(groups), list(units), list(values)
     stats = reference_means(wide, values, groups) \
@@ -52,77 +88,95 @@ def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str
     # integer group id on the (small) per-group table keeps shuffled rows narrow
     stats = stats.withColumn("gid", F.row_number().over(Window.orderBy(*groups)).cast("int"))
     stats, n_groups = bounded_broadcast_count(stats)
-    # per-row part of the key text is built once, the iteration is appended per draw
     x = wide.join(stats.select(*groups, "gid", "n_total", "n_buckets"), groups).select(
         "gid", "n_total", "n_buckets", *units, *values,
-        F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in groups + units]).alias("rkey"))
-    it = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter")
+        row_seed(F.lit(seed), *[F.col(c) for c in groups + units]).alias("r"))
 
-    def draws(rows: DataFrame, exploded: bool = False, hex_key: bool = False) -> DataFrame:
-        text = F.concat_ws("|", F.col("rkey"), F.col("iter").cast("string"))
-        hx = F.substring(F.md5(text), 1, 13)
-        # 13 lower-case hex digits sort exactly like the uniform they encode
-        u = hx if hex_key else F.conv(hx, 16, 10).cast("double") / F.lit(TWO_52)
-        if not exploded:
-            rows = rows.select("gid", "n_total", "n_buckets", "rkey", *units, *values, it)
-        return rows.withColumn("u", u).drop("rkey")
+    integral = all(isinstance(wide.schema[v].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
+                   for v in values)
 
     def finish(r: DataFrame) -> DataFrame:
         keep = r.filter((F.col("n") % step == 0) & (F.col("n") < F.col("n_total")))
-        return keep.join(stats.select("gid", *groups, *[f"ref_{v}" for v in values]), "gid").select(
-            *groups, F.col("iter").cast("int").alias("iter"), F.col("n").cast("bigint").alias("n"),
-            *[F.abs(F.col(f"ref_{v}") - F.col(f"p_{v}") / F.col("n")).alias(f"err_{v}") for v in values])
-
-    # Groups that fit one bucket (at most bucket_rows rows): rows are shuffled once per
-    # block of iterations on (group, block) and the iterations are exploded after the
-    # exchange; the window on (group, block, iteration) reuses that partitioning, so the
-    # exploded rows are sorted in place and never shuffled. The explicit partition count
-    # (about four (group, block) keys per task) keeps AQE from merging this small
-    # pre-explode shuffle into a few tasks.
+        j = keep.join(stats.select("gid", *groups, *[f"ref_{v}" for v in values], *[f"sum_{v}" for v in values]), "gid")
+        cols = [*groups, F.col("iter").cast("int").alias("iter"), F.col("n").cast("bigint").alias("n")]
+        if integral:
+            # exact: |S n - p N| / (n N) from integers, one division (engines agree bit for bit)
+            den = (F.col("n") * F.col("n_total")).cast("bigint")
+            nums = [F.abs(F.col(f"sum_{v}") * F.col("n") - F.col(f"p_{v}").cast("bigint") * F.col("n_total"))
+                    for v in values]
+            return j.select(*cols, *[(num / den).alias(f"err_{v}") for num, v in zip(nums, values)],
+                            den.alias("err_den"), *[num.alias(f"num_{v}") for num, v in zip(nums, values)])
+        return j.select(*cols, *[F.abs(F.col(f"ref_{v}") - F.col(f"p_{v}") / F.col("n")).alias(f"err_{v}")
+                                 for v in values])
+
+    # groups that fit one bucket
     blocks = -(-iterations // ITER_BLOCK)
+    parts = max(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_groups * blocks // 4)
     sx = x.filter(F.col("n_buckets") == 1).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk")) \
-        .repartition(max(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_groups * blocks // 4),
-                     "gid", "blk")
-    sit = F.explode(F.sequence(F.col("blk") * ITER_BLOCK,
-                               F.least((F.col("blk") + 1) * ITER_BLOCK, F.lit(iterations)) - 1)).alias("iter")
-    small = draws(sx.select("gid", "blk", "n_total", "n_buckets", "rkey", *units, *values, sit),
-                  exploded=True, hex_key=True)
-    ws = Window.partitionBy("gid", "blk", "iter").orderBy("u", *units).rowsBetween(Window.unboundedPreceding, 0)
-    small = small.select("gid", "iter", "n_total", F.count(F.lit(1)).over(ws).alias("n"),
-                         *[F.sum(v).over(ws).alias(f"p_{v}") for v in values])
-
-    # larger groups: uniform range cut into buckets; bucket totals give offsets
-    e = draws(x.filter(F.col("n_buckets") > 1)).withColumn(
-        "bucket", F.floor(F.col("u") * F.col("n_buckets")).cast("int"))
+        "gid", "r", *units, *values, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk")) \
+        .repartition(parts, "gid", "blk")
+    schema = T.StructType([T.StructField("gid", T.IntegerType()), T.StructField("iter", T.IntegerType()),
+                           T.StructField("n", T.LongType())] +
+                          [T.StructField(f"p_{v}", T.DoubleType()) for v in values])
+    small = sx.groupBy("gid", "blk").applyInPandas(_prefix_block(values, units, iterations, step), schema) \
+        .join(stats.select("gid", "n_total"), "gid")
+
+    # larger groups: hash range cut into buckets; bucket totals give offsets
+    it = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter")
+    e = x.filter(F.col("n_buckets") > 1).select("gid", "n_total", "n_buckets", "r", *units, *values, it) \
+        .withColumn("h", mix(F.col("r"), F.col("iter"))) \
+        .withColumn("bucket", F.floor(F.col("h") * F.col("n_buckets") / F.lit(MIX_P)).cast("int"))
     gk = ["gid", "iter"]
     tot = e.groupBy(*gk, "bucket").agg(F.count(F.lit(1)).alias("b_cnt"), *[F.sum(v).alias(f"b_{v}") for v in values])
     wb = Window.partitionBy(*gk).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*gk, "bucket", F.coalesce(F.sum("b_cnt").over(wb), F.lit(0)).alias("o_cnt"),
                      *[F.coalesce(F.sum(f"b_{v}").over(wb), F.lit(0)).alias(f"o_{v}") for v in values])
-    wr = Window.partitionBy(*gk, "bucket").orderBy("u", *units).rowsBetween(Window.unboundedPreceding, 0)
+    wr = Window.partitionBy(*gk, "bucket").orderBy("h", *units).rowsBetween(Window.unboundedPreceding, 0)
     # The exploded side must not be broadcast (size estimates ignore the explode); a
     # shuffle join on (group, iteration, bucket) also gives the window its partitioning.
     big = e.join(off.hint("merge"), [*gk, "bucket"]).select(
         "gid", "iter", "n_total", (F.col("o_cnt") + F.count(F.lit(1)).over(wr)).alias("n"),
-        *[(F.col(f"o_{v}") + F.sum(v).over(wr)).alias(f"p_{v}") for v in values])
-    return finish(small.unionByName(big))
+        *[(F.col(f"o_{v}") + F.sum(v).over(wr)).cast("double").alias(f"p_{v}") for v in values])
+    return finish(small.select(*big.columns).unionByName(big))
 
 
 def to_long(errors: DataFrame, keys: Sequence[str], value_names: dict[str, tuple[str, str]]) -> DataFrame:
-    """Wide ``err_<value>`` columns -> rows (keys, model_a, model_b, err)."""
-    arr = F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col(f"err_{v}").alias("err"))
+    """Wide ``err_<value>`` columns -> rows (keys, model_a, model_b, err[, num, den])."""
+    exact = "err_den" in errors.columns
+
+    def fields(v):
+        extra = [F.col(f"num_{v}").alias("num"), F.col("err_den").alias("den")] if exact else []
+        return [F.col(f"err_{v}").alias("err"), *extra]
+
+    arr = F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), *fields(v))
                     for v, (a, b) in value_names.items()])
     return errors.select(*keys, F.explode(arr).alias("p")).select(*keys, "p.*")
 
 
 def error_mean(errors_long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A12 (centre): mean error per (keys, n) over iterations."""
-    return errors_long.groupBy(*keys, "n").agg(F.count(F.lit(1)).cast("bigint").alias("iterations"),
-                                                F.avg("err").alias("mean_err"))
+    """A12 (centre): mean error per (keys, n) over iterations (from exact integer
+    numerators when the values are integers)."""
+    cnt = F.count(F.lit(1)).cast("bigint")
+    if "num" in errors_long.columns:
+        mean = F.sum("num") / (cnt * F.first("den"))
+    else:
+        mean = F.avg("err")
+    return errors_long.groupBy(*keys, "n").agg(cnt.alias("iterations"), mean.alias("mean_err"))
+
+
+_WEIGHTS: dict[tuple[int, int, int], np.ndarray] = {}
+
+
+def bootstrap_weights(draws: int, seed: int, size: int) -> np.ndarray:
+    """Poisson(1) bootstrap weights (draws x size), the same for every group; generated
+    once per worker process."""
+    key = (draws, seed, size)
+    if key not in _WEIGHTS:
+        _WEIGHTS[key] = np.random.default_rng(seed).poisson(1.0, size=(draws, size)).astype(np.float64)
+    return _WEIGHTS[key]
 
 
-def _bootstrap_fn(draws: int, seed: int, level: float, keys: list[str]):
+def _bootstrap_fn(draws: int, seed: int, level: float, keys: list[str], iterations: int):
     lo_q, hi_q = 100 * (1 - level) / 2, 100 * (1 + level) / 2
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -133,8 +187,7 @@ def _bootstrap_fn(draws: int, seed: int, level: float, keys: list[str]):
         it = pdf["iter"].to_numpy()
         m = len(x)
         # Poisson(1) bootstrap weights keyed by (draw, iteration): the same draws for every group
-        rng = np.random.default_rng(seed)
-        w = rng.poisson(1.0, size=(draws, int(it.max()) + 1)).astype(np.float64)[:, it]
+        w = bootstrap_weights(draws, seed, max(iterations, int(it.max()) + 1))[:, it]
         s = w.sum(axis=1)
         means = (w @ x)[s > 0] / s[s > 0]
         row = {k: pdf[k].iloc[0] for k in keys}
@@ -146,7 +199,7 @@ def _bootstrap_fn(draws: int, seed: int, level: float, keys: list[str]):
 
 
 def error_curve(errors_long: DataFrame, keys: Sequence[str], draws: int = 1000, seed: int = 0,
-                level: float = 0.95) -> DataFrame:
+                level: float = 0.95, iterations: int = ITERATIONS) -> DataFrame:
     """Mean error and ``level`` bootstrap percentile interval per (keys, n).
 
     Each group holds one value per iteration, so the grouped pandas function works on
@@ -157,7 +210,7 @@ def error_curve(errors_long: DataFrame, keys: Sequence[str], draws: int = 1000,
                                     T.StructField("mean_err", T.DoubleType()), T.StructField("ci_lo", T.DoubleType()),
                                     T.StructField("ci_hi", T.DoubleType())])
     return errors_long.select(*keys, "n", "iter", "err").groupBy(*keys, "n") \
-        .applyInPandas(_bootstrap_fn(draws, seed, level, keys), schema)
+        .applyInPandas(_bootstrap_fn(draws, seed, level, keys, iterations), schema)
 
 
 def samples_needed(curve: DataFrame, keys: Sequence[str], level: float) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tandem.functions.hashing import uniform_sql as U
+from tandem.functions.hashing import mix_sql, row_seed_sql
 from tandem.operators import subsample as ss
 from tandem.plans.q_paired import PAIRS, pivot
 from tandem.plans.q_scores import _q, scores
@@ -35,16 +35,21 @@ def errors_long(spark, sf):
 
 _W = "w as (select subject, noise, qid, rep, " + ", ".join(
     f"cast({a} as int) - cast({b} as int) {a}_{b}" for a, b in PAIRS) + " from piv)"
-_ST = "st as (select subject, noise, count(*) n_total, " + ", ".join(f"avg({v}) ref_{v}" for v in VALUES) + " from w group by all)"
-_E = f"""e as (select w.*, st.* exclude (subject, noise), it.iter, {U(str(SEED), 'w.subject', 'w.noise', 'w.qid', 'w.rep', 'it.iter')} u
-  from w join st using (subject, noise) cross join (select cast(unnest(range(0, {ss.ITERATIONS})) as int) iter) it),
+_ST = ("st as (select subject, noise, count(*) n_total, " + ", ".join(f"avg({v}) ref_{v}" for v in VALUES) + ", "
+       + ", ".join(f"cast(sum({v}) as bigint) sum_{v}" for v in VALUES) + " from w group by all)")
+_E = f"""e0 as (select w.*, st.* exclude (subject, noise), {row_seed_sql(str(SEED), 'w.subject', 'w.noise', 'w.qid', 'w.rep')} r
+  from w join st using (subject, noise)),
+e as (select e0.*, it.iter, {mix_sql('e0.r', 'it.iter')} u
+  from e0 cross join (select cast(unnest(range(0, {ss.ITERATIONS})) as int) iter) it),
 rk as (select *, row_number() over win n, """ + ", ".join(f"sum({v}) over win p_{v}" for v in VALUES) + f"""
   from e window win as (partition by subject, noise, iter order by u, qid, rep rows between unbounded preceding and current row)),
-errs as (select subject, noise, iter, n, """ + ", ".join(f"abs(ref_{v} - p_{v} / n) err_{v}" for v in VALUES) + f"""
+errs as (select subject, noise, iter, n, n * n_total den, """ + ", ".join(
+    f"abs(sum_{v} * n - cast(p_{v} as bigint) * n_total) num_{v}" for v in VALUES) + ", " + ", ".join(
+    f"abs(sum_{v} * n - cast(p_{v} as bigint) * n_total) / (n * n_total) err_{v}" for v in VALUES) + f"""
   from rk where n % {ss.STEP} = 0 and n < n_total),
-el as (""" + " union all ".join(f"select subject, noise, iter, n, '{a}' model_a, '{b}' model_b, err_{a}_{b} err from errs"
+el as (""" + " union all ".join(f"select subject, noise, iter, n, '{a}' model_a, '{b}' model_b, err_{a}_{b} err, num_{a}_{b} num, den from errs"
                                 for a, b in PAIRS) + """),
-em as (select subject, noise, model_a, model_b, n, count(*) iterations, avg(err) mean_err from el group by all)"""
+em as (select subject, noise, model_a, model_b, n, count(*) iterations, sum(num) / (count(*) * any_value(den)) mean_err from el group by all)"""
 
 
 @query("subject_scores", _q(f"select * from sc where subject = '{SUBJECT}'"))
@@ -64,7 +69,8 @@ def ref_mean(spark, sf):
                        + " from errs", _W, _ST, _E))
 def sub_error(spark, sf):
     """A11 + W3 + P16: 1000 nested random samples per subject and noise; error at n = 20, 40, ..."""
-    return rounded(errors(spark, sf))
+    e = errors(spark, sf)
+    return rounded(e.select(*GROUPS, "iter", "n", *[f"err_{v}" for v in VALUES]))
 
 
 @query("error_mean", _q("select subject, noise, model_a, model_b, n, iterations, round(mean_err, 6) mean_err from em",
@@ -77,7 +83,8 @@ def error_mean(spark, sf):
 @query("error_curve")
 def error_curve(spark, sf):
     """Mean error and 95% Poisson-bootstrap interval over the iterations (rows-only)."""
-    return rounded(ss.error_curve(errors_long(spark, sf), [*GROUPS, "model_a", "model_b"]))
+    return rounded(ss.error_curve(errors_long(spark, sf).select(*GROUPS, "iter", "n", "model_a", "model_b", "err"),
+                                  [*GROUPS, "model_a", "model_b"]))
 
 
 @query("samples_needed", _q(f"""select subject, noise, model_a, model_b, min(case when mean_err <= {LEVEL}e0 then n end) n_needed
