@@ -176,41 +176,45 @@ def bootstrap_weights(draws: int, seed: int, size: int) -> np.ndarray:
     return _WEIGHTS[key]
 
 
-def _bootstrap_fn(draws: int, seed: int, level: float, keys: list[str], iterations: int):
+def _bootstrap_batches(draws: int, seed: int, level: float, keys: list[str], iterations: int):
     lo_q, hi_q = 100 * (1 - level) / 2, 100 * (1 + level) / 2
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        # one group = one (keys, n): its values over the iterations (bounded by the
-        # iteration count, not by the data size)
-        pdf = pdf.sort_values("iter")
-        x = pdf["err"].to_numpy(dtype=np.float64)
-        it = pdf["iter"].to_numpy()
-        m = len(x)
-        # Poisson(1) bootstrap weights keyed by (draw, iteration): the same draws for every group
-        w = bootstrap_weights(draws, seed, max(iterations, int(it.max()) + 1))[:, it]
-        s = w.sum(axis=1)
-        means = (w @ x)[s > 0] / s[s > 0]
-        row = {k: pdf[k].iloc[0] for k in keys}
-        row.update(n=pdf["n"].iloc[0], iterations=m, mean_err=float(x.mean()),
-                   ci_lo=float(np.percentile(means, lo_q)), ci_hi=float(np.percentile(means, hi_q)))
-        return pd.DataFrame([row])
-
-    return fn
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for its, errs in zip(pdf["its"], pdf["errs"]):
+                it = np.asarray(its, dtype=np.int64)
+                x = np.asarray(errs, dtype=np.float64)
+                w = bootstrap_weights(draws, seed, max(iterations, int(it.max()) + 1))
+                w = w[:, :len(x)] if np.array_equal(it, np.arange(len(x))) else w[:, it]
+                sw = w.sum(axis=1)
+                means = (w @ x)[sw > 0] / sw[sw > 0]
+                rows.append((len(x), float(x.mean()), float(np.percentile(means, lo_q)), float(np.percentile(means, hi_q))))
+            out = pdf[keys + ["n"]].copy()
+            stats = np.array(rows, dtype=np.float64).reshape(-1, 4)
+            out["iterations"] = stats[:, 0].astype(np.int64)
+            out["mean_err"], out["ci_lo"], out["ci_hi"] = stats[:, 1], stats[:, 2], stats[:, 3]
+            yield out
+
+    return run
 
 
 def error_curve(errors_long: DataFrame, keys: Sequence[str], draws: int = 1000, seed: int = 0,
                 level: float = 0.95, iterations: int = ITERATIONS) -> DataFrame:
-    """Mean error and ``level`` bootstrap percentile interval per (keys, n).
+    """Mean error and ``level`` Poisson-bootstrap percentile interval per (keys, n).
 
-    Each group holds one value per iteration, so the grouped pandas function works on
-    bounded input; Spark spreads the groups over tasks."""
+    Each (keys, n) holds one value per iteration (bounded by the iteration count, not
+    by the data), gathered into one array; batches of such rows are bootstrapped with
+    one weight matrix per worker."""
     keys = list(keys)
+    arr = errors_long.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("iter", "err"))).alias("xs")) \
+        .select(*keys, "n", F.transform("xs", lambda v: v["iter"]).alias("its"),
+                F.transform("xs", lambda v: v["err"]).alias("errs"))
     fields = [f for f in errors_long.schema.fields if f.name in keys]
     schema = T.StructType(fields + [T.StructField("n", T.LongType()), T.StructField("iterations", T.LongType()),
                                     T.StructField("mean_err", T.DoubleType()), T.StructField("ci_lo", T.DoubleType()),
                                     T.StructField("ci_hi", T.DoubleType())])
-    return errors_long.select(*keys, "n", "iter", "err").groupBy(*keys, "n") \
-        .applyInPandas(_bootstrap_fn(draws, seed, level, keys, iterations), schema)
+    return arr.mapInPandas(_bootstrap_batches(draws, seed, level, keys, iterations), schema)
 
 
 def samples_needed(curve: DataFrame, keys: Sequence[str], level: float) -> DataFrame:
