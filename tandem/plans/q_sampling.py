@@ -98,8 +98,8 @@ _SPECIAL = ",".join(f"'{t}'" for t in [fx.STREAM_EOS, *fx.STREAM_SPECIAL])
 
 @query("reply_text", sql(f"""select unit, cast(count(case when keep then 1 end) as int) n_tokens,
   coalesce(string_agg(case when keep then token end, ' ' order by step), '') text
-from (select t.*, t.step < coalesce(e.es, {MAX_LENGTH}) and token not in ({_SPECIAL}) keep from (select * from f7 where step < {MAX_LENGTH}) t
-  join (select unit, min(case when token = '{fx.STREAM_EOS}' then step end) es from f7 where step < {MAX_LENGTH} group by unit) e using (unit)) z
+from (select *, step < {MAX_LENGTH} and step < coalesce(min(case when token = '{fx.STREAM_EOS}' then step end) over (partition by unit), {MAX_LENGTH})
+        and token not in ({_SPECIAL}) keep from f7) z
 group by unit""", ("f7", F7)))
 def reply_text(spark, sf):
     """Reply text per unit (step order, stop at end token or max length, specials dropped)."""

@@ -62,7 +62,8 @@ def subject_scores(spark, sf):
                       + " from st", _W, _ST))
 def ref_mean(spark, sf):
     """A10 + P10: full-sample mean difference per subject, noise and pair."""
-    return rounded(ss.reference_means(diff_wide(spark, sf), VALUES, GROUPS))
+    r = ss.reference_means(diff_wide(spark, sf), VALUES, GROUPS)
+    return rounded(r.select(*GROUPS, "n_total", *[f"ref_{v}" for v in VALUES]))
 
 
 @query("sub_error", _q("select subject, noise, iter, n, " + ", ".join(f"round(err_{v}, 6) err_{v}" for v in VALUES)
