@@ -4,8 +4,8 @@ A plain ``row_number() over (partition by g order by o)`` sends every row of a g
 to one task, and a global ``row_number() over (order by o)`` sends the whole table to
 one task. :func:`ordinal` instead range-partitions on ``(keys, order)`` -- a hot group
 is split over many range partitions -- numbers rows inside each partition with an
-Arrow batch function, and adds per-(partition, group) offsets taken from a small
-count table. Used for joint vocabulary ids (W1), question numbers (W2), positions
+Arrow batch function, writes them once (reliable checkpoint), and adds
+per-(partition, group) offsets taken from a small count table. Used for joint vocabulary ids (W1), question numbers (W2), positions
 (W5) and token steps.
 """
 
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tandem.session import cut_lineage
+
 _PID = "_tandem_pid"
 _LOCAL = "_tandem_local"
 
@@ -87,7 +89,11 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
               .sortWithinPartitions(*cols)
               .withColumn(_PID, F.spark_partition_id()))
     schema = T.StructType(ranged.schema.fields + [T.StructField(_LOCAL, T.LongType(), False)])
-    local = ranged.mapInPandas(_local_numbers(keys, order, dense), schema)
+    # Range bounds come from sampling the input, whose row order after a shuffle is not
+    # fixed: two computations of `ranged` may split rows differently. The numbered rows are
+    # therefore written once (reliable checkpoint in the shared checkpoint folder) and
+    # both the counts and the final join read that single copy.
+    local = cut_lineage(ranged.mapInPandas(_local_numbers(keys, order, dense), schema))
     # rows (or distinct values) per (partition, group): at most partitions + groups rows
     counts = local.groupBy(_PID, *keys).agg((F.max(_LOCAL) + 1).alias("_cnt"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(_PID) \

@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_ROWS = 1_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it has at most ``max_rows`` rows;
-    otherwise return it unchanged so the planner (with AQE) shuffles both sides."""
+def bounded_broadcast_count(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> tuple[DataFrame, int]:
+    """Broadcast ``df`` only when a count proves it has at most ``max_rows`` rows.
+
+    A table that passes is cached by the same job that counts it, so the check also
+    materialises it once (later uses read the cached rows instead of recomputing its
+    upstream plan). A larger table is returned unchanged and the planner (with AQE)
+    shuffles both join sides. Returns the table and its row count (capped at
+    ``max_rows + 1``)."""
     n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if n > max_rows:
+        return df, n
+    cached = df.cache()
+    cached.count()
+    return F.broadcast(cached), n
 
 
-def bounded_broadcast_count(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> tuple[DataFrame, int]:
-    """:func:`bounded_broadcast` that also returns the row count (capped at max_rows + 1)."""
-    n = df.limit(max_rows + 1).count()
-    return (F.broadcast(df) if n <= max_rows else df), n
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """:func:`bounded_broadcast_count` without the count."""
+    return bounded_broadcast_count(df, max_rows)[0]

@@ -117,8 +117,8 @@ def pair_ties(counts: DataFrame, models: Sequence[str], noises: Sequence[str] =
         F.struct(F.col("model_b").alias("model"), F.col("model_a").alias("opponent"))))).alias("p"), "ties") \
         .select("noise", "p.*", "ties").groupBy("noise", "model", "opponent").agg(F.sum("ties").alias("ties"))
     grid = model_grid(counts.sparkSession, models, noises)
-    # k^2 x noises grid rows: bounded by the model list
-    return F.broadcast(grid).join(t, ["noise", "model", "opponent"], "left") \
+    # the tie table has at most k^2 x noises rows (bounded by the model list): broadcast it
+    return grid.join(F.broadcast(t), ["noise", "model", "opponent"], "left") \
         .select("noise", "model", "opponent", F.coalesce("ties", F.lit(0)).cast("bigint").alias("ties"))
 
 

@@ -67,7 +67,8 @@ def winrate_cov(counts: DataFrame, theta: DataFrame, models: Sequence[str],
                 (F.col("sv") / (F.col("n_total").cast("double") * F.col("n_total"))).alias("sigma"))
     grid = model_grid(counts.sparkSession, models, noises) \
         .select("noise", F.col("model").alias("model_i"), F.col("opponent").alias("model_j"))
-    return F.broadcast(grid).join(s, ["noise", "model_i", "model_j"], "left") \
+    # Sigma has at most k^2 x noises rows (bounded by the model list): broadcast it
+    return grid.join(F.broadcast(s), ["noise", "model_i", "model_j"], "left") \
         .select("noise", "model_i", "model_j", F.coalesce("sigma", F.lit(0.0)).alias("sigma"))
 
 
@@ -96,7 +97,7 @@ def rank_sets(theta: DataFrame, sigma: DataFrame, k: int, alpha: float = 0.05) -
     r = pairs.groupBy("noise", F.col("model_i").alias("model")).agg(
         (1 + F.sum(better.cast("int"))).cast("int").alias("lo"),
         (F.lit(k) - F.sum(worse.cast("int"))).cast("int").alias("hi"))
-    return th.join(r, ["noise", "model"], "left").select(
+    return th.join(F.broadcast(r), ["noise", "model"], "left").select(
         "noise", "model", F.coalesce("lo", F.lit(1)).alias("lo"), F.coalesce("hi", F.lit(k)).alias("hi"))
 
 
@@ -111,7 +112,9 @@ def rank_table(theta: DataFrame, sigma: DataFrame, ranks: DataFrame, models: Seq
     diag = sigma.filter(F.col("model_i") == F.col("model_j")) \
         .select("noise", F.col("model_i").alias("model"), F.col("sigma"))
     w = Window.partitionBy("noise").orderBy("lo")      # k rows per noise
-    per = theta.select("noise", "model", "theta").join(diag, ["noise", "model"]).join(ranks, ["noise", "model"]) \
+    # theta, diag and ranks have k x noises rows each (bounded by the model list)
+    per = theta.select("noise", "model", "theta").join(F.broadcast(diag), ["noise", "model"]) \
+        .join(F.broadcast(ranks), ["noise", "model"]) \
         .withColumn("rank", F.rank().over(w).cast("int")) \
         .withColumn("ci", F.round(F.lit(Z95) * F.sqrt("sigma"), 4))
     cp, ip = F.col("noise") == "Coupled", F.col("noise") == "Independent"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tandem.functions.stats import chi2_ppf, p_value, significance_code_sql
 from tandem.operators import pairwise as pw
 from tandem.operators import ranking as rk
+from tandem.operators.joins import bounded_broadcast
 from tandem.plans.oracle import CANON, F3, lit_double, sql, sql_list
 from tandem.plans.registry import query, rounded
 from tandem.sources import fixtures as fx
@@ -20,7 +21,9 @@ def canon(spark, sf):
 
 
 def counts(spark, sf):
-    return pw.pair_counts(canon(spark, sf))
+    # at most k(k-1)/2 rows per noise: size-checked, materialised once in one partition (which
+    # satisfies every later grouping, so the statistics below need no further shuffles)
+    return bounded_broadcast(pw.pair_counts(canon(spark, sf)).coalesce(1), 100_000)
 
 
 def theta_sigma(spark, sf):
