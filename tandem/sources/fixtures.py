@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.hashing import uniform
 from tandem.operators.indexing import ordinal
-from tandem.sources.tables import table
+from tandem.sources.tables import spread, table
 
 # ---- fixed values of the fixtures -------------------------------------------------
 # Multiple-choice run seeds: coupled 72645763; independent 83475617 (8B), 29387482 (3B),
@@ -61,7 +61,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """replies (model, seed, qid, rep, reply) of three models, two noises, ten repeats,
     for every test question. Replies carry every parser case."""
-    q = questions(spark, sf_dir).filter(~F.col("is_dev")).select("qid", "answer")
+    q = spread(questions(spark, sf_dir).filter(~F.col("is_dev")).select("qid", "answer"), "qid")
     m = F.explode(F.array(*[
         F.struct(F.lit(r).alias("mrank"), F.lit(n).alias("model"), F.lit(s).alias("skill"),
                  F.lit(seed).cast("bigint").alias("iseed"))
@@ -90,7 +90,8 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pairwise judgements (noise, model_a, model_b, seed_a, seed_b, winner), one per
     lineitem row; orientation is random (not canonical)."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                         "l_linestatus"))
     k = len(CMP_STRENGTH)
     a = (F.col("l_suppkey") % k).cast("int")
     b = ((F.col("l_suppkey") + 1 + F.col("l_partkey") % (k - 1)) % k).cast("int")
@@ -112,7 +113,7 @@ def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocabularies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one vocabulary per language (mrank, model, token, token_id); ids follow byte order."""
-    d = table(spark, sf_dir, "documents").select("lang", "text")
+    d = spread(table(spark, sf_dir, "documents").select("lang", "text"))
     rank = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1) \
         .when(F.col("lang") == "de", 2).otherwise(3)
     toks = (d.select(rank.alias("mrank"), F.col("lang").alias("model"),
@@ -124,7 +125,8 @@ def vocabularies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """next-token logits (mrank, unit, joint_id, logit); model m lacks the tokens with
     (pos + m) % 4 = 0, so vocabularies differ per model."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    e = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")) \
+        .select("vec_id", F.posexplode("embedding").alias("pos", "x"))
     mrank = (F.col("vec_id") % LOGIT_MODELS).cast("int")
     return (e.filter(((F.col("pos") + F.col("vec_id") % LOGIT_MODELS) % 4) != 0)
             .select(mrank.alias("mrank"), F.floor(F.col("vec_id") / LOGIT_MODELS).cast("bigint").alias("unit"),

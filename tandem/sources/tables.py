@@ -13,3 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Repartition ``df`` to the shuffle-partition count when its scan gives fewer
+    partitions (a table in one file is one task). Planning only decides: a table that is
+    already split over enough tasks is returned unchanged, without a shuffle."""
+    target = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
