@@ -82,10 +82,10 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
     number (0 for ids, 1 for ranks). Keys and order columns must be non-null.
     """
     keys, order = list(keys), list(order)
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = keys + order
-    ranged = (df.repartitionByRange(n_parts, *cols)
+    # Without an explicit count AQE may merge neighbouring range partitions of small inputs;
+    # merged partitions stay in key order, and the checkpoint below fixes one layout.
+    ranged = ((df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols))
               .sortWithinPartitions(*cols)
               .withColumn(_PID, F.spark_partition_id()))
     schema = T.StructType(ranged.schema.fields + [T.StructField(_LOCAL, T.LongType(), False)])
