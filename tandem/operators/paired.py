@@ -86,7 +86,8 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[s
     one or two middle rows are picked by their number."""
     v = df.filter(F.col(value).isNotNull()).select(*keys, *tie, value)
     numbered = ordinal(v, keys, [value, *tie], "_i")
-    n = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # group sizes from the numbered rows (read from the checkpoint, not recomputed upstream)
+    n = numbered.groupBy(*keys).agg((F.max("_i") + 1).alias("_n"))
     mid = numbered.join(n, list(keys)).filter(
         (F.col("_i") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_i") == F.ceil((F.col("_n") - 1) / 2)))
     return mid.groupBy(*keys).agg(F.avg(value).alias(name))
