@@ -44,7 +44,7 @@ def score(replies: DataFrame, questions: DataFrame, coupled_seed: int, n_repeats
     r = replies
     if guard:
         ok_runs = length_guard(replies, q, n_repeats).filter("accepted").select("model", "seed")
-        r = r.join(F.broadcast(ok_runs), ["model", "seed"], "left_semi")   # one row per run file
+        r = r.join(bounded_broadcast(ok_runs), ["model", "seed"], "left_semi")   # one row per run file
     s = r.join(bounded_broadcast(q.filter(F.col("correct").isNotNull())), "qid")
     choice = parse_reply(F.col("reply"))
     return s.select(noise_label("seed", coupled_seed).alias("noise"), "model", "seed", "subject", "qid", "rep",
@@ -65,8 +65,13 @@ def first_seed(scores: DataFrame) -> DataFrame:
 
 def noise_pivot(scores: DataFrame, models: Sequence[str]) -> DataFrame:
     """A4: one row per (noise, subject, qid, rep), one boolean column per model
-    (the lowest seed's reply for each noise and model)."""
-    s = first_seed(scores)
+    (the lowest seed's reply for each noise and model).
+
+    The rows are hash-partitioned on (subject, qid): the pivot and every later per-question
+    grouping (differences per question and pair, the noise pivot, covariances) group on a
+    superset of that key, so they reuse this one shuffle. A question holds at most
+    noises x models x repeats rows."""
+    s = first_seed(scores).repartition("subject", "qid")
     return s.groupBy("noise", "subject", "qid", "rep").agg(
         *[F.max(F.when(F.col("model") == m, F.col("ok"))).alias(m) for m in models])
 
