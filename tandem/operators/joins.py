@@ -16,11 +16,11 @@ def bounded_broadcast_count(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) ->
     upstream plan). A larger table is returned unchanged and the planner (with AQE)
     shuffles both join sides. Returns the table and its row count (capped at
     ``max_rows + 1``)."""
-    n = df.limit(max_rows + 1).count()
+    cached = df.cache()
+    n = cached.limit(max_rows + 1).count()      # a small table is read whole: this fills the cache
     if n > max_rows:
+        cached.unpersist()
         return df, n
-    cached = df.cache()
-    cached.count()
     return F.broadcast(cached), n
 
 
