@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from tandem.functions.hashing import MIX_P, mix, mix_np, row_seed
 from tandem.operators.joins import bounded_broadcast_count
+from tandem.session import cut_lineage
 
 # ---- fixed values of the reference's error study -------------------------------------
 ITERATIONS = 1000
@@ -38,10 +39,11 @@ def reference_means(wide: DataFrame, values: Sequence[str], groups: Sequence[str
                                      *[F.sum(v).alias(f"sum_{v}") for v in values])
 
 
-def _prefix_block(values: list[str], units: list[str], iterations: int, step: int):
+def _prefix_block(values: list[str], units: list[str], iterations: int, step: int, reduce: bool = False):
     """Grouped function for one (group, block of iterations): N rows (N <= bucket_rows).
     For each iteration of the block: order rows by (draw hash, units), prefix sums of the
-    values, kept at n = step, 2 step, ... < N."""
+    values, kept at n = step, 2 step, ... < N. With ``reduce`` the exact integer error
+    numerators |S n - p N| are summed over the block's iterations instead (one row per n)."""
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         n = len(pdf)
@@ -49,12 +51,23 @@ def _prefix_block(values: list[str], units: list[str], iterations: int, step: in
         its = np.arange(blk * ITER_BLOCK, min((blk + 1) * ITER_BLOCK, iterations), dtype=np.int64)
         ns = np.arange(step, n, step)
         if len(ns) == 0 or len(its) == 0:
+            if reduce:
+                return pd.DataFrame({"gid": [], "n": [], "cnt": [], **{f"num_{v}": [] for v in values}})
             return pd.DataFrame({"gid": [], "iter": [], "n": [], **{f"p_{v}": [] for v in values}})
         # tie-break rank of each row in unit order
         tie = np.empty(n, dtype=np.int64)
         tie[np.lexsort([pdf[u].to_numpy() for u in reversed(units)])] = np.arange(n)
         h = mix_np(pdf["r"].to_numpy(dtype=np.int64)[None, :], its[:, None])          # (iters, N)
         order = np.argsort(h * n + tie[None, :], axis=1)
+        if reduce:
+            out = {"gid": np.full(len(ns), gid, dtype=np.int32), "n": ns.astype(np.int64),
+                   "cnt": np.full(len(ns), len(its), dtype=np.int64)}
+            for v in values:
+                vals = pdf[v].to_numpy(dtype=np.int64)
+                p = np.cumsum(vals[order], axis=1)[:, ns - 1]                  # (iters, len(ns)), exact
+                total = int(vals.sum())
+                out[f"num_{v}"] = np.abs(total * ns[None, :] - p * n).sum(axis=0)
+            return pd.DataFrame(out)
         out = {"gid": np.full(len(its) * len(ns), gid, dtype=np.int32),
                "iter": np.repeat(its.astype(np.int32), len(ns)), "n": np.tile(ns.astype(np.int64), len(its))}
         for v in values:
@@ -68,7 +81,7 @@ def _prefix_block(values: list[str], units: list[str], iterations: int, step: in
 
 def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str], units: Sequence[str],
                     iterations: int = ITERATIONS, step: int = STEP, seed: int = 0,
-                    bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+                    bucket_rows: int = BUCKET_ROWS, reduce: bool = False) -> DataFrame:
     """A11 + W3 + P16: error |mean - prefix mean| for n = step, 2 step, ... < N, per group
     and iteration, one ``err_<value>`` column per value column.
 
@@ -83,6 +96,9 @@ def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str
       (group, iteration, bucket).
     """
     groups, units, values = list(groups), list(units), list(values)
+    # The input is read twice (group statistics, then rows): write its narrow projection once
+    # (reliable checkpoint in the shared folder) instead of recomputing its upstream plan.
+    wide = cut_lineage(wide.select(*groups, *units, *values))
     stats = reference_means(wide, values, groups) \
         .withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.col("n_total") / F.lit(bucket_rows))).cast("int"))
     # integer group id on the (small) per-group table keeps shuffled rows narrow
@@ -115,10 +131,15 @@ def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str
     sx = x.filter(F.col("n_buckets") == 1).select(
         "gid", "r", *units, *values, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk")) \
         .repartition(parts, "gid", "blk")
-    schema = T.StructType([T.StructField("gid", T.IntegerType()), T.StructField("iter", T.IntegerType()),
-                           T.StructField("n", T.LongType())] +
-                          [T.StructField(f"p_{v}", T.DoubleType()) for v in values])
-    small = sx.groupBy("gid", "blk").applyInPandas(_prefix_block(values, units, iterations, step), schema) \
+    if reduce:
+        schema = T.StructType([T.StructField("gid", T.IntegerType()), T.StructField("n", T.LongType()),
+                               T.StructField("cnt", T.LongType())] +
+                              [T.StructField(f"num_{v}", T.LongType()) for v in values])
+    else:
+        schema = T.StructType([T.StructField("gid", T.IntegerType()), T.StructField("iter", T.IntegerType()),
+                               T.StructField("n", T.LongType())] +
+                              [T.StructField(f"p_{v}", T.DoubleType()) for v in values])
+    small = sx.groupBy("gid", "blk").applyInPandas(_prefix_block(values, units, iterations, step, reduce), schema) \
         .join(stats.select("gid", "n_total"), "gid")
 
     # larger groups: hash range cut into buckets; bucket totals give offsets
@@ -137,7 +158,23 @@ def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str
     big = e.join(off.hint("merge"), [*gk, "bucket"]).select(
         "gid", "iter", "n_total", (F.col("o_cnt") + F.count(F.lit(1)).over(wr)).alias("n"),
         *[(F.col(f"o_{v}") + F.sum(v).over(wr)).cast("double").alias(f"p_{v}") for v in values])
-    return finish(small.select(*big.columns).unionByName(big))
+    if not reduce:
+        return finish(small.select(*big.columns).unionByName(big))
+    if not integral:
+        raise ValueError("reduce=True needs integer value columns")
+    # exact error numerators summed over iterations, per (group, n)
+    bigr = big.filter((F.col("n") % step == 0) & (F.col("n") < F.col("n_total"))) \
+        .join(stats.select("gid", *[f"sum_{v}" for v in values]), "gid") \
+        .groupBy("gid", "n").agg(F.count(F.lit(1)).alias("cnt"), *[
+            F.sum(F.abs(F.col(f"sum_{v}") * F.col("n") - F.col(f"p_{v}").cast("bigint") * F.col("n_total")))
+            .alias(f"num_{v}") for v in values])
+    parts_ = small.select("gid", "n", "cnt", *[f"num_{v}" for v in values]).unionByName(bigr)
+    tot = parts_.groupBy("gid", "n").agg(F.sum("cnt").alias("iterations"),
+                                         *[F.sum(f"num_{v}").alias(f"num_{v}") for v in values])
+    j = tot.join(stats.select("gid", *groups, "n_total"), "gid")
+    den = F.col("iterations") * F.col("n") * F.col("n_total")
+    return j.select(*groups, F.col("n").cast("bigint").alias("n"), F.col("iterations").cast("bigint").alias("iterations"),
+                    *[(F.col(f"num_{v}") / den).alias(f"mean_{v}") for v in values])
 
 
 def to_long(errors: DataFrame, keys: Sequence[str], value_names: dict[str, tuple[str, str]]) -> DataFrame:

@@ -74,3 +74,18 @@ def test_error_curve_interval_contains_mean(spark):
                     ["g", "iter", "n"], {"v1": ("m1", "m2")}).select("g", "iter", "n", "model_a", "model_b", "err")
     for r in ss.error_curve(el, ["g", "model_a", "model_b"], draws=200, iterations=50).collect():
         assert r.iterations == 50 and r.ci_lo <= r.mean_err <= r.ci_hi
+
+
+def test_reduced_means_equal_per_iteration_means(spark):
+    df = fixture(spark)
+    for bucket_rows in (10_000, 40):
+        e = ss.subsample_error(df, ["v1", "v2"], ["g"], ["q"], iterations=9, step=20, seed=4, bucket_rows=bucket_rows)
+        el = ss.to_long(e, ["g", "iter", "n"], {"v1": ("m", "v1"), "v2": ("m", "v2")})
+        full = {(r.g, r.model_b, r.n): (r.iterations, r.mean_err) for r in ss.error_mean(el, ["g", "model_a", "model_b"]).collect()}
+        m = ss.subsample_error(df, ["v1", "v2"], ["g"], ["q"], iterations=9, step=20, seed=4, bucket_rows=bucket_rows,
+                               reduce=True).collect()
+        red = {}
+        for r in m:
+            red[(r.g, "v1", r.n)] = (r.iterations, r.mean_v1)
+            red[(r.g, "v2", r.n)] = (r.iterations, r.mean_v2)
+        assert red == full
