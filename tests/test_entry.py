@@ -12,6 +12,9 @@ def test_entry_rows_and_schema(spark):
 
 
 def test_oracle_keys_are_queries():
-    q, o = entry_mod.queries(), entry_mod.oracle_sql()
+    from tandem.plans import ORACLE, QUERIES
+    assert set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
+    assert set(QUERIES) <= set(entry_mod.queries())
+    q, o = QUERIES, ORACLE
     assert set(o) <= set(q) and len(q) >= 67
     assert sorted(set(q) - set(o)) == ["error_curve", "pair_pvalue"]
