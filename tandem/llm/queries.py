@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import decontaminate, language_id, line_dedup, near_dup, packing
+from tandem.llm import (chat, decontaminate, html_text, language_id, lattice_dup, line_dedup, near_dup, packing,
+                        substring_dedup, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +32,41 @@ _SPACE = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query("op1_chat_format", """
+    with logged as (select distinct conv_id, turn, role, text from conversations),
+    ordered as (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as pos from logged),
+    said as (select conv_id, pos, (case when role is null then 'n' else 'v' || length(role) || ':' || role end)
+               || (case when text is null then 'n' else 'v' || length(text) || ':' || text end) as piece,
+               '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) as shown from ordered),
+    pre as (select conv_id, pos, string_agg(piece, '' order by pos) over (partition by conv_id order by pos) as prefix,
+              count(*) over (partition by conv_id) as n from said),
+    full_ as (select min(conv_id) as conv_id, prefix, n, count(*) as n_copies from pre where pos = n group by prefix, n),
+    kept as (select * from full_ f where not exists (select 1 from pre p where p.pos < p.n and p.pos = f.n and p.prefix = f.prefix))
+    select k.conv_id, cast(k.n as bigint) as n_turns, cast(k.n_copies as bigint) as n_copies, string_agg(s.shown, '' order by s.pos) as chat
+    from kept k join said s on s.conv_id = k.conv_id group by k.conv_id, k.n, k.n_copies""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal logged conversations, rendered."""
+    return chat.format_chats(_read(spark, sf_dir, "conversations"))
+
+
+@query("op2_html_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
+@query("op3_lattice_near_dup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings of cosine 0.9 or more."""
+    return lattice_dup.linked_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+@query("op4_url_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages"))
+
+
 @query("op5_minhash_near_dup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents (shingle sets, Jaccard 0.75 or more)."""
@@ -43,6 +79,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+@query("op7_substring_dedup", """
+    with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as words from documents),
+    pos as (select doc_id, words, unnest(range(0, greatest(len(words) - 12, 0))) as i from w),
+    win as (select doc_id, i, array_to_string(words[i + 1:i + 13], ' ') as s from pos),
+    low as (select s, min(doc_id) as d from win group by s),
+    gone as (select distinct win.doc_id, win.i + o.o as i from win join low using (s), (select unnest(range(0, 13)) as o) o where low.d < win.doc_id),
+    word as (select doc_id, unnest(words) as x, unnest(range(0, len(words))) as i from w),
+    stay as (select word.* from word anti join gone on word.doc_id = gone.doc_id and word.i = gone.i),
+    kept as (select doc_id, count(*) as n, string_agg(x, ' ' order by i) as t from stay group by doc_id)
+    select w.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(kept.n, 0) as bigint) as n_removed,
+           sha256(coalesce(kept.t, '')) as kept_sha256
+    from w left join kept on kept.doc_id = w.doc_id""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of 13-word windows found in an earlier document."""
+    return substring_dedup.drop_repeated_passages(_read(spark, sf_dir, "documents"), with_text=False)
+
+
 @query("op8_decontaminate")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a window near a benchmark item."""
