@@ -35,6 +35,18 @@ ARTICLES = (
     f'<ol><li>{_BARE}</li><li><p>{_MID}</p></li><li>{_BARE}</li></ol></article>',
     f'<main><article><h2>{_BARE}</h2><ul><li>{_BARE}</li><li>{_BARE}</li><li>{_MID}</li><li>{_BARE}</li></ul><p>{_LONG}</p><table><tr><th>{_BARE}</th>'
     f'<td>{_SHORT}</td></tr><tr><th>{_BARE}</th><td>{_MID}</td></tr></table></article></main>',
+    f'<article><header><h1>{_BARE}</h1><p>{_MID}</p></header><nav y="0"><a href="#a">{_BARE}</a> <a href="#b">{_BARE}</a></nav><p>{_LONG}</p><p>{_SHORT}</p>'
+    f'<footer y="0"><p>{_MID}</p></footer></article>',
+    f'<main><header y="0"><a href="/">Example</a> {_BARE}</header><section><h2>{_BARE}</h2><p>{_MID}</p><p>{_LONG}</p></section><footer y="0">{_BARE}</footer></main>',
+    f'<div class="content"><div class="post"><h2>{_BARE}</h2><p>{_LONG}</p><p>{_SHORT}</p></div><div y="0" class="comments"><div class="comment"><p>{_MID}</p></div>'
+    f'<div class="comment"><p>{_SHORT}</p></div></div></div>',
+    f'<div class="text"><p>{_LONG}</p><div y="0" class="share">{_BARE}</div><div y="0" class="ad">{_MID}</div><p>{_MID}</p><form y="0"><p>{_SHORT}</p><input></form><p>{_LONG}</p></div>',
+    f'<div><div><div>{_LONG}</div><div>{_MID}</div></div><div><p>{_MID}</p></div></div>',
+    f'{_LONG}<br>{_SHORT}<br>{_MID}',
+    f'<article><h1>{_BARE}</h1><p>{_SHORT}</p></article>',
+    f'<article><p>{_LONG}</p><blockquote>{_BARE}<p>{_MID}</p>{_SHORT}</blockquote><p>{_MID}</p><blockquote><p>{_LONG}</p></blockquote></article>',
+    f'<div><div><article><p>{_MID}</p><p>{_SHORT}</p></article></div></div>',
+    f'<article><h1>{_SHORT}</h1><p><b>{_SHORT}<br></article>',
 )
 BEFORE = (
     f'<nav><ul>{_NAV}</ul></nav>',
@@ -45,6 +57,9 @@ BEFORE = (
     '<div class="cookie-notice"><p>We use cookies to improve your visit, and by going on you accept them.</p><button>Accept</button></div>',
     '<nav class="breadcrumb"><a href="/">Home</a> &gt; <a href="/n">News</a></nav>',
     f'<div class="banner advert advertisement"><p>{_MID}</p><p>Save now!</p></div>',
+    f'<header><h2>{_BARE}</h2><p>{_SHORT}</p></header>',
+    f'<header><h1>{_BARE}</h1><p>{_MID}</p></header>',
+    f'<div class="masthead header"><h1>{_BARE}</h1><p>{_SHORT}</p></div>',
     '<div class="topbar"><span>Log in</span></div>',
     '<div class="alert warning notice"><p>This site is read-only for maintenance.</p></div>',
     f'<header class="site-header"><h1>Example</h1><p>{_MID}</p><nav><ul>{_NAV}</ul></nav></header>',
@@ -98,7 +113,8 @@ def _marked(part: str) -> str:
 
 
 def labelled_pages(n: int = 120) -> list[str]:
-    """Page ``i`` has article ``i`` of the list, three parts before and four after it; each article meets many parts."""
+    """Page ``i`` has article ``i`` of the list, three parts before and four after it; each article meets many
+    parts, and is a page of its own."""
     pages = []
     for i in range(n):
         before = [_marked(BEFORE[(i * 3 + k) % len(BEFORE)]) for k in range(3)]
@@ -106,4 +122,4 @@ def labelled_pages(n: int = 120) -> list[str]:
         inner = "".join([*before, ARTICLES[i % len(ARTICLES)], *after])
         pages.append(_filled(f'<html y="1"><body>{inner}</body></html>' if i % 3
                              else f'<html y="1"><body><div class="container">{inner}</div></body></html>'))
-    return pages
+    return pages + [f'<html y="1">{_filled(a)}</html>' for a in ARTICLES]

@@ -80,7 +80,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op7_substring_dedup", """
-    with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as words from documents),
+    with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
     pos as (select doc_id, words, unnest(range(0, greatest(len(words) - 12, 0))) as i from w),
     win as (select doc_id, i, array_to_string(words[i + 1:i + 13], ' ') as s from pos),
     low as (select s, min(doc_id) as d from win group by s),
