@@ -2,106 +2,64 @@
 
 A plain ``row_number() over (partition by g order by o)`` sends every row of a group
 to one task, and a global ``row_number() over (order by o)`` sends the whole table to
-one task. :func:`ordinal` instead range-partitions on ``(keys, order)`` -- a hot group
-is split over many range partitions -- numbers rows inside each partition with an
-Arrow batch function, writes them once (reliable checkpoint), and adds
-per-(partition, group) offsets taken from a small count table. Used for joint vocabulary ids (W1), question numbers (W2), positions
-(W5) and token steps.
+one task. :func:`ordinal` instead range-partitions and sorts on ``(keys, order)`` -- a hot
+group is split over many range partitions -- tags the sorted rows with Spark's increasing ids,
+writes them once (reliable checkpoint), and turns ids into positions with per-(partition, group)
+offsets taken from a small count table. Everything stays in the JVM and every column keeps its
+type. Used for joint vocabulary ids (W1), question numbers (W2), positions (W5) and token steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tandem.session import cut_lineage
 
 _PID = "_tandem_pid"
-_LOCAL = "_tandem_local"
+_ID = "_tandem_id"
 
 
-def _local_numbers(keys: list[str], order: list[str], dense: bool):
-    """Arrow batch function: running number within each key group of a sorted partition."""
-
-    def run(batches):
-        prev_key = None      # key tuple of the last row of the previous batch
-        prev_ord = None
-        last_local = -1
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                yield pdf.assign(**{_LOCAL: pd.Series([], dtype="int64")})
-                continue
-            new_grp = np.zeros(n, dtype=bool)
-            for k in keys:
-                col = pdf[k]
-                new_grp |= (col != col.shift()).to_numpy()
-            if keys:
-                first_key = tuple(pdf[k].iloc[0] for k in keys)
-                new_grp[0] = prev_key is None or first_key != prev_key
-            else:
-                new_grp[0] = prev_key is None
-            if dense:
-                new_val = new_grp.copy()
-                for o in order:
-                    col = pdf[o]
-                    new_val |= (col != col.shift()).to_numpy()
-                first_ord = tuple(pdf[o].iloc[0] for o in order)
-                new_val[0] = new_grp[0] or first_ord != prev_ord
-                step = new_val.astype(np.int64)
-            else:
-                step = np.ones(n, dtype=np.int64)
-            grp_id = np.cumsum(new_grp)          # 0 = rows continuing the previous batch's group
-            csum = np.cumsum(step)
-            excl = csum - step
-            starts = np.flatnonzero(new_grp)
-            cont = grp_id == 0
-            base = np.empty(n, dtype=np.int64)
-            base[cont] = -(last_local + 1)
-            base[~cont] = excl[starts][grp_id[~cont] - 1]
-            local = csum - base - 1
-            last_local = int(local[-1])
-            prev_key = tuple(pdf[k].iloc[-1] for k in keys) if keys else ()
-            prev_ord = tuple(pdf[o].iloc[-1] for o in order)
-            yield pdf.assign(**{_LOCAL: local})
-
-    return run
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; ``right``'s key columns are dropped."""
+    if not keys:
+        return left.crossJoin(right)
+    right = right.withColumnsRenamed({k: f"_tandem_r_{k}" for k in keys})
+    on: Column = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_tandem_r_{k}")) for k in keys])
+    return left.join(right, on, how).drop(*[f"_tandem_r_{k}" for k in keys])
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
             dense: bool = False, base: int = 0, partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = position of each row inside its ``keys`` group by ascending ``order``.
+    """Add ``name`` = position of each row inside its ``keys`` group by ascending ``order``
+    (nulls first; a null key is a group of its own).
 
     ``dense=False`` numbers rows (row_number; ``order`` should be unique within a group),
     ``dense=True`` numbers distinct ``order`` values (dense_rank). ``base`` is the first
-    number (0 for ids, 1 for ranks). Keys and order columns must be non-null.
+    number (0 for ids, 1 for ranks).
     """
     keys, order = list(keys), list(order)
     cols = keys + order
+    if dense:
+        numbered = ordinal(df.select(*cols).distinct(), keys, order, name, base=base, partitions=partitions)
+        return _null_safe_join(df, numbered, cols)
     # Without an explicit count AQE may merge neighbouring range partitions of small inputs;
-    # merged partitions stay in key order, and the checkpoint below fixes one layout.
-    ranged = ((df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols))
-              .sortWithinPartitions(*cols)
-              .withColumn(_PID, F.spark_partition_id()))
-    schema = T.StructType(ranged.schema.fields + [T.StructField(_LOCAL, T.LongType(), False)])
-    # Range bounds come from sampling the input, whose row order after a shuffle is not
-    # fixed: two computations of `ranged` may split rows differently. The numbered rows are
-    # therefore written once (reliable checkpoint in the shared checkpoint folder) and
-    # both the counts and the final join read that single copy.
-    local = cut_lineage(ranged.mapInPandas(_local_numbers(keys, order, dense), schema))
-    # rows (or distinct values) per (partition, group): at most partitions + groups rows
-    counts = local.groupBy(_PID, *keys).agg((F.max(_LOCAL) + 1).alias("_cnt"))
+    # merged partitions stay in key order. Range bounds come from sampling, so two computations
+    # may split rows differently: the checkpoint fixes one layout for the counts and the join.
+    ranged = (df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)) \
+        .sortWithinPartitions(*cols)
+    local = cut_lineage(ranged.withColumns({_PID: F.spark_partition_id(), _ID: F.monotonically_increasing_id()}))
+    # first id and rows per (partition, group): at most partitions + groups rows
+    counts = local.groupBy(_PID, *keys).agg(F.min(_ID).alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(_PID) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_PID, *keys, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    shift = (F.coalesce(F.sum("_cnt").over(w), F.lit(0)) - F.col("_first") + F.lit(base)).cast("long")
+    offsets = counts.select(_PID, *keys, shift.alias("_shift"))
     if not keys:
         # one row per range partition: bounded by the partition count, safe to broadcast
         offsets = F.broadcast(offsets)
-    out = local.join(offsets, [_PID, *keys])
-    return out.withColumn(name, (F.col("_off") + F.col(_LOCAL) + F.lit(base)).cast("long")) \
-        .drop(_PID, _LOCAL, "_off")
+    return _null_safe_join(local, offsets, [_PID, *keys]) \
+        .withColumn(name, F.col(_ID) + F.col("_shift")).drop(_PID, _ID, "_shift")
