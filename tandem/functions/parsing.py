@@ -56,5 +56,5 @@ def subject_title(subject) -> Column:
 
 
 def noise_label(seed, coupled_seed) -> Column:
-    """P5: 'Coupled' for the shared run seed, else 'Independent'."""
-    return F.when(_col(seed) == F.lit(coupled_seed), "Coupled").otherwise("Independent")
+    """P5: 'Coupled' for the shared run seed, else 'Independent' (seeds compare as strings)."""
+    return F.when(_col(seed).cast("string") == F.lit(str(coupled_seed)), "Coupled").otherwise("Independent")

@@ -9,24 +9,49 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.parsing import noise_label, parse_choice, parse_correct
-from tandem.operators.joins import bounded_broadcast
+from tandem.operators.indexing import ordinal
 
 
-def length_guard(replies: DataFrame, questions: DataFrame, n_repeats: int) -> DataFrame:
-    """Per (model, seed) run, its row count against questions x repeats.
+def length_guard(replies: DataFrame, questions: DataFrame, n_repeats: int,
+                 file: Sequence[str] = ("model", "seed")) -> DataFrame:
+    """Rows of every run file against questions x repeats.
 
-    The reference silently drops a run file whose length differs; here every run is
-    reported with ``accepted`` so dropped runs are visible."""
+    ``file`` names the columns that tell files apart (a table without files has one per run).
+    The reference silently drops a file whose length differs; here every file is
+    reported with ``accepted`` so dropped ones are visible."""
     expected = questions.select((F.count(F.lit(1)) * F.lit(n_repeats)).cast("bigint")).scalar()
-    return replies.groupBy("model", "seed").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")) \
+    return replies.groupBy(*file).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")) \
         .withColumn("expected", expected) \
         .withColumn("accepted", F.col("n_rows") == F.col("expected"))
 
 
+def head_questions(questions: DataFrame, n_samples: int | None, order: Sequence[str] = ("qid",)) -> DataFrame:
+    """S3 + W5: questions with their position ``qpos`` by ``order``; the first ``n_samples`` of them."""
+    q = ordinal(questions, [], order, "qpos")
+    return q if n_samples is None else q.filter(F.col("qpos") < n_samples)
+
+
+def tree_replies(tree: DataFrame, questions: DataFrame, n_repeats: int, n_samples: int | None = None) -> DataFrame:
+    """S1 -> J2: rows of a scanned reply tree with their keys (model, seed, qid, rep, reply).
+
+    A file's rows are the questions in order, each ``n_repeats`` times in adjacent copies. Files of
+    another length contribute nothing (J3, per file); several accepted files of one (model, seed)
+    are appended in path order (T4), their repeats counted on."""
+    q = head_questions(questions, n_samples)
+    good = length_guard(tree, q, n_repeats, ["model", "seed", "path"]).filter("accepted")
+    # files of one run: a few rows
+    nth = F.row_number().over(Window.partitionBy("model", "seed").orderBy("path")) - 1
+    good = good.select(F.col("path").alias("_path"), nth.alias("_nth"))
+    rows = tree.join(good, F.col("path") == F.col("_path")).select(
+        "model", "seed", F.floor(F.col("pos") / n_repeats).alias("qpos"),
+        (F.col("_nth") * n_repeats + F.col("pos") % n_repeats).cast("int").alias("rep"), "reply")
+    return rows.join(q.select("qpos", "qid"), "qpos").select("model", "seed", "qid", "rep", "reply")
+
+
 def score(replies: DataFrame, questions: DataFrame, coupled_seed: int, n_repeats: int,
           parse_reply: Callable[[Column], Column] = parse_choice,
           parse_answer: Callable[[Column], Column] = parse_correct,
@@ -34,18 +59,18 @@ def score(replies: DataFrame, questions: DataFrame, coupled_seed: int, n_repeats
     """P1 + P2 + P5 + J2 + J3 + J4 + U1: one row per reply with its correctness.
 
     ``questions`` (qid, subject, answer) is the test split; ``n_samples`` keeps the
-    first n questions by qid (S3). Runs failing the length guard are excluded; answers
-    outside 0..3 are rejected (inner join on a non-null correct letter).
+    first n questions in order of qid (S3). With ``guard``, (model, seed) runs of another length are
+    excluded (replies from files are guarded by :func:`tree_replies`); answers outside 0..3
+    are rejected (inner join on a non-null correct letter). Scanned trees have string seeds.
     Output: noise, model, seed, subject, qid, rep, choice, correct, ok.
     """
-    q = questions.select("qid", "subject", parse_answer(F.col("answer")).alias("correct"))
-    if n_samples is not None:
-        q = q.filter(F.col("qid") < F.lit(n_samples))
+    q = questions if n_samples is None else head_questions(questions, n_samples)
+    q = q.select("qid", "subject", parse_answer(F.col("answer")).alias("correct"))
     r = replies
     if guard:
         ok_runs = length_guard(replies, q, n_repeats).filter("accepted").select("model", "seed")
-        r = r.join(bounded_broadcast(ok_runs), ["model", "seed"], "left_semi")   # one row per run file
-    s = r.join(bounded_broadcast(q.filter(F.col("correct").isNotNull())), "qid")
+        r = r.join(ok_runs, ["model", "seed"], "left_semi")
+    s = r.join(q.filter(F.col("correct").isNotNull()), "qid")
     choice = parse_reply(F.col("reply"))
     return s.select(noise_label("seed", coupled_seed).alias("noise"), "model", "seed", "subject", "qid", "rep",
                     choice.alias("choice"), "correct", (choice == F.col("correct")).alias("ok"))

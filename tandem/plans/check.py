@@ -50,7 +50,8 @@ def compare(spark, key: str, sf_dir: str, con=None) -> dict:
     s_rows = [tuple(r) for r in sdf.collect()]
     t1 = time.time()
     s_names = sdf.columns
-    s_types = [_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields]
+    s_types = [_TYPES.get(t, f"{_TYPES.get(t[6:-1], t[6:-1])}[]" if t.startswith("array<") else t)
+               for t in (f.dataType.simpleString() for f in sdf.schema.fields)]
     res = {"key": key, "spark_rows": len(s_rows), "spark_sec": round(t1 - t0, 2)}
     if key not in ORACLE:
         res["oracle"] = "rows-only"

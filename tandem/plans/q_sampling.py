@@ -108,11 +108,12 @@ def reply_text(spark, sf):
 
 @query("result_rows", sql(f"""select f6.question, 'assistant' model, a.text response,
   {_seed_sql(OPEN_SEED_LO, OPEN_SEED_HI, str(OPEN_BASE_SEED), 'f6.pos')} seed
-from f6 join conversations a on a.conv_id = f6.conv_id and a.turn = f6.turn + 1 and a.role = 'assistant'""", ("f6", F6)))
+from f6 left join conversations a on a.conv_id = f6.conv_id and a.turn = f6.turn + 1 and a.role = 'assistant'""", ("f6", F6)))
 def result_rows(spark, sf):
-    """P14 (+ R4): result rows (question, model, response, seed) of an open-question run."""
+    """P14 (+ R4): result rows (question, model, response, seed) of an open-question run, one for every
+    question (null response where there is none)."""
     q = fx.open_questions(spark, sf)
     a = fx.assistant_turns(spark, sf).withColumnRenamed("turn", "a_turn")
-    j = q.join(a, (q.conv_id == a.conv_id) & (a.a_turn == q.turn + 1))
+    j = q.join(a, (q.conv_id == a.conv_id) & (a.a_turn == q.turn + 1), "left")
     return j.select("question", F.lit("assistant").alias("model"), "response",
                     seed_in_range(OPEN_SEED_LO, OPEN_SEED_HI, F.lit(OPEN_BASE_SEED), "pos").alias("seed"))

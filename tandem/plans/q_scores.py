@@ -54,13 +54,6 @@ def score_rows(spark, sf):
     return scores(spark, sf)
 
 
-@query("length_guard", _q(f"select model, seed, n_rows, cast((select count(*) * {R} from q) as bigint) expected, "
-                          f"n_rows = (select count(*) * {R} from q) accepted from runs"))
-def q_length_guard(spark, sf):
-    """Run length check (row count = questions x repeats)."""
-    return sc.length_guard(fx.replies(spark, sf), test_questions(spark, sf), R)
-
-
 @query("accuracy", _q("select noise, model, subject, count(*) n, round(avg(cast(ok as int)), 6) accuracy from sc group by all"))
 def q_accuracy(spark, sf):
     """A3 + P5: accuracy per noise, model and subject."""

@@ -10,57 +10,77 @@ from __future__ import annotations
 
 import csv
 import os
+import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandem.operators.joins import bounded_broadcast
-
 
 # ---- S1: reply tree <root>/<model>/responses_<start>_<end>_seed<seed>.csv -------------------
 
+def _decoded(path: Column) -> Column:
+    """A ``_metadata`` path without its percent-encoding (``+`` stays ``+``)."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def read_reply_tree(spark: SparkSession, root: str, exclude: str = "900") -> DataFrame:
-    """S1 + W5: every reply row of every run file: (model, seed, file, pos, reply).
+    """S1 + W5: every reply row of every run file: (model, seed, file, path, pos, reply).
 
-    model = directory name, seed = text after the last 'seed' of the file name up to its
-    first '.'; only '.csv' files, and none whose name contains ``exclude``. A multi-line
-    CSV file is never split, so its rows get consecutive ids inside one task; ``pos`` is
-    the id minus the file's first id (one small aggregate row per file)."""
+    Files of every depth below ``root`` (not in it); model = name of the folder that holds the
+    file, seed = the name up to its first '.', after its last 'seed' (a string); only '.csv'
+    files, and none whose name contains ``exclude``. A multi-line CSV file is never split, so its
+    rows get consecutive ids inside one task; ``pos`` is the id minus the file's first id."""
     raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .schema("reply string").csv(f"{root.rstrip('/')}/*/*.csv")
-           .select(F.col("reply"), F.col("_metadata.file_path").alias("path"),
-                   F.col("_metadata.file_name").alias("file"))
-           .filter(~F.col("file").contains(exclude)))
-    raw = raw.withColumn("_id", F.monotonically_increasing_id())
-    first = raw.groupBy("path").agg(F.min("_id").alias("_first"))
-    seed = F.substring_index(F.substring_index(F.col("file"), "seed", -1), ".", 1)
-    model = F.element_at(F.split(F.col("path"), "/"), -2)
-    return raw.join(bounded_broadcast(first), "path").select(
-        model.alias("model"), seed.cast("bigint").alias("seed"), "file",
-        (F.col("_id") - F.col("_first")).alias("pos"), "reply")
-
-
-def _run_file_writer(root: str, start: int, end: int, short_seed: int | None):
+           .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+           .schema("reply string").csv(root)
+           .select("reply", _decoded(F.col("_metadata.file_path")).alias("path")))
+    parts = F.split("path", "/")
+    raw = raw.withColumns({"file": F.element_at(parts, -1), "model": F.element_at(parts, -2)})
+    inside = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), "/[^/]*$", "") != F.lit(_qualified(spark, root))
+    raw = raw.filter(~F.col("file").contains(exclude) & inside).withColumn("_id", F.monotonically_increasing_id())
+    first = raw.groupBy(F.col("path").alias("_path")).agg(F.min("_id").alias("_first"))
+    seed = F.substring_index(F.substring_index(F.col("file"), ".", 1), "seed", -1)
+    return raw.join(first, F.col("path") == F.col("_path")).select(
+        "model", seed.alias("seed"), "file", "path", (F.col("_id") - F.col("_first")).alias("pos"), "reply")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system, without a trailing '/'."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString().rstrip("/")
+
+
+def _run_file_writer(root: str, start: int, end: int):
     def run(batches):
-        written: dict[str, int] = {}
+        name = out = writer = None
+        count = 0
+
+        def close():
+            out.close()
+            os.replace(out.name, name)      # a run file appears whole, whichever attempt wrote it
+            return name, count
+
+        done = []
         for pdf in batches:
             for (model, seed), part in pdf.groupby(["model", "seed"], sort=False):
-                d = os.path.join(root, model)
-                os.makedirs(d, exist_ok=True)
-                path = os.path.join(d, f"responses_{start}_{end}_seed{seed}.csv")
-                new = path not in written
-                rows = part["reply"].tolist()
-                with open(path, "w" if new else "a", newline="") as f:
-                    w = csv.writer(f, quoting=csv.QUOTE_MINIMAL)
-                    if new:
-                        w.writerow(["0"])
-                    for r in rows:
-                        w.writerow(["" if r is None else r])
-                written[path] = written.get(path, 0) + len(rows)
-        out = [(p, n) for p, n in written.items()]
-        yield pd.DataFrame(out, columns=["path", "rows"])
+                path = os.path.join(root, str(model), f"responses_{start}_{end}_seed{seed}.csv")
+                if path != name:
+                    if out:
+                        done.append(close())
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    name, count = path, 0
+                    out = open(f"{path}.{uuid.uuid4().hex}.tmp", "w", newline="")
+                    writer = csv.writer(out, quoting=csv.QUOTE_MINIMAL)
+                    writer.writerow(["0"])
+                for r in part["reply"].tolist():
+                    writer.writerow(["" if r is None else r])
+                count += len(part)
+        if out:
+            done.append(close())
+        yield pd.DataFrame(done, columns=["path", "rows"])
 
     return run
 
@@ -68,44 +88,52 @@ def _run_file_writer(root: str, start: int, end: int, short_seed: int | None):
 def write_reply_tree(replies: DataFrame, root: str, start: int = 0, end: int | None = None) -> DataFrame:
     """S5 (reference layout): one CSV per (model, seed) run with header ``0``, rows in
     (qid, rep) order, a NULL reply written as an empty field. Each run file is written by
-    the single task that holds the run (hash partitioning on (model, seed)); batches are
-    appended as they stream, nothing is gathered. Returns (path, rows) per file."""
+    the single task that holds the run (hash partitioning on (model, seed)) under a temporary
+    name and renamed when it is whole. ``root`` is a POSIX path that all executors share.
+    Returns (path, rows) per file."""
+    if "://" in root or root.startswith("file:"):
+        scheme, _, rest = root.partition(":")
+        if scheme != "file":
+            raise ValueError(f"run files need a POSIX path shared by all executors, not {root!r}")
+        root = "/" + rest.lstrip("/")
     end = end if end is not None else 0
     parts = int(replies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = replies.repartition(parts, "model", "seed").sortWithinPartitions("model", "seed", "qid", "rep")
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("rows", T.LongType())])
-    return ordered.select("model", "seed", "reply").mapInPandas(_run_file_writer(root, start, end, None), schema)
+    return ordered.select("model", "seed", "reply").mapInPandas(_run_file_writer(root, start, end), schema)
 
 
 # ---- S4: column-oriented JSON {"col": {"0": v, ...}} (pandas default layout) ----------------
 
-def read_column_json(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+def read_column_json(spark: SparkSession, path: str | list[str], columns: dict[str, str]) -> DataFrame:
     """Rows of column-oriented JSON files; ``columns`` maps name -> Spark type.
-    Output has ``pos`` (the row key) and the typed columns."""
-    txt = spark.read.option("wholetext", True).text(path)
-    parsed = txt.select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("col", "cells"))
-    cells = parsed.select("col", F.explode("cells").alias("pos", "v"))
-    wide = cells.groupBy(F.col("pos").cast("bigint").alias("pos")).pivot("col", list(columns)).agg(F.first("v"))
-    return wide.select("pos", *[F.col(c).cast(t).alias(c) for c, t in columns.items()])
-
-
-def write_column_json(df: DataFrame, path: str, pos: str = "pos") -> DataFrame:
-    """Column-oriented JSON writer (one JSON object per output file part): for tests and
-    interchange with tools that read that layout. Rows are grouped into a single object
-    per Spark partition, so each file holds one partition's rows."""
+    Output has ``file`` (decoded path), ``pos`` (the row key in its file) and the typed columns.
+    The layout keeps a whole file in one JSON object, so a file is read by one task."""
+    txt = spark.read.option("wholetext", True).text(path).select("value", _decoded(F.col("_metadata.file_path")).alias("file"))
+    parsed = txt.select("file", F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("col", "cells"))
+    cells = parsed.select("file", "col", F.explode("cells").alias("pos", "v"))
+    wide = cells.groupBy("file", F.col("pos").cast("bigint").alias("pos")).pivot("col", list(columns)).agg(F.first("v"))
+    return wide.select("file", "pos", *[F.col(c).cast(t).alias(c) for c, t in columns.items()])
+
+
+def write_column_json(df: DataFrame, path: str, pos: str = "pos", rows_per_file: int = 10_000) -> None:
+    """Column-oriented JSON writer: for tests and interchange with tools that read that layout.
+    Each JSON object (one per line of a file part) holds at most ``rows_per_file`` consecutive
+    positions, so no task gathers more than that into a row."""
     cols = [c for c in df.columns if c != pos]
     per_col = [F.map_from_entries(F.collect_list(F.struct(F.col(pos).cast("string"), F.col(c).cast("string"))))
                .alias(c) for c in cols]
-    obj = df.groupBy(F.spark_partition_id().alias("_p")).agg(*per_col)
-    obj.select(F.to_json(F.struct(*cols)).alias("value")).write.mode("overwrite").text(path)
-    return obj
+    block = F.floor(F.col(pos) / F.lit(rows_per_file)).alias("_block")
+    obj = df.groupBy(block).agg(*per_col)
+    obj.select(F.to_json(F.struct(*cols)).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 # ---- S5 / S6 / S7: Spark-native sinks ----------------------------------------------------
 
 def write_runs(df: DataFrame, path: str, partition_by=("model", "seed"), fmt: str = "csv") -> None:
-    """Keyed rows, partitioned by run keys; ``overwrite`` replaces an earlier run."""
-    w = df.write.mode("overwrite").partitionBy(*partition_by)
+    """Keyed rows, partitioned by run keys. The partitions (runs) in ``df`` replace their
+    earlier content; every other run in the folder stays."""
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     if fmt == "csv":
         w.option("header", True).option("escape", '"').csv(path)
     else:

@@ -4,8 +4,8 @@ import csv
 import os
 import tempfile
 
-from tandem.operators.scoring import length_guard
-from tandem.sources.files import read_model_list, read_reply_tree
+from tandem.operators.scoring import head_questions, length_guard, score, tree_replies
+from tandem.sources.files import read_column_json, read_model_list, read_reply_tree, write_runs
 
 
 def write(path, replies):
@@ -26,11 +26,11 @@ def test_reply_tree(spark):
         f.write("not a run file\n")
     df = read_reply_tree(spark, root)
     rows = sorted((r.model, r.seed, r.pos, r.reply) for r in df.collect())
-    assert rows == [("mA", 11, 0, "A"), ("mA", 11, 1, 'say "B", then\nC'), ("mA", 11, 2, None),
-                    ("mB", 12, 0, "D"), ("mB", 12, 1, "C")]
+    assert rows == [("mA", "11", 0, "A"), ("mA", "11", 1, 'say "B", then\nC'), ("mA", "11", 2, None),
+                    ("mB", "12", 0, "D"), ("mB", "12", 1, "C")]
     q = spark.createDataFrame([(0,), (1,), (2,)], "qid long")
     g = {(r.model, r.seed): r.accepted for r in length_guard(df, q, 1).collect()}
-    assert g == {("mA", 11): True, ("mB", 12): False}
+    assert g == {("mA", "11"): True, ("mB", "12"): False}
 
 
 def test_model_list(spark):
@@ -39,3 +39,50 @@ def test_model_list(spark):
         f.write('{\n  "models" : [\n "m1", "m2",\n "m3", "m4"]\n}')
     got = sorted((r.mrank, r.model) for r in read_model_list(spark, f"{d}/models.json").collect())
     assert got == [(0, "m1"), (1, "m2"), (2, "m3"), (3, "m4")]
+
+
+def test_nested_folders_text_seeds_and_odd_names(spark):
+    root = tempfile.mkdtemp(prefix="tandem-tree-")
+    write(f"{root}/org/my model+1/responses_0_2_seedabc.x.csv", ["A", "B"])
+    write(f"{root}/org/my model+1/deeper/mB/responses_0_2_seed7.csv", ["C", "D"])
+    write(f"{root}/responses_0_2_seed8.csv", ["A", "A"])                  # not in a model folder
+    got = sorted((r.model, r.seed, r.pos, r.reply) for r in read_reply_tree(spark, root + "/").collect())
+    assert got == [("mB", "7", 0, "C"), ("mB", "7", 1, "D"), ("my model+1", "abc", 0, "A"), ("my model+1", "abc", 1, "B")]
+
+
+def test_files_of_a_run_are_guarded_and_appended_by_file(spark):
+    root = tempfile.mkdtemp(prefix="tandem-tree-")
+    write(f"{root}/m/responses_0_2_seed1.csv", ["A", "B", "C", "D"])       # 2 questions x 2 repeats
+    write(f"{root}/m/responses_1_2_seed1.csv", ["B", "B", "B", "B"])       # appended
+    write(f"{root}/n/responses_0_1_seed2.csv", ["A", "B"])                 # two halves are not a file
+    write(f"{root}/n/responses_1_2_seed2.csv", ["C", "D"])
+    q = spark.createDataFrame([(5, "s", 0), (9, "s", 1)], "qid long, subject string, answer int")
+    rows = tree_replies(read_reply_tree(spark, root), q, 2)
+    assert sorted(map(tuple, rows.collect())) == [("m", "1", 5, 0, "A"), ("m", "1", 5, 1, "B"), ("m", "1", 5, 2, "B"), ("m", "1", 5, 3, "B"),
+                                                  ("m", "1", 9, 0, "C"), ("m", "1", 9, 1, "D"), ("m", "1", 9, 2, "B"), ("m", "1", 9, 3, "B")]
+    ok = sorted((r.qid, r.rep, r.ok) for r in score(rows, q, 1, 2, guard=False).collect())
+    assert ok == [(5, 0, True), (5, 1, False), (5, 2, False), (5, 3, False), (9, 0, False), (9, 1, False), (9, 2, True), (9, 3, True)]
+
+
+def test_head_questions_go_by_position(spark):
+    q = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "qid long")
+    assert sorted(r.qid for r in head_questions(q, 3).collect()) == [1, 2, 3]
+
+
+def test_column_json_keeps_rows_of_all_files(spark):
+    d = tempfile.mkdtemp(prefix="tandem-json-")
+    for i in (0, 1):
+        with open(f"{d}/{i}.json", "w") as f:
+            f.write('{"a": {"0": "x%d", "1": null}, "n": {"0": 1, "1": 2}}' % i)
+    got = sorted(((r.file[-6:], r.pos, r.a, r.n) for r in read_column_json(spark, d, {"a": "string", "n": "int"}).collect()), key=str)
+    assert got == [("0.json", 0, "x0", 1), ("0.json", 1, None, 2), ("1.json", 0, "x1", 1), ("1.json", 1, None, 2)]
+
+
+def test_a_rewritten_run_leaves_the_others(spark):
+    d = tempfile.mkdtemp(prefix="tandem-runs-") + "/out"
+    df = lambda rows: spark.createDataFrame(rows, "model string, seed string, reply string")
+    write_runs(df([("a", "1", "x"), ("a", "2", "y")]), d)
+    write_runs(df([("b", "1", "z")]), d)
+    write_runs(df([("a", "2", "new")]), d)
+    back = spark.read.option("header", True).schema("reply string, model string, seed string").csv(d)
+    assert sorted((r.model, r.seed, r.reply) for r in back.collect()) == [("a", "1", "x"), ("a", "2", "new"), ("b", "1", "z")]
