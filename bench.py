@@ -18,7 +18,8 @@ HEADLINE = [
     "rank_table", "pair_ztest", "tie_increase", "pair_winrates", "winrate_cov",
     "score_rows", "accuracy", "noise_pivot", "var_median", "cov_mean", "question_no",
     "error_mean", "joint_vocab", "vocab_common", "coupled_draw", "independent_draw", "reply_text",
-    "few_shot", "run_plan", "kde_1d", "kde_2d", "csv_tree",
+    "few_shot", "run_plan", "kde_1d", "kde_2d", "csv_tree", "tree_accuracy", "json_columns", "vocab_io", "joint_lookup",
+    "sub_error", "samples_needed",
 ]
 
 

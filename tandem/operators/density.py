@@ -18,66 +18,60 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandem.operators.joins import bounded_broadcast
+from tandem.session import cut_lineage
 
 # ---- fixed values: plotting defaults --------------------------------------------------
 GRIDSIZE = 200
 CUT = 3.0
+POINTS = 20_000     # distinct points summed by one task
+
+
+def _salted(points: DataFrame, keys: Sequence[str], coords: Sequence[str]) -> DataFrame:
+    """Distinct weighted points with a salt, so that no (group, salt) holds more than about
+    ``POINTS`` of them (``n`` is the group's size)."""
+    return points.withColumn("salt", F.pmod(F.xxhash64(*coords), F.ceil(F.col("n") / F.lit(POINTS))).cast("int"))
+
+
+def _sum_cells(points: DataFrame, keys: list[str], fn, rows: str) -> DataFrame:
+    """Kernel sums on a grid: one grid per (group, salt), sent on as arrays, added per cell."""
+    fields = [f for f in points.schema.fields if f.name in keys]
+    schema = T.StructType(fields + [T.StructField(rows, T.IntegerType()), T.StructField("cells", T.ArrayType(T.DoubleType()))])
+    partial = points.groupBy(*keys, "salt").applyInPandas(fn, schema)
+    return partial.select(*keys, rows, F.posexplode("cells").alias("_cell", "s")) \
+        .groupBy(*keys, rows, "_cell").agg(F.sum("s").alias("s"))
 
 
 def kde_1d(df: DataFrame, x: str, keys: Sequence[str], gridsize: int = GRIDSIZE, cut: float = CUT) -> DataFrame:
     """Density of ``x`` per group on ``gridsize`` points: (keys, gi, x, density).
     Groups with fewer than two points or zero spread give no rows."""
     keys = list(keys)
-    d = df.filter(F.col(x).isNotNull())
+    d = cut_lineage(df.filter(F.col(x).isNotNull()).select(*keys, x))     # read for the statistics and for the points
     st = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(x).alias("sd"),
                               F.min(x).alias("lo0"), F.max(x).alias("hi0")) \
         .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))) \
         .filter((F.col("n") > 1) & (F.col("h") > 0)) \
         .withColumn("lo", F.col("lo0") - F.lit(cut) * F.col("h")) \
-        .withColumn("step", ((F.col("hi0") + F.lit(cut) * F.col("h")) - F.col("lo")) / F.lit(gridsize - 1))
-    pts = d.groupBy(*keys, F.col(x).alias("px")).agg(F.count(F.lit(1)).alias("w"))
-    j = pts.join(bounded_broadcast(st.select(*keys, "n", "h", "lo", "step")), keys)
-    g = j.select(*keys, "px", "w", "n", "h", "lo", "step",
-                 F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("gi"))
-    gx = F.col("lo") + F.col("gi") * F.col("step")
-    z = (gx - F.col("px")) / F.col("h")
-    contrib = F.col("w") * F.exp(F.lit(-0.5) * z * z)
-    return g.groupBy(*keys, "gi").agg(
-        F.first(gx).alias("x"),
-        (F.sum(contrib) / (F.first("n") * F.first("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
-
-
-def _grid_partials(gridsize: int, block: int = 64):
-    """Arrow batch function: per group, the weighted kernel sums of this task's points on
-    the whole grid (numpy, points in blocks), one output row per (group, grid cell)."""
-
-    def run(batches):
-        acc: dict[int, np.ndarray] = {}
-        gi = np.arange(gridsize, dtype=np.float64)
-        for pdf in batches:
-            for gid, part in pdf.groupby("gid", sort=False):
-                r = part.iloc[0]
-                gx = r["lox"] + gi * r["sx"]
-                gy = r["loy"] + gi * r["sy"]
-                tot = acc.setdefault(int(gid), np.zeros((gridsize, gridsize)))
-                px, py, w = (part[c].to_numpy(dtype=np.float64) for c in ("px", "py", "w"))
-                for k in range(0, len(px), block):
-                    dx = gx[None, :, None] - px[k:k + block, None, None]
-                    dy = gy[None, None, :] - py[k:k + block, None, None]
-                    q = (r["hyy"] * dx * dx - 2 * r["hxy"] * dx * dy + r["hxx"] * dy * dy) / r["det"]
-                    tot += np.einsum("p,pij->ij", w[k:k + block], np.exp(-0.5 * q))
-        for gid, tot in acc.items():
-            ii, jj = np.meshgrid(np.arange(gridsize), np.arange(gridsize), indexing="ij")
-            yield pd.DataFrame({"gid": np.full(gridsize * gridsize, gid, dtype=np.int32),
-                                "gi": ii.ravel().astype(np.int32), "gj": jj.ravel().astype(np.int32),
-                                "s": tot.ravel()})
-
-    return run
+        .withColumn("step", ((F.col("hi0") + F.lit(cut) * F.col("h")) - F.col("lo")) / F.lit(gridsize - 1)) \
+        .select(*keys, "n", "h", "lo", "step")
+    pts = d.groupBy(*keys, F.col(x).alias("px")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+    def sums(key, pdf):
+        h, lo, step = (float(pdf[c].iloc[0]) for c in ("h", "lo", "step"))
+        grid = lo + np.arange(gridsize) * step
+        total = np.zeros(gridsize)
+        px, w = (pdf[c].to_numpy(dtype=np.float64) for c in ("px", "w"))
+        for k in range(0, len(px), 4096):
+            total += w[k:k + 4096] @ np.exp(-0.5 * ((grid[None, :] - px[k:k + 4096, None]) / h) ** 2)
+        return pd.DataFrame([(*key[:-1], 0, total)], columns=[*keys, "row", "cells"])
+
+    summed = _sum_cells(_salted(pts.join(st, keys), keys, ["px"]), keys, sums, "row")
+    out = summed.join(st, keys)
+    return out.select(*keys, F.col("_cell").alias("gi"), (F.col("lo") + F.col("_cell") * F.col("step")).alias("x"),
+                      (F.col("s") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
 
 
 def kde_2d(df: DataFrame, x: str, y: str, keys: Sequence[str], gridsize: int = GRIDSIZE,
@@ -85,12 +79,12 @@ def kde_2d(df: DataFrame, x: str, y: str, keys: Sequence[str], gridsize: int = G
     """Bivariate density of (x, y) per group on a gridsize x gridsize grid:
     (keys, gi, gj, x, y, density). A singular covariance gives no rows.
 
-    Each task adds its (distinct, weighted) points' kernels onto the grids of their
-    groups in numpy and emits one partial sum per grid cell; Spark then sums the
-    partials per cell, so the work per task is bounded by its own points."""
+    The (distinct, weighted) points of a group are dealt in salted parts; each part adds its kernels
+    to one grid in numpy, and Spark adds the parts' grids per cell."""
     keys = list(keys)
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = cut_lineage(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y))
     f2 = F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3.0))
+    cols = ["hxx", "hyy", "hxy", "det", "lox", "loy", "sx", "sy"]
     st = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"),
                               F.covar_samp(x, y).alias("cxy"), F.min(x).alias("x0"), F.max(x).alias("x1"),
                               F.min(y).alias("y0"), F.max(y).alias("y1")) \
@@ -101,18 +95,25 @@ def kde_2d(df: DataFrame, x: str, y: str, keys: Sequence[str], gridsize: int = G
         .withColumn("loy", F.col("y0") - F.lit(cut) * F.sqrt("hyy")) \
         .withColumn("sx", ((F.col("x1") + F.lit(cut) * F.sqrt("hxx")) - F.col("lox")) / F.lit(gridsize - 1)) \
         .withColumn("sy", ((F.col("y1") + F.lit(cut) * F.sqrt("hyy")) - F.col("loy")) / F.lit(gridsize - 1)) \
-        .withColumn("gid", F.row_number().over(Window.orderBy(*keys)).cast("int"))   # one row per group
-    st = bounded_broadcast(st)
+        .select(*keys, "n", *cols)
     pts = d.groupBy(*keys, F.col(x).alias("px"), F.col(y).alias("py")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    cols = ["hxx", "hyy", "hxy", "det", "lox", "loy", "sx", "sy"]
-    j = pts.join(st.select(*keys, "gid", *cols), keys).select("gid", "px", "py", "w", *cols)
-    schema = T.StructType([T.StructField("gid", T.IntegerType()), T.StructField("gi", T.IntegerType()),
-                           T.StructField("gj", T.IntegerType()), T.StructField("s", T.DoubleType())])
-    partial = j.mapInPandas(_grid_partials(gridsize), schema)
-    summed = partial.groupBy("gid", "gi", "gj").agg(F.sum("s").alias("s"))
-    out = summed.join(st.select(*keys, "gid", "n", "det", "lox", "loy", "sx", "sy"), "gid")
-    return out.select(*keys, "gi", "gj", (F.col("lox") + F.col("gi") * F.col("sx")).alias("x"),
-                      (F.col("loy") + F.col("gj") * F.col("sy")).alias("y"),
+
+    def sums(key, pdf):
+        r = {c: float(pdf[c].iloc[0]) for c in cols}
+        gx, gy = r["lox"] + np.arange(gridsize) * r["sx"], r["loy"] + np.arange(gridsize) * r["sy"]
+        total = np.zeros((gridsize, gridsize))
+        px, py, w = (pdf[c].to_numpy(dtype=np.float64) for c in ("px", "py", "w"))
+        for k in range(0, len(px), 64):
+            dx = gx[None, :, None] - px[k:k + 64, None, None]
+            dy = gy[None, None, :] - py[k:k + 64, None, None]
+            q = (r["hyy"] * dx * dx - 2 * r["hxy"] * dx * dy + r["hxx"] * dy * dy) / r["det"]
+            total += np.einsum("p,pij->ij", w[k:k + 64], np.exp(-0.5 * q))
+        return pd.DataFrame([(*key[:-1], i, total[i]) for i in range(gridsize)], columns=[*keys, "gi", "cells"])
+
+    summed = _sum_cells(_salted(pts.join(st, keys), keys, ["px", "py"]), keys, sums, "gi")
+    out = summed.join(st, keys)
+    return out.select(*keys, "gi", F.col("_cell").alias("gj"), (F.col("lox") + F.col("gi") * F.col("sx")).alias("x"),
+                      (F.col("loy") + F.col("_cell") * F.col("sy")).alias("y"),
                       (F.col("s") / (F.col("n") * F.lit(2 * math.pi) * F.sqrt("det"))).alias("density"))
 
 

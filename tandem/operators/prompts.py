@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.parsing import CHOICES, subject_title
-from tandem.operators.joins import bounded_broadcast
 
 # ---- fixed values: prompt texts of the reference ---------------------------------------
 DEFAULT_SYSTEM = ("You will be given multiple choice questions. Please reply with a single character "
@@ -46,8 +45,7 @@ def format_prompts(questions: DataFrame, dev: DataFrame | None = None, system: s
     instruction become the system prompt and the query is the bare question."""
     q = questions.select("qid", "subject", question_block().alias("block"))
     if few_shot > 0:
-        shots = bounded_broadcast(few_shot_texts(dev))     # one row per subject
-        q = q.join(shots, "subject", "left")
+        q = q.join(few_shot_texts(dev), "subject", "left")
         shots_col = F.coalesce(F.col("shots"), F.concat(F.lit(FEW_SHOT_HEADER.split("{subject}")[0]),
                                                         subject_title("subject"),
                                                         F.lit(FEW_SHOT_HEADER.split("{subject}")[1])))

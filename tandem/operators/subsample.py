@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.functions.hashing import MIX_P, mix, mix_np, row_seed
-from tandem.operators.joins import bounded_broadcast_count
+from tandem.operators.indexing import ordinal
 from tandem.session import cut_lineage
 
 # ---- fixed values of the reference's error study -------------------------------------
@@ -39,7 +39,14 @@ def reference_means(wide: DataFrame, values: Sequence[str], groups: Sequence[str
                                      *[F.sum(v).alias(f"sum_{v}") for v in values])
 
 
-def _prefix_block(values: list[str], units: list[str], iterations: int, step: int, reduce: bool = False):
+def _numerator(v: str):
+    """``|S n - p N|`` of integer sums, exact in 38 digits."""
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    return F.abs(wide(f"sum_{v}") * wide("n") - wide(f"p_{v}") * wide("n_total"))
+
+
+def _prefix_block(values: list[str], units: list[str], iterations: int, step: int, reduce: bool = False,
+                  integral: bool = True):
     """Grouped function for one (group, block of iterations): N rows (N <= bucket_rows).
     For each iteration of the block: order rows by (draw hash, units), prefix sums of the
     values, kept at n = step, 2 step, ... < N. With ``reduce`` the exact integer error
@@ -66,12 +73,16 @@ def _prefix_block(values: list[str], units: list[str], iterations: int, step: in
                 vals = pdf[v].to_numpy(dtype=np.int64)
                 p = np.cumsum(vals[order], axis=1)[:, ns - 1]                  # (iters, len(ns)), exact
                 total = int(vals.sum())
-                out[f"num_{v}"] = np.abs(total * ns[None, :] - p * n).sum(axis=0)
+                if max(abs(total), int(np.abs(p).max())) * n >= 1 << 52:     # beyond 64 bits with the sum over iterations
+                    p, at = p.astype(object), ns.astype(object)
+                    out[f"num_{v}"] = np.abs(total * at[None, :] - p * n).sum(axis=0).astype(np.float64)
+                else:
+                    out[f"num_{v}"] = np.abs(total * ns[None, :] - p * n).sum(axis=0).astype(np.float64)
             return pd.DataFrame(out)
         out = {"gid": np.full(len(its) * len(ns), gid, dtype=np.int32),
                "iter": np.repeat(its.astype(np.int32), len(ns)), "n": np.tile(ns.astype(np.int64), len(its))}
         for v in values:
-            vals = pdf[v].to_numpy(dtype=np.float64)
+            vals = pdf[v].to_numpy(dtype=np.int64 if integral else np.float64)
             csum = np.cumsum(vals[order], axis=1)
             out[f"p_{v}"] = csum[:, ns - 1].ravel()
         return pd.DataFrame(out)
@@ -101,9 +112,9 @@ def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str
     wide = cut_lineage(wide.select(*groups, *units, *values))
     stats = reference_means(wide, values, groups) \
         .withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.col("n_total") / F.lit(bucket_rows))).cast("int"))
-    # integer group id on the (small) per-group table keeps shuffled rows narrow
-    stats = stats.withColumn("gid", F.row_number().over(Window.orderBy(*groups)).cast("int"))
-    stats, n_groups = bounded_broadcast_count(stats)
+    # integer group id on the per-group table keeps shuffled rows narrow
+    stats = cut_lineage(ordinal(stats, [], groups, "gid").withColumn("gid", F.col("gid").cast("int")))
+    n_groups = stats.count()
     x = wide.join(stats.select(*groups, "gid", "n_total", "n_buckets"), groups).select(
         "gid", "n_total", "n_buckets", *units, *values,
         row_seed(F.lit(seed), *[F.col(c) for c in groups + units]).alias("r"))
@@ -117,9 +128,8 @@ def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str
         cols = [*groups, F.col("iter").cast("int").alias("iter"), F.col("n").cast("bigint").alias("n")]
         if integral:
             # exact: |S n - p N| / (n N) from integers, one division (engines agree bit for bit)
-            den = (F.col("n") * F.col("n_total")).cast("bigint")
-            nums = [F.abs(F.col(f"sum_{v}") * F.col("n") - F.col(f"p_{v}").cast("bigint") * F.col("n_total"))
-                    for v in values]
+            den = F.col("n").cast("double") * F.col("n_total")
+            nums = [_numerator(v).cast("double") for v in values]
             return j.select(*cols, *[(num / den).alias(f"err_{v}") for num, v in zip(nums, values)],
                             den.alias("err_den"), *[num.alias(f"num_{v}") for num, v in zip(nums, values)])
         return j.select(*cols, *[F.abs(F.col(f"ref_{v}") - F.col(f"p_{v}") / F.col("n")).alias(f"err_{v}")
@@ -134,12 +144,12 @@ def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str
     if reduce:
         schema = T.StructType([T.StructField("gid", T.IntegerType()), T.StructField("n", T.LongType()),
                                T.StructField("cnt", T.LongType())] +
-                              [T.StructField(f"num_{v}", T.LongType()) for v in values])
+                              [T.StructField(f"num_{v}", T.DoubleType()) for v in values])
     else:
         schema = T.StructType([T.StructField("gid", T.IntegerType()), T.StructField("iter", T.IntegerType()),
                                T.StructField("n", T.LongType())] +
-                              [T.StructField(f"p_{v}", T.DoubleType()) for v in values])
-    small = sx.groupBy("gid", "blk").applyInPandas(_prefix_block(values, units, iterations, step, reduce), schema) \
+                              [T.StructField(f"p_{v}", T.LongType() if integral else T.DoubleType()) for v in values])
+    small = sx.groupBy("gid", "blk").applyInPandas(_prefix_block(values, units, iterations, step, reduce, integral), schema) \
         .join(stats.select("gid", "n_total"), "gid")
 
     # larger groups: hash range cut into buckets; bucket totals give offsets
@@ -157,7 +167,7 @@ def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str
     # shuffle join on (group, iteration, bucket) also gives the window its partitioning.
     big = e.join(off.hint("merge"), [*gk, "bucket"]).select(
         "gid", "iter", "n_total", (F.col("o_cnt") + F.count(F.lit(1)).over(wr)).alias("n"),
-        *[(F.col(f"o_{v}") + F.sum(v).over(wr)).cast("double").alias(f"p_{v}") for v in values])
+        *[(F.col(f"o_{v}") + F.sum(v).over(wr)).cast("bigint" if integral else "double").alias(f"p_{v}") for v in values])
     if not reduce:
         return finish(small.select(*big.columns).unionByName(big))
     if not integral:
@@ -166,13 +176,12 @@ def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str
     bigr = big.filter((F.col("n") % step == 0) & (F.col("n") < F.col("n_total"))) \
         .join(stats.select("gid", *[f"sum_{v}" for v in values]), "gid") \
         .groupBy("gid", "n").agg(F.count(F.lit(1)).alias("cnt"), *[
-            F.sum(F.abs(F.col(f"sum_{v}") * F.col("n") - F.col(f"p_{v}").cast("bigint") * F.col("n_total")))
-            .alias(f"num_{v}") for v in values])
+            F.sum(_numerator(v)).cast("double").alias(f"num_{v}") for v in values])
     parts_ = small.select("gid", "n", "cnt", *[f"num_{v}" for v in values]).unionByName(bigr)
     tot = parts_.groupBy("gid", "n").agg(F.sum("cnt").alias("iterations"),
                                          *[F.sum(f"num_{v}").alias(f"num_{v}") for v in values])
     j = tot.join(stats.select("gid", *groups, "n_total"), "gid")
-    den = F.col("iterations") * F.col("n") * F.col("n_total")
+    den = F.col("iterations").cast("double") * F.col("n") * F.col("n_total")
     return j.select(*groups, F.col("n").cast("bigint").alias("n"), F.col("iterations").cast("bigint").alias("iterations"),
                     *[(F.col(f"num_{v}") / den).alias(f"mean_{v}") for v in values])
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tandem.functions.hashing import uniform_sql as U
-from tandem.sources.fixtures import (CMP_MODELS, CMP_STRENGTH, COUPLED_SEED, LOGIT_MODELS, MC_MODELS,
+from tandem.sources.fixtures import (CMP_MODELS, CMP_STRENGTH, COUPLED_SEED, DEV_KEYS, LOGIT_MODELS, MC_MODELS,
                                      N_REPEATS)
 
 
@@ -11,12 +11,12 @@ def sql_list(values) -> str:
     return "[" + ",".join(f"'{v}'" for v in values) + "]"
 
 
-F1 = """select p_partkey qid, p_type subject, p_name question, cast(p_size % 4 as int) answer,
-  [p_brand||'-A', p_brand||'-B', p_brand||'-C', p_brand||'-D'] choices, p_partkey % 200 = 0 is_dev
+F1 = f"""select p_partkey qid, p_type subject, p_name question, cast(p_size % 4 as int) answer,
+  [p_brand||'-A', p_brand||'-B', p_brand||'-C', p_brand||'-D'] choices, p_partkey <= {DEV_KEYS} is_dev
 from part"""
 
 _M = ",".join(f"({r},'{n}',{s}e0,cast({seed} as bigint))" for r, n, s, seed in MC_MODELS)
-F2 = f"""with q as (select p_partkey qid, cast(p_size % 4 as int) answer from part where not (p_partkey % 200 = 0)),
+F2 = f"""with q as (select p_partkey qid, cast(p_size % 4 as int) answer from part where not (p_partkey <= {DEV_KEYS})),
 m as (select * from (values {_M}) v(mrank, model, skill, iseed)),
 nz as (select unnest(['Coupled','Independent']) noise),
 rp as (select cast(unnest(range(0, {N_REPEATS})) as int) rep),

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tandem.functions.stats import chi2_ppf, p_value, significance_code_sql
 from tandem.operators import pairwise as pw
 from tandem.operators import ranking as rk
-from tandem.operators.joins import bounded_broadcast
 from tandem.plans.oracle import CANON, F3, lit_double, sql, sql_list
 from tandem.plans.registry import query, rounded
+from tandem.session import cut_lineage
 from tandem.sources import fixtures as fx
 
 K = len(fx.CMP_MODELS)
@@ -21,9 +21,8 @@ def canon(spark, sf):
 
 
 def counts(spark, sf):
-    # at most k(k-1)/2 rows per noise: size-checked, materialised once in one partition (which
-    # satisfies every later grouping, so the statistics below need no further shuffles)
-    return bounded_broadcast(pw.pair_counts(canon(spark, sf)).coalesce(1), 100_000)
+    # at most k(k-1)/2 rows per noise, by the model list: written once, then read by every statistic
+    return F.broadcast(cut_lineage(pw.pair_counts(canon(spark, sf))))
 
 
 def theta_sigma(spark, sf):
@@ -112,11 +111,21 @@ def pair_ztest(spark, sf):
     return rounded(pw.pair_ztest(counts(spark, sf)))
 
 
-@query("pair_pvalue")
+# p = 1 - erf(x), x = |z| / sqrt 2, by the series of positive terms
+# erf(x) = 2 / sqrt(pi) * exp(-x^2) * sum 2^n x^(2n+1) / (2n+1)!!  (p is 0 at 6 places beyond x = 6)
+_P = """px as (select *, abs(z) / sqrt(2e0) x from zz),
+pt as (select model, opponent, sum(exp(2 * n * ln(2e0) + (2 * n + 1) * ln(x) + lgamma(n + 1) - lgamma(2 * n + 2) - x * x)) s
+  from px, (select cast(unnest(range(0, 250)) as double) n) k where x > 0 and x < 6 group by all),
+pv as (select px.*, case when z is null then null when x >= 6 then 0e0 when x = 0 then 1e0 else 1 - 2 / sqrt(pi()) * s end p_value
+  from px left join pt using (model, opponent))"""
+
+
+@query("pair_pvalue", _q(f"select model, opponent, n_s, wins_s, n_d, wins_d, round(z, 6) z, {significance_code_sql('z')} code, "
+                         "round(p_value, 6) p_value from pv", _Z, _P))
 def pair_pvalue(spark, sf):
-    """A17 p-value: Arrow UDF over erfc on the (tiny) z table; rows-only check."""
+    """Z-test with its two-sided p-value (an Arrow UDF over erfc on the pair table)."""
     z = pw.pair_ztest(counts(spark, sf))
-    return rounded(z.withColumn("p_value", p_value(F.col("z"))), 9)
+    return rounded(z.withColumn("p_value", p_value(F.col("z"))))
 
 
 @query("side_rows", _q("""select noise, model_a model, mrank_a mrank, cast(winner = 'A' as int) win from canon

@@ -69,12 +69,15 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests) a fresh
-    scratch folder is created and registered.
+    The cluster's setting always wins. Only when it is unset on a local master (tests) a fresh
+    scratch folder is created and registered; several hosts cannot share such a folder, so
+    anywhere else an unset folder is an error.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
         path = tempfile.mkdtemp(prefix="tandem-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

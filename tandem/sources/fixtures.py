@@ -25,6 +25,7 @@ MC_MODELS = [  # (rank, model, skill, independent seed)
 ]
 MC_MODEL_NAMES = [m[1] for m in MC_MODELS]
 N_REPEATS = 10
+DEV_KEYS = 40
 # Pairwise fixture: six models with invented strengths; labels are the fixture's own.
 CMP_STRENGTH = [0.40, 0.40, 0.38, 0.30, 0.29, 0.15]
 CMP_MODELS = [f"model{i}" for i in range(len(CMP_STRENGTH))]
@@ -46,7 +47,8 @@ def models_dim(spark: SparkSession, names, labels=None) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """multiple-choice questions; subjects are part types, ``p_partkey % 200 = 0`` is dev."""
+    """multiple-choice questions; subjects are part types, the first ``DEV_KEYS`` keys are
+    the dev set (as many at every scale: few-shot prompts hold all of a subject), all others test."""
     p = table(spark, sf_dir, "part")
     return p.select(
         F.col("p_partkey").alias("qid"),
@@ -54,7 +56,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("question"),
         (F.col("p_size") % 4).cast("int").alias("answer"),
         F.array(*[F.concat(F.col("p_brand"), F.lit("-" + c)) for c in "ABCD"]).alias("choices"),
-        ((F.col("p_partkey") % 200) == 0).alias("is_dev"),
+        (F.col("p_partkey") <= DEV_KEYS).alias("is_dev"),
     )
 
 

@@ -89,3 +89,26 @@ def test_reduced_means_equal_per_iteration_means(spark):
             red[(r.g, "v1", r.n)] = (r.iterations, r.mean_v1)
             red[(r.g, "v2", r.n)] = (r.iterations, r.mean_v2)
         assert red == full
+
+
+def test_large_sums_do_not_overflow(spark):
+    """Values near 1e15 in 250 rows: |S n - p N| passes 64 bits."""
+    from fractions import Fraction
+    rng = np.random.default_rng(4)
+    rows = [("b", q, int(rng.integers(-10**15, 10**15)) + 10**15) for q in range(250)]
+    df = spark.createDataFrame(rows, "g string, q long, v long")
+    total = sum(r[2] for r in rows)
+    r = np.array([int(hashlib.md5(f"0|b|{q}".encode()).hexdigest()[:8], 16) % MIX_P for _, q, _ in rows])
+    exp = {}
+    for it in range(3):
+        h = mix_np(r, np.int64(it))
+        order = sorted(range(250), key=lambda i: (h[i], i))
+        for n in range(20, 250, 20):
+            exp[it, n] = float(abs(Fraction(total, 250) - Fraction(sum(rows[i][2] for i in order[:n]), n)))
+    for size in (10_000, 40):
+        e = ss.subsample_error(df, ["v"], ["g"], ["q"], iterations=3, step=20, bucket_rows=size)
+        got = {(x.iter, x.n): x.err_v for x in e.collect()}
+        assert set(got) == set(exp) and all(np.isclose(got[k], exp[k], rtol=1e-12) for k in exp)
+        m = ss.subsample_error(df, ["v"], ["g"], ["q"], iterations=3, step=20, bucket_rows=size, reduce=True)
+        for x in m.collect():
+            assert np.isclose(x.mean_v, np.mean([exp[i, x.n] for i in range(3)]), rtol=1e-12)
