@@ -7,8 +7,8 @@ the rest are confirmed on the full shingle sets.
 
 Equal sets form one class, represented by its smallest id. In a band bucket every member is
 paired with one hashed centre (linear, whatever the bucket's size); verified links are contracted
-to components; then the pairs of different components that a star left out are compared by
-sketch in blocks. Pairs inside one component need no check, so a group of near copies costs
+to components; then the pairs of different components are verified too: those of a star one by one,
+those that a star left out in blocks. Pairs inside one component need no check, so a group of near copies costs
 about one verification a member, and no link between different components is lost.
 """
 
@@ -17,15 +17,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm.arrow import pick, small_slices
 from tandem.llm.components import components
 from tandem.llm.words import mix, shingles, split_words
-from tandem.session import cut_lineage
+from tandem.llm.tables import written
 
 _U = np.uint64
 BLOCK = 512
@@ -130,8 +129,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     link of a group has many ways to be found.
     """
     base = pick(docs.withColumn(id, F.col(id).cast("long")), doc_id=id, text=text)
-    table = cut_lineage(sketch_table(base, k, bands, rows, sketch_bits))
-    reps = cut_lineage(table.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
+    table = written(sketch_table(base, k, bands, rows, sketch_bits))
+    reps = written(table.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
                        .agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     comp = _link(base, reps, k, percent, bands * rows, sketch_bits)
     members = (table.join(reps.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
@@ -147,7 +146,7 @@ def _link(base: DataFrame, reps: DataFrame, k: int, percent: int, samples: int,
     centres = (keyed.groupBy("key").agg(F.count("*").alias("size"),
                                         F.min(F.struct(F.xxhash64("r", "key"), F.col("r").alias("r"))).alias("c"))
                .where("size > 1").select("key", "size", F.col("c.r").alias("c")))
-    member = cut_lineage(keyed.join(centres, "key"))
+    member = written(keyed.join(centres, "key"))
     worst = _max_xor(samples, bits, percent / 100, 5.0)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -157,9 +156,9 @@ def _link(base: DataFrame, reps: DataFrame, k: int, percent: int, samples: int,
                                              F.lit(0), lambda s, v: s + v)))
         return both.where(f"x <= {worst} and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "x")
 
-    star = cut_lineage(near(member.where("r <> c").select(F.least("r", "c").alias("a"), F.greatest("r", "c").alias("b")).distinct()))
+    star = written(near(member.where("r <> c").select(F.least("r", "c").alias("a"), F.greatest("r", "c").alias("b")).distinct()))
     wanted = member.select(F.col("r").alias("rep")).distinct().join(reps.select("rep", "s1", "s2"), "rep")
-    sets = cut_lineage(shingle_sets(wanted.join(base, wanted["rep"] == base["doc_id"]).select("rep", "text", "s1", "s2"), k))
+    sets = written(shingle_sets(wanted.join(base, wanted["rep"] == base["doc_id"]).select("rep", "text", "s1", "s2"), k))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a")
@@ -171,48 +170,76 @@ def _link(base: DataFrame, reps: DataFrame, k: int, percent: int, samples: int,
         both = pairs.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
         return (both.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb"))
 
-    best = F.min(F.struct("x", "a", "b")).alias("p")
+    # the nearest few pairs of each document join most groups; a window limit of this size is applied before the shuffle
     ends = star.select("a", "b", "x", F.explode(F.array("a", "b")).alias("end"))
-    links = cut_lineage(verified(ends.groupBy("end").agg(best).select("p.a", "p.b").distinct()))
+    order = Window.partitionBy("end").orderBy("x", "a", "b")
+    first = ends.withColumn("r", F.row_number().over(order)).where("r <= 3").select("a", "b").distinct()
+    links = written(verified(first))
     comp = components(links)
-    per_pair = apart(star, comp).groupBy(F.least("ca", "cb").alias("l"), F.greatest("ca", "cb").alias("g")).agg(best)
-    links = links.unionByName(cut_lineage(verified(per_pair.select("p.a", "p.b"))))
-    comp = components(links)
-    rest = apart(star, comp).select("a", "b").unionByName(_left_out(member, reps, comp, worst, percent)).distinct()
-    return components(links.unionByName(cut_lineage(verified(rest))))
+    rest = apart(star, comp).select("a", "b").join(first, ["a", "b"], "left_anti")
+    more = written(verified(rest).unionByName(_left_out(member, reps, sets, comp, worst, percent)))
+    return comp if more.isEmpty() else components(links.unionByName(more))
 
 
-def _left_out(member: DataFrame, reps: DataFrame, comp: DataFrame, worst: int, percent: int) -> DataFrame:
-    """Pairs of a bucket that its star did not hold, of different components and with near sketches.
+def _left_out(member: DataFrame, reps: DataFrame, sets: DataFrame, comp: DataFrame, worst: int, percent: int) -> DataFrame:
+    """Links among the members of a bucket other than its centre, of different components.
 
     Only buckets of three or more with more than one component matter. A bucket is dealt in blocks
-    of about ``BLOCK`` members, so a large one is many block pairs, each a small task of its own.
+    of about ``BLOCK`` members, so a large one is many block pairs, each a small task of its own. In a
+    block the sketches choose the pairs and the full sets confirm them, all at once; what it
+    sends on is one link a member at most (to the smallest of those it is connected with), never
+    its pairs.
     """
     placed = (member.where("size > 2").join(comp.toDF("r", "comp"), "r", "left")
               .withColumn("comp", F.coalesce("comp", "r")))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = (placed.join(mixed, "key").join(reps.select(F.col("rep").alias("r"), "n", "sketch"), "r")
+    rows = (placed.where("r <> c").join(mixed, "key").join(reps.select(F.col("rep").alias("r"), "n", "sketch"), "r")
+            .join(sets.toDF("r", "shingles"), "r")
             .withColumn("g", F.ceil(F.col("size") / BLOCK).cast("int"))
             .withColumn("own", F.pmod(F.xxhash64("r"), F.col("g")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "r", "c", "comp", "n", "sketch"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, comp_, n, own = (pdf[c].to_numpy() for c in ("r", "comp", "n", "own"))
-        sk = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
-        centre = r == pdf["c"].to_numpy()
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        out = []
-        for x in np.flatnonzero(~centre & (own == i)):
-            ok = (comp_ != comp_[x]) & ~centre & (own == j)
-            if i == j:
-                ok[:x + 1] = False
-            y = np.flatnonzero(ok)
-            if len(y):
-                far = np.bitwise_count(sk[y] ^ sk[x]).sum(1)
-                y = y[(far <= worst) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-                out.append(np.stack([np.minimum(r[y], r[x]), np.maximum(r[y], r[x])], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "r", "comp", "n", "sketch", "shingles"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        r, comp_, n, own, i, j = (t[x].to_numpy() for x in ("r", "comp", "n", "own", "i", "j"))
+        sk = t["sketch"].chunk(0).flatten().to_numpy().reshape(len(r), -1).view(np.uint64)
+        near = np.zeros((len(r), len(r)), bool)
+        for x in np.flatnonzero(own == i[0]):
+            y = np.flatnonzero((comp_ != comp_[x]) & (own == j[0]))
+            y = y[np.bitwise_count(sk[y] ^ sk[x]).sum(1) <= worst]
+            near[x, y] = 100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])
+        near |= near.T
+        live = np.flatnonzero(near.any(1))
+        near, n, r = near[np.ix_(live, live)], n[live], r[live]
+        common = _common_counts([t["shingles"].chunk(0)[int(x)].values.to_numpy() for x in live])
+        link = near & (100 * common >= percent * (n[:, None] + n[None, :] - common))
+        label = np.arange(len(r))
+        while len(r):
+            new = np.minimum(label, np.where(link, label, len(r)).min(1))
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        far = np.flatnonzero(r[label] != r)
+        return pa.table({"a": np.minimum(r[far], r[label[far]]), "b": np.maximum(r[far], r[label[far]])})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Intersection sizes of all pairs of sets, by products of incidence matrices."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    if sets:
+        u, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        shared = np.flatnonzero(count > 1)
+        place = np.full(len(u), -1)
+        place[shared] = np.arange(len(shared))
+        at = place[at]
+        for lo in range(0, len(shared), columns):
+            own = (at >= lo) & (at < lo + columns)
+            m = np.zeros((len(sets), min(columns, len(shared) - lo)), np.float32)
+            m[owner[own], at[own] - lo] = 1
+            out += m @ m.T
+    return out.astype(np.int64)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tandem.llm.components import components
-from tandem.llm.near_dup import _max_xor, near_duplicates, sketch_batch
+from tandem.llm.near_dup import _common_counts, _left_out, _max_xor, near_duplicates, shingle_sets, sketch_batch
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -82,22 +82,30 @@ def test_a_left_out_pair_is_found(spark):
     """Documents that meet only in a bucket whose centre is far from both."""
     from pyspark.sql import functions as F
 
-    from tandem.llm.near_dup import _left_out, _max_xor
     text = " ".join(f"w{i}" for i in range(200))
     texts = [text, text + " x", " ".join(f"v{i}" for i in range(200))]
     size, s1, s2, keys, words = sketch_batch(pa.array(texts), 5, 32, 4, 512)
     reps = spark.createDataFrame([(i, int(size[i]), words[i].view(np.int64).tolist()) for i in range(3)], "rep long, n long, sketch array<long>")
     member = spark.createDataFrame([(7, 0, 3, 2), (7, 1, 3, 2), (7, 2, 3, 2)], "key long, r long, size long, c long")
+    sets = shingle_sets(spark.createDataFrame([(i, texts[i], int(s1.view(np.int64)[i]), int(s2.view(np.int64)[i])) for i in range(3)],
+                                              "rep long, text string, s1 long, s2 long"), 5)
     none = spark.createDataFrame([], "node long, component long")
     worst = _max_xor(128, 512, 0.75, 5.0)
-    assert [tuple(r) for r in _left_out(member, reps, none, worst, 75).collect()] == [(0, 1)]
+    assert [tuple(r) for r in _left_out(member, reps, sets, none, worst, 75).collect()] == [(0, 1)]
     big = member.withColumn("size", F.lit(5000))        # the same bucket dealt in blocks
-    assert [tuple(r) for r in _left_out(big, reps, none, worst, 75).distinct().collect()] == [(0, 1)]
+    assert [tuple(r) for r in _left_out(big, reps, sets, none, worst, 75).collect()] == [(0, 1)]
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(30)]
+    got = _common_counts(sets, columns=7)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30) if i != j)
+    assert _common_counts([]).shape == (0, 0)
 
 
 @pytest.mark.parametrize("similarity", [0.75, 0.85, 0.95])
 def test_sketch_estimate_and_bound(similarity):
-    rnd = np.random.default_rng(1)
     texts, n = [], 300
     for i in range(40):
         shared = int(round(n * 2 * similarity / (1 + similarity)))
@@ -108,7 +116,7 @@ def test_sketch_estimate_and_bound(similarity):
     assert (far <= _max_xor(128, 512, 0.75, 5.0)).all()
     estimate = 1 + 512 / (4 * 128) * np.log(1 - 2 * far / 512)
     assert abs(estimate.mean() - similarity) < 0.03
-    assert (keys[::2] == keys[1::2]).any(1).all() and rnd is not None
+    assert (keys[::2] == keys[1::2]).any(1).all()
 
 
 def test_components(spark):
