@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import decontaminate, language_id, line_dedup, near_dup, packing
-from tandem.session import cut_lineage
+from tandem.llm.tables import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; what each keeps is written once to the shared checkpoint folder."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tandem.llm.arrow import pick
 from tandem.llm.components import components
 from tandem.llm.words import mix
-from tandem.session import cut_lineage
+from tandem.llm.tables import written
 
 BLOCK = 512
 
@@ -143,7 +143,7 @@ def linked_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedd
                     yield pa.record_batch([q.column(0), q.column(1), pa.array([x.tobytes() for x in u], pa.binary()), lists],
                                           names=["node", "mult", "unit", "cells"])
 
-    coded = cut_lineage(classes.select("node", "mult", "v").mapInArrow(codes, "node long, mult long, unit binary, cells array<long>"))
+    coded = written(classes.select("node", "mult", "v").mapInArrow(codes, "node long, mult long, unit binary, cells array<long>"))
     each = coded.select("node", "mult", "unit", "cells", F.explode(F.array_distinct("cells")).alias("cell"))
     crowd = (each.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
              .select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")))
@@ -202,7 +202,7 @@ def linked_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedd
             if found:
                 yield batch(found)
 
-    part = cut_lineage(dealt.mapInArrow(compare, "node long, links long, to long"))
+    part = written(dealt.mapInArrow(compare, "node long, links long, to long"))
     links = part.groupBy("node").agg(F.sum("links").alias("links"))
     comp = components(part.select(F.col("node").alias("a"), F.col("to").alias("b")))
     sized = classes.select("node", "mult")

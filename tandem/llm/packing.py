@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm.arrow import pick, small_slices
-from tandem.session import cut_lineage
+from tandem.llm.tables import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -209,7 +209,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int
     piece's ids as little-endian unsigned 32-bit numbers.
     """
     base = pick(docs.withColumn(id, F.col(id).cast("long")), doc_id=id, text=text)
-    pieces = cut_lineage(token_pieces(base, capacity, separator, tokenizer))
+    pieces = written(token_pieces(base, capacity, separator, tokenizer))
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     rows = placements(pack_histogram(histogram, capacity))
     n_buckets = max(1, -(-sum(histogram.values()) // bucket_rows))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tandem.llm.arrow import pick, small_slices
 from tandem.llm.bloom import contains, filter_bits, positions, twice_seen
 from tandem.llm.words import Words, grams, mix, split_words
-from tandem.session import cut_lineage
+from tandem.llm.tables import written
 
 _U = np.uint64
 ANCHOR = 5
@@ -108,7 +108,7 @@ def repeated_windows(docs: DataFrame, k: int = 13, bits_per_key: int = 8, max_bi
 
     found = docs.where("doc_id is not null").mapInArrow(
         pieces, "m long, p1 long, p2 long, doc_id long, th long, start long, edges array<long>")
-    paths = cut_lineage(found.groupBy("m", "p1", "p2", "edges").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")))
+    paths = written(found.groupBy("m", "p1", "p2", "edges").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")))
     branching = paths.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
     opened = paths.join(branching, "m").select("m", "p1", "p2", "src", F.posexplode("edges").alias("i", "e"))
     smallest = opened.groupBy("m", "e").agg(F.min("src").alias("low"))

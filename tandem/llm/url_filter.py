@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.arrow import lower_ascii, pick
-from tandem.session import cut_lineage
+from tandem.llm.tables import written
 
 #: (rule, verdict): fixed by the task.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -79,7 +79,7 @@ def judge_urls(pages: DataFrame, id: str = "page_id", url: str = "url", rules: S
     rows = rows.withColumns({"host": host, "path": path})
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    few = cut_lineage(lexical(rows.where("ruled is not null").select("url", "host", "path", "ruled").distinct()
+    few = written(lexical(rows.where("ruled is not null").select("url", "host", "path", "ruled").distinct()
                               .orderBy(F.xxhash64("url"), "url").limit(sample_rows)))
     n = {r.ruled: r.n for r in few.groupBy("ruled").agg(F.count("*").alias("n")).collect()}
     out = ["page_id", "host", "path", "rule"]
@@ -91,7 +91,7 @@ def judge_urls(pages: DataFrame, id: str = "page_id", url: str = "url", rules: S
     # at most sample_rows suffixes, by the sample's bound
     stats = few.groupBy("suffix").agg((F.count("*") / F.lit(sum(n.values()))).alias("suffix_share"),
                                       ((F.sum((F.col("ruled") == "block").cast("int")) + 8 * base) / (F.count("*") + 8)).alias("suffix_block"))
-    stats = cut_lineage(stats)
+    stats = written(stats)
 
     def features(df: DataFrame) -> DataFrame:
         df = df.join(F.broadcast(stats), "suffix", "left").fillna({"suffix_share": 0.0, "suffix_block": base})
