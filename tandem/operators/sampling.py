@@ -5,8 +5,10 @@ prompt, so a token's noise depends only on (prompt seed, step, joint id). Here t
 noise is a keyed-uniform column of those keys: models that share the prompt seed
 share the noise (coupled), models with their own seeds do not (independent).
 
-Inputs are long tables: logits (unit, step, model, joint_id, logit) restricted to each
-model's own vocabulary, and seeds (unit[, model], seed).
+A distribution is one row: (unit, step, model, toks), ``toks`` an array of (joint_id, token_id,
+logit) over the model's own vocabulary, token_id being the model's own id. Softmax and draw are then
+row-local, without a shuffle. Long tables (unit, step, model, joint_id, logit) have :func:`softmax` and
+:func:`draw`, which shuffle every logit once to bring a distribution together.
 """
 
 from __future__ import annotations
@@ -21,6 +23,30 @@ from tandem.functions.hashing import gumbel, uniform
 EPS = 1e-20   # fixed value: guard inside the logarithms
 
 
+def softmax_arrays(dists: DataFrame, temperature: float) -> DataFrame:
+    """P11 + W4 on array rows: ``toks`` with the probability ``p`` added to each element. No shuffle."""
+    z = F.transform("toks", lambda t: t["logit"] / F.lit(float(temperature)))
+    d = dists.withColumn("_z", z).withColumn("_m", F.array_max("_z")) \
+        .withColumn("_e", F.transform("_z", lambda x: F.exp(x - F.col("_m")))) \
+        .withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+    p = F.zip_with("toks", "_e", lambda t, e: F.struct(t["joint_id"].alias("joint_id"), t["token_id"].alias("token_id"),
+                                                       t["logit"].alias("logit"), (e / F.col("_s")).alias("p")))
+    return d.withColumn("toks", p).drop("_z", "_m", "_e", "_s")
+
+
+def draw_arrays(probs: DataFrame) -> DataFrame:
+    """A22 + J8 + J6 on array rows with a ``seed`` column: the token maximising ln(p + 1e-20) +
+    g(seed, step, joint id), ties to the lower joint id, as (joint_id, token_id). The seed is a
+    function of the unit (coupled) or of unit and model (independent). No shuffle."""
+    def scored(t):
+        g = gumbel(uniform(F.col("seed"), F.col("step"), t["joint_id"]))
+        return F.struct((F.log(t["p"] + F.lit(EPS)) + g).alias("score"), (-t["joint_id"]).alias("neg"), t["token_id"].alias("token_id"))
+
+    best = F.array_max(F.transform("toks", scored))
+    return probs.withColumn("_b", best).select("unit", "step", "model", (-F.col("_b.neg")).cast("int").alias("joint_id"),
+                                               F.col("_b.token_id").cast("int").alias("token_id"))
+
+
 def softmax(logits: DataFrame, temperature: float, keys: Sequence[str] = ("unit", "step", "model")) -> DataFrame:
     """P11 + W4: temperature softmax over each (unit, step, model) distribution.
 
@@ -42,9 +68,8 @@ def draw(probs: DataFrame, seeds: DataFrame, keys: Sequence[str] = ("unit", "ste
     ln(p + 1e-20) + g(seed, step, joint id), ties to the lower joint id.
 
     ``seeds`` holds the seed per unit (coupled) or per (unit, model) (independent); the
-    argmax only ranges over the rows present, i.e. the model's own vocabulary. The
-    aggregation is partial (map-side), so a large distribution is reduced before the
-    shuffle."""
+    argmax only ranges over the rows present, i.e. the model's own vocabulary. After
+    :func:`softmax` the rows of a distribution are together already."""
     on = [c for c in seeds.columns if c != "seed"]
     s = probs.join(seeds, on)
     score = F.log(F.col("p") + F.lit(EPS)) + gumbel(uniform("seed", "step", "joint_id"))

@@ -32,6 +32,11 @@ def probs(spark, sf):
     return sa.softmax(logits(spark, sf), TEMPERATURE)
 
 
+def dists(spark, sf):
+    d = fx.distributions(spark, sf).select("unit", F.lit(0).alias("step"), F.col("mrank").alias("model"), "toks")
+    return sa.softmax_arrays(d, TEMPERATURE)
+
+
 def coupled_seeds(df):
     return df.select("unit").distinct().withColumn("seed", seed_in_range(SEED_LO, SEED_HI, F.lit(RUN_SEED), "unit"))
 
@@ -41,24 +46,26 @@ def independent_seeds(df):
         "seed", seed_in_range(SEED_LO, SEED_HI, F.lit(RUN_SEED), "model", "unit"))
 
 
-LG = "lg as (select unit, 0 step, mrank model, joint_id, logit from f5)"
+LG = """lg as (select unit, 0 step, mrank model, joint_id, logit,
+  row_number() over (partition by mrank, unit order by joint_id) - 1 token_id from f5)"""
 SM = """sm as (select *, exp(logit / 0.7e0 - max(logit / 0.7e0) over w) e from lg window w as (partition by unit, step, model)),
-pr as (select unit, step, model, joint_id, logit, e / sum(e) over (partition by unit, step, model) p from sm)"""
+pr as (select unit, step, model, joint_id, token_id, logit, e / sum(e) over (partition by unit, step, model) p from sm)"""
 CS = f"cs as (select distinct unit, {_seed_sql(SEED_LO, SEED_HI, str(RUN_SEED), 'unit')} seed from lg)"
 IS = f"isd as (select distinct unit, model, {_seed_sql(SEED_LO, SEED_HI, str(RUN_SEED), 'model', 'unit')} seed from lg)"
 
 
 def _draw_sql(seeds: str, on: str) -> str:
     g = f"-ln(-ln({U('s.seed', 'pr.step', 'pr.joint_id')} + 1e-20) + 1e-20)"
-    return f"""select unit, step, model, cast(joint_id as int) joint_id from (select pr.unit, pr.step, pr.model, pr.joint_id,
+    return f"""select unit, step, model, cast(joint_id as int) joint_id, cast(token_id as int) token_id from (select pr.unit, pr.step, pr.model, pr.joint_id, pr.token_id,
   row_number() over (partition by pr.unit, pr.step, pr.model order by ln(pr.p + 1e-20) + {g} desc, pr.joint_id) rn
   from pr join {seeds} s using ({on})) z where rn = 1"""
 
 
 @query("softmax", sql("select unit, step, model, joint_id, round(logit, 12) logit, round(p, 12) p from pr", ("f5", F5), raw=",\n".join([LG, SM])))
 def q_softmax(spark, sf):
-    """P11 + W4: temperature softmax per (unit, step, model)."""
-    return rounded(probs(spark, sf), 12)
+    """P11 + W4: temperature softmax per (unit, step, model), row by row."""
+    t = dists(spark, sf).select("unit", "step", "model", F.explode("toks").alias("t"))
+    return rounded(t.select("unit", "step", "model", "t.joint_id", "t.logit", "t.p"), 12)
 
 
 @query("gumbel", sql(f"""select unit, step, joint_id, seed, u, round(-ln(-ln(u + 1e-20) + 1e-20), 9) g from (
@@ -74,16 +81,14 @@ def q_gumbel(spark, sf):
 
 @query("coupled_draw", sql(_draw_sql("cs", "unit"), ("f5", F5), raw=",\n".join([LG, SM, CS])))
 def coupled_draw(spark, sf):
-    """A22 + J8: Gumbel-max draw with noise shared by all models (one seed per unit)."""
-    lg = logits(spark, sf)
-    return sa.draw(sa.softmax(lg, TEMPERATURE), coupled_seeds(lg))
+    """A22 + J8 + J6: Gumbel-max draw with noise shared by all models (one seed per unit)."""
+    return sa.draw_arrays(dists(spark, sf).withColumn("seed", seed_in_range(SEED_LO, SEED_HI, F.lit(RUN_SEED), "unit")))
 
 
 @query("independent_draw", sql(_draw_sql("isd", "unit, model"), ("f5", F5), raw=",\n".join([LG, SM, IS])))
 def independent_draw(spark, sf):
-    """Gumbel-max draw with one seed per (unit, model)."""
-    lg = logits(spark, sf)
-    return sa.draw(sa.softmax(lg, TEMPERATURE), independent_seeds(lg))
+    """A22 + J6: Gumbel-max draw with one seed per (unit, model)."""
+    return sa.draw_arrays(dists(spark, sf).withColumn("seed", seed_in_range(SEED_LO, SEED_HI, F.lit(RUN_SEED), "model", "unit")))
 
 
 @query("eos_cut", sql(f"""select f7.unit, f7.step, f7.token from f7 join (select unit, min(case when token = '{fx.STREAM_EOS}' then step end) es

@@ -135,6 +135,17 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("pos").cast("int").alias("joint_id"), F.col("x").cast("double").alias("logit")))
 
 
+def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 as one row per distribution: (mrank, unit, toks), ``toks`` an array of (joint_id, token_id,
+    logit); a model's token ids number its own tokens."""
+    e = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    mrank = (F.col("vec_id") % LOGIT_MODELS).cast("int")
+    cells = F.transform("embedding", lambda x, i: F.struct(i.alias("joint_id"), x.cast("double").alias("logit")))
+    own = F.filter(cells, lambda t: (t["joint_id"] + F.col("vec_id") % LOGIT_MODELS) % 4 != 0)
+    toks = F.transform(own, lambda t, i: F.struct(t["joint_id"].alias("joint_id"), i.alias("token_id"), t["logit"].alias("logit")))
+    return e.select(mrank.alias("mrank"), F.floor(F.col("vec_id") / LOGIT_MODELS).cast("bigint").alias("unit"), toks.alias("toks"))
+
+
 def token_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token streams (unit, step, token): unit = user, token = event type in event order."""
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("unit"), "event_id",

@@ -40,3 +40,16 @@ def test_reply_text_rules(spark):
     assert got == {1: (1, "a"), 2: (0, ""), 3: (2, "p q")}
     cut = sa.eos_cut(t, "error").collect()
     assert sorted((r.unit, r.step) for r in cut) == [(1, 0), (1, 1), (1, 2), (3, 0), (3, 1), (3, 2)]
+
+
+def test_array_form_equals_long_form_without_a_shuffle(spark):
+    lg = qs.logits(spark, SF01)
+    long = sa.draw(sa.softmax(lg, qs.TEMPERATURE), qs.coupled_seeds(lg))
+    arrays = qs.coupled_draw(spark, SF01)
+    assert sorted(map(tuple, arrays.select(*long.columns).collect())) == sorted(map(tuple, long.collect()))
+    d = spark.createDataFrame([(1, 0, 0, [(5, 0, 1.0), (9, 1, 1.0)], 7)],
+                              "unit long, step int, model int, toks array<struct<joint_id:int,token_id:int,logit:double>>, seed long")
+    out = sa.draw_arrays(sa.softmax_arrays(d, 1.0))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    r = out.collect()[0]
+    assert (r.joint_id, r.token_id) in ((5, 0), (9, 1))
