@@ -1,10 +1,8 @@
 """Line dedup: two Bloom filters find suspects, only those shuffle for an exact count.
 
-Pass 1 marks each line key of a document in a *once-seen* filter; a key
-marked already goes to the *twice-seen* filter. Per-task filters are merged slice by slice (bits
-of both onces also go to twice), so a key of two documents is always in the merged twice filter.
-Pass 2 keeps the lines that may be in it -- the suspects -- and only
-their 128-bit digests shuffle, for the exact number of documents.
+Pass 1 marks each line key of a document in a *once-seen* filter; a key marked already goes to
+the *twice-seen* filter (:mod:`tandem.llm.bloom`). Pass 2 keeps the lines that may be in it -- the
+suspects -- and only their 128-bit key hashes shuffle, for the exact number of documents.
 """
 
 from __future__ import annotations
@@ -14,90 +12,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.arrow import pick
-from tandem.session import cut_lineage
+from tandem.llm.arrow import pick, small_slices, text_bytes
+from tandem.llm.bloom import contains, filter_bits, positions, twice_seen
+from tandem.llm.lines import document_keys, split_lines
+from tandem.llm.tables import written
 
-_WHITE = " \t\n\r\x0b\x0c"
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _HASHES = 4
-SLICES = 64
-
-
-def line_keys(text: str | None) -> tuple[list[str], list[str]]:
-    """Lines of a text (null = one empty line) and their keys: stripped of ``[\\x20\\x09-\\x0D]``
-    at both ends, A-Z lower-cased."""
-    lines = (text or "").split("\n")
-    return lines, [x.strip(_WHITE).translate(_FOLD) for x in lines]
-
-
-def _digest(key: str) -> bytes:
-    return hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
-def _positions(digests: list[bytes], bits: int) -> np.ndarray:
-    """``(n, _HASHES)`` bit numbers by double hashing of each 128-bit digest."""
-    h = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-    step = h[:, 1:] | np.uint64(1)
-    return ((h[:, :1] + step * np.arange(_HASHES, dtype=np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _document_digests(text: str | None, min_chars: int) -> dict[bytes, int]:
-    """Digest of each distinct key of at least ``min_chars`` code points -> its first line number."""
-    out: dict[str, int] = {}
-    for i, k in enumerate(line_keys(text)[1]):
-        if len(k) >= min_chars:
-            out.setdefault(k, i)
-    return {_digest(k): i for k, i in out.items()}
-
-
-def twice_seen_filter(docs: DataFrame, bits: int, min_chars: int) -> bytes:
-    """The merged twice-seen filter (``bits / 8`` bytes) over ``docs(doc_id, text)``."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = [k for b in batches for t in b.column(1) for k in _document_digests(t.as_py(), min_chars)]
-        if not digests:
-            return
-        p = _positions(digests, bits)
-        _, back, count = np.unique(np.frombuffer(b"".join(digests), "<u8")[::2], return_inverse=True, return_counts=True)
-        once, twice = np.unique(p), np.unique(p[count[back] > 1])
-        z, each = zstandard.ZstdCompressor(level=1), bits // SLICES
-        for s in np.unique(once // each):
-            packed = []
-            for marks in (once, twice):
-                m = np.zeros(each, bool)
-                m[marks[np.searchsorted(marks, s * each):np.searchsorted(marks, (s + 1) * each)] - s * each] = True
-                packed.append(pa.array([z.compress(np.packbits(m).tobytes())], pa.binary()))
-            yield pa.record_batch([pa.array([s], pa.int32()), *packed], names=["slice", "once", "twice"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
-        held: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            for s, o, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                o, t = (np.frombuffer(z.decompress(x), np.uint8) for x in (o, t))
-                if s in held:
-                    once, twice = held[s]
-                    twice |= t
-                    twice |= once & o
-                    once |= o
-                else:
-                    held[s] = [o.copy(), t.copy()]
-        c = zstandard.ZstdCompressor(level=1)
-        for s, (_, twice) in held.items():
-            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([c.compress(twice.tobytes())], pa.binary())],
-                                  names=["slice", "twice"])
-
-    parts = (docs.mapInArrow(build, "slice int, once binary, twice binary")
-             .repartition(SLICES, "slice").mapInArrow(merge, "slice int, twice binary"))
-    out = bytearray(bits // 8)
-    each = bits // 8 // SLICES
-    for r in parts.collect():  # at most bits / 8 bytes, a parameter
-        out[r.slice * each:(r.slice + 1) * each] = zstandard.ZstdDecompressor().decompress(r.twice)
-    return bytes(out)
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False,
@@ -118,60 +41,66 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     """
     base = pick(docs.withColumn(id, F.col(id).cast("long")), doc_id=id, text=text)
     sc = docs.sparkSession.sparkContext
-    lines = base.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 1
-    bits = min(max_bits, max(1 << 16, 1 << (bits_per_line * lines - 1).bit_length()))
-    seen = sc.broadcast(twice_seen_filter(base, bits, min_chars))
+    n_lines = base.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 1
+    bits = filter_bits(n_lines, bits_per_line, max_bits)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in small_slices(batches, 1):
+            x = split_lines(b.column(1))
+            yield x.key[document_keys(x, min_chars)]
+
+    seen = sc.broadcast(twice_seen(base, keys, bits, _HASHES))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(seen.value, np.uint8)
-        for b in batches:
-            ids, keys, at = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                d = _document_digests(t.as_py(), min_chars)
-                if not d:
-                    continue
-                names = list(d)
-                p = _positions(names, bits)
-                hit = ((twice[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(1)
-                for j in np.flatnonzero(hit):
-                    ids.append(i)
-                    keys.append(names[j])
-                    at.append(d[names[j]])
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(at, pa.int64())],
-                                  names=["doc_id", "key", "line"])
-
-    found = cut_lineage(base.mapInArrow(suspects, "doc_id long, key binary, line long"))
-    common = (found.groupBy("key").agg(F.count_distinct(F.struct("doc_id")).alias("n"),
-                                       F.min(F.struct("doc_id", "line")).alias("first"))
-              .where(F.col("n") >= min_docs).select("key", "first"))
-    drop = found.join(common, "key")
+        for b in small_slices(batches, 1):
+            x = split_lines(b.column(1))
+            at = document_keys(x, min_chars)
+            at = at[contains(twice, positions(x.key[at], bits, _HASHES))]
+            doc = x.doc()[at]
+            yield pa.record_batch([b.column(0).take(pa.array(doc)), *(pa.array(x.key[at, i].view(np.int64)) for i in (0, 1)),
+                                   pa.array(at - x.first[doc])], names=["doc_id", "k1", "k2", "line"])
+
+    found = written(base.mapInArrow(suspects, "doc_id long, k1 long, k2 long, line long"))
+    common = (found.groupBy("k1", "k2").agg(F.count_distinct(F.struct("doc_id")).alias("n"),
+                                            F.min(F.struct("doc_id", "line")).alias("first"))
+              .where(F.col("n") >= min_docs).select("k1", "k2", "first"))
     first_line = F.when(F.col("first.doc_id").eqNullSafe(F.col("doc_id")), F.col("first.line"))
-    lists = (drop.groupBy("doc_id").agg(F.collect_set(F.struct("key", first_line.alias("keep"))).alias("drops"))
+    lists = (found.join(common, ["k1", "k2"]).groupBy("doc_id")
+             .agg(F.collect_set(F.struct("k1", "k2", F.coalesce(first_line, F.lit(-1)).alias("stay"))).alias("drops"))
              .withColumnRenamed("doc_id", "drop_id"))
     full = docs.select(docs[id].cast("long").alias("doc_id"), docs[text].alias("text"),
                        *([F.struct(*[docs[c] for c in carry]).alias("carried")] if carry else []))
     joined = full.join(lists, full["doc_id"].eqNullSafe(lists["drop_id"]), "left") \
-        .select("doc_id", "text", F.col("drops.key").alias("keys"), F.col("drops.keep").alias("keeps"), *["carried"] * bool(carry))
+        .select("doc_id", "text", *(F.col(f"drops.{c}").alias(c) for c in ("k1", "k2", "stay")), *["carried"] * bool(carry))
     more = f", carried {full.schema['carried'].dataType.simpleString()}" if carry else ""
     names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"] + ["kept"] * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                rows = []
-                for t, ks, stay in zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                    lines, keys = line_keys(t)
-                    n = len(lines)
-                    if ks:
-                        gone = dict(zip(ks, stay, strict=True))
-                        lines = [x for j, (x, k) in enumerate(zip(lines, keys, strict=True))
-                                 if len(k) < min_chars or (g := gone.get(_digest(k), -1)) == -1 or (keep_first and g == j)]
-                    kept = "\n".join(lines)
-                    rows.append((n, n - len(lines), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept))
-                cols = list(zip(*rows, strict=True))[:3 + with_text]
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.record_batch([part.column(0)] + [pa.array(c, t) for c, t in zip(cols, types, strict=False)] + part.columns[4:],
-                                      names=names + part.schema.names[4:])
+        for b in small_slices(batches, 1):
+            marked = np.flatnonzero(b.column(2).is_valid())
+            x = split_lines(b.column(1).take(pa.array(marked)))
+            some = {}
+            for j, d in enumerate(marked):
+                k1, k2, stay = (b.column(c)[int(d)].values.to_numpy() for c in (2, 3, 4))
+                lo, hi = x.first[j], x.first[j + 1]
+                order = np.argsort(k1)
+                at = np.minimum(np.searchsorted(k1, x.key[lo:hi, 0].view(np.int64), sorter=order), len(k1) - 1)
+                at = order[at]
+                gone = (k1[at] == x.key[lo:hi, 0].view(np.int64)) & (k2[at] == x.key[lo:hi, 1].view(np.int64)) & (x.chars[lo:hi] >= min_chars)
+                if keep_first:
+                    gone &= stay[at] != np.arange(hi - lo)
+                kept = [x.raw[s:e].tobytes() for s, e in zip(x.start[lo:hi][~gone].tolist(), x.end[lo:hi][~gone].tolist(), strict=True)]
+                some[int(d)] = (int(gone.sum()), b"\n".join(kept))
+            raw, off = text_bytes(b.column(1))
+            lines = np.diff(np.searchsorted(np.flatnonzero(raw == 10), off)) + 1
+            rows = []
+            for d in range(b.num_rows):
+                n, kept = some.get(d) or (0, raw[off[d]:off[d + 1]].tobytes())
+                rows.append((int(lines[d]), n, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+            cols = list(zip(*rows, strict=True))[:3 + with_text]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.record_batch([b.column(0)] + [pa.array(c, t) for c, t in zip(cols, types, strict=False)] + b.columns[5:],
+                                  names=names + b.schema.names[5:])
 
     return joined.mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * with_text + more)
