@@ -18,8 +18,9 @@ SLICES = 64
 
 
 def filter_bits(keys: int, bits_per_key: int, max_bits: int) -> int:
-    """``bits_per_key`` bits a key, rounded up to a power of two, at most ``max_bits``."""
-    return min(max_bits, max(1 << 16, 1 << (bits_per_key * max(keys, 1) - 1).bit_length()))
+    """``bits_per_key`` bits a key, rounded up to a power of two, at most ``max_bits`` (a power of two
+    too; every slice has a byte at least)."""
+    return max(8 * SLICES, min(max_bits, max(1 << 16, 1 << (bits_per_key * max(keys, 1) - 1).bit_length())))
 
 
 def positions(keys: np.ndarray, bits: int, hashes: int) -> np.ndarray:
