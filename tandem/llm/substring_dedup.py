@@ -95,30 +95,29 @@ def repeated_windows(docs: DataFrame, k: int = 13, bits_per_key: int = 8, max_bi
             pick_ = np.repeat(p - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(p) else p, size) + np.arange(total)
             edges = g[at[pick_]]
             offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            ids = []
-            for salt in (_U(0x2545F4914F6CDD1D), _U(0xDA3E39CB94B95BDB)):   # order-dependent digests of the edges
-                step = np.arange(total, dtype=np.uint64) - np.repeat(offs[:-1], size).astype(np.uint64)
-                s = np.add.reduceat(mix(edges ^ mix(step + salt)), offs[:-1]) if len(p) else np.zeros(0, np.uint64)
-                ids.append(pa.array(mix(s ^ size.astype(np.uint64)).view(np.int64)))
+            # order-dependent digest of the edges; with the minimizer it names the path
+            step = np.arange(total, dtype=np.uint64) - np.repeat(offs[:-1], size).astype(np.uint64)
+            s = np.add.reduceat(mix(edges ^ mix(step + _U(0x2545F4914F6CDD1D))), offs[:-1]) if len(p) else np.zeros(0, np.uint64)
+            digest = mix(s ^ size.astype(np.uint64)).view(np.int64)
             d = doc[p]
-            yield pa.record_batch([pa.array(m[p].view(np.int64)), *ids, b.column(0).take(pa.array(d)), b.column(1).take(pa.array(d)),
+            yield pa.record_batch([pa.array(m[p].view(np.int64)), pa.array(digest), b.column(0).take(pa.array(d)), b.column(1).take(pa.array(d)),
                                    pa.array((at[p] - w.first[d]).astype(np.int64)),
                                    pa.ListArray.from_arrays(pa.array(offs), pa.array(edges.view(np.int64)))],
-                                  names=["m", "p1", "p2", "doc_id", "th", "start", "edges"])
+                                  names=["m", "path", "doc_id", "th", "start", "edges"])
 
     found = docs.where("doc_id is not null").mapInArrow(
-        pieces, "m long, p1 long, p2 long, doc_id long, th long, start long, edges array<long>")
-    paths = written(found.groupBy("m", "p1", "p2", "edges").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")))
+        pieces, "m long, path long, doc_id long, th long, start long, edges array<long>")
+    paths = written(found.groupBy("m", "path", "edges").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")))
     branching = paths.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
-    opened = paths.join(branching, "m").select("m", "p1", "p2", "src", F.posexplode("edges").alias("i", "e"))
-    smallest = opened.groupBy("m", "e").agg(F.min("src").alias("low"))
-    back = (opened.join(smallest, ["m", "e"]).groupBy("m", "p1", "p2")
-            .agg(F.array_sort(F.collect_list(F.struct("i", "low"))).alias("lows")))
+    opened = paths.join(branching, "m").select("m", "path", "src", F.posexplode("edges").alias("i", "e"))
+    smallest = opened.groupBy("m", "e").agg(F.min("src").alias("low"), F.max("src").alias("top")).where("low < top").drop("top")
+    back = (opened.join(smallest, ["m", "e"]).where("low < src").groupBy("m", "path")
+            .agg(F.map_from_entries(F.collect_list(F.struct("i", "low"))).alias("lows")))
     # only paths with an edge whose smallest source is below their largest document can remove anything
-    sources = (paths.join(back, ["m", "p1", "p2"], "left")
-               .select("p1", "p2", "m", "last", F.coalesce(F.col("lows.low"), F.array_repeat("src", F.size("edges"))).alias("low"))
+    low = F.transform(F.sequence(F.lit(0), F.size("edges") - 1), lambda i: F.coalesce(F.try_element_at("lows", i), "src"))
+    sources = (paths.join(back, ["m", "path"], "left").select("m", "path", "last", low.alias("low"))
                .where(F.array_min("low") < F.col("last")).drop("last"))
-    hit = found.select("m", "p1", "p2", "doc_id", "th", "start").join(sources, ["m", "p1", "p2"])
+    hit = found.select("m", "path", "doc_id", "th", "start").join(sources, ["m", "path"])
     bit = F.aggregate(F.transform("low", lambda x, i: F.when(x < F.col("doc_id"), F.expr("1L") * F.pow(F.lit(2), i).cast("long")).otherwise(F.lit(0).cast("long"))),
                       F.lit(0).cast("long"), lambda s, v: s + v)
     return hit.select("doc_id", "th", "start", bit.alias("mask"), F.col("low").alias("src")).where("mask > 0")
@@ -137,10 +136,29 @@ def drop_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "tex
     """
     rows = pick(docs.withColumn(id, F.col(id).cast("long")), doc_id=id, text=text) \
         .select("doc_id", F.xxhash64("text").alias("th"), "text")
-    marks = (repeated_windows(rows, k).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "mask")).alias("marks")))
-    joined = rows.join(marks.toDF("mark_id", "mark_th", "marks"),
-                       (F.col("doc_id") == F.col("mark_id")) & (F.col("th") == F.col("mark_th")), "left") \
+    marks = written(repeated_windows(rows, k).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "mask")).alias("marks")))
+    # only documents that may have marks shuffle to meet them; a Bloom filter of bounded size tells the rest
+    bits = filter_bits(marks.count(), 16, 1 << 27)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            yield np.repeat(_row_keys(b), 2, axis=0)        # twice: the filter is of keys seen twice
+
+    some = rows.sparkSession.sparkContext.broadcast(twice_seen(marks.select("doc_id", "th"), marked, bits, _HASHES))
+
+    def only(yes: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                may = contains(np.frombuffer(some.value, np.uint8), positions(_row_keys(b), bits, _HASHES))
+                yield b.filter(pa.array(may == yes))
+
+        return rows.mapInArrow(run, "doc_id long, th long, text string")
+
+    none = F.lit(None).cast("array<long>")
+    joined = only(True).join(marks.toDF("mark_id", "mark_th", "marks"),
+                             (F.col("doc_id") == F.col("mark_id")) & (F.col("th") == F.col("mark_th")), "left") \
         .select("doc_id", "text", F.col("marks.start").alias("starts"), F.col("marks.mask").alias("masks"))
+    rest = only(False).select("doc_id", "text", none.alias("starts"), none.alias("masks"))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,4 +185,11 @@ def drop_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "tex
             types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.record_batch([b.column(0)] + [pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names)
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    return joined.mapInArrow(cut, schema).unionByName(rest.mapInArrow(cut, schema))
+
+
+def _row_keys(b: pa.RecordBatch) -> np.ndarray:
+    """Key halves of ``(doc_id, th)`` rows; a null id is like 0 (a chance member at most)."""
+    i, t = (b.column(c).fill_null(0).to_numpy().view(np.uint64) for c in (0, 1))
+    return np.stack([mix(i ^ mix(t)), mix(t + i)], 1)
