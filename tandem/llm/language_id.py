@@ -37,7 +37,7 @@ def learn_dictionaries(docs: DataFrame, train: Column, text: str = "text", lang:
             .where("lang is not null and text rlike '\\\\p{L}'")
             .select("lang", F.xxhash64("text").alias("h"), F.lower(F.substring("text", 1, chars)).alias("head")))
     few = (rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "head")))
-           .where(F.col("r") <= 4 * sample_texts).dropDuplicates(["lang", "h"]))
+           .where(F.col("r") <= 3 * sample_texts).dropDuplicates(["lang", "h"]))
     few = (few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "head")))
            .where(F.col("r") <= sample_texts))
     out: dict[str, list[str]] = {}
