@@ -61,7 +61,7 @@ def _pieces(at: np.ndarray, m: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.flatnonzero(run % MAX_EDGES == 0)
 
 
-def repeated_windows(docs: DataFrame, k: int = 13, bits_per_key: int = 8, max_bits: int = 1 << 28) -> DataFrame:
+def repeated_windows(docs: DataFrame, k: int = 13, bits_per_key: int = 8, max_bits: int = 1 << 27) -> DataFrame:
     """``docs(doc_id, th, text)`` -> ``(doc_id, th, start, mask, src)``: bit ``i`` of ``mask`` is set if the
     window at word ``start + i`` also starts in a document with a smaller id; ``src`` lists the
     smallest such id per window. ``th`` tells rows of one id apart."""
@@ -70,7 +70,7 @@ def repeated_windows(docs: DataFrame, k: int = 13, bits_per_key: int = 8, max_bi
     bits = filter_bits(2 * words // (k - min(ANCHOR, k) + 2), bits_per_key, max_bits)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in small_slices(batches, 2):
+        for b in small_slices(batches, 2, 1 << 20):
             at, m, doc = _windows(split_words(b.column(2), lower=False), k)
             p = _pieces(at, m, doc)
             m, doc = m[p], doc[p]
@@ -83,7 +83,7 @@ def repeated_windows(docs: DataFrame, k: int = 13, bits_per_key: int = 8, max_bi
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(seen.value, np.uint8)
-        for b in small_slices(batches, 2):
+        for b in small_slices(batches, 2, 1 << 20):
             w = split_words(b.column(2), lower=False)
             at, m, doc = _windows(w, k)
             p = _pieces(at, m, doc)
