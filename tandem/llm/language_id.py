@@ -25,29 +25,45 @@ def learn_dictionaries(docs: DataFrame, train: Column, text: str = "text", lang:
                        sample_texts: int = 256, dict_bytes: int = 112 * 1024) -> dict[str, bytes]:
     """One raw-content dictionary per non-null label among the rows where ``train`` holds.
 
-    The bounded sample: per label, the ``sample_texts`` rows with the smallest hash of their
-    text, one of each text, each cut to ``dict_bytes / sample_texts * 4`` characters, and their
-    concatenation to ``dict_bytes``. The limit is applied before the shuffle (a window group
-    limit), so a label holding most rows sends no more than any other, and the driver receives
-    at most ``sample_texts`` short texts a label. Null texts and texts without a letter are not
+    The bounded sample: per label, the ``sample_texts`` distinct texts with the smallest hash, or all
+    if there are fewer, and the concatenation of their lower-cased heads. The heads share
+    ``dict_bytes`` evenly, and what a short text leaves goes to the longer ones, so a label with
+    enough text fills its dictionary whatever the number of its texts. Copies are combined before
+    the sample is cut, first within each task; the cut is a window group limit, so of each label a
+    task sends at most ``sample_texts`` hashes. A second pass fetches the heads, so the driver
+    receives about ``dict_bytes`` characters a label. Null texts and texts without a letter are not
     sampled. No labelled text: an empty dictionary set.
     """
-    chars = max(1, dict_bytes // sample_texts * 4)
     rows = (pick(docs.where(train), text=text, lang=lang)
-            .where("lang is not null and text rlike '\\\\p{L}'")
-            .select("lang", F.xxhash64("text").alias("h"), F.lower(F.substring("text", 1, chars)).alias("head")))
-    few = (rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "head")))
-           .where(F.col("r") <= 3 * sample_texts).dropDuplicates(["lang", "h"]))
-    few = (few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "head")))
-           .where(F.col("r") <= sample_texts))
-    out: dict[str, list[str]] = {}
-    for r in sorted(few.collect(), key=lambda r: (r.lang, r.r)):
-        out.setdefault(r.lang, []).append(r.head)
-    dicts = {}
-    for k, heads in out.items():
-        share = max(1, dict_bytes // len(heads))
-        dicts[k] = b"\n".join(h.encode()[:max(share, 64)] for h in heads)[-dict_bytes:]
-    return dicts
+            .where("lang is not null and text rlike '\\\\p{L}'").withColumn("h", F.xxhash64("text")))
+    size = F.octet_length(F.lower(F.substring("text", 1, dict_bytes)))
+    few = (rows.groupBy("lang", "h").agg(F.min(size).alias("n"))
+           .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_texts))
+    sizes: dict[str, dict[int, int]] = {}
+    for r in few.collect():
+        sizes.setdefault(r.lang, {})[r.h] = r.n
+    if not sizes:
+        return {}
+    share = {k: _even_share(list(v.values()), dict_bytes - len(v) + 1) for k, v in sizes.items()}
+    # at most sample_texts rows a label
+    chosen = docs.sparkSession.createDataFrame([(k, h, share[k]) for k, v in sizes.items() for h in v],
+                                               f"lang {few.schema['lang'].dataType.simpleString()}, h long, share int")
+    heads = (rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h")
+             .agg(F.min(F.lower(F.expr("substring(text, 1, share)"))).alias("head")))
+    out: dict[str, list[bytes]] = {}
+    for r in sorted(heads.collect(), key=lambda r: (r.lang, r.h)):
+        out.setdefault(r.lang, []).append(r.head.encode()[:share[r.lang]])
+    return {k: b"\n".join(v)[-dict_bytes:] for k, v in out.items()}
+
+
+def _even_share(sizes: list[int], total: int) -> int:
+    """Bytes a text may give so that texts of these ``sizes`` give ``total`` together, or all they have; 64 at least."""
+    left = total
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > left:
+            return max(64, left // (len(sizes) - i))
+        left -= n
+    return max(64, *sizes)
 
 
 def classifier(dicts: dict[str, bytes], level: int = 6, piece_bytes: int = 2000, min_margin: float = 0.002):

@@ -48,3 +48,21 @@ def test_tie_and_single_language():
     predict = classifier({"a": b"abc abc", "b": b"abc abc"})
     assert predict("abc") == ("a", 0.0, True)
     assert classifier({"only": b"abc"})("x") == ("only", 1.0, False)
+
+
+def test_copies_sorted_first_leave_the_sample_whole(spark):
+    rows = spark.range(400).selectExpr("id as doc_id", "concat('text number ', id, ' of the label') as text", "'xx' as lang")
+    by_hash = [r.text for r in rows.orderBy(F.xxhash64("text")).collect()]
+    copies = spark.range(3000).selectExpr("id as doc_id", f"'{by_hash[0]}' as text", "'xx' as lang")
+    d = learn_dictionaries(rows.unionByName(copies), F.lit(True), sample_texts=100)
+    assert d["xx"].decode().split("\n") == by_hash[:100]
+
+
+def test_few_or_uneven_texts_fill_the_dictionary(spark):
+    long = "".join(chr(97 + i * i % 26) + " " * (i % 5 == 0) for i in range(30_000))
+    rows = [(i, f"{i} {long}", "rare") for i in range(10)] + [(i, f"{i} {long}" if i % 10 == 0 else f"short {i}", "uneven") for i in range(100)]
+    rows += [(0, f"one {long}", "one"), (1, "İK only a little", "little")]
+    d = learn_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), dict_bytes=20_000)
+    assert all(20_000 - 100 <= len(d[k]) <= 20_000 for k in ("rare", "uneven", "one"))
+    assert all(f"{i} {long}"[:1900].encode() in d["rare"] for i in range(10))
+    assert d["uneven"].count(b"short") == 90 and d["little"] == "İK only a little".lower().encode()
