@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact check.
 
 For a benchmark item of ``m`` words the windows of a document are its runs of ``m`` consecutive
-words. A window and an item are multisets of ``k``-word shingles (weight = number of
+words; a document of fewer words is one window, the whole of it. A window and an item are multisets of ``k``-word shingles (weight = number of
 occurrences); both have a ``BITS``-bit SimHash of them. Fingerprints are cut into ``radius + 1``
 blocks: two within ``radius`` agree on at least one whole block, so looking every block up in the
 items' index misses none of them. Candidates within the radius are verified by the exact
@@ -71,7 +71,7 @@ class Index:
         return w[ok], i[ok], d[ok]
 
     def overlap(self, i: int, window: np.ndarray) -> int:
-        """``sum(min)`` of the multisets of item ``i`` and a window of as many shingles."""
+        """``sum(min)`` of the multisets of item ``i`` and a window."""
         u, c = self.counts[i]
         at = np.minimum(np.searchsorted(u, window), len(u) - 1)
         return int(np.minimum(np.bincount(at[u[at] == window], minlength=len(u)), c).sum())
@@ -137,12 +137,16 @@ class Benchmark:
             for m in self.holders[kk][h]:
                 near[m].append(p)
         for m, ps in near.items():
+            if hi - lo < m:                         # shorter than the item: one window, if it can be over the threshold
+                if 100 * (hi - lo - kk + 1) >= self.percent * (m - kk + 1):
+                    best = {}
+                    self._run(kk, m, hi - lo - kk + 1, g, lo, lo, best)
+                    for item, (n, num, _, dist) in best.items():
+                        yield d, item, n, 0, m, dist, num / (m + hi - lo - 2 * kk + 2 - num)
+                continue
             span = m - kk + 1                       # shingles of a window
             first = np.maximum(np.array(ps) - span + 1, lo)
             last = np.minimum(np.array(ps), hi - m)
-            if (last < first).all():
-                continue
-            first, last = first[last >= first], last[last >= first]
             new = np.append(True, first[1:] > np.maximum.accumulate(last)[:-1] + 1)
             a = first[new]
             b = np.maximum.reduceat(last, np.flatnonzero(new))
@@ -159,7 +163,7 @@ class Benchmark:
         np.cumsum(_signs(g[x:y + span]), axis=0, out=sums[1:])
         for w, i, dist in zip(*idx.near(_pack(sums[span:] - sums[:-span])), strict=True):
             num = idx.overlap(i, g[x + w:x + w + span])
-            if 100 * num >= self.percent * (2 * span - num):
+            if 100 * num >= self.percent * (m - kk + 1 + span - num):
                 old = best.get(idx.ids[i])
                 if old is None:
                     best[idx.ids[i]] = [1, num, x + w, int(dist)]
@@ -177,6 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. ``n_windows`` counts the matching windows,
     ``window_start`` is the word number of the best (first of equals), ``n_words`` the item's words.
+    A document of fewer words than the item is compared whole, as one window of its own size.
     An item shorter than ``k`` words is one shingle. Items or documents that are null or wordless
     match nothing; repeated items count once; equal ids with several texts give the best of them;
     repeated document rows give repeated results; an empty table none. Every text is scanned whole

@@ -83,3 +83,39 @@ def test_blocks_find_every_fingerprint_within_the_radius():
         assert set(zip(w.tolist(), i.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(far <= radius)), strict=True))
         assert (far[w, i] == d).all()
     assert simhash(items[0][1]) == index.prints[0]
+
+
+def brute_short(docs, items):
+    """Documents of fewer words than the item, compared whole."""
+    out = []
+    for d, t in docs:
+        w = words_of(t)
+        for i, it in items:
+            x = words_of(it)
+            kk = min(5, len(x))
+            if kk <= len(w) < len(x):
+                b, c = bag(x, kk), bag(w, kk)
+                lo, hi = sum((b & c).values()), sum((b | c).values())
+                if 100 * lo >= 75 * hi:
+                    out.append((d, i, 1, 0, len(x), round(lo / hi, 9)))
+    return out
+
+
+def test_documents_shorter_than_the_item(spark):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(4))
+    passage = [[word() for _ in range(n)] for n in (15, 38, 38, 59, 6, 3)]
+    items = [(i, " ".join(p)) for i, p in enumerate(passage)] + [(20, "x " * 20), (21, " ".join(passage[0][:12]))]
+    docs = [(1, " ".join(passage[0][:13])), (2, " ".join(passage[1][:34])), (3, " ".join(passage[2][:19] + passage[2][20:])),
+            (4, " ".join(passage[3][5:]).upper()), (5, " ".join(passage[4][:5])), (6, " ".join(passage[5][:2])), (7, "x " * 17), (8, "x"),
+            (9, None), (10, "")]
+    for n in range(11, 80):
+        p = list(rnd.choice(passage))
+        a = rnd.randint(0, len(p) // 8)
+        p = p[a:len(p) - rnd.randint(0, len(p) // 8)]
+        if rnd.random() < 0.3:
+            del p[rnd.randrange(len(p))]
+        docs.append((n, " ".join(p)))
+    got = result(contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    want = sorted(brute(docs, items) + brute_short(docs, items), key=str)
+    assert got == want and {(1, 0), (2, 1), (3, 2), (4, 3), (7, 20)} <= {r[:2] for r in want}
