@@ -28,8 +28,12 @@ _ATTR = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not page text at all.
-RAW = frozenset("script style noscript template head title svg math iframe object audio video canvas textarea select option button".split())
+#: Elements whose content is not page text at all: without markup up to their end tag, and with.
+RAW = frozenset("script style title textarea".split())
+SKIPPED = frozenset("noscript template head svg iframe object audio video canvas select option button".split())
+#: What a head may hold; anything else ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+_SKIP_TAG = re.compile(rf"<(/?)({'|'.join(sorted(SKIPPED))})(?=[\s/>])[^>]*?(/?)>", re.I)
 BLOCKS = frozenset("""html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure
     footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th
     thead tr ul caption""".split())
@@ -45,6 +49,20 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 
 
+def _ended(source: str) -> set[int]:
+    """Where the start tags of skipped elements are that have an end tag."""
+    opened: dict[str, list[int]] = {}
+    out = set()
+    for m in _SKIP_TAG.finditer(source):
+        at = opened.setdefault(m[2].lower(), [])
+        if not m[1]:
+            if not m[3]:
+                at.append(m.start())
+        elif at:
+            out.add(at.pop())
+    return out
+
+
 class Page:
     """Blocks and text runs of a page in document order; a node's parent comes before it."""
 
@@ -70,7 +88,8 @@ class Page:
         stack: list[tuple[str, int]] = [("#root", 0)]   # open elements and the block each is in
         run: list[str] = []
         linked = anchors = 0
-        raw = None
+        skips: list[tuple[int, bool]] = []              # open skipped elements: place in the stack, has an end tag
+        ended = None
         at = 0
 
         def flush():
@@ -88,24 +107,26 @@ class Page:
                 flush()
             anchors -= sum(t == "a" for t, _ in stack[i:])
             del stack[i:]
+            while skips and skips[-1][0] >= i:
+                skips.pop()
 
-        for m in _TOKEN.finditer(source):
-            if m.start() < at:
-                continue
-            if m.start() > at and raw is None:
-                s = source[at:m.start()]
+        def words(s: str):
+            nonlocal linked
+            if stack[-1][0] == "head" and s.strip():
+                close_to(len(stack) - 1)
+            if not skips:
                 run.append(s)
                 if anchors:
                     linked += len(s.strip())
+
+        while m := _TOKEN.search(source, at):
+            if m.start() > at:
+                words(source[at:m.start()])
             at = m.end()
             name = (m[2] or m[5] or "").lower()
             if not name:
                 continue
             closing, attrs = m[1] or m[4], m[3] or m[6] or ""
-            if raw is not None:
-                if closing and name == raw:
-                    raw = None
-                continue
             if closing:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
@@ -115,15 +136,39 @@ class Page:
             if name == "br":
                 run.append(" ")
                 continue
-            if name in RAW:
+            if stack[-1][0] == "head" and name not in IN_HEAD:
+                close_to(len(stack) - 1)
+            if skips and name == "body" and not any(t == "body" for t, _ in stack):
+                close_to(skips[0][0])
+            if name in RAW or name in SKIPPED:
+                if name in ("option", "button"):         # not inside one another
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i][0] == name:
+                            close_to(i)
+                            break
                 run.append(" ")
-                if name == "head" or not attrs.rstrip().endswith("/"):
-                    if name in ("head", "svg", "math", "select", "button", "object", "audio", "video", "canvas", "noscript", "template", "iframe", "option"):
-                        raw = name
-                    else:
-                        end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                        at = end.end() if end else len(source)
+                if name != "head" and attrs.rstrip().endswith("/"):
+                    continue
+                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at) if name in RAW else None
+                if end or name in ("script", "style"):
+                    at = end.end() if end else len(source)
+                    continue
+                if ended is None:
+                    ended = _ended(source)
+                skips.append((len(stack), name == "head" or m.start() in ended))
+                stack.append((name, stack[-1][1]))
                 continue
+            if skips and name in BLOCKS:
+                # a block ends what has no end tag, and an svg outside its parts of HTML
+                while skips and (not skips[-1][1] or stack[skips[-1][0]][0] == "svg"
+                                 and not any(t in ("foreignobject", "desc", "title") for t, _ in stack[skips[-1][0]:])):
+                    close_to(skips[-1][0])
+                if skips and stack[-1][0] == "head":
+                    close_to(len(stack) - 1)
+                if skips:
+                    if name != "hr":
+                        stack.append((name, stack[-1][1]))
+                    continue
             if name in BLOCKS:
                 for i in range(len(stack) - 1, 0, -1):   # a block ends an open paragraph
                     if stack[i][0] == "p":
@@ -146,8 +191,8 @@ class Page:
                 continue
             anchors += name == "a"
             stack.append((name, stack[-1][1]))
-        if at < len(source) and raw is None:
-            run.append(source[at:])
+        if at < len(source):
+            words(source[at:])
         flush()
 
     def edge(self, i: int) -> str:
@@ -261,7 +306,9 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", source: str
     Character references are decoded, white space inside a block is one space, blocks are
     joined by two newlines in page order. A null or empty page, or one without main text, gives an
     empty text. Broken markup is read as browsers do in the common cases (unclosed paragraphs,
-    items and cells; stray end tags are ignored). Repeated rows give repeated results; an empty
+    items and cells; stray end tags are ignored; a head ends at the first tag or text that it may not
+    hold). Of the skipped elements (:data:`SKIPPED`) one ends with its end tag or with the block around it, one without
+    an end tag at the next block, too; a script or style left open takes the rest of the page. Repeated rows give repeated results; an empty
     table none. No shuffle; one page at a time in memory.
     """
 

@@ -100,3 +100,31 @@ def test_messages_equal_enumeration():
         on = sum(w for s, w in weight.items() if s[i])
         off = sum(w for s, w in weight.items() if not s[i])
         assert math.isclose(got[i], math.log(on / off), abs_tol=1e-6)
+
+
+BOTH = f"<article><p>{TEXT}</p><p>{MORE}</p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>T</title><meta charset=utf-8><body>{BOTH}</body></html>",
+    f"<html><head><title>T</title><link href=x>{BOTH}",
+    f"<head><script>x = '<!-- </head>';</script><title>T</title></head><body>{BOTH}<!-- end --></body>",
+    f"<head><style><!-- p {{}}</style></head><body>{BOTH}</body>",
+    f"<head><noscript><link href=x><body>{BOTH}</body>",
+    f"<head><noscript><link href=x></noscript><template><p>No.</p></template><body>{BOTH}</body>",
+    f"<head><title>T<body>{BOTH}</body>",
+    f"<body><script>if (x) y('<!--')</script >{BOTH}</body>",
+    *(f"<body><div><{t}>Go</div>{BOTH}</body>" for t in ("noscript", "template", "svg", "button", "object", "iframe", "canvas", "audio", "video", "select", "option", "textarea")),
+    *(f"<body><{t}>{BOTH}<div><{t}>Go</{t}></div></body>" for t in ("noscript", "template", "svg", "button", "object", "iframe", "canvas", "select")),
+    f"<body><div><button>Go</div>{BOTH}</button></body>",
+    f"<body><article><p>{TEXT}<button>Go<p>{MORE}</article></body>",
+    f"<body><article><p>{TEXT}</p><select><option>One<option>Two</select><button><div>Go</div></button><svg><title>Icon</title><path/></svg>"
+    f"<noscript><div><p>No.</p></div></noscript><p>{MORE}</p></article></body>",
+])
+def test_skipped_elements_left_open_do_not_take_the_page(page):
+    assert trained().main_text(page) == f"{TEXT}\n\n{MORE}"
+
+
+def test_math_and_text_in_a_head():
+    assert Page("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.").text[-1] == "So x=2 here."
+    assert [t for t in Page("<head><title>T</title>Seen.").text if t] == ["Seen."]
