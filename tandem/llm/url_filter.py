@@ -60,7 +60,17 @@ def lexical(df: DataFrame) -> DataFrame:
         "entropy": entropy,
         "params": F.when(F.length(query) > 0, F.length(query) - F.length(F.translate(query, "&", "")) + 1).otherwise(0),
         "hyphens": n - F.length(F.translate(url, "-", "")),
-        "suffix": F.substring_index("host", ".", -1)}).drop("_chars")
+        "suffix": host_suffix()}).drop("_chars")
+
+
+def host_suffix() -> Column:
+    return F.substring_index("host", ".", -1)
+
+
+def suffix_counts(rows: DataFrame) -> DataFrame:
+    """``(suffix, rows, labelled, blocked)`` of all ``rows(host, ruled)``."""
+    return (rows.groupBy(host_suffix().alias("suffix"))
+            .agg(F.count("*").alias("rows"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")))
 
 
 def judge_urls(pages: DataFrame, id: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES,  # noqa: A002
@@ -69,7 +79,9 @@ def judge_urls(pages: DataFrame, id: str = "page_id", url: str = "url", rules: S
 
     ``rule`` is the longest rule that fits and ``verdict`` its ``allow`` or ``block``; without one
     ``rule`` is null and the verdict is ``block`` where the trees give it a probability over 0.5.
-    Training rows: the ``sample_rows`` labelled URLs with the smallest hash, repeats once. Where
+    Training rows: the ``sample_rows`` labelled URLs with the smallest hash, repeats once. The suffix
+    statistics count the whole table: a suffix's share of all rows, and the blocked share of its labelled
+    rows, drawn to that of all labelled rows with a weight of 8 rows. Where
     fewer than two verdicts are labelled there is nothing to learn and the only one (or ``allow``)
     is given. A null url, or one without ``://``, has an empty host and path and is judged by the
     trees like any other; repeated rows give repeated results; an empty table none.
@@ -87,14 +99,14 @@ def judge_urls(pages: DataFrame, id: str = "page_id", url: str = "url", rules: S
         only = next(iter(n), "allow")
         return rows.select(*out, F.coalesce("ruled", F.lit(only)).alias("verdict"),
                            F.when(F.col("rule").isNull(), F.lit(float(only == "block"))).alias("p_block"))
-    base = n.get("block", 0) / sum(n.values())
-    # at most sample_rows suffixes, by the sample's bound
-    stats = few.groupBy("suffix").agg((F.count("*") / F.lit(sum(n.values()))).alias("suffix_share"),
-                                      ((F.sum((F.col("ruled") == "block").cast("int")) + 8 * base) / (F.count("*") + 8)).alias("suffix_block"))
-    stats = written(stats)
+    counts = written(suffix_counts(rows))
+    total = counts.agg(F.sum("rows").alias("rows"), (F.sum("blocked") / F.sum("labelled")).alias("block")).first()
+    base = total.block
+    stats = counts.select("suffix", (F.col("rows") / F.lit(total.rows)).alias("suffix_share"),
+                          ((F.col("blocked") + 8 * base) / (F.col("labelled") + 8)).alias("suffix_block"))
 
     def features(df: DataFrame) -> DataFrame:
-        df = df.join(F.broadcast(stats), "suffix", "left").fillna({"suffix_share": 0.0, "suffix_block": base})
+        df = df.join(stats, "suffix", "left").fillna({"suffix_share": 0.0, "suffix_block": base})   # not bounded: no hint
         return VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(df)
 
     train = features(few).withColumn("_label", (F.col("ruled") == "block").cast("double")).repartition(2, "url")

@@ -50,3 +50,24 @@ def test_held_out_accuracy(spark, hide):
     judged = [r for r in got if r.rule is None]
     assert len(judged) == 300
     assert sum((r.verdict == "block") == (r.page_id % 3 == 0) for r in judged) / 300 > 0.95
+
+
+def test_suffix_statistics_count_every_row(spark, monkeypatch):
+    """What the trees see of a suffix is counted on the whole table, with and without a rule, whatever the sample."""
+    from tandem.llm import url_filter
+    rows = [f"http://a{i}.net/{i}" for i in range(40)] + [f"http://b{i}.org/fr/{i}" for i in range(59)] + ["http://rare.example.com/de/1"]
+    rows += [f"http://c{i}.info/" for i in range(80)] + ["http://d.io/x"] * 20
+    seen = []
+
+    class Spy(url_filter.VectorAssembler):
+        def transform(self, df, params=None):
+            seen.append(df.select("suffix", "suffix_share", "suffix_block").distinct())
+            return super().transform(df, params)
+
+    monkeypatch.setattr(url_filter, "VectorAssembler", Spy)
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    assert judge_urls(df, sample_rows=20, trees=2).count() == 200
+    got = {r.suffix: (round(r.suffix_share, 9), round(r.suffix_block, 9)) for r in seen[-1].collect()}
+    base = 41 / 100
+    want = {"net": (40, 40, 40), "org": (59, 59, 0), "com": (1, 1, 1), "info": (80, 0, 0), "io": (20, 0, 0)}
+    assert got == {k: (round(n / 200, 9), round((bad + 8 * base) / (known + 8), 9)) for k, (n, known, bad) in want.items()}
