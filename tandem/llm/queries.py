@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import (chat, decontaminate, html_text, language_id, lattice_dup, line_dedup, near_dup, packing,
-                        substring_dedup, url_filter)
+from tandem.llm import (chat, decontaminate, filter_audit, hard_negatives, html_text, language_id, lattice_dup, line_dedup,
+                        near_dup, packing, substring_dedup, top_k, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -125,3 +125,73 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     dicts = language_id.learn_dictionaries(docs, F.coalesce(~held_out, F.lit(False)))
     got = language_id.identify(docs, dicts)
     return got.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+_FINITE = "vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0"
+_INTEGERS = "[cast(floor(256 * cast(x as double)) as bigint) for x in embedding]"
+
+
+@query("op11_hard_negatives", f"""
+    with r as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {_INTEGERS} as v
+               from embeddings where label is not null and {_FINITE}),
+    e as (select vec_id, label, unnest(v) as x, unnest(range(len(v))) as i from r),
+    s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(sum(a.x * b.x) as bigint) as score
+          from e a join e b on a.i = b.i where a.vec_id % 100 = 0 and b.vec_id <> a.vec_id group by all),
+    p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+          qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+    select p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+           cast(row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as int) as rank
+    from p join s on s.anchor_id = p.anchor_id and not same
+      and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+    qualify rank <= 10""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh label is moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op12_filter_audit", """
+    with w as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+                      regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+    f as (select doc_id, part, len(ws) < 100 as a, 100 * len(list_distinct(ws)) < 80 * len(ws) as b,
+                 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) as c, regexp_matches(t, '[#$%&*|]') as d,
+                 coalesce(doc_id > min(doc_id) over (partition by t), false) as e from w),
+    l as (select doc_id, max(cast(coalesce(quality = 1, false) as int)) as good, max(cast(coalesce(toxic = 1, false) as int)) as toxic
+          from labels group by doc_id),
+    n as (select part, a, b, c, d, e, coalesce(good, 0) = 1 as good, coalesce(toxic, 0) = 1 as toxic, count(*) as n
+          from f left join l using (doc_id) group by all),
+    x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+    orders as (select p.x || q.x || r.x || s.x || u.x as o from x p, x q, x r, x s, x u
+               where len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+    steps as (select o, k as step, substr(o, k, 1) as letter, substr(o, 1, k - 1) as done from orders, (select unnest([1, 2, 3, 4, 5]) as k) z),
+    hit as (select part, o, step, letter, n, good, toxic,
+              case letter when 'A' then a when 'B' then b when 'C' then c when 'D' then d else e end as fails,
+              (a and contains(done, 'A')) or (b and contains(done, 'B')) or (c and contains(done, 'C'))
+                or (d and contains(done, 'D')) or (e and contains(done, 'E')) as gone,
+              cast(a as int) + cast(b as int) + cast(c as int) + cast(d as int) + cast(e as int) as n_fails from n, steps),
+    y as (select part, o, step, letter, sum(n) filter (not gone and not fails) as kept, sum(n) filter (fails and not gone) as removed,
+            sum(n) filter (fails and gone) as redundant, sum(n) filter (fails and n_fails = 1) as unique_fails,
+            sum(n) filter (fails and not gone and good) as good_lost, sum(n) filter (fails and not gone and toxic) as toxic_lost
+          from hit group by all)
+    select part, o as filter_order, cast(step as int) as step, cast(coalesce(kept, 0) as bigint) as kept,
+           cast(coalesce(removed, 0) as bigint) as removed, cast(coalesce(redundant, 0) as bigint) as redundant,
+           cast(coalesce(unique_fails, 0) as bigint) as unique_fails, cast(coalesce(good_lost, 0) as bigint) as good_lost,
+           cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost,
+           cast(coalesce(sum(removed) over (partition by part, letter), 0) as bigint) as shapley from y""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of five filters in all 120 orders, by language."""
+    masks = filter_audit.failure_masks(_read(spark, sf_dir, "documents"))
+    return filter_audit.audit_orders(masks, _read(spark, sf_dir, "labels"))
+
+
+@query("op13_top_k", f"""
+    with r as (select distinct vec_id, {_INTEGERS} as v from embeddings where {_FINITE}),
+    e as (select vec_id, unnest(v) as x, unnest(range(len(v))) as i from r),
+    s as (select a.vec_id as query_id, b.vec_id, cast(sum(a.x * b.x) as bigint) as score
+          from e a join e b on a.i = b.i where a.vec_id % 50 = 0 and b.vec_id <> a.vec_id group by all)
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+    from s qualify rank <= 5""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best matches of every fiftieth vector among all others."""
+    return top_k.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
