@@ -11,6 +11,8 @@ The same text in DuckDB is produced by :func:`uniform_sql` for oracle checks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,12 +92,46 @@ def mix_np(seed, draw):
     """numpy twin of :func:`mix` (int64 arrays, broadcastable)."""
     import numpy as np
     p = np.int64(MIX_P)
-    x = (seed + ((draw + 1).astype(np.int64) * np.int64(MIX_STEP)) % p) % p
-    x = (x * np.int64(MIX_MULTS[0])) % p
-    x = x ^ (x >> MIX_SHIFTS[0])
-    x = (x * np.int64(MIX_MULTS[1])) % p
-    x = x ^ (x >> MIX_SHIFTS[1])
-    return (x * np.int64(MIX_MULTS[2])) % p
+    x = np.add(seed, ((draw + 1).astype(np.int64) * np.int64(MIX_STEP)) % p)
+    x %= p
+    for mult, shift in zip(MIX_MULTS, MIX_SHIFTS):
+        x *= np.int64(mult)
+        x %= p
+        x ^= x >> shift
+    x *= np.int64(MIX_MULTS[2])
+    x %= p
+    return x
+
+
+def row_seed_py(*keys) -> int:
+    """Python twin of :func:`row_seed` for literal keys."""
+    import hashlib
+    return int(hashlib.md5("|".join(map(str, keys)).encode()).hexdigest()[:8], 16) % MIX_P
+
+
+# ---- Poisson(1) weights of a bootstrap draw --------------------------------------------
+# The quantile of the keyed uniform mix / (2^31 - 1): the number of cumulative probabilities it
+# reaches. The probabilities are rounded up to integers once, so all engines compare the same integers.
+POISSON_STEPS = tuple(-(-int(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) * 2 ** 52) * MIX_P // 2 ** 52)
+                      for k in range(12))
+
+
+def poisson_weight(seed: Column, draw: Column) -> Column:
+    """Poisson(1) weight of a row with 31-bit ``seed`` in draw ``draw``."""
+    h = mix(seed, draw)
+    return sum((F.when(h >= F.lit(t), 1).otherwise(0) for t in POISSON_STEPS[1:]), F.when(h >= F.lit(POISSON_STEPS[0]), 1).otherwise(0))
+
+
+def poisson_weight_np(seed, draw):
+    """numpy twin of :func:`poisson_weight`."""
+    import numpy as np
+    return np.searchsorted(np.array(POISSON_STEPS), mix_np(seed, draw), side="right")
+
+
+def poisson_weight_sql(seed: str, draw: str) -> str:
+    """DuckDB SQL text of :func:`poisson_weight`."""
+    h = mix_sql(seed, draw)
+    return "(" + " + ".join(f"cast({h} >= {t} as int)" for t in POISSON_STEPS) + ")"
 
 
 def row_seed_sql(*keys: str) -> str:

@@ -5,31 +5,34 @@ row and iteration); the sample of size n is the first n rows of that order, so t
 samples of one iteration are nested prefixes (as pandas draws with one
 ``random_state`` are). The error at n is |full mean - prefix mean|.
 
-Prefix sums need each row's rank inside (group, iteration). Every ordering step works
-on a bounded set of rows even when one group holds a third of all rows: small groups
-are ordered per (group, block of iterations); large groups are cut by hash range into
-buckets whose totals give each bucket's offset.
+Prefix sums need each row's rank inside (group, iteration): a two-level prefix scan, the same for
+every group size. The hash range of a group is cut into buckets of about ``BUCKET_ROWS`` rows. Level one
+counts and sums the rows of every (group, iteration, bucket) but the last; running totals over the
+buckets are the offsets. Level two deals rows to cells (group, block of iterations, bucket), each
+row once per cell that any of the block's iterations puts it in, and a cell orders and sums its rows from the
+offset on. A small group is one bucket: its rows need no offsets and are dealt once per block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandem.functions.hashing import MIX_P, mix, mix_np, row_seed
-from tandem.operators.indexing import ordinal
+from tandem.functions.hashing import MIX_P, mix_np, poisson_weight_np, row_seed, row_seed_py
+from tandem.operators.indexing import _null_safe_join
 from tandem.session import cut_lineage
 
 # ---- fixed values of the reference's error study -------------------------------------
 ITERATIONS = 1000
 STEP = 20
-BUCKET_ROWS = 65536    # bound on rows ordered together (per group-block, or per bucket)
-ITER_BLOCK = 50        # iterations drawn by one grouped call for groups of at most BUCKET_ROWS rows
+BUCKET_ROWS = 65536    # rows of a group's bucket, on average
+CELL_PAIRS = 1 << 23   # (row, iteration) pairs that one cell orders, on average
+CACHED = 1 << 18       # pairs ordered at once inside a cell
 
 
 def reference_means(wide: DataFrame, values: Sequence[str], groups: Sequence[str]) -> DataFrame:
@@ -39,151 +42,243 @@ def reference_means(wide: DataFrame, values: Sequence[str], groups: Sequence[str
                                      *[F.sum(v).alias(f"sum_{v}") for v in values])
 
 
-def _numerator(v: str):
-    """``|S n - p N|`` of integer sums, exact in 38 digits."""
-    wide = lambda c: F.col(c).cast("decimal(19,0)")
-    return F.abs(wide(f"sum_{v}") * wide("n") - wide(f"p_{v}") * wide("n_total"))
+def _pair_slices(batch: pa.RecordBatch, iterations: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Rows of one bucket count and block size, few enough for all their iterations at once."""
+    k, its = (batch.column(c).to_numpy() for c in ("n_buckets", "block_its"))
+    shapes, of = np.unique(np.stack([k, its]), axis=1, return_inverse=True)
+    most = max(1, 4 * CACHED // iterations)
+    for i, (kk, bb) in enumerate(shapes.T):
+        at = np.flatnonzero(of.ravel() == i)
+        for lo in range(0, len(at), most):
+            yield at[lo:lo + most], int(kk), int(bb)
 
 
-def _prefix_block(values: list[str], units: list[str], iterations: int, step: int, reduce: bool = False,
-                  integral: bool = True):
-    """Grouped function for one (group, block of iterations): N rows (N <= bucket_rows).
-    For each iteration of the block: order rows by (draw hash, units), prefix sums of the
-    values, kept at n = step, 2 step, ... < N. With ``reduce`` the exact integer error
-    numerators |S n - p N| are summed over the block's iterations instead (one row per n)."""
+def _deal(iterations: int):
+    """Level two, map side: every row once for each (block, bucket) some iteration puts it in."""
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        gid, blk = int(pdf["gid"].iloc[0]), int(pdf["blk"].iloc[0])
-        its = np.arange(blk * ITER_BLOCK, min((blk + 1) * ITER_BLOCK, iterations), dtype=np.int64)
-        ns = np.arange(step, n, step)
-        if len(ns) == 0 or len(its) == 0:
+    def run(batches):
+        for batch in batches:
+            payload = pa.Table.from_batches([batch]).drop_columns(["n_buckets", "block_its"])
+            r = batch.column("r").to_numpy()
+            for at, k, its in _pair_slices(batch, iterations):
+                blocks = -(-iterations // its)
+                if k == 1:          # one bucket: its number is 0 whatever the hash
+                    code = np.tile(np.arange(blocks), len(at))
+                    row = np.repeat(at, blocks)
+                else:
+                    draw = np.arange(iterations)
+                    code = (draw // its) * k + mix_np(r[at][:, None], draw) * k // MIX_P
+                    code.sort(axis=1)
+                    first = np.ones(code.shape, bool)
+                    first[:, 1:] = code[:, 1:] != code[:, :-1]
+                    row, code = np.repeat(at, first.sum(1)), code[first]
+                out = payload.take(pa.array(row)).append_column("blk", pa.array((code // k).astype(np.int32))) \
+                    .append_column("bucket", pa.array(code % k))
+                yield from out.to_batches(max_chunksize=1 << 16)
+
+    return run
+
+
+def _bucket_totals(values: list[str], iterations: int, integral: bool):
+    """Level one, map side: rows and value sums of every (group, iteration, bucket) of a batch, without the last bucket."""
+    kind = np.int64 if integral else np.float64
+    per_slice = 16
+
+    def run(batches):
+        for batch in batches:
+            gid, r = (batch.column(c).to_numpy() for c in ("gid", "r"))
+            vals = [batch.column(v).to_numpy(zero_copy_only=False).astype(kind) for v in values]
+            for at, k, its in _pair_slices(batch, per_slice):
+                groups, g = np.unique(gid[at], return_inverse=True)
+                for lo in range(0, iterations, per_slice):
+                    draw = np.arange(lo, min(lo + per_slice, iterations))
+                    bucket = mix_np(r[at][:, None], draw) * k // MIX_P
+                    keep = bucket < k - 1
+                    code = ((g.ravel()[:, None] * len(draw) + (draw - lo)) * k + bucket)[keep]
+                    cell, inv, cnt = np.unique(code, return_inverse=True, return_counts=True)
+                    out = {"gid": groups[cell // (k * len(draw))], "iter": (cell // k % len(draw) + lo).astype(np.int32),
+                           "block_its": np.full(len(cell), its), "bucket": cell % k, "cnt": cnt.astype(np.int64)}
+                    for v, x in zip(values, vals):
+                        out[f"s_{v}"] = np.zeros(len(cell), kind)
+                        np.add.at(out[f"s_{v}"], inv, np.broadcast_to(x[at][:, None], keep.shape)[keep])
+                    yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
+class _Ranked:
+    """Sample sizes and prefix sums that a cell's rows reach, for a few iterations: from the offsets on."""
+
+    def __init__(self, r: np.ndarray, draw: np.ndarray, bucket: int, k: int, before: np.ndarray, step: int, n_total: int):
+        bits = max(1, (len(r) - 1).bit_length())
+        h = mix_np(r[None, :], draw[:, None])
+        key = h << bits
+        key |= np.arange(len(r))
+        key |= np.arange(len(draw))[:, None] << (bits + 31)
+        here = h * k // MIX_P == bucket if k > 1 else np.ones(h.shape, bool)
+        count = here.sum(1)
+        flat = np.sort(key[here])
+        self.row = flat & ((1 << bits) - 1)
+        self.start = np.cumsum(count) - count
+        self.end = self.start + count
+        last = np.minimum(before + count, n_total - 1)
+        some = np.maximum(last // step - before // step, 0)
+        self.seg = np.repeat(np.arange(len(draw)), some)
+        nth = np.arange(len(self.seg)) - np.repeat(np.cumsum(some) - some, some) + 1
+        self.n = (before // step)[self.seg] * step + nth * step
+        self.at = self.start[self.seg] + self.n - before[self.seg] - 1
+
+    def prefix(self, value: np.ndarray, before: np.ndarray) -> np.ndarray:
+        if value.dtype == np.int64:          # differences of wrapped sums are exact
+            run = np.concatenate([[0], np.cumsum(value[self.row])])
+            return run[self.at + 1] - run[self.start[self.seg]] + before[self.seg]
+        run = np.concatenate([np.cumsum(value[self.row[a:b]]) for a, b in zip(self.start, self.end)] or [np.zeros(0)])
+        return run[self.at] + before[self.seg]
+
+
+def _numerators(total: int, p: np.ndarray, n: np.ndarray, n_total: int) -> np.ndarray:
+    """``|S n - p N|``, exact: in 64 bits where they hold it, else in Python integers."""
+    if max(abs(total), int(np.abs(p).max(initial=0))) * n_total >= 1 << 62:
+        p, n = p.astype(object), n.astype(object)
+    return np.abs(total * n - p * n_total)
+
+
+def _cell(values: list[str], units: list[str], iterations: int, step: int, reduce: bool, integral: bool,
+          with_numerators: bool, out_names: list[str]):
+    """Level two, one cell: rows ordered by (draw hash, units) for each iteration of the block.
+
+    Gives one row per iteration and n; with ``reduce`` one per n, with the numerators
+    ``|S n - p N|`` summed over the iterations as ``hi * 2^32 + lo``."""
+    kind = np.int64 if integral else np.float64
+
+    def run(rows: pa.Table, head: pa.Table) -> pa.Table:
+        facts = {c: head[c].to_numpy() for c in head.column_names}
+        top = int(np.flatnonzero(facts["iter"] < 0)[0])
+        gid, blk, bucket, k, its, n_total = (int(facts[c][top]) for c in ("gid", "blk", "bucket", "n_buckets", "block_its", "cnt"))
+        draws = np.arange(blk * its, min((blk + 1) * its, iterations))
+        shift = facts["iter"] >= 0
+        before = {c: np.zeros(len(draws), kind if c != "cnt" else np.int64) for c in ["cnt", *[f"s_{v}" for v in values]]}
+        for c, x in before.items():
+            x[facts["iter"][shift] - draws[0]] = facts[c][shift]
+        rows = rows.sort_by([(u, "ascending") for u in units])
+        r = rows["r"].to_numpy().astype(np.int64)
+        vals = {v: rows[v].to_numpy().astype(kind) for v in values}
+        low = int(before["cnt"].min()) // step
+        sizes = (min(int(before["cnt"].max()) + rows.num_rows, n_total - 1)) // step - low
+        seen = np.zeros(max(sizes, 0), np.int64)
+        sums = {v: (np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)) for v in values}
+        parts = []
+        few = max(1, min(CACHED // max(len(r), 1), 1 << 10))
+        for a in range(0, len(draws), few) if len(r) else ():
+            some = slice(a, a + few)
+            got = _Ranked(r, draws[some], bucket, k, before["cnt"][some], step, n_total)
             if reduce:
-                return pd.DataFrame({"gid": [], "n": [], "cnt": [], **{f"num_{v}": [] for v in values}})
-            return pd.DataFrame({"gid": [], "iter": [], "n": [], **{f"p_{v}": [] for v in values}})
-        # tie-break rank of each row in unit order
-        tie = np.empty(n, dtype=np.int64)
-        tie[np.lexsort([pdf[u].to_numpy() for u in reversed(units)])] = np.arange(n)
-        h = mix_np(pdf["r"].to_numpy(dtype=np.int64)[None, :], its[:, None])          # (iters, N)
-        order = np.argsort(h * n + tie[None, :], axis=1)
-        if reduce:
-            out = {"gid": np.full(len(ns), gid, dtype=np.int32), "n": ns.astype(np.int64),
-                   "cnt": np.full(len(ns), len(its), dtype=np.int64)}
+                slot = got.n // step - low - 1
+                np.add.at(seen, slot, 1)
+            else:
+                cols = {"gid": np.full(len(got.n), gid), "iter": draws[some][got.seg].astype(np.int32), "n": got.n}
+                den = got.n.astype(np.float64) * n_total
             for v in values:
-                vals = pdf[v].to_numpy(dtype=np.int64)
-                p = np.cumsum(vals[order], axis=1)[:, ns - 1]                  # (iters, len(ns)), exact
-                total = int(vals.sum())
-                if max(abs(total), int(np.abs(p).max())) * n >= 1 << 52:     # beyond 64 bits with the sum over iterations
-                    p, at = p.astype(object), ns.astype(object)
-                    out[f"num_{v}"] = np.abs(total * at[None, :] - p * n).sum(axis=0).astype(np.float64)
+                p = got.prefix(vals[v], before[f"s_{v}"][some])
+                total = facts[f"s_{v}"][top]
+                if not integral:
+                    cols[f"err_{v}"] = np.abs(float(total) / n_total - p / got.n)
+                    continue
+                num = _numerators(int(total), p, got.n, n_total)
+                if reduce:
+                    np.add.at(sums[v][0], slot, (num >> 32).astype(np.int64))
+                    np.add.at(sums[v][1], slot, (num & 0xFFFFFFFF).astype(np.int64))
                 else:
-                    out[f"num_{v}"] = np.abs(total * ns[None, :] - p * n).sum(axis=0).astype(np.float64)
-            return pd.DataFrame(out)
-        out = {"gid": np.full(len(its) * len(ns), gid, dtype=np.int32),
-               "iter": np.repeat(its.astype(np.int32), len(ns)), "n": np.tile(ns.astype(np.int64), len(its))}
-        for v in values:
-            vals = pdf[v].to_numpy(dtype=np.int64 if integral else np.float64)
-            csum = np.cumsum(vals[order], axis=1)
-            out[f"p_{v}"] = csum[:, ns - 1].ravel()
-        return pd.DataFrame(out)
+                    cols[f"err_{v}"] = num.astype(np.float64) / den
+                    if with_numerators:
+                        cols[f"num_{v}"], cols["err_den"] = num.astype(np.float64), den
+            if not reduce:
+                parts.append(pa.table({c: cols[c] for c in out_names}))
+        if reduce:
+            at = np.flatnonzero(seen)
+            return pa.table({"gid": np.full(len(at), gid), "n": (at + low + 1) * step, "cnt": seen[at],
+                             **{f"{side}_{v}": sums[v][i][at] for v in values for i, side in enumerate(("hi", "lo"))}})
+        if parts:
+            return pa.concat_tables(parts)
+        return pa.table({c: np.zeros(0, np.int32 if c == "iter" else np.int64 if c in ("gid", "n") else np.float64) for c in out_names})
 
-    return fn
+    return run
 
 
 def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str], units: Sequence[str],
                     iterations: int = ITERATIONS, step: int = STEP, seed: int = 0,
-                    bucket_rows: int = BUCKET_ROWS, reduce: bool = False) -> DataFrame:
+                    bucket_rows: int = BUCKET_ROWS, reduce: bool = False, numerators: bool = True) -> DataFrame:
     """A11 + W3 + P16: error |mean - prefix mean| for n = step, 2 step, ... < N, per group
     and iteration, one ``err_<value>`` column per value column.
 
     The random order of iteration i sorts rows by mix(row seed, i) (ties by ``units``),
     where the row seed is md5 of (seed, groups, units): see :func:`tandem.functions.hashing.mix`.
-
-    * Groups of at most ``bucket_rows`` rows: rows are shuffled once per block of
-      iterations on (group, block); one grouped numpy function orders and sums each
-      iteration of the block (its input is bounded by ``bucket_rows``).
-    * Larger groups: the hash range is cut into ceil(N / bucket_rows) buckets; bucket
-      totals give offsets (a small table) and a JVM window sorts only the rows of one
-      (group, iteration, bucket).
+    ``bucket_rows`` sets the number of buckets of a group, nothing else. With ``reduce`` (integer values) the mean error
+    over the iterations is returned, per group and n: ``mean_<value>``, from exact sums. Integer values also give the
+    errors' numerators and denominator unless ``numerators`` is false. A null group key is a group of its own.
     """
     groups, units, values = list(groups), list(units), list(values)
-    # The input is read twice (group statistics, then rows): write its narrow projection once
+    # The input is read three times (group statistics, bucket totals, cells): write its narrow projection once
     # (reliable checkpoint in the shared folder) instead of recomputing its upstream plan.
     wide = cut_lineage(wide.select(*groups, *units, *values))
-    stats = reference_means(wide, values, groups) \
-        .withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.col("n_total") / F.lit(bucket_rows))).cast("int"))
-    # integer group id on the per-group table keeps shuffled rows narrow
-    stats = cut_lineage(ordinal(stats, [], groups, "gid").withColumn("gid", F.col("gid").cast("int")))
-    n_groups = stats.count()
-    x = wide.join(stats.select(*groups, "gid", "n_total", "n_buckets"), groups).select(
-        "gid", "n_total", "n_buckets", *units, *values,
-        row_seed(F.lit(seed), *[F.col(c) for c in groups + units]).alias("r"))
-
     integral = all(isinstance(wide.schema[v].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
                    for v in values)
+    if reduce and not integral:
+        raise ValueError("reduce=True needs integer value columns")
+    number, sums = ("long" if integral else "double"), [f"s_{v}" for v in values]
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("n_total") / F.lit(bucket_rows)))
+    block = F.least(F.lit(iterations), F.greatest(F.lit(1), F.floor(
+        F.lit(CELL_PAIRS) / (F.least(F.col("n_total"), F.lit(bucket_rows)) * F.col("n_buckets")))))
+    # ids of a checkpointed table stay as they are
+    stats = cut_lineage(reference_means(wide, values, groups).withColumn("n_buckets", buckets.cast("long"))
+                        .withColumn("block_its", block.cast("long")).withColumn("gid", F.monotonically_increasing_id()))
+    cells_of = F.ceil(F.lit(iterations) / F.col("block_its")) * F.col("n_buckets")
+    cells, work = stats.agg(F.sum(cells_of), F.sum(F.col("n_total").cast("double") * iterations / CELL_PAIRS)).first()
+    x = _null_safe_join(wide, stats.select(*groups, "gid", "n_buckets", "block_its"), groups).select(
+        "gid", "n_buckets", "block_its", *units, *values,
+        row_seed(F.lit(seed), *[F.col(c) for c in groups + units]).alias("r"))
 
-    def finish(r: DataFrame) -> DataFrame:
-        keep = r.filter((F.col("n") % step == 0) & (F.col("n") < F.col("n_total")))
-        j = keep.join(stats.select("gid", *groups, *[f"ref_{v}" for v in values], *[f"sum_{v}" for v in values]), "gid")
-        cols = [*groups, F.col("iter").cast("int").alias("iter"), F.col("n").cast("bigint").alias("n")]
-        if integral:
-            # exact: |S n - p N| / (n N) from integers, one division (engines agree bit for bit)
-            den = F.col("n").cast("double") * F.col("n_total")
-            nums = [_numerator(v).cast("double") for v in values]
-            return j.select(*cols, *[(num / den).alias(f"err_{v}") for num, v in zip(nums, values)],
-                            den.alias("err_den"), *[num.alias(f"num_{v}") for num, v in zip(nums, values)])
-        return j.select(*cols, *[F.abs(F.col(f"ref_{v}") - F.col(f"p_{v}") / F.col("n")).alias(f"err_{v}")
-                                 for v in values])
-
-    # groups that fit one bucket
-    blocks = -(-iterations // ITER_BLOCK)
-    parts = max(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_groups * blocks // 4)
-    sx = x.filter(F.col("n_buckets") == 1).select(
-        "gid", "r", *units, *values, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk")) \
-        .repartition(parts, "gid", "blk")
+    fields = {f.name: f.dataType.simpleString() for f in x.schema.fields}
+    dealt = x.mapInArrow(_deal(iterations), ", ".join(
+        f"`{c}` {t}" for c, t in fields.items() if c not in ("n_buckets", "block_its")) + ", blk int, bucket long")
+
+    # level one: totals of all buckets but the last, with a zero for each, so that no running total is missing
+    columns = ["gid", "iter", "block_its", "bucket", "cnt", *sums]
+    several = F.col("n_buckets") > 1
+    schema = f"gid long, iter int, block_its long, bucket long, cnt long, {', '.join(f'`{c}` {number}' for c in sums)}"
+    totals = x.where(several).select("gid", "n_buckets", "block_its", "r", *values)         .mapInArrow(_bucket_totals(values, iterations, integral), schema)
+    grid = stats.where(several).select("gid", "block_its", "n_buckets", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter"))         .select("gid", "iter", "block_its", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_buckets") - 2)).alias("bucket"),
+                F.lit(0).cast("long").alias("cnt"), *[F.lit(0).cast(number).alias(c) for c in sums])
+    per = totals.unionByName(grid).groupBy("gid", "iter", "block_its", "bucket").agg(*[F.sum(c).alias(c) for c in ["cnt", *sums]])
+    running = Window.partitionBy("gid", "iter").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = per.select("gid", "iter", (F.col("iter") / F.col("block_its")).cast("int").alias("blk"), "block_its",
+                         (F.col("bucket") + 1).alias("bucket"), F.lit(0).cast("long").alias("n_buckets"),
+                         *[F.sum(c).over(running).cast("long" if c == "cnt" else number).alias(c) for c in ["cnt", *sums]])
+    header = stats.select("gid", F.lit(-1).alias("iter"), "block_its", "n_buckets", F.col("n_total").alias("cnt"),
+                          *[F.col(f"sum_{v}").cast(number).alias(f"s_{v}") for v in values],
+                          F.explode(F.sequence(F.lit(0), (F.ceil(F.lit(iterations) / F.col("block_its")) - 1).cast("int"))).alias("blk"))         .withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_buckets") - 1)))
+    heads = header.unionByName(offsets)
+
+    # level two
+    key = ["gid", "blk", "bucket"]
+    conf = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(min(max(conf, 2 * (work or 0)), max(conf, cells or 0)))
     if reduce:
-        schema = T.StructType([T.StructField("gid", T.IntegerType()), T.StructField("n", T.LongType()),
-                               T.StructField("cnt", T.LongType())] +
-                              [T.StructField(f"num_{v}", T.DoubleType()) for v in values])
+        names, schema = [], "gid long, n long, cnt long, " + ", ".join(f"`{s}_{v}` long" for v in values for s in ("hi", "lo"))
     else:
-        schema = T.StructType([T.StructField("gid", T.IntegerType()), T.StructField("iter", T.IntegerType()),
-                               T.StructField("n", T.LongType())] +
-                              [T.StructField(f"p_{v}", T.LongType() if integral else T.DoubleType()) for v in values])
-    small = sx.groupBy("gid", "blk").applyInPandas(_prefix_block(values, units, iterations, step, reduce, integral), schema) \
-        .join(stats.select("gid", "n_total"), "gid")
-
-    # larger groups: hash range cut into buckets; bucket totals give offsets
-    it = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter")
-    e = x.filter(F.col("n_buckets") > 1).select("gid", "n_total", "n_buckets", "r", *units, *values, it) \
-        .withColumn("h", mix(F.col("r"), F.col("iter"))) \
-        .withColumn("bucket", F.floor(F.col("h") * F.col("n_buckets") / F.lit(MIX_P)).cast("int"))
-    gk = ["gid", "iter"]
-    tot = e.groupBy(*gk, "bucket").agg(F.count(F.lit(1)).alias("b_cnt"), *[F.sum(v).alias(f"b_{v}") for v in values])
-    wb = Window.partitionBy(*gk).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*gk, "bucket", F.coalesce(F.sum("b_cnt").over(wb), F.lit(0)).alias("o_cnt"),
-                     *[F.coalesce(F.sum(f"b_{v}").over(wb), F.lit(0)).alias(f"o_{v}") for v in values])
-    wr = Window.partitionBy(*gk, "bucket").orderBy("h", *units).rowsBetween(Window.unboundedPreceding, 0)
-    # The exploded side must not be broadcast (size estimates ignore the explode); a
-    # shuffle join on (group, iteration, bucket) also gives the window its partitioning.
-    big = e.join(off.hint("merge"), [*gk, "bucket"]).select(
-        "gid", "iter", "n_total", (F.col("o_cnt") + F.count(F.lit(1)).over(wr)).alias("n"),
-        *[(F.col(f"o_{v}") + F.sum(v).over(wr)).cast("bigint" if integral else "double").alias(f"p_{v}") for v in values])
+        numerators = numerators and integral
+        names = ["gid", "iter", "n", *[f"err_{v}" for v in values]] + (["err_den", *[f"num_{v}" for v in values]] if numerators else [])
+        schema = "gid long, iter int, n long, " + ", ".join(f"`{c}` double" for c in names[3:])
+    found = dealt.repartition(parts, *key).groupBy(*key).cogroup(heads.repartition(parts, *key).groupBy(*key))         .applyInArrow(_cell(values, units, iterations, step, reduce, integral, numerators, names), schema)
+    named = stats.select("gid", *groups, "n_total")
     if not reduce:
-        return finish(small.select(*big.columns).unionByName(big))
-    if not integral:
-        raise ValueError("reduce=True needs integer value columns")
-    # exact error numerators summed over iterations, per (group, n)
-    bigr = big.filter((F.col("n") % step == 0) & (F.col("n") < F.col("n_total"))) \
-        .join(stats.select("gid", *[f"sum_{v}" for v in values]), "gid") \
-        .groupBy("gid", "n").agg(F.count(F.lit(1)).alias("cnt"), *[
-            F.sum(_numerator(v)).cast("double").alias(f"num_{v}") for v in values])
-    parts_ = small.select("gid", "n", "cnt", *[f"num_{v}" for v in values]).unionByName(bigr)
-    tot = parts_.groupBy("gid", "n").agg(F.sum("cnt").alias("iterations"),
-                                         *[F.sum(f"num_{v}").alias(f"num_{v}") for v in values])
-    j = tot.join(stats.select("gid", *groups, "n_total"), "gid")
+        return found.join(named, "gid").select(*groups, *names[1:])
+    tot = found.groupBy("gid", "n").agg(F.sum("cnt").alias("iterations"), *[
+        (F.sum(F.col(f"hi_{v}").cast("decimal(20,0)")).cast("decimal(26,0)") * F.lit(1 << 32).cast("decimal(11,0)")
+         + F.sum(f"lo_{v}").cast("decimal(20,0)")).cast("double").alias(f"num_{v}") for v in values])
     den = F.col("iterations").cast("double") * F.col("n") * F.col("n_total")
-    return j.select(*groups, F.col("n").cast("bigint").alias("n"), F.col("iterations").cast("bigint").alias("iterations"),
-                    *[(F.col(f"num_{v}") / den).alias(f"mean_{v}") for v in values])
+    return tot.join(named, "gid").select(*groups, "n", F.col("iterations").cast("bigint").alias("iterations"),
+                                         *[(F.col(f"num_{v}") / den).alias(f"mean_{v}") for v in values])
 
 
 def to_long(errors: DataFrame, keys: Sequence[str], value_names: dict[str, tuple[str, str]]) -> DataFrame:
@@ -210,37 +305,25 @@ def error_mean(errors_long: DataFrame, keys: Sequence[str]) -> DataFrame:
     return errors_long.groupBy(*keys, "n").agg(cnt.alias("iterations"), mean.alias("mean_err"))
 
 
-_WEIGHTS: dict[tuple[int, int, int], np.ndarray] = {}
-
-
-def bootstrap_weights(draws: int, seed: int, size: int) -> np.ndarray:
-    """Poisson(1) bootstrap weights (draws x size), the same for every group; generated
-    once per worker process."""
-    key = (draws, seed, size)
-    if key not in _WEIGHTS:
-        _WEIGHTS[key] = np.random.default_rng(seed).poisson(1.0, size=(draws, size)).astype(np.float64)
-    return _WEIGHTS[key]
-
-
 def _bootstrap_batches(draws: int, seed: int, level: float, keys: list[str], iterations: int):
-    lo_q, hi_q = 100 * (1 - level) / 2, 100 * (1 + level) / 2
+    tails = [50 * (1 - level), 50 * (1 + level)]
+    kept: list[np.ndarray] = []
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for its, errs in zip(pdf["its"], pdf["errs"]):
-                it = np.asarray(its, dtype=np.int64)
-                x = np.asarray(errs, dtype=np.float64)
-                w = bootstrap_weights(draws, seed, max(iterations, int(it.max()) + 1))
-                w = w[:, :len(x)] if np.array_equal(it, np.arange(len(x))) else w[:, it]
-                sw = w.sum(axis=1)
-                means = (w @ x)[sw > 0] / sw[sw > 0]
-                rows.append((len(x), float(x.mean()), float(np.percentile(means, lo_q)), float(np.percentile(means, hi_q))))
-            out = pdf[keys + ["n"]].copy()
-            stats = np.array(rows, dtype=np.float64).reshape(-1, 4)
-            out["iterations"] = stats[:, 0].astype(np.int64)
-            out["mean_err"], out["ci_lo"], out["ci_hi"] = stats[:, 1], stats[:, 2], stats[:, 3]
-            yield out
+        if not kept:
+            seeds = np.array([row_seed_py(seed, "boot", i) for i in range(iterations)], np.int64)
+            kept.append(poisson_weight_np(seeds[None, :], np.arange(draws)[:, None]).astype(np.float64))
+        for batch in batches:
+            stats = np.zeros((batch.num_rows, 4))
+            for i, (xs, den) in enumerate(zip(batch.column("xs"), batch.column("den").to_numpy())):
+                at, x = (xs.values.field(c).to_numpy() for c in ("iter", "x"))
+                w = kept[0] if len(at) == iterations else kept[0][:, at]
+                total = w.sum(axis=1)
+                means = (w @ x)[total > 0] / (total[total > 0] * den)
+                stats[i] = len(x), x.sum() / (len(x) * den), *np.percentile(means, tails)
+            out = [batch.column(c) for c in [*keys, "n"]]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(stats[:, 0].astype(np.int64)), *map(pa.array, stats[:, 1:].T)],
+                                             names=[*keys, "n", "iterations", "mean_err", "ci_lo", "ci_hi"])
 
     return run
 
@@ -249,20 +332,34 @@ def error_curve(errors_long: DataFrame, keys: Sequence[str], draws: int = 1000,
                 level: float = 0.95, iterations: int = ITERATIONS) -> DataFrame:
     """Mean error and ``level`` Poisson-bootstrap percentile interval per (keys, n).
 
-    Each (keys, n) holds one value per iteration (bounded by the iteration count, not
-    by the data), gathered into one array; batches of such rows are bootstrapped with
-    one weight matrix per worker."""
+    The weight of iteration i in draw d is the Poisson(1) quantile of a keyed uniform of (seed, i, d): the same for every
+    key, engine and retry. A draw's mean is ``sum(w * error) / sum(w)`` (draws without weight are left out);
+    percentiles interpolate linearly. Integer errors (``num`` over a common ``den``) are summed exactly.
+
+    Each (keys, n) holds one value per iteration (bounded by the iteration count, not by the data), gathered
+    into one array; the draws of a point are one product with the weight matrix."""
     keys = list(keys)
-    arr = errors_long.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("iter", "err"))).alias("xs")) \
-        .select(*keys, "n", F.transform("xs", lambda v: v["iter"]).alias("its"),
-                F.transform("xs", lambda v: v["err"]).alias("errs"))
+    exact = "num" in errors_long.columns
+    x = F.col("num" if exact else "err").cast("double").alias("x")
+    den = F.first("den") if exact else F.lit(1.0)
+    arr = errors_long.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("iter", x))).alias("xs"),
+                                              den.cast("double").alias("den"))
     fields = [f for f in errors_long.schema.fields if f.name in keys]
     schema = T.StructType(fields + [T.StructField("n", T.LongType()), T.StructField("iterations", T.LongType()),
                                     T.StructField("mean_err", T.DoubleType()), T.StructField("ci_lo", T.DoubleType()),
                                     T.StructField("ci_hi", T.DoubleType())])
-    return arr.mapInPandas(_bootstrap_batches(draws, seed, level, keys, iterations), schema)
+    return arr.select(*[f.name for f in fields], "n", "xs", "den") \
+        .mapInArrow(_bootstrap_batches(draws, seed, level, [f.name for f in fields], iterations), schema)
+
 
+def samples_needed(curve: DataFrame, keys: Sequence[str], level: float | DataFrame) -> DataFrame:
+    """Smallest n whose mean error is at most the level (NULL if none), per keys.
 
-def samples_needed(curve: DataFrame, keys: Sequence[str], level: float) -> DataFrame:
-    """Smallest n whose mean error is at most ``level`` (NULL if none), per keys."""
-    return curve.groupBy(*keys).agg(F.min(F.when(F.col("mean_err") <= F.lit(level), F.col("n"))).alias("n_needed"))
+    ``level`` is one number for all keys, or a table of levels: ``level`` and any of the key columns. A table gives a
+    row per key and level it names (several levels of one key are several rows); keys it does not name give none. Null keys match null keys."""
+    first = F.min(F.when(F.col("mean_err") <= F.col("level"), F.col("n"))).alias("n_needed")
+    if not isinstance(level, DataFrame):
+        return curve.withColumn("level", F.lit(float(level))).groupBy(*keys).agg(first)
+    on = [c for c in level.columns if c != "level"]
+    wanted = level.select(*on, F.col("level").cast("double").alias("level")).distinct()
+    return _null_safe_join(curve, wanted, on).groupBy(*keys, "level").agg(first)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tandem.functions.hashing import mix_sql, row_seed_sql
+from tandem.functions.hashing import MIX_P, mix_sql, poisson_weight_sql, row_seed_sql
 from tandem.operators import subsample as ss
 from tandem.plans.q_paired import PAIRS, pivot
 from tandem.plans.q_scores import _q, scores
@@ -16,8 +16,12 @@ VALUES = [f"{a}_{b}" for a, b in PAIRS]
 NAMES = {f"{a}_{b}": (a, b) for a, b in PAIRS}
 SEED = 0
 SUBJECT = "PROMO"
-# Error level whose sample count is reported (the first level marked in the reference).
-LEVEL = 0.0341
+DRAWS = 1000
+# The error levels marked in the reference: one subject with a level for every pair, four with one for the
+# pair of the smaller models.
+LEVELS = [("ECONOMY", "m8b", "m3b", 0.0373), ("ECONOMY", "m8b", "m1b", 0.0465), ("ECONOMY", "m3b", "m1b", 0.0341),
+          ("LARGE", "m3b", "m1b", 0.0315), ("MEDIUM", "m3b", "m1b", 0.0374), ("PROMO", "m3b", "m1b", 0.00341),
+          ("SMALL", "m3b", "m1b", 0.0335)]
 
 
 def diff_wide(spark, sf):
@@ -25,8 +29,8 @@ def diff_wide(spark, sf):
     return p.select(*GROUPS, *UNITS, *[(F.col(a).cast("int") - F.col(b).cast("int")).alias(f"{a}_{b}") for a, b in PAIRS])
 
 
-def errors(spark, sf):
-    return ss.subsample_error(diff_wide(spark, sf), VALUES, GROUPS, UNITS, seed=SEED)
+def errors(spark, sf, numerators=False):
+    return ss.subsample_error(diff_wide(spark, sf), VALUES, GROUPS, UNITS, seed=SEED, numerators=numerators)
 
 
 def mean_long(spark, sf):
@@ -38,26 +42,44 @@ def mean_long(spark, sf):
 
 
 def errors_long(spark, sf):
-    return ss.to_long(errors(spark, sf), [*GROUPS, "iter", "n"], NAMES)
+    return ss.to_long(errors(spark, sf, numerators=True), [*GROUPS, "iter", "n"], NAMES)
 
 
-_W = "w as (select subject, noise, qid, rep, " + ", ".join(
+# Oracle: every (group, iteration) is one sorted list of integers that hold hash, rank of the unit and
+# values; sums of 20 neighbours, then running sums of those, are the prefix sums.
+_W = "w as materialized (select subject, noise, qid, rep, " + ", ".join(
     f"cast({a} as int) - cast({b} as int) {a}_{b}" for a, b in PAIRS) + " from piv)"
-_ST = ("st as (select subject, noise, count(*) n_total, " + ", ".join(f"avg({v}) ref_{v}" for v in VALUES) + ", "
-       + ", ".join(f"cast(sum({v}) as bigint) sum_{v}" for v in VALUES) + " from w group by all)")
-_E = f"""e0 as (select w.*, st.* exclude (subject, noise), {row_seed_sql(str(SEED), 'w.subject', 'w.noise', 'w.qid', 'w.rep')} r
-  from w join st using (subject, noise)),
-e as (select e0.*, it.iter, {mix_sql('e0.r', 'it.iter')} u
-  from e0 cross join (select cast(unnest(range(0, {ss.ITERATIONS})) as int) iter) it),
-rk as (select *, row_number() over win n, """ + ", ".join(f"sum({v}) over win p_{v}" for v in VALUES) + f"""
-  from e window win as (partition by subject, noise, iter order by u, qid, rep rows between unbounded preceding and current row)),
+_ST = ("st as materialized (select *, row_number() over () gid from (select subject, noise, count(*) n_total, "
+       + ", ".join(f"avg({v}) ref_{v}" for v in VALUES) + ", "
+       + ", ".join(f"cast(sum({v}) as bigint) sum_{v}" for v in VALUES) + " from w group by all))")
+_DIGITS = 4 ** len(VALUES)
+_UNITS = 2 ** 20        # units of a group, at most, in the oracle
+_E = f"""e0 as materialized (select gid, {row_seed_sql(str(SEED), 'w.subject', 'w.noise', 'w.qid', 'w.rep')} r,
+  (row_number() over (partition by gid order by qid, rep) - 1) * {_DIGITS} + """ + " + ".join(
+    f"({v} + 1) * {4 ** i}" for i, v in enumerate(VALUES)) + f""" tail from w join st using (subject, noise)),
+ks as (select gid, iter, list_sort(list({mix_sql('r', 'iter')} * {_DIGITS * _UNITS} + tail)) ks
+  from e0 cross join (select cast(unnest(range(0, {ss.ITERATIONS})) as int) iter) it group by gid, iter),
+us as (select gid, iter, unnest(ks) k, generate_subscripts(ks, 1) pos from ks),
+bs as (select gid, iter, cast((pos + {ss.STEP} - 1) // {ss.STEP} as bigint) b, """ + ", ".join(
+    f"sum(k // {4 ** i} % 4 - 1) p_{v}" for i, v in enumerate(VALUES)) + f""" from us group by all),
+ps as (select gid, iter, b * {ss.STEP} n, """ + ", ".join(f"cast(sum(p_{v}) over win as bigint) p_{v}" for v in VALUES) + """
+  from bs window win as (partition by gid, iter order by b rows between unbounded preceding and current row)),
 errs as (select subject, noise, iter, n, n * n_total den, """ + ", ".join(
-    f"abs(sum_{v} * n - cast(p_{v} as bigint) * n_total) num_{v}" for v in VALUES) + ", " + ", ".join(
-    f"abs(sum_{v} * n - cast(p_{v} as bigint) * n_total) / (n * n_total) err_{v}" for v in VALUES) + f"""
-  from rk where n % {ss.STEP} = 0 and n < n_total),
+    f"abs(sum_{v} * n - p_{v} * n_total) num_{v}" for v in VALUES) + ", " + ", ".join(
+    f"abs(sum_{v} * n - p_{v} * n_total) / (n * n_total) err_{v}" for v in VALUES) + """
+  from ps join st using (gid) where n < n_total),
 el as (""" + " union all ".join(f"select subject, noise, iter, n, '{a}' model_a, '{b}' model_b, err_{a}_{b} err, num_{a}_{b} num, den from errs"
                                 for a, b in PAIRS) + """),
 em as (select subject, noise, model_a, model_b, n, count(*) iterations, sum(num) / (count(*) * any_value(den)) mean_err from el group by all)"""
+_BOOT = f"""wd as (select d, i, ('0x' || substr(md5('{SEED}|boot|' || i), 1, 8))::bigint % {MIX_P} r
+  from (select unnest(range(0, {DRAWS})) d), (select unnest(range(0, {ss.ITERATIONS})) i)),
+wt as (select d, list(cast({poisson_weight_sql('r', 'd')} as double) order by i) wl from wd group by d),
+ww as materialized (select wl, list_sum(wl) sw from wt where list_sum(wl) > 0),
+pl as materialized (select subject, noise, model_a, model_b, n, any_value(den) den, count(*) iterations, sum(num) total, list(cast(num as double) order by iter) nl
+  from el group by all),
+bm as (select subject, noise, model_a, model_b, n, quantile_cont(list_inner_product(nl, wl) / (sw * den), [0.025, 0.975]) q from pl cross join ww group by all)"""
+_LEVELS = "ls as (select * from (values " + ", ".join(
+    f"('{s}', '{a}', '{b}', {x}e0)" for s, a, b, x in LEVELS) + ") v(subject, model_a, model_b, level))"
 
 
 @query("subject_scores", _q(f"select * from sc where subject = '{SUBJECT}'"))
@@ -90,16 +112,17 @@ def error_mean(spark, sf):
     return rounded(mean_long(spark, sf))
 
 
-@query("error_curve")
+@query("error_curve", _q("""select subject, noise, model_a, model_b, n, iterations, round(total / (iterations * den), 6) mean_err,
+  round(q[1], 6) ci_lo, round(q[2], 6) ci_hi from bm join pl using (subject, noise, model_a, model_b, n)""", _W, _ST, _E, _BOOT))
 def error_curve(spark, sf):
-    """Mean error and 95% Poisson-bootstrap interval over the iterations (rows-only)."""
-    return rounded(ss.error_curve(errors_long(spark, sf).select(*GROUPS, "iter", "n", "model_a", "model_b", "err"),
-                                  [*GROUPS, "model_a", "model_b"]))
+    """Mean error and 95% Poisson-bootstrap interval over the iterations."""
+    return rounded(ss.error_curve(errors_long(spark, sf), [*GROUPS, "model_a", "model_b"], DRAWS, SEED))
 
 
-@query("samples_needed", _q(f"""select subject, noise, model_a, model_b, min(case when mean_err <= {LEVEL}e0 then n end) n_needed
-  from em group by all""", _W, _ST, _E))
+@query("samples_needed", _q("""select subject, noise, model_a, model_b, level, min(case when mean_err <= level then n end) n_needed
+  from em join ls using (subject, model_a, model_b) group by all""", _W, _ST, _E, _LEVELS))
 def samples_needed(spark, sf):
-    """Smallest sample size whose mean error is at most the level."""
+    """Smallest sample size whose mean error is at most the level of its subject and pair."""
     keys = [*GROUPS, "model_a", "model_b"]
-    return ss.samples_needed(mean_long(spark, sf), keys, LEVEL)
+    levels = spark.createDataFrame(LEVELS, "subject string, model_a string, model_b string, level double")
+    return ss.samples_needed(mean_long(spark, sf), keys, levels)

@@ -112,3 +112,93 @@ def test_large_sums_do_not_overflow(spark):
         m = ss.subsample_error(df, ["v"], ["g"], ["q"], iterations=3, step=20, bucket_rows=size, reduce=True)
         for x in m.collect():
             assert np.isclose(x.mean_v, np.mean([exp[i, x.n] for i in range(3)]), rtol=1e-12)
+
+
+def test_every_bucket_count_gives_the_same_errors(spark):
+    """One bucket, a few, more buckets than rows: the bucket count decides nothing but the split."""
+    df = fixture(spark)
+    exp = brute([tuple(r) for r in df.collect()], 7, 20, 5)
+    for bucket_rows in (120, 30, 3, 1):
+        got, _ = run(spark, bucket_rows)
+        assert set(got) == set(exp)
+        assert all(np.allclose(got[k], exp[k], atol=1e-12) for k in exp), bucket_rows
+
+
+def test_small_cells_and_slices(spark, monkeypatch):
+    """Blocks of one iteration, slices of a few pairs."""
+    monkeypatch.setattr(ss, "CELL_PAIRS", 100)
+    df = fixture(spark)
+    exp = brute([tuple(r) for r in df.collect()], 7, 20, 5)
+    for bucket_rows in (10_000, 40):
+        got, _ = run(spark, bucket_rows)
+        assert set(got) == set(exp) and all(np.allclose(got[k], exp[k], atol=1e-12) for k in exp)
+
+
+def test_fractional_values_and_null_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, q, float(rng.normal())) for g, size in ((None, 70), ("b", 110), ("tiny", 3)) for q in range(size)]
+    df = spark.createDataFrame(rows, "g string, q long, v double")
+    exp = {}
+    for g in (None, "b"):
+        v = np.array([x for h, _, x in rows if h == g])
+        key = "4" if g is None else f"4|{g}"                  # concat_ws leaves nulls out
+        r = np.array([int(hashlib.md5(f"{key}|{q}".encode()).hexdigest()[:8], 16) % MIX_P for q in range(len(v))])
+        for it in range(5):
+            h = mix_np(r, np.int64(it))
+            c = np.cumsum(v[sorted(range(len(v)), key=lambda i: (h[i], i))])
+            for n in range(20, len(v), 20):
+                exp[g, it, n] = abs(v.mean() - c[n - 1] / n)
+    for bucket_rows in (1000, 25):
+        e = ss.subsample_error(df, ["v"], ["g"], ["q"], iterations=5, step=20, seed=4, bucket_rows=bucket_rows)
+        assert e.columns == ["g", "iter", "n", "err_v"]
+        got = {(x.g, x.iter, x.n): x.err_v for x in e.collect()}
+        assert set(got) == set(exp) and all(abs(got[k] - exp[k]) < 1e-12 for k in exp)
+    assert ss.subsample_error(df.where("g = 'tiny'"), ["v"], ["g"], ["q"], iterations=5).count() == 0
+    assert ss.subsample_error(df.where("false"), ["v"], ["g"], ["q"], iterations=5).count() == 0
+
+
+def test_poisson_weights_agree_and_are_poisson(spark):
+    import duckdb
+
+    from tandem.functions.hashing import (POISSON_STEPS, poisson_weight, poisson_weight_np, poisson_weight_sql, row_seed,
+                                          row_seed_py)
+    seeds = np.array([row_seed_py(9, "boot", i) for i in range(200)])
+    w = poisson_weight_np(seeds[None, :], np.arange(300)[:, None])
+    df = spark.range(200).select(F.col("id"), row_seed(F.lit(9), "'boot'", F.col("id")).alias("r")) \
+        .crossJoin(spark.range(300).select(F.col("id").alias("d")))
+    got = {(r.d, r.id): r.w for r in df.select("d", "id", poisson_weight(F.col("r"), F.col("d")).alias("w")).collect()}
+    assert all(got[d, i] == w[d, i] for d in range(300) for i in range(200))
+    sql = f"select d, r, {poisson_weight_sql('r', 'd')} from (select unnest({seeds.tolist()}) r), (select unnest(range(300)) d)"
+    assert sorted(duckdb.sql(sql).fetchall()) == sorted((d, int(seeds[i]), int(w[d, i])) for d in range(300) for i in range(200))
+    import math
+    for k, t in enumerate(POISSON_STEPS):
+        assert abs(t / MIX_P - sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) < 1e-8
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.25
+
+
+def test_error_curve_against_a_plain_bootstrap(spark):
+    from tandem.functions.hashing import poisson_weight_np, row_seed_py
+    rng = np.random.default_rng(8)
+    rows = [(g, n, i, float(rng.exponential())) for g in ("a", "b") for n in (20, 40) for i in range(30) if (g, i) != ("b", 7)]
+    df = spark.createDataFrame(rows, "g string, n long, iter int, err double")
+    seeds = np.array([row_seed_py(3, "boot", i) for i in range(30)])
+    for r in ss.error_curve(df, ["g"], draws=150, seed=3, level=0.9, iterations=30).collect():
+        mine = [(i, e) for g, n, i, e in rows if (g, n) == (r.g, r.n)]
+        means = []
+        for d in range(150):
+            w = [int(poisson_weight_np(seeds[i], np.int64(d))) for i, _ in mine]
+            if sum(w):
+                means.append(sum(a * e for a, (_, e) in zip(w, mine)) / sum(w))
+        assert r.iterations == len(mine) and abs(r.mean_err - np.mean([e for _, e in mine])) < 1e-12
+        assert np.allclose([r.ci_lo, r.ci_hi], np.percentile(means, [5, 95]), atol=1e-12)
+
+
+def test_levels_by_key(spark):
+    curve = spark.createDataFrame([(s, m, n, 1 / n) for s in ("x", None) for m in ("p", "q") for n in (10, 20, 40)],
+                                  "s string, m string, n long, mean_err double")
+    levels = spark.createDataFrame([("x", "p", 0.05), ("x", "p", 0.1), ("x", "p", 0.1), (None, "q", 0.02), ("none", "p", 1.0)],
+                                   "s string, m string, level double")
+    got = {tuple(r) for r in ss.samples_needed(curve, ["s", "m"], levels).collect()}
+    assert got == {("x", "p", 0.05, 20), ("x", "p", 0.1, 10), (None, "q", 0.02, None)}
+    by_m = {tuple(r) for r in ss.samples_needed(curve, ["s", "m"], levels.where("s = 'x'").select("m", "level")).collect()}
+    assert by_m == {(s, "p", lv, n) for s in ("x", None) for lv, n in ((0.05, 20), (0.1, 10))}
