@@ -1,21 +1,22 @@
 """File scans and sinks of the evaluation runs.
 
-Readers accept the reference's on-disk layouts; writers use Spark's own partitioned
-sinks. The run-file writer (reference layout, one CSV per (model, seed) run) writes
-from the executors with an Arrow batch function and needs a POSIX path visible to all
-executors (a shared mount); the Spark-native sinks work on any file system.
+Readers accept the reference's on-disk layouts; writers use Spark's own sinks, whose task and job commit
+leave nothing of a failed attempt. Run files (reference layout, one CSV per (model, seed) run) are written by the CSV sink
+to a hidden folder beside them and renamed when the job is committed. All of it works on any file system that Spark does.
 """
 
 from __future__ import annotations
 
-import csv
-import os
 import uuid
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tandem.session import ship_package, write_once
 
 
 # ---- S1: reply tree <root>/<model>/responses_<start>_<end>_seed<seed>.csv -------------------
@@ -53,67 +54,178 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString().rstrip("/")
 
 
-def _run_file_writer(root: str, start: int, end: int):
-    def run(batches):
-        name = out = writer = None
-        count = 0
-
-        def close():
-            out.close()
-            os.replace(out.name, name)      # a run file appears whole, whichever attempt wrote it
-            return name, count
-
-        done = []
-        for pdf in batches:
-            for (model, seed), part in pdf.groupby(["model", "seed"], sort=False):
-                path = os.path.join(root, str(model), f"responses_{start}_{end}_seed{seed}.csv")
-                if path != name:
-                    if out:
-                        done.append(close())
-                    os.makedirs(os.path.dirname(path), exist_ok=True)
-                    name, count = path, 0
-                    out = open(f"{path}.{uuid.uuid4().hex}.tmp", "w", newline="")
-                    writer = csv.writer(out, quoting=csv.QUOTE_MINIMAL)
-                    writer.writerow(["0"])
-                for r in part["reply"].tolist():
-                    writer.writerow(["" if r is None else r])
-                count += len(part)
-        if out:
-            done.append(close())
-        yield pd.DataFrame(done, columns=["path", "rows"])
-
-    return run
-
-
 def write_reply_tree(replies: DataFrame, root: str, start: int = 0, end: int | None = None) -> DataFrame:
-    """S5 (reference layout): one CSV per (model, seed) run with header ``0``, rows in
-    (qid, rep) order, a NULL reply written as an empty field. Each run file is written by
-    the single task that holds the run (hash partitioning on (model, seed)) under a temporary
-    name and renamed when it is whole. ``root`` is a POSIX path that all executors share.
-    Returns (path, rows) per file."""
-    if "://" in root or root.startswith("file:"):
-        scheme, _, rest = root.partition(":")
-        if scheme != "file":
-            raise ValueError(f"run files need a POSIX path shared by all executors, not {root!r}")
-        root = "/" + rest.lstrip("/")
+    """S5 (reference layout): one CSV ``<root>/<model>/responses_<start>_<end>_seed<seed>.csv`` per (model, seed)
+    run with header ``0``, rows in (qid, rep) order, a NULL reply written as an empty field.
+
+    A run is sorted by, and streamed through, one task (the layout has one file for it). The CSV sink writes to a
+    hidden folder below ``root``: attempts that fail or are killed leave no file there, and readers do not see it.
+    After the job's commit its files replace those of the same names, one rename a run, and the folder is removed,
+    also when the job fails. Returns (path, rows) per file."""
+    spark = replies.sparkSession
     end = end if end is not None else 0
-    parts = int(replies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = replies.repartition(parts, "model", "seed").sortWithinPartitions("model", "seed", "qid", "rep")
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("rows", T.LongType())])
-    return ordered.select("model", "seed", "reply").mapInPandas(_run_file_writer(root, start, end), schema)
+    run = ["model", "seed"]
+    # one row per file that the driver will rename
+    runs = [(i, r.model, r.seed, r.n) for i, r in enumerate(
+        replies.where("model is not null and seed is not null").groupBy(*run).agg(F.count(F.lit(1)).alias("n")).collect())]
+    types = {f.name: f.dataType.simpleString() for f in replies.schema.fields}
+    if not runs:
+        return spark.createDataFrame([], "path string, rows long")
+    number = spark.createDataFrame([r[:3] for r in runs], f"run int, model {types['model']}, seed {types['seed']}")
+    parts = min(len(runs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    root = root.rstrip("/")
+    staging = f"{root}/_staging-{uuid.uuid4().hex}"
+    fs, path = _file_system(spark, root)
+    done = []
+    try:
+        # the partition column is a number, so the sink keeps the order of the sorted rows
+        replies.join(number, run).repartition(parts, "run").sortWithinPartitions("run", "qid", "rep") \
+            .select("run", F.coalesce("reply", F.lit("")).alias("0")) \
+            .write.partitionBy("run").option("header", True).option("escape", '"').option("emptyValue", '""') \
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(staging)
+        for i, model, seed, n in runs:
+            written = [f.getPath() for f in fs.listStatus(path(f"{staging}/run={i}")) if f.getPath().getName().endswith(".csv")]
+            if len(written) != 1:
+                raise RuntimeError(f"run {model}, {seed}: {len(written)} files")
+            name = f"{root}/{model}/responses_{start}_{end}_seed{seed}.csv"
+            fs.mkdirs(path(name).getParent())
+            fs.delete(path(name), False)
+            if not fs.rename(written[0], path(name)):
+                raise OSError(f"cannot rename a run file to {name}")
+            done.append((name, n))
+    finally:
+        fs.delete(path(staging), True)
+    return spark.createDataFrame(done, "path string, rows long")
+
+
+def _file_system(spark: SparkSession, root: str):
+    """The file system of ``root`` and the constructor of its paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 # ---- S4: column-oriented JSON {"col": {"0": v, ...}} (pandas default layout) ----------------
+#
+# A file of this layout is one JSON object on one line. It is read as text cut at commas, so that
+# Spark splits it over tasks. A piece that begins with a quoted number and a colon starts a cell, wherever the piece lies:
+# a quote behind a comma either opens a string (then the comma is outside of strings) or closes one
+# (then no digit can follow), and a quote inside a string is escaped. Likewise '":{"<number>":' starts a column.
+# Other pieces continue the cell before them.
+
+_CELL = r'^\s*"\d+"\s*:'
+_COLUMN = r'"\s*:\s*\{\s*"\d+"\s*:'
+_NAME = r'^\s*\{?\s*("(?:[^"\\]|\\.)*+")\s*:\s*\{\s*"\d+"\s*:'
+_PREFIX = r'^[\s\S]*?"\s*:\s*\{\s*(?="\d+"\s*:)'
+_PLAIN = r'^\s*"\d+"\s*:\s*"([^"\\]*+)"'             # a string without escapes, and a number or word: no parser needed
+_WORD = r'^\s*"\d+"\s*:\s*([-+.\w]++)[\s}]*$'
+_CELLS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("part", pa.int8()), ("col", pa.string()),
+                    ("named", pa.bool_()), ("text", pa.string())])
+_HEAD, _WHOLE, _TAIL = 0, 1, 2
+
+
+def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces in file order -> cells. The pieces before the first start in a split belong to a cell of an earlier split
+    (head), those from the last start on may go on in a later one (tail)."""
+
+    def cells(at, seq, col, named, texts, parts):
+        n = len(texts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([at[0]] * n, pa.string()), pa.array(np.full(n, at[1])), pa.array(np.arange(seq, seq + n)), pa.array(parts, pa.int8()),
+             col, named, texts], schema=_CELLS)
+
+    def one(value, kind):
+        return pa.array([value], kind)
+
+    at = None           # (file, block) being read
+    seq, col, named, open_, tail = 0, None, False, [], False
+    for batch in batches:
+        keys = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist())) if batch.num_rows else []
+        lo = 0
+        while lo < len(keys):
+            hi = lo + 1
+            while hi < len(keys) and keys[hi] == keys[lo]:
+                hi += 1
+            if keys[lo] != at:
+                if open_:
+                    yield cells(at, seq, one(col, pa.string()), one(named, pa.bool_()), one(",".join(open_), pa.string()), [_TAIL if tail else _HEAD])
+                at, seq, col, named, open_, tail = keys[lo], 0, None, False, [], False
+            part = batch.slice(lo, hi - lo)
+            lo = hi
+            start = np.flatnonzero(part.column("start").to_numpy(zero_copy_only=False))
+            piece = part.column("piece")
+            first = int(start[0]) if len(start) else part.num_rows
+            open_ += piece.slice(0, first).to_pylist()
+            if not len(start):
+                continue
+            if open_:
+                yield cells(at, seq, one(col, pa.string()), one(named, pa.bool_()), one(",".join(open_), pa.string()), [_WHOLE if tail else _HEAD])
+                seq += 1
+            # the column of a cell: the last column started up to it, or the one the split was in
+            begins = part.column("column").to_numpy(zero_copy_only=False)[start].astype(bool)
+            last = np.maximum.accumulate(np.where(begins, np.arange(len(start)), -1))
+            names = part.column("name").take(pa.array(start))
+            names = pc.if_else(pa.array(last >= 0), names.take(pa.array(np.maximum(last, 0))), pa.scalar(col, pa.string()))
+            known = pa.array((last >= 0) | named)
+            if len(start) > 1:
+                offsets = np.append(start[:-1], start[-1]) - first
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), piece.slice(first, int(start[-1]) - first))
+                texts = pc.binary_join(lists, ",")
+                yield cells(at, seq, names.slice(0, len(start) - 1), known.slice(0, len(start) - 1), texts, np.full(len(start) - 1, _WHOLE, np.int8))
+                seq += len(start) - 1
+            col, named = names[-1].as_py(), known[-1].as_py()
+            open_, tail = piece.slice(int(start[-1])).to_pylist(), True
+    if open_:
+        yield cells(at, seq, one(col, pa.string()), one(named, pa.bool_()), one(",".join(open_), pa.string()), [_TAIL if tail else _HEAD])
+
 
 def read_column_json(spark: SparkSession, path: str | list[str], columns: dict[str, str]) -> DataFrame:
     """Rows of column-oriented JSON files; ``columns`` maps name -> Spark type.
     Output has ``file`` (decoded path), ``pos`` (the row key in its file) and the typed columns.
-    The layout keeps a whole file in one JSON object, so a file is read by one task."""
-    txt = spark.read.option("wholetext", True).text(path).select("value", _decoded(F.col("_metadata.file_path")).alias("file"))
-    parsed = txt.select("file", F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("col", "cells"))
-    cells = parsed.select("file", "col", F.explode("cells").alias("pos", "v"))
-    wide = cells.groupBy("file", F.col("pos").cast("bigint").alias("pos")).pivot("col", list(columns)).agg(F.first("v"))
-    return wide.select("file", "pos", *[F.col(c).cast(t).alias(c) for c, t in columns.items()])
+
+    A file is read by as many tasks as it has splits, in memory bounded by a batch of pieces and the longest cell; only
+    cells of the asked columns leave the scan. A cell cut by a split is joined from its ends, which are few rows.
+    Cells hold scalars, arrays or objects; an object inside a cell must not have numbers as keys. Names with commas
+    cannot be asked for (columns of such names are passed over)."""
+    if any("," in c for c in columns):
+        raise ValueError("names of columns to read must not contain commas")
+    ship_package(spark)
+    raw = spark.read.option("lineSep", ",").text(path).select(
+        F.col("value").alias("piece"), _decoded(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    starts = F.col("piece").rlike(_COLUMN)
+    name = F.from_json(F.concat(F.lit("["), F.nullif(F.regexp_extract("piece", _NAME, 1), F.lit("")), F.lit("]")), "array<string>")[0]
+    marked = raw.select("file", "block", (starts | F.col("piece").rlike(_CELL)).alias("start"), starts.alias("column"),
+                        F.when(starts, name).alias("name"), F.when(starts, F.regexp_replace("piece", _PREFIX, "")).otherwise(F.col("piece")).alias("piece"))
+    cells = marked.mapInArrow(_join_pieces, "file string, block long, seq long, part tinyint, col string, named boolean, text string")
+    return _rows_of_cells(cells, columns)
+
+
+def _rows_of_cells(cells: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Cells, and the ends of cells that splits cut, -> typed rows."""
+    wanted = F.col("col").isin(list(columns)) | ~F.col("named") | (F.col("part") != _WHOLE)
+    cells = write_once(cells.where(wanted))
+    # one or two rows a split: the column that a split begins in, and the cells between splits
+    order = Window.partitionBy("file").orderBy("block", "seq")
+    ends = cells.where(F.col("part") != _WHOLE)
+    in_column = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = cells.where(F.col("part") == _TAIL).select("file", "block", F.when(F.col("named"), F.struct("col")).alias("now"))
+    begins = last.select("file", "block", F.last("now", ignorenulls=True).over(in_column)["col"].alias("inherited"))
+    nth = F.sum((F.col("part") == _TAIL).cast("int")).over(order)
+    joined = ends.withColumn("cell", nth).groupBy("file", "cell").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "text"))), lambda x: x["text"]), ",").alias("text"),
+        F.min(F.when(F.col("part") == _TAIL, F.struct("block", "named", "col"))).alias("t")) \
+        .where("t is not null").select("file", F.col("t.block").alias("block"), F.col("t.named").alias("named"), F.col("t.col").alias("col"), "text")
+    whole = cells.where(F.col("part") == _WHOLE).select("file", "block", "named", "col", "text")
+    # ``begins`` has a row per split of the scan, a list that the driver already plans from: safe to broadcast
+    both = whole.unionByName(joined).join(F.broadcast(begins), ["file", "block"], "left") \
+        .withColumn("col", F.when(F.col("named"), F.col("col")).otherwise(F.col("inherited"))).where(F.col("col").isin(list(columns)))
+    # a cell is '"<pos>": value'; what follows the value (the end of the object) is not read
+    entry = F.map_entries(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "map<string, string>"))[0]
+    word = F.nullif(F.regexp_extract("text", _WORD, 1), F.lit("null"))
+    value = F.when(F.col("text").rlike(_PLAIN), F.regexp_extract("text", _PLAIN, 1)).when(F.col("text").rlike(_WORD), word).otherwise(entry["value"])
+    parsed = both.select("file", "col", F.regexp_extract("text", r'^\s*"(\d+)"', 1).cast("bigint").alias("pos"), value.alias("v"))
+    cols = [F.first(F.when(F.col("col") == c, F.col("v")), ignorenulls=True).cast(t).alias(c) for c, t in columns.items()]
+    # paths share long prefixes: rows are sorted by the path's hash and compare whole paths only where it is equal
+    return parsed.groupBy(F.xxhash64("file").alias("_h"), "pos", "file").agg(*cols).select("file", "pos", *columns)
 
 
 def write_column_json(df: DataFrame, path: str, pos: str = "pos", rows_per_file: int = 10_000) -> None:

@@ -1,11 +1,16 @@
 """Reply-tree scan quirks: non-csv and '900' files skipped, positions, quoting, length guard."""
 
 import csv
+import json
 import os
+import random
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from tandem.operators.scoring import head_questions, length_guard, score, tree_replies
-from tandem.sources.files import read_column_json, read_model_list, read_reply_tree, write_runs
+from tandem.sources.files import read_column_json, read_model_list, read_reply_tree, write_reply_tree, write_runs
 
 
 def write(path, replies):
@@ -86,3 +91,99 @@ def test_a_rewritten_run_leaves_the_others(spark):
     write_runs(df([("a", "2", "new")]), d)
     back = spark.read.option("header", True).schema("reply string, model string, seed string").csv(d)
     assert sorted((r.model, r.seed, r.reply) for r in back.collect()) == [("a", "1", "x"), ("a", "2", "new"), ("b", "1", "z")]
+
+
+NASTY = ['', 'plain', 'a,b', ',', 'ends,', 'ends\\', 'q"uote', '","5":"x', ',"7":', '\\",\\"8":{"0":1}', '":{"0":', 'line\nbreak, "9": z', '{"a":{"0":"1"}}',
+         '}},', 'é\u2028\U0001F600,x', '\x00\t', ' "12" : ', '/slash/']
+
+
+def column_objects(seed):
+    """Objects of three asked columns and others around them, with strings that look like the layout."""
+    rnd = random.Random(seed)
+    n = rnd.choice([0, 1, 7, 120])
+    text = lambda: rnd.choice([None, *NASTY, "".join(rnd.choice(NASTY) for _ in range(6)), "w, " * rnd.choice([1, 400])])
+    cols = {"a b": text, "empty, named": text, 'q"c': text, "n": lambda: rnd.choice([None, 0, -5, 12345678901]),
+            "list": lambda: [text() or "", rnd.randint(0, 9)], "obj": lambda: {"x": text(), "y": [1, {"z": 2}]}, "0": text}
+    names = list(cols)
+    rnd.shuffle(names)
+    return {c: {str(i): cols[c]() for i in range(n)} if rnd.random() < 0.9 or c in ("a b", "n") else {} for c in names}, n
+
+
+@pytest.mark.parametrize("split", [None, 37, 400])
+def test_column_json_in_splits(spark, split):
+    """Whatever the split size, also far below a cell, the rows are those of a whole parse."""
+    d = tempfile.mkdtemp(prefix="tandem-json-")
+    want = {}
+    for i in range(6 if split == 37 else 12):
+        obj, n = column_objects(i)
+        if split == 37 and n > 10:
+            obj, n = {c: {k: v for k, v in x.items() if int(k) < 3} for c, x in obj.items()}, 3
+        style = [{"separators": (",", ":")}, {}, {"ensure_ascii": False, "separators": (",", ":")}, {"indent": 1}][i % 4]
+        with open(f"{d}/f{i}.json", "w") as f:
+            json.dump(obj, f, **style)
+        for k in range(n):
+            want[f"f{i}.json", k] = tuple(obj[c].get(str(k)) for c in ("a b", 'q"c', "n", "list", "0"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        rows = read_column_json(spark, d, {"a b": "string", 'q"c': "string", "n": "bigint", "list": "string", "0": "string"}).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {(r.file.split("/")[-1], r.pos): (r["a b"], r['q"c'], r.n, json.loads(r["list"]) if r["list"] else None, r["0"]) for r in rows}
+    assert len(rows) == len(got) and got == want
+
+
+def test_column_names_with_commas_are_refused(spark):
+    with pytest.raises(ValueError):
+        read_column_json(spark, "/nowhere", {"a,b": "string"})
+
+
+def run_rows(spark):
+    texts = ["A", None, "", ' lead "q", and\nline', "trail ", "é", "a\r\nb", '""', ",", "\\", '\\"', "#x"]
+    rows = [(m, s, q, r, texts[(q * 3 + r + len(m)) % len(texts)]) for m in ("mA", "my model+1") for s in ("11", "007") for q in range(40) for r in range(3)]
+    return spark.createDataFrame(rows, "model string, seed string, qid long, rep int, reply string").repartition(7), rows
+
+
+def test_run_files_round_trip(spark):
+    root = tempfile.mkdtemp(prefix="tandem-tree-")
+    df, rows = run_rows(spark)
+    files = {(r.path, r.rows) for r in write_reply_tree(df, root, 0, 40).collect()}
+    assert files == {(f"{root}/{m}/responses_0_40_seed{s}.csv", 120) for m in ("mA", "my model+1") for s in ("11", "007")}
+    want = {}
+    for m, s, q, r, t in sorted(rows, key=lambda x: x[:4]):
+        want.setdefault((m, s), []).append(t)
+    for (m, s), texts in want.items():
+        with open(f"{root}/{m}/responses_0_40_seed{s}.csv", newline="") as f:
+            assert [x[0] for x in csv.reader(f)] == ["0", *[t or "" for t in texts]]
+    got = {}
+    for r in read_reply_tree(spark, root).orderBy("model", "seed", "pos").collect():
+        got.setdefault((r.model, r.seed), []).append(r.reply)
+    assert {k: [t or "" for t in v] for k, v in got.items()} == {k: [t or "" for t in v] for k, v in want.items()}
+    again = df.where("model = 'mA' and seed = '11'").withColumn("reply", F.lit("new"))
+    write_reply_tree(again, root, 0, 40)                      # replaces its file, leaves the others
+    back = {(r.model, r.seed): r.n for r in read_reply_tree(spark, root).where("reply = 'new'").groupBy("model", "seed").agg(F.count("*").alias("n")).collect()}
+    assert back == {("mA", "11"): 120} and read_reply_tree(spark, root).count() == 480
+
+
+def test_a_failed_run_file_job_leaves_nothing(spark):
+    root = tempfile.mkdtemp(prefix="tandem-tree-")
+    df, _ = run_rows(spark)
+    write_reply_tree(df.where("model = 'mA'"), root)
+    before = sorted((d, tuple(f)) for d, _, f in os.walk(root))
+    bad = df.withColumn("reply", F.when(F.col("qid") == 39, F.raise_error(F.lit("lost"))).otherwise(F.lit("x")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        write_reply_tree(bad, root)
+    assert sorted((d, tuple(f)) for d, _, f in os.walk(root)) == before
+    assert write_reply_tree(df.where("false"), root).count() == 0
+
+
+def test_run_files_on_another_file_system(spark):
+    """Any file system that Spark opens, not only local paths."""
+    root = tempfile.mkdtemp(prefix="tandem-tree-")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.runs.link./out", f"file://{root}")
+    df, rows = run_rows(spark)
+    write_reply_tree(df, "viewfs://runs/out/tree")
+    got = read_reply_tree(spark, "viewfs://runs/out/tree")
+    assert got.count() == len(rows) and {r.model for r in got.select("model").distinct().collect()} == {"mA", "my model+1"}
+    assert sorted(os.listdir(f"{root}/tree")) == ["mA", "my model+1"]
