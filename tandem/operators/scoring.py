@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.parsing import noise_label, parse_choice, parse_correct
 from tandem.operators.indexing import ordinal
+from tandem.session import write_once
 
 
 def length_guard(replies: DataFrame, questions: DataFrame, n_repeats: int,
@@ -21,12 +22,13 @@ def length_guard(replies: DataFrame, questions: DataFrame, n_repeats: int,
     """Rows of every run file against questions x repeats.
 
     ``file`` names the columns that tell files apart (a table without files has one per run).
-    The reference silently drops a file whose length differs; here every file is
+    ``replies`` may also be a table of files with their ``n_rows`` (as a scan of a reply tree gives), which is
+    not counted again. The reference silently drops a file whose length differs; here every file is
     reported with ``accepted`` so dropped ones are visible."""
     expected = questions.select((F.count(F.lit(1)) * F.lit(n_repeats)).cast("bigint")).scalar()
-    return replies.groupBy(*file).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")) \
-        .withColumn("expected", expected) \
-        .withColumn("accepted", F.col("n_rows") == F.col("expected"))
+    files = replies.select(*file, F.col("n_rows").cast("bigint").alias("n_rows")) if "n_rows" in replies.columns and "reply" not in replies.columns \
+        else replies.groupBy(*file).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+    return files.withColumn("expected", expected).withColumn("accepted", F.col("n_rows") == F.col("expected"))
 
 
 def head_questions(questions: DataFrame, n_samples: int | None, order: Sequence[str] = ("qid",)) -> DataFrame:
@@ -35,20 +37,29 @@ def head_questions(questions: DataFrame, n_samples: int | None, order: Sequence[
     return q if n_samples is None else q.filter(F.col("qpos") < n_samples)
 
 
+def accepted_files(files: DataFrame, questions: DataFrame, n_repeats: int) -> DataFrame:
+    """J3 + T4: the files of a reply tree (:class:`tandem.sources.files.ReplyTree`) that hold questions x repeats rows,
+    with their number ``nth`` in path order inside the (model, seed) run. Reads the file table only."""
+    good = files.join(length_guard(files, questions, n_repeats, ["path"]).filter("accepted").select("path"), "path", "left_semi")
+    # files of one run: a few rows
+    return good.withColumn("nth", F.row_number().over(Window.partitionBy("model", "seed").orderBy("path")) - 1)
+
+
 def tree_replies(tree: DataFrame, questions: DataFrame, n_repeats: int, n_samples: int | None = None) -> DataFrame:
     """S1 -> J2: rows of a scanned reply tree with their keys (model, seed, qid, rep, reply).
 
     A file's rows are the questions in order, each ``n_repeats`` times in adjacent copies. Files of
     another length contribute nothing (J3, per file); several accepted files of one (model, seed)
-    are appended in path order (T4), their repeats counted on."""
+    are appended in path order (T4), their repeats counted on. A tree scanned with :func:`accepted_files`
+    brings the number ``nth`` along and is read once; any other tree is read a second time for it."""
     q = head_questions(questions, n_samples)
-    good = length_guard(tree, q, n_repeats, ["model", "seed", "path"]).filter("accepted")
-    # files of one run: a few rows
-    nth = F.row_number().over(Window.partitionBy("model", "seed").orderBy("path")) - 1
-    good = good.select(F.col("path").alias("_path"), nth.alias("_nth"))
-    rows = tree.join(good, F.col("path") == F.col("_path")).select(
-        "model", "seed", F.floor(F.col("pos") / n_repeats).alias("qpos"),
-        (F.col("_nth") * n_repeats + F.col("pos") % n_repeats).cast("int").alias("rep"), "reply")
+    if "nth" not in tree.columns:
+        rest = ["model", "seed", "path"]
+        files = tree.select(*rest, "n_rows").distinct() if "n_rows" in tree.columns else tree.groupBy(*rest).agg(F.count(F.lit(1)).alias("n_rows"))
+        good = accepted_files(files, q, n_repeats).select(F.col("path").alias("_path"), "nth")
+        tree = tree.join(good, F.col("path") == F.col("_path"))
+    rows = tree.select("model", "seed", F.floor(F.col("pos") / n_repeats).alias("qpos"),
+                       (F.col("nth") * n_repeats + F.col("pos") % n_repeats).cast("int").alias("rep"), "reply")
     return rows.join(q.select("qpos", "qid"), "qpos").select("model", "seed", "qid", "rep", "reply")
 
 
@@ -88,15 +99,34 @@ def first_seed(scores: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(chosen), ["noise", "model", "seed"], "left_semi")
 
 
-def noise_pivot(scores: DataFrame, models: Sequence[str]) -> DataFrame:
+def lowest_runs(replies: DataFrame, questions: DataFrame, coupled_seed: int, n_repeats: int,
+                parse_reply: Callable[[Column], Column] = parse_choice,
+                parse_answer: Callable[[Column], Column] = parse_correct) -> DataFrame:
+    """A4 from replies: the scores (noise, model, seed, subject, qid, rep, ok) of the lowest accepted seed per (noise, model);
+    what :func:`score` and :func:`first_seed` give, from one pass over the replies.
+
+    The pass scores all rows and writes them once; row counts (J3) and seeds are then one aggregate over three
+    columns of that table, and the rows to keep a scan of it filtered by the few runs chosen."""
+    q = questions.select("qid", "subject", parse_answer(F.col("answer")).alias("correct"))
+    expected = questions.select((F.count(F.lit(1)) * F.lit(n_repeats)).cast("bigint")).scalar()
+    scored = write_once(replies.join(q, "qid", "left").select(
+        noise_label("seed", coupled_seed).alias("noise"), "model", "seed", "subject", "qid", "rep",
+        (parse_reply(F.col("reply")) == F.col("correct")).alias("ok")))
+    runs = scored.groupBy("noise", "model", "seed").agg(F.count(F.lit(1)).alias("n_rows"), F.count("ok").alias("n_ok"))
+    chosen = runs.filter((F.col("n_rows") == expected) & (F.col("n_ok") > 0)).groupBy("noise", "model").agg(F.min("seed").alias("seed"))
+    # a row per noise and model
+    return scored.filter("ok is not null").join(F.broadcast(chosen), ["noise", "model", "seed"], "left_semi")
+
+
+def noise_pivot(scores: DataFrame, models: Sequence[str], chosen: bool = False) -> DataFrame:
     """A4: one row per (noise, subject, qid, rep), one boolean column per model
-    (the lowest seed's reply for each noise and model).
+    (the lowest seed's reply for each noise and model; ``chosen``: the scores are those already).
 
     The rows are hash-partitioned on (subject, qid): the pivot and every later per-question
     grouping (differences per question and pair, the noise pivot, covariances) group on a
     superset of that key, so they reuse this one shuffle. A question holds at most
     noises x models x repeats rows."""
-    s = first_seed(scores).repartition("subject", "qid")
+    s = (scores if chosen else first_seed(scores)).repartition("subject", "qid")
     return s.groupBy("noise", "subject", "qid", "rep").agg(
         *[F.max(F.when(F.col("model") == m, F.col("ok"))).alias(m) for m in models])
 

@@ -15,7 +15,7 @@ from tandem.operators.indexing import ordinal
 from tandem.operators.pairwise import NOISES
 from tandem.plans.oracle import F1, F2, F3, F4, F6, sql
 from tandem.plans.registry import query, rounded
-from tandem.session import checkpoint_dir
+from tandem.session import checkpoint_dir, write_once
 from tandem.sources import files as fl
 from tandem.sources import fixtures as fx
 
@@ -38,14 +38,14 @@ def csv_tree(spark, sf):
     fl.write_reply_tree(r, root).count()
     extra = r.filter((F.col("model") == "m8b") & (F.col("seed") == fx.COUPLED_SEED)).withColumn("seed", F.lit(9001))
     fl.write_reply_tree(extra, root).count()        # name contains '900': must be skipped
-    return fl.read_reply_tree(spark, root).drop("path")
+    return fl.read_reply_tree(spark, root).drop("path", "n_rows")
 
 
 def reply_tree(spark, sf) -> str:
     """A reply folder with every case: all runs of F2, a '900' file, a file of half length, a run
     with a text seed in a nested folder, a second file of one run, and a file that is no CSV."""
     root = scratch(spark, "tree")
-    r = fx.replies(spark, sf)
+    r = write_once(fx.replies(spark, sf))           # five sets of run files come from it
 
     def run(model, seed):
         return r.filter((F.col("model") == model) & (F.col("seed") == seed))
@@ -77,7 +77,8 @@ tscored as (select case when t.seed = '{fx.COUPLED_SEED}' then 'Coupled' else 'I
 def tree_accuracy(spark, sf):
     """S1 -> J3 -> T4 -> J2 -> A3: accuracy of every (noise, model, seed, subject) from a reply folder."""
     q = fx.questions(spark, sf).filter(~F.col("is_dev"))
-    rows = sc.tree_replies(fl.read_reply_tree(spark, reply_tree(spark, sf)), q, fx.N_REPEATS)
+    tree = fl.ReplyTree(spark, reply_tree(spark, sf))
+    rows = sc.tree_replies(tree.read(sc.accepted_files(tree.files(), q, fx.N_REPEATS)), q, fx.N_REPEATS)
     scores = sc.score(rows, q, fx.COUPLED_SEED, fx.N_REPEATS, guard=False)
     return rounded(scores.groupBy("noise", "model", "seed", "subject").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"), F.avg(F.col("ok").cast("int")).alias("accuracy")))
@@ -88,8 +89,8 @@ def tree_accuracy(spark, sf):
 def q_length_guard(spark, sf):
     """Length of every run file of a reply folder (row count = questions x repeats)."""
     q = fx.questions(spark, sf).filter(~F.col("is_dev"))
-    tree = fl.read_reply_tree(spark, reply_tree(spark, sf))
-    return sc.length_guard(tree, q, fx.N_REPEATS, ["model", "seed", "path"]).drop("path")
+    files = fl.ReplyTree(spark, reply_tree(spark, sf)).files()
+    return sc.length_guard(files, q, fx.N_REPEATS, ["model", "seed", "path"]).drop("path")
 
 
 _CMP_COLS = {"noise": "string", "model_a": "string", "model_b": "string", "seed_a": "bigint", "seed_b": "bigint",

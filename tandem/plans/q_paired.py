@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tandem.operators import paired as pa
 from tandem.operators import scoring as sc
-from tandem.plans.q_scores import MODELS, _q, scores, test_questions
+from tandem.plans.q_scores import MODELS, _q, lowest_runs, scores, test_questions
 from tandem.plans.oracle import F1, sql
 from tandem.plans.registry import query, rounded
 
@@ -13,7 +13,7 @@ CYCLIC = pa.cyclic_pairs(MODELS)
 
 
 def pivot(spark, sf):
-    return sc.noise_pivot(scores(spark, sf), MODELS)
+    return sc.noise_pivot(lowest_runs(spark, sf), MODELS, chosen=True)
 
 
 def diffs(spark, sf, subject=None):

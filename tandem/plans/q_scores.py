@@ -24,6 +24,10 @@ def scores(spark, sf):
     return sc.score(fx.replies(spark, sf), test_questions(spark, sf), CS, R)
 
 
+def lowest_runs(spark, sf):
+    return sc.lowest_runs(fx.replies(spark, sf), test_questions(spark, sf), CS, R)
+
+
 SCORED = f"""q as (select qid, subject, case when answer between 0 and 3 then substr('ABCD', answer + 1, 1) end correct
   from f1 where not is_dev),
 runs as (select model, seed, count(*) n_rows from f2 group by all),
@@ -63,7 +67,7 @@ def q_accuracy(spark, sf):
 @query("noise_pivot", _q("select * from piv"))
 def q_noise_pivot(spark, sf):
     """A4: noise x model pivot of correctness (lowest seed per noise and model)."""
-    return sc.noise_pivot(scores(spark, sf), MODELS)
+    return sc.noise_pivot(lowest_runs(spark, sf), MODELS, chosen=True)
 
 
 @query("subjects", sql("select distinct subject from f1 where not is_dev", ("f1", F1)))

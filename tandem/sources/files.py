@@ -26,25 +26,52 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def read_reply_tree(spark: SparkSession, root: str, exclude: str = "900") -> DataFrame:
-    """S1 + W5: every reply row of every run file: (model, seed, file, path, pos, reply).
-
-    Files of every depth below ``root`` (not in it); model = name of the folder that holds the
-    file, seed = the name up to its first '.', after its last 'seed' (a string); only '.csv'
-    files, and none whose name contains ``exclude``. A multi-line CSV file is never split, so its
-    rows get consecutive ids inside one task; ``pos`` is the id minus the file's first id."""
+def _tree_rows(spark: SparkSession, root: str, exclude: str) -> DataFrame:
     raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
            .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
            .schema("reply string").csv(root)
            .select("reply", _decoded(F.col("_metadata.file_path")).alias("path")))
-    parts = F.split("path", "/")
-    raw = raw.withColumns({"file": F.element_at(parts, -1), "model": F.element_at(parts, -2)})
     inside = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), "/[^/]*$", "") != F.lit(_qualified(spark, root))
-    raw = raw.filter(~F.col("file").contains(exclude) & inside).withColumn("_id", F.monotonically_increasing_id())
-    first = raw.groupBy(F.col("path").alias("_path")).agg(F.min("_id").alias("_first"))
-    seed = F.substring_index(F.substring_index(F.col("file"), ".", 1), "seed", -1)
-    return raw.join(first, F.col("path") == F.col("_path")).select(
-        "model", seed.alias("seed"), "file", "path", (F.col("_id") - F.col("_first")).alias("pos"), "reply")
+    named = ~F.element_at(F.split("path", "/"), -1).contains(exclude)
+    return raw.filter(named & inside).withColumn("_id", F.monotonically_increasing_id())
+
+
+class ReplyTree:
+    """A folder of run files, listed once, so that all scans number its rows alike.
+
+    Files of every depth below ``root`` (not in it); model = name of the folder that holds the
+    file, seed = the name up to its first '.', after its last 'seed' (a string); only '.csv'
+    files, and none whose name contains ``exclude``. Files without a row are not listed."""
+
+    def __init__(self, spark: SparkSession, root: str, exclude: str = "900"):
+        self._rows = _tree_rows(spark, root, exclude)
+        self._files: DataFrame | None = None
+
+    def files(self) -> DataFrame:
+        """(model, seed, file, path, first_id, n_rows) of every file, from one scan, written once."""
+        if self._files is None:
+            facts = self._rows.groupBy("path").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"))
+            parts = F.split("path", "/")
+            file = F.element_at(parts, -1)
+            seed = F.substring_index(F.substring_index(file, ".", 1), "seed", -1)
+            self._files = write_once(facts.select(F.element_at(parts, -2).alias("model"), seed.alias("seed"), file.alias("file"),
+                                                  "path", "first_id", "n_rows"))
+        return self._files
+
+    def read(self, files: DataFrame | None = None) -> DataFrame:
+        """Every reply row of ``files`` (some rows of :meth:`files`; all by default), with the file's columns.
+
+        A multi-line CSV file is never split, so its rows get consecutive ids inside one task; ``pos`` is
+        the id minus the file's first id."""
+        files = self.files() if files is None else files
+        rest = [c for c in files.columns if c not in ("first_id", "model", "seed", "file", "path")]
+        return self._rows.withColumnRenamed("path", "_path").join(files, F.col("path") == F.col("_path")).select(
+            "model", "seed", "file", "path", (F.col("_id") - F.col("first_id")).alias("pos"), "reply", *rest)
+
+
+def read_reply_tree(spark: SparkSession, root: str, exclude: str = "900") -> DataFrame:
+    """S1 + W5: every reply row of every run file: (model, seed, file, path, pos, reply, n_rows); see :class:`ReplyTree`."""
+    return ReplyTree(spark, root, exclude).read()
 
 
 def _qualified(spark: SparkSession, path: str) -> str:

@@ -187,3 +187,36 @@ def test_run_files_on_another_file_system(spark):
     got = read_reply_tree(spark, "viewfs://runs/out/tree")
     assert got.count() == len(rows) and {r.model for r in got.select("model").distinct().collect()} == {"mA", "my model+1"}
     assert sorted(os.listdir(f"{root}/tree")) == ["mA", "my model+1"]
+
+
+def test_tree_accuracy_scans_the_folder_twice(spark):
+    """One scan for the file table (starts, row counts), one for the accepted files' rows."""
+    from tandem.operators.scoring import accepted_files
+    from tandem.sources.files import ReplyTree
+    root = tempfile.mkdtemp(prefix="tandem-tree-")
+    write(f"{root}/m/responses_0_2_seed1.csv", ["A", "B", "C", "D"])
+    write(f"{root}/m/responses_1_2_seed1.csv", ["B", "B", "B", "B"])
+    write(f"{root}/n/responses_0_1_seed2.csv", ["A", "B"])
+    q = spark.createDataFrame([(5, "s", 0), (9, "s", 1)], "qid long, subject string, answer int")
+    tree = ReplyTree(spark, root)
+    write(f"{root}/a/responses_0_2_seed1.csv", ["A", "B", "C", "D"])           # after the listing: not part of it
+    rows = tree_replies(tree.read(accepted_files(tree.files(), q, 2)), q, 2)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+    slow = tree_replies(read_reply_tree(spark, root).where("model <> 'a'"), q, 2)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, slow.collect())) and rows.count() == 8
+    guard = {(r.path[-24:], r.n_rows, r.accepted) for r in length_guard(tree.files(), q, 2, ["path"]).collect()}
+    assert guard == {("responses_0_2_seed1.csv"[-24:].rjust(24, "/"), 4, True), ("/responses_1_2_seed1.csv", 4, True), ("/responses_0_1_seed2.csv", 2, False)}
+
+
+def test_lowest_runs_read_the_replies_once(spark):
+    from tandem.operators.scoring import first_seed, lowest_runs
+    rows = [("m", s, q, r, "ABCD"[(q + r + s) % 4]) for s in (3, 7, 9) for q in (1, 2, 4) for r in (0, 1) if (s, q, r) != (3, 4, 1)]
+    rows += [("k", 7, q, r, None) for q in (1, 2, 4) for r in (0, 1)]
+    q = spark.createDataFrame([(1, "s", 0), (2, "t", 1), (4, "t", 9)], "qid long, subject string, answer int")
+    df = spark.createDataFrame(rows, "model string, seed long, qid long, rep int, reply string")
+    got = lowest_runs(df, q, 7, 2)
+    cols = ["noise", "model", "seed", "subject", "qid", "rep", "ok"]
+    want = first_seed(score(df, q, 7, 2)).select(cols)
+    assert sorted(map(tuple, got.select(cols).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert {(r.noise, r.model, r.seed) for r in got.collect()} == {("Coupled", "m", 7), ("Coupled", "k", 7), ("Independent", "m", 9)}
+    assert "reply#" not in got._jdf.queryExecution().executedPlan().toString()        # only the written scores
