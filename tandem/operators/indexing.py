@@ -5,7 +5,9 @@ to one task, and a global ``row_number() over (order by o)`` sends the whole tab
 one task. :func:`ordinal` instead range-partitions and sorts on ``(keys, order)`` -- a hot
 group is split over many range partitions -- tags the sorted rows with Spark's increasing ids,
 writes them once (reliable checkpoint), and turns ids into positions with per-(partition, group)
-offsets taken from a small count table. Everything stays in the JVM and every column keeps its
+offsets taken from a count table. That table is written first, so the planner knows its size: up to its
+broadcast threshold the offsets go to the sorted partitions and the rows are exchanged once, for the sort;
+a larger table (very many groups) is met by a shuffle join. Everything stays in the JVM and every column keeps its
 type. Used for joint vocabulary ids (W1), question numbers (W2), positions (W5) and token steps.
 """
 
@@ -17,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.session import cut_lineage
+from tandem.session import write_once
 
 _PID = "_tandem_pid"
 _ID = "_tandem_id"
@@ -25,8 +27,6 @@ _ID = "_tandem_id"
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where null equals null; ``right``'s key columns are dropped."""
-    if not keys:
-        return left.crossJoin(right)
     right = right.withColumnsRenamed({k: f"_tandem_r_{k}" for k in keys})
     on: Column = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_tandem_r_{k}")) for k in keys])
     return left.join(right, on, how).drop(*[f"_tandem_r_{k}" for k in keys])
@@ -51,15 +51,12 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
     # may split rows differently: the checkpoint fixes one layout for the counts and the join.
     ranged = (df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)) \
         .sortWithinPartitions(*cols)
-    local = cut_lineage(ranged.withColumns({_PID: F.spark_partition_id(), _ID: F.monotonically_increasing_id()}))
+    local = write_once(ranged.withColumns({_PID: F.spark_partition_id(), _ID: F.monotonically_increasing_id()}))
     # first id and rows per (partition, group): at most partitions + groups rows
     counts = local.groupBy(_PID, *keys).agg(F.min(_ID).alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(_PID) \
         .rowsBetween(Window.unboundedPreceding, -1)
     shift = (F.coalesce(F.sum("_cnt").over(w), F.lit(0)) - F.col("_first") + F.lit(base)).cast("long")
-    offsets = counts.select(_PID, *keys, shift.alias("_shift"))
-    if not keys:
-        # one row per range partition: bounded by the partition count, safe to broadcast
-        offsets = F.broadcast(offsets)
+    offsets = write_once(counts.select(_PID, *keys, shift.alias("_shift")))
     return _null_safe_join(local, offsets, [_PID, *keys]) \
         .withColumn(name, F.col(_ID) + F.col("_shift")).drop(_PID, _ID, "_shift")

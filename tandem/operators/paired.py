@@ -8,17 +8,25 @@ on one row, and each pair is a column expression on it. One shuffle (the pivot).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.operators.indexing import ordinal
+from tandem.operators.indexing import _null_safe_join, ordinal
+from tandem.session import write_once
+
+def exact_variance(c: Column) -> Column:
+    """Sample variance (ddof 1) of integers from their integer sums: equal rows give equal bits, in whatever order they are met."""
+    n, d = F.count(c), c.cast("long")
+    return (n * F.sum(d * d) - F.sum(d) * F.sum(d)) / F.nullif(n * (n - 1), F.lit(0).cast("long"))
+
 
 # Metric by name -> aggregate over the per-repeat differences of one question.
 METRICS = {
-    "var": lambda c: F.var_samp(c),
+    "var": exact_variance,
     "mean": lambda c: F.avg(c),
-    "std": lambda c: F.stddev_samp(c),
+    "std": lambda c: F.sqrt(exact_variance(c)),
     "sum": lambda c: F.sum(c).cast("double"),
     "count": lambda c: F.count(c).cast("double"),
 }
@@ -79,21 +87,58 @@ def question_cov(paired: DataFrame) -> DataFrame:
         F.covar_samp(F.col("ok_a").cast("double"), F.col("ok_b").cast("double")).alias("cov"))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], name: str = "median") -> DataFrame:
-    """Exact median of ``value`` per ``keys`` (mean of the two middle values for even n;
-    NULL values are ignored), without collecting a group into one task: rows are numbered
-    by a range-partitioned sort (:func:`ordinal`, ``tie`` makes the order total) and the
-    one or two middle rows are picked by their number."""
-    v = df.filter(F.col(value).isNotNull()).select(*keys, *tie, value)
-    numbered = ordinal(v, keys, [value, *tie], "_i")
-    # group sizes from the numbered rows (read from the checkpoint, not recomputed upstream)
-    n = numbered.groupBy(*keys).agg((F.max("_i") + 1).alias("_n"))
-    mid = numbered.join(n, list(keys)).filter(
-        (F.col("_i") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_i") == F.ceil((F.col("_n") - 1) / 2)))
-    return mid.groupBy(*keys).agg(F.avg(value).alias(name))
+_BINS = 65535
+
+
+def _octave_bin(v) -> Column:
+    """A number that never falls as ``v`` grows: sign and 1/64 octaves of the size; NaN is the largest."""
+    size = F.floor(F.log2(F.abs(v)) * 64) + 80_000
+    at = F.when(v == 0, F.lit(0)).when(F.abs(v) == float("inf"), 1 << 20).otherwise(size)
+    return F.when(F.isnan(v), 1 << 21).when(v < 0, -at).otherwise(at).cast("long")
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", max_rounds: int = 64) -> DataFrame:
+    """Exact median of ``value`` (as double) per ``keys``: the mean of the two middle values for even n; NULL values are
+    ignored, NaN is larger than any number, a null key is a group of its own.
+
+    Selection by refined histograms: a round counts the rows of each bin (map-side combined, with the
+    bin's least and largest value), and running counts tell the bin of each middle rank. A bin of one
+    value is the answer; any other is cut into 65,536 equal parts in the next round. Each round reads ``df`` again and
+    sends bins only; its rows are neither sorted nor written, so ``df`` must give equal values each time it is read (write
+    it first where it does not, as with sums of doubles in no fixed order). Bins of the first round are 1/64 octave wide, so few rounds
+    are left, however far apart the values of a group are."""
+    keys = list(keys)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    bins, open_ = rows.withColumn("_bin", _octave_bin(F.col("_v"))), None
+    found: list[DataFrame] = []
+    for _ in range(max_rounds):
+        cell = keys if open_ is None else [*keys, "_lo", "_hi"]
+        hist = write_once(bins.groupBy(*cell, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most")))
+        total = F.sum("_n").over(Window.partitionBy(*cell))
+        upto = F.sum("_n").over(Window.partitionBy(*cell).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+        hist = hist.withColumns({"_upto": upto, "_total": total})
+        if open_ is None:
+            # ranks (from 0) of the lower and upper middle value
+            ranked = hist.withColumn("_rank", F.explode(F.array(F.floor((F.col("_total") - 1) / 2), F.ceil((F.col("_total") - 1) / 2))))
+        else:
+            ranked = _null_safe_join(hist, open_, [*keys, "_lo", "_hi"])
+        before = F.col("_upto") - F.col("_n")
+        hit = write_once(ranked.filter((before <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
+                         .select(*keys, "_least", "_most", (F.col("_rank") - before).alias("_rank")))
+        found.append(hit.filter("_least = _most").select(*keys, F.col("_least").alias("_v")))
+        left = hit.filter("_least <> _most").select(*keys, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), "_rank")
+        if left.isEmpty():
+            break
+        open_ = left
+        inside = _null_safe_join(rows, left.select(*keys, "_lo", "_hi").distinct(), keys) \
+            .filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        part = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _BINS)
+        bins = inside.withColumn("_bin", part.cast("long"))
+    both = reduce(DataFrame.unionByName, found)
+    low, high = F.min("_v"), F.max("_v")
+    return both.groupBy(*keys).agg(F.when(low == high, low).otherwise((low + high) / 2).alias(name))
 
 
 def question_numbers(questions: DataFrame) -> DataFrame:
-    """0-based question number inside its subject (dense by qid)."""
-    return ordinal(questions.select("subject", "qid").distinct(), ["subject"], ["qid"], "question_no", dense=True)
-
+    """0-based question number inside its subject (by qid; repeated rows count once)."""
+    return ordinal(questions.select("subject", "qid").distinct(), ["subject"], ["qid"], "question_no")

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tandem.functions.hashing import MIX_P, mix_np, poisson_weight_np, row_seed, row_seed_py
 from tandem.operators.indexing import _null_safe_join
-from tandem.session import cut_lineage
+from tandem.session import write_once
 
 # ---- fixed values of the reference's error study -------------------------------------
 ITERATIONS = 1000
@@ -220,7 +220,7 @@ def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str
     groups, units, values = list(groups), list(units), list(values)
     # The input is read three times (group statistics, bucket totals, cells): write its narrow projection once
     # (reliable checkpoint in the shared folder) instead of recomputing its upstream plan.
-    wide = cut_lineage(wide.select(*groups, *units, *values))
+    wide = write_once(wide.select(*groups, *units, *values))
     integral = all(isinstance(wide.schema[v].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
                    for v in values)
     if reduce and not integral:
@@ -230,7 +230,7 @@ def subsample_error(wide: DataFrame, values: Sequence[str], groups: Sequence[str
     block = F.least(F.lit(iterations), F.greatest(F.lit(1), F.floor(
         F.lit(CELL_PAIRS) / (F.least(F.col("n_total"), F.lit(bucket_rows)) * F.col("n_buckets")))))
     # ids of a checkpointed table stay as they are
-    stats = cut_lineage(reference_means(wide, values, groups).withColumn("n_buckets", buckets.cast("long"))
+    stats = write_once(reference_means(wide, values, groups).withColumn("n_buckets", buckets.cast("long"))
                         .withColumn("block_its", block.cast("long")).withColumn("gid", F.monotonically_increasing_id()))
     cells_of = F.ceil(F.lit(iterations) / F.col("block_its")) * F.col("n_buckets")
     cells, work = stats.agg(F.sum(cells_of), F.sum(F.col("n_total").cast("double") * iterations / CELL_PAIRS)).first()

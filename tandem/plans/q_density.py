@@ -65,9 +65,9 @@ k2 as (select subject, model_a, model_b, gi, gj, any_value(gx) x, any_value(gy)
   from c2 group by all)"""
 
 
-@query("kde_2d", _q("select subject, model_a, model_b, gi, gj, round(x, 9) x, round(y, 9) y, round(density, 6) density from k2",
+@query("kde_2d", _q("select subject, model_a, model_b, gi, gj, round(x, 9) x, round(y, 9) y, round(density, 7) density from k2",
                     PD, MV, VP, K2))
 def kde_2d(spark, sf):
     """Joint density of (coupled, independent) per-question variances per (subject, pair)."""
     vp = pa.pivot_noise(pa.metric_per_question(diffs(spark, sf), "var"), "var")
-    return rounded(de.kde_2d(vp, "coupled", "independent", KEYS), 9, density=6)
+    return rounded(de.kde_2d(vp, "coupled", "independent", KEYS), 9, density=7)

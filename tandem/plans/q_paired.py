@@ -62,7 +62,7 @@ def var_pivot(spark, sf):
 def var_median(spark, sf):
     """Exact median of the per-question variances per (noise, subject, pair)."""
     mv = pa.metric_per_question(diffs(spark, sf), "var")
-    return rounded(pa.exact_median(mv, ["noise", "subject", "model_a", "model_b"], "var", ["qid"]))
+    return rounded(pa.exact_median(mv, ["noise", "subject", "model_a", "model_b"], "var"))
 
 
 @query("cyclic_pairs", _q("select * from cp", CP))

@@ -9,7 +9,7 @@ from tandem.operators import pairwise as pw
 from tandem.operators import ranking as rk
 from tandem.plans.oracle import CANON, F3, lit_double, sql, sql_list
 from tandem.plans.registry import query, rounded
-from tandem.session import cut_lineage
+from tandem.session import write_once
 from tandem.sources import fixtures as fx
 
 K = len(fx.CMP_MODELS)
@@ -22,7 +22,7 @@ def canon(spark, sf):
 
 def counts(spark, sf):
     # at most k(k-1)/2 rows per noise, by the model list: written once, then read by every statistic
-    return F.broadcast(cut_lineage(pw.pair_counts(canon(spark, sf))))
+    return F.broadcast(write_once(pw.pair_counts(canon(spark, sf))))
 
 
 def theta_sigma(spark, sf):

@@ -85,15 +85,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def write_once(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the shared checkpoint folder and read back: like :func:`cut_lineage`, for
-    tables that later steps read in part (columns and rows are pruned at the scan)."""
+    """``df`` written as Parquet below the shared checkpoint folder and read back: later plans neither recompute it nor
+    depend on the executors that made it, prune its columns and rows at the scan, and know its size."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tandem-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,3 +33,31 @@ def test_kde_2d_dense_and_singular(spark):
         d = np.array([r.x, r.y]) - pts
         q = np.einsum("pi,ij,pj->p", d, inv, d)
         assert math.isclose(r.density, np.exp(-0.5 * q).sum() / (n * 2 * math.pi * math.sqrt(det)), rel_tol=1e-9)
+
+
+def test_factored_kernel_sums():
+    """Row and column factors against one exponential per point and cell, up to nearly singular kernels and far outliers."""
+    from tandem.operators.density import kernel_grid
+    rng = np.random.default_rng(0)
+    for n, rho, scale in ((600, 0.5, 1), (300, -0.95, 1e3), (400, 0.9999, 1e-4), (300, -0.9999999, 1), (50, 0.0, 1)):
+        p = rng.normal(size=(n, 2)) * [1, 2] * scale + [5 * scale, 0]
+        p[:, 1] = rho * p[:, 0] + np.sqrt(1 - rho * rho) * p[:, 1]
+        p[0] *= 8
+        w = rng.integers(1, 9, n).astype(float)
+        c = np.cov(p.T) * n ** (-1 / 3)
+        gx, gy = (np.linspace(p[:, d].min() - 3 * c[d, d] ** 0.5, p[:, d].max() + 3 * c[d, d] ** 0.5, 60) for d in (0, 1))
+        got = kernel_grid(gx, gy, p[:, 0], p[:, 1], w, c[0, 0], c[1, 1], c[0, 1])
+        dx, dy = gx[:, None, None] - p[:, 0], gy[None, :, None] - p[:, 1]
+        inv = np.linalg.inv(c)
+        ref = (w * np.exp(-0.5 * (inv[0, 0] * dx * dx + 2 * inv[0, 1] * dx * dy + inv[1, 1] * dy * dy))).sum(2)
+        assert np.isfinite(got).all() and np.abs(got - ref).max() < 1e-8 * ref.max(), (n, rho)
+
+
+def test_null_groups_have_densities(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, float(a), float(a + b)) for g in (None, "x") for a, b in rng.normal(size=(40, 2))]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    one = de.kde_1d(df, "x", ["g"], gridsize=20)
+    assert {(r.g, r["count"]) for r in one.groupBy("g").count().collect()} == {(None, 20), ("x", 20)}
+    assert {(r.g, r["count"]) for r in de.kde_2d(df, "x", "y", ["g"], gridsize=10).groupBy("g").count().collect()} == {(None, 100), ("x", 100)}
+    assert {r.g for r in de.density_at_mean(df, "x", ["g"], one).collect()} == {None, "x"}

@@ -6,8 +6,7 @@ from tandem.plans import ORACLE, QUERIES
 from tandem.plans.check import compare, duck
 from conftest import SF001
 
-HEAVY = {"sub_error", "error_mean", "samples_needed", "kde_2d"}
-KEYS = sorted(k for k in ORACLE if k not in HEAVY)
+KEYS = sorted(ORACLE)
 
 
 @pytest.fixture(scope="module")

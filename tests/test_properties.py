@@ -49,5 +49,59 @@ def test_joint_ids_dense_and_bijective(spark):
 def test_exact_median_even_and_odd(spark):
     rows = [("a", i, float(x)) for i, x in enumerate([5, 1, 3])] + [("b", i, float(x)) for i, x in enumerate([4, 1, 3, 2])]
     df = spark.createDataFrame(rows, "g string, i int, v double")
-    got = {r.g: r.median for r in pa.exact_median(df, ["g"], "v", ["i"]).collect()}
+    got = {r.g: r.median for r in pa.exact_median(df, ["g"], "v").collect()}
     assert got == {"a": 3.0, "b": 2.5}
+
+
+def test_median_by_refined_histograms(spark):
+    """Hot, null, tiny and wide-ranging groups, infinities and NaN, without a sort of the rows."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    groups = {"hot": rng.normal(size=3001), None: rng.exponential(size=200), "one": [3.5], "two": [1.0, -4.0],
+              "zeros": [0.0, -0.0, 0.0, 5e-324], "wide": [-1e300, -1e-300, 1e-300, 1e300, 2.0, 3.0], "close": 1 + np.arange(501) * 2.0 ** -52,
+              "mixed": np.concatenate([rng.normal(size=100) * 1e-9, rng.normal(size=101) * 1e9, np.full(300, 7.25)]),
+              "inf": [float("inf"), float("-inf"), 1.0, 2.0, 3.0, float("inf")], "same": [2.5] * 1000}
+    rows = [(g, i, float(x)) for g, xs in groups.items() for i, x in enumerate(xs)] + [("hot", -1, None), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "g string, i int, v double").repartition(6)
+    got = {r.g: r.median for r in pa.exact_median(df, ["g"], "v").collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        xs = sorted(float(x) for x in xs)
+        a, b = xs[(len(xs) - 1) // 2], xs[len(xs) // 2]
+        assert got[g] == (a if a == b else (a + b) / 2), g
+    nan = spark.createDataFrame([(1, 1.0), (1, float("nan")), (1, 5.0), (2, float("nan"))], "g int, v double")
+    got = {r.g: r.median for r in pa.exact_median(nan, ["g"], "v").collect()}
+    assert got[1] == 5.0 and got[2] != got[2]
+    assert pa.exact_median(df.limit(0), ["g"], "v").count() == 0
+    whole = pa.exact_median(df.where("g = 'hot'"), [], "v").collect()
+    assert [r.median for r in whole] == [sorted(groups["hot"])[1500]]
+
+
+def test_p_value_column_against_erfc(spark):
+    import math
+
+    from tandem.functions.stats import p_value
+    zs = [0.0, 1e-12, -0.3, 1.0, -1.959964, 2.82, 2.8284271247461903, 2.83, 3.9, -6.5, 12.0, 25.0, 37.0, None, float("nan")]
+    df = spark.createDataFrame([(z,) for z in zs], "z double").select("z", p_value(F.col("z")).alias("p"))
+    assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+    for r in df.collect():
+        if r.z is None or r.z != r.z:
+            assert r.p is None
+        else:
+            exact = math.erfc(abs(r.z) / math.sqrt(2))
+            assert abs(r.p - exact) <= 1e-12 * exact + 1e-15, r.z
+
+
+def test_vocabularies_of_a_hundred_models(spark):
+    import random
+
+    from tandem.operators.vocab import vocab_common
+    rnd = random.Random(5)
+    sets = [{f"t{x}" for x in rnd.sample(range(60), rnd.randint(0, 50))} for _ in range(100)]
+    names = [f"model{i:03d}" for i in range(100)]
+    rows = [(names[m], m, t, i) for m, s in enumerate(sets) for i, t in enumerate(sorted(s))]
+    df = spark.createDataFrame(rows + rows[:50], "model string, mrank int, token string, token_id int").repartition(5)
+    got = {(r.model1, r.model2): r.common for r in vocab_common(df, names).collect()}
+    assert got == {(names[i], names[j]): len(sets[i] & sets[j]) for i in range(100) for j in range(i + 1, 100)}
+    assert {r.common for r in vocab_common(df.limit(0), names[:3]).collect()} == {0}
+    assert vocab_common(df, names[:1]).count() == 0
