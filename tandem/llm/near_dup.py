@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a set is the distinct ``k``-word shingles,
     of a shorter text its whole sequence. Null or wordless texts have no set and link with nothing.
     ``component_id`` is the smallest id reachable, the row's own id without links; ``kept`` says
-    they are equal. Rows that share an id are one node. A null id links with nothing, has a null
+    they are equal. Rows that share an id are one node, also if their texts differ or some are empty. A null id links with nothing, has a null
     component and is kept. An empty table gives no rows. Two documents at similarity ``s`` share a
     band with probability ``1 - (1 - s^rows)^bands``: 0.999995 at 0.75 with the defaults, and each
     link of a group has many ways to be found.
@@ -132,16 +132,22 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     table = written(sketch_table(base, k, bands, rows, sketch_bits))
     reps = written(table.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
                        .agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
-    comp = _link(base, reps, k, percent, bands * rows, sketch_bits)
+    # an id in several classes (or with and without a set) links them
+    kind = F.struct("n", "s1", "s2")
+    several = (table.where("doc_id is not null").groupBy("doc_id").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi"))
+               .where("lo <> hi").select("doc_id"))
+    same_id = (table.join(several, "doc_id").join(reps.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"])
+               .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct())
+    comp = _link(base, reps, k, percent, bands * rows, sketch_bits, same_id)
     members = (table.join(reps.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
-               .join(comp.withColumnRenamed("node", "rep"), "rep", "left"))
+               .withColumn("node", F.coalesce("rep", "doc_id")).join(comp, "node", "left"))
     return members.select("doc_id", F.col("n").alias("n_shingles"),
                           F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _link(base: DataFrame, reps: DataFrame, k: int, percent: int, samples: int, bits: int) -> DataFrame:
-    """``(node, component)`` over the class representatives that have a link."""
+def _link(base: DataFrame, reps: DataFrame, k: int, percent: int, samples: int, bits: int, given: DataFrame) -> DataFrame:
+    """``(node, component)`` over the class representatives that have a link, those of ``given(a, b)`` included."""
     keyed = reps.select(F.col("rep").alias("r"), F.explode("bands").alias("key"))
     centres = (keyed.groupBy("key").agg(F.count("*").alias("size"),
                                         F.min(F.struct(F.xxhash64("r", "key"), F.col("r").alias("r"))).alias("c"))
@@ -174,7 +180,7 @@ def _link(base: DataFrame, reps: DataFrame, k: int, percent: int, samples: int,
     ends = star.select("a", "b", "x", F.explode(F.array("a", "b")).alias("end"))
     order = Window.partitionBy("end").orderBy("x", "a", "b")
     first = ends.withColumn("r", F.row_number().over(order)).where("r <= 3").select("a", "b").distinct()
-    links = written(verified(first))
+    links = written(verified(first).unionByName(given))
     comp = components(links)
     rest = apart(star, comp).select("a", "b").join(first, ["a", "b"], "left_anti")
     more = written(verified(rest).unionByName(_left_out(member, reps, sets, comp, worst, percent)))

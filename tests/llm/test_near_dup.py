@@ -78,6 +78,19 @@ def test_nulls_repeats_clashes_and_empty(spark):
     assert near_duplicates(df.limit(0), text="body").count() == 0
 
 
+def test_repeated_ids_are_one_node(spark):
+    """Ids with several texts join the groups of their texts; every row of an id has one component."""
+    p, q, z = "a b c d e f g", "u v w x y z q", "k l m n o p r s"
+    rows = [(2, p), (1, q), (2, q), (3, p), (9, z), (9, None), (4, z), (10, ""), (11, z + " t"), (11, "other words of its own here"), (12, "other words of its own here"),
+            (20, "lone text with six words"), (20, " "), (None, p)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    seen = {}
+    for r in got:
+        seen.setdefault(r.doc_id, set()).add((r.component_id, r.kept))
+    assert seen == {2: {(1, False)}, 1: {(1, True)}, 3: {(1, False)}, 9: {(4, False)}, 4: {(4, True)}, 10: {(10, True)},
+                    11: {(4, False)}, 12: {(4, False)}, 20: {(20, True)}, None: {(None, True)}}
+
+
 def test_a_left_out_pair_is_found(spark):
     """Documents that meet only in a bucket whose centre is far from both."""
     from pyspark.sql import functions as F

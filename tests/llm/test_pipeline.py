@@ -82,8 +82,25 @@ def test_nulls_and_empty(spark):
             assert n >= (2 if docs.head(1) else 0)
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    """Copies go, also with the same or no id; a text goes only for itself, never for another row of its id."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    copy, own = "one two three four five six seven", "quite another text of its own words here"
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(5, copy), (7, copy), (7, own), (8, own + " x"), (9, "lone words that are in no other row"), (9, "lone words that are in no other row"),
+            (9, None), (None, copy), (None, "a text without any id at all"), (None, "a text without any id at all"), (3, ""), (4, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], schema).repartition(4)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.dtypes == docs.dtypes
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        [(5, copy), (7, own), (9, "lone words that are in no other row"), (9, None), (None, "a text without any id at all"), (3, ""), (4, "")], key=str)
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in [(1, item), (1, own), (None, item), (None, own), (2, copy)]], schema)
+    got = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, own), (None, own), (2, copy)], key=str)
+
+
 def test_every_operator_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert all(f.__doc__ for f in QUERIES.values()) and set(ORACLE) <= set(QUERIES)
 
 
