@@ -30,17 +30,37 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
             .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS))
 
 
+def _row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``_key`` of each row: its id, or a hash of id and text where the id is null or repeated, so that
+    rows of one id are told apart by their text (equal rows have equal keys)."""
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    keyed = docs.join(repeated.withColumn("_again", F.lit(True)), "doc_id", "left")
+    own = F.when(F.col("_again") | F.col("doc_id").isNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long"))
+    return keyed.withColumn("_key", own).drop("_again")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates: the one with the smallest id (a null id comes last, ties go by a
+    hash of the text). Rows of one id are documents of their own; of rows with equal id and text one stays. Texts
+    without words are near nothing."""
+    keyed = _row_keys(docs)
+    groups = written(near_dup.near_duplicates(keyed, id="_key").select(F.col("doc_id").alias("_key"), "component_id"))
+    names = keyed.select("_key", "doc_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    first = groups.distinct().join(names, "_key").groupBy("component_id").agg(F.min(rank)["_key"].alias("first"))
+    gone = written(groups.join(first, "component_id").where("_key <> first").select("_key").distinct())
+    twice = written(groups.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key"))
+    stay = keyed.join(gone, "_key", "left_anti")
+    return stay.join(twice, "_key", "left_anti").select(*COLUMNS).unionByName(
+        stay.join(twice, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage near a benchmark item."""
+    """Documents that hold no passage near a benchmark item; each row is judged by its own text, whatever its id."""
     bench = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    gone = decontaminate.contaminated(docs, bench).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = _row_keys(docs)
+    gone = written(decontaminate.contaminated(keyed, bench, id="_key").select(F.col("doc_id").alias("_key")).distinct())
+    return keyed.join(gone, "_key", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
