@@ -207,6 +207,7 @@ def _left_out(member: DataFrame, reps: DataFrame, sets: DataFrame, comp: DataFra
             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "r", "comp", "n", "sketch", "shingles"))
 
     def compare(t: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()        # of the blocks before this one
         t = t.combine_chunks()
         r, comp_, n, own, i, j = (t[x].to_numpy() for x in ("r", "comp", "n", "own", "i", "j"))
         sk = t["sketch"].chunk(0).flatten().to_numpy().reshape(len(r), -1).view(np.uint64)
@@ -233,7 +234,7 @@ def _left_out(member: DataFrame, reps: DataFrame, sets: DataFrame, comp: DataFra
     return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def _common_counts(sets: list[np.ndarray], columns: int = 1024) -> np.ndarray:
     """Intersection sizes of all pairs of sets, by products of incidence matrices."""
     out = np.zeros((len(sets), len(sets)), np.float32)
     if sets:
