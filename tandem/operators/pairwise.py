@@ -61,6 +61,14 @@ def unknown_model_rows(comparisons: DataFrame, models: Sequence[str]) -> DataFra
     return r.filter(F.col("mrank_a").isNull() | F.col("mrank_b").isNull()).drop("mrank_a", "mrank_b")
 
 
+def reject_counts(comparisons: DataFrame, models: Sequence[str], keys: Sequence[str] = ("noise",)) -> DataFrame:
+    """Rejected comparisons per (keys, model_a, model_b) as written, with the (first) unknown model: the report that
+    goes with :func:`canonical_pairs`, whose accepted rows and these add up to the input. A null model is unknown."""
+    unknown = F.when(model_rank("model_a", models).isNull(), F.col("model_a")).otherwise(F.col("model_b"))
+    return unknown_model_rows(comparisons, models).groupBy(*keys, "model_a", "model_b", unknown.alias("unknown")) \
+        .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
 def pair_counts(canon: DataFrame, keys: Sequence[str] = ("noise",)) -> DataFrame:
     """Outcome counts per (keys, model_a, model_b): n, wins_a, wins_b, ties.
 

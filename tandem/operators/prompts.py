@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tandem.functions.parsing import CHOICES, subject_title
 # ---- fixed values: prompt texts of the reference ---------------------------------------
 DEFAULT_SYSTEM = ("You will be given multiple choice questions. Please reply with a single character "
                   "'A', 'B', 'C', or 'D' only. DO NOT explain your reply.")
+OPEN_SYSTEM = "Keep your replies short and to the point."
 FEW_SHOT_HEADER = "The following are multiple choice questions (with answers) about {subject}.\n\n"
 FEW_SHOT_INSTRUCTION = ("For the next multiple choice question, answer as above by choosing the correct "
                         "answer 'A', 'B', 'C' or 'D'.\n\n")
@@ -64,5 +67,34 @@ def chat_messages(prompts: DataFrame) -> DataFrame:
         F.struct(F.lit("user").alias("role"), F.col("query").alias("content"))).alias("chat"))
 
 
-# Prompt formatter per data set
-FORMATTERS = {"mmlu": format_prompts}
+# ---- U2: prompt formatter per data set --------------------------------------------------
+
+FORMATTERS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def formatter(name: str):
+    """Register a formatter for the data set ``name``: questions and options -> (key, query, system), one row a question."""
+
+    def add(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        if name in FORMATTERS:
+            raise ValueError(f"a formatter for {name!r} is registered")
+        FORMATTERS[name] = fn
+        return fn
+
+    return add
+
+
+def prompts(dataset: str, questions: DataFrame, **options) -> DataFrame:
+    """The prompts of ``questions`` by the formatter of their data set."""
+    if dataset not in FORMATTERS:
+        raise ValueError(f"no formatter for {dataset!r}; there are {', '.join(sorted(FORMATTERS))}")
+    return FORMATTERS[dataset](questions, **options)
+
+
+formatter("mmlu")(format_prompts)
+
+
+@formatter("lmsys")
+def format_open_questions(questions: DataFrame, system: str = OPEN_SYSTEM) -> DataFrame:
+    """(pos, query, system) of open questions: the question is the prompt as it stands."""
+    return questions.select("pos", F.col("question").alias("query"), F.lit(system).alias("system"))

@@ -77,6 +77,9 @@ def run_plan(questions: DataFrame, models: Sequence[tuple[str, int, int]], n_run
         .withColumn("seed", seed_in_range(lo, hi, F.col("run_seed"), "pos"))
 
 
-def first_row(df: DataFrame, pos: str = "pos") -> DataFrame:
-    """The first row only (debug head), by explicit position."""
-    return df.filter(F.col(pos) == 0)
+def first_row(df: DataFrame, order: Sequence[str], pos: str = "pos") -> DataFrame:
+    """The first row by ``order`` only (debug head), with its position 0: one aggregate that keeps a row a task, no sort.
+    Nulls come first; equal keys go by the whole row. A table without rows gives none."""
+    row = F.struct(*df.columns)
+    least = df.agg(F.min(F.struct(F.struct(*order).alias("key"), row.alias("row"))).alias("m")).filter("m is not null")
+    return least.select("m.row.*").withColumn(pos, F.lit(0).cast("bigint"))

@@ -197,4 +197,4 @@ def pos_index(spark, sf):
 @query("first_row", sql("select pos, conv_id, turn, question from f6 where pos = 0", ("f6", F6)))
 def first_row(spark, sf):
     """First open question only (debug head)."""
-    return ru.first_row(fx.open_questions(spark, sf)).select("pos", "conv_id", "turn", "question")
+    return ru.first_row(fx.user_turns(spark, sf), ["conv_id", "turn"]).select("pos", "conv_id", "turn", "question")

@@ -68,6 +68,16 @@ def pair_canonical(spark, sf):
     return canon(spark, sf)
 
 
+KNOWN = fx.CMP_MODELS[:-1]       # a model list without one of the models that were compared
+
+
+@query("pair_rejects", _q(f"""select noise, model_a, model_b, case when list_position({sql_list(KNOWN)}, model_a) is null then model_a else model_b end unknown,
+  count(*) n from f3 where list_position({sql_list(KNOWN)}, model_a) is null or list_position({sql_list(KNOWN)}, model_b) is null group by all"""))
+def pair_rejects(spark, sf):
+    """Comparisons that canonical order rejects because they name a model outside the list, counted by pair."""
+    return pw.reject_counts(fx.comparisons(spark, sf), KNOWN)
+
+
 @query("pair_winrates", _q("""select noise, model, opponent, n, wins, round(wins / n, 6) winrate,
   round(1.96e0 * sqrt((wins / n) * (1 - wins / n) / n), 6) ci from oriented"""))
 def pair_winrates(spark, sf):

@@ -93,14 +93,20 @@ def run_plan(spark, sf):
 @query("zero_shot", sql(f"select qid, {BLOCK} query, {_lit(pr.DEFAULT_SYSTEM)} system from tq", ("f1", F1), raw=TQ))
 def zero_shot(spark, sf):
     """P4 + U2: zero-shot prompts with the default system prompt."""
-    return pr.FORMATTERS["mmlu"](test_q(spark, sf))
+    return pr.prompts("mmlu", test_q(spark, sf))
+
+
+@query("open_prompts", sql(f"select pos, question query, {_lit(pr.OPEN_SYSTEM)} system from f6", ("f6", F6)))
+def open_prompts(spark, sf):
+    """Prompts of the open questions by their own formatter."""
+    return pr.prompts("lmsys", fx.open_questions(spark, sf))
 
 
 @query("few_shot", sql(f"select qid, shots || block query, {_lit(pr.DEFAULT_SYSTEM)} system from fq", ("f1", F1),
                        raw=",\n".join([TQ, SHOTS])))
 def few_shot(spark, sf):
     """P6 + J1 + A28 + P3: few-shot prompts with all dev examples of the subject."""
-    return pr.format_prompts(test_q(spark, sf), dev_q(spark, sf), few_shot=FEW_SHOT)
+    return pr.prompts("mmlu", test_q(spark, sf), dev=dev_q(spark, sf), few_shot=FEW_SHOT)
 
 
 @query("few_shot_system", sql(f"select qid, block query, shots || {_lit(pr.FEW_SHOT_INSTRUCTION)} system from fq",

@@ -153,11 +153,15 @@ def token_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal(ev, ["unit"], ["event_id"], "step").select("unit", "step", "token")
 
 
+def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns (conv_id, turn, question) of the conversations table."""
+    return table(spark, sf_dir, "conversations").filter(F.col("role") == "user") \
+        .select("conv_id", "turn", F.col("text").alias("question"))
+
+
 def open_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """open questions (pos, conv_id, turn, question) = user turns in (conv_id, turn) order."""
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user") \
-        .select("conv_id", "turn", F.col("text").alias("question"))
-    return ordinal(c, [], ["conv_id", "turn"], "pos")
+    return ordinal(user_turns(spark, sf_dir), [], ["conv_id", "turn"], "pos")
 
 
 def assistant_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

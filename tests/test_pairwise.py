@@ -91,3 +91,11 @@ def test_rank_sets_bounds(spark):
     rs = rk.rank_sets(th, rk.winrate_cov(counts, th, MODELS), 3)
     for r in rs.collect():
         assert 1 <= r.lo <= r.hi <= 3
+
+
+def test_rejects_and_accepted_rows_add_up(spark):
+    rows = [("c", "x", "y", "A"), ("c", "y", "x", "B"), ("c", "x", "q", "A"), ("c", "q", "x", "A"), ("c", "q", "z", "Tie"), ("i", None, "x", "A")]
+    df = spark.createDataFrame(rows, "noise string, model_a string, model_b string, winner string")
+    got = {tuple(r) for r in pw.reject_counts(df, ["x", "y"]).collect()}
+    assert got == {("c", "x", "q", "q", 1), ("c", "q", "x", "q", 1), ("c", "q", "z", "q", 1), ("i", None, "x", None, 1)}
+    assert pw.canonical_pairs(df, ["x", "y"]).count() + sum(r[-1] for r in got) == len(rows)

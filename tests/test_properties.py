@@ -105,3 +105,23 @@ def test_vocabularies_of_a_hundred_models(spark):
     assert got == {(names[i], names[j]): len(sets[i] & sets[j]) for i in range(100) for j in range(i + 1, 100)}
     assert {r.common for r in vocab_common(df.limit(0), names[:3]).collect()} == {0}
     assert vocab_common(df, names[:1]).count() == 0
+
+
+def test_first_row_is_one_aggregate(spark):
+    from tandem.operators.runs import first_row
+    df = spark.createDataFrame([(2, 1, "b"), (1, 5, "z"), (1, 3, "y"), (1, 3, "x")], "a int, b int, t string").repartition(3)
+    got = first_row(df, ["a", "b"])
+    assert [tuple(r) for r in got.collect()] == [(1, 3, "x", 0)] and got.columns == ["a", "b", "t", "pos"]
+    assert "Sort " not in got._jdf.queryExecution().optimizedPlan().toString() and first_row(df.limit(0), ["a"]).count() == 0
+
+
+def test_formatters_by_data_set(spark):
+    import pytest
+
+    from tandem.operators import prompts as pr
+    q = spark.createDataFrame([(3, "Why?")], "pos long, question string")
+    assert [tuple(r) for r in pr.prompts("lmsys", q, system="Short.").collect()] == [(3, "Why?", "Short.")]
+    with pytest.raises(ValueError, match="lmsys, mmlu"):
+        pr.prompts("other", q)
+    with pytest.raises(ValueError, match="registered"):
+        pr.formatter("mmlu")(pr.format_prompts)
