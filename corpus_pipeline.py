@@ -34,7 +34,8 @@ def _row_keys(docs: DataFrame) -> DataFrame:
     """``docs`` with a ``_key`` of each row: its id, or a hash of id and text where the id is null or repeated, so that
     rows of one id are told apart by their text (equal rows have equal keys)."""
     repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-    keyed = docs.join(repeated.withColumn("_again", F.lit(True)), "doc_id", "left")
+    none = repeated.isEmpty()           # then the texts need not meet the list
+    keyed = docs.withColumn("_again", F.lit(False)) if none else docs.join(repeated.withColumn("_again", F.lit(True)), "doc_id", "left")
     own = F.when(F.col("_again") | F.col("doc_id").isNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long"))
     return keyed.withColumn("_key", own).drop("_again")
 
@@ -51,6 +52,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = written(groups.join(first, "component_id").where("_key <> first").select("_key").distinct())
     twice = written(groups.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key"))
     stay = keyed.join(gone, "_key", "left_anti")
+    if twice.isEmpty():
+        return stay.select(*COLUMNS)
     return stay.join(twice, "_key", "left_anti").select(*COLUMNS).unionByName(
         stay.join(twice, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS))
 
