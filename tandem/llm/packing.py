@@ -2,8 +2,8 @@
 
 Documents become token pieces of at most ``capacity`` tokens. An instance of bin packing is fully
 described by how many pieces there are of each length: at most ``capacity`` numbers, whatever the
-table's size. The driver packs that histogram, whole groups of equal bins at a time: dominated
-choices are fixed first, the rest goes best-fit decreasing. Spark tokenises, counts, numbers the
+table's size. The driver packs that histogram, whole groups of equal bins at a time: bins proven to
+dominate all others of their longest piece are fixed first, the rest goes best-fit. Spark tokenises, counts, numbers the
 pieces of each length and joins each with its place.
 """
 
@@ -89,58 +89,96 @@ def token_pieces(docs: DataFrame, capacity: int, separator: int, tokenizer: str
 def pack_histogram(count: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Bins as ``(how many, [(length, copies), ...])``, each a group of equal bins.
 
-    Dominance reduction (Martello and Toth): take the longest piece ``a`` and the longest ``b``
-    that fits beside it. The bin ``{a}`` is optimal if not even the shortest piece fits; ``{a, b}``
-    is, if it is full, or if no two others fit beside ``a``, or if the best two that do are together
-    no longer than ``b``. Such bins are fixed, as many as there are, and the instance shrinks; at the
-    first piece with no such proof the remainder is packed best-fit decreasing.
+    Bins that :func:`reduce_dominated` proves are fixed; the remainder is packed best-fit decreasing. Where that needs more
+    bins than the remainder's tokens fill, the remainder is also packed bin by bin, the longest piece with
+    the subset that fits its room best, and the better of the two is taken."""
+    bins, left = reduce_dominated(count, capacity)
+    rest = _best_fit(left, capacity)
+    if sum(m for m, _ in rest) > -(-sum(n * c for n, c in left.items()) // capacity):
+        rest = min(rest, _best_filled(left, capacity), key=lambda r: sum(m for m, _ in r))
+    return bins + rest
+
+
+def reduce_dominated(count: dict[int, int], capacity: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], dict[int, int]]:
+    """Fixed bins and the remaining instance, by Martello and Toth's dominance: their bins together are optimal if the rest is.
+
+    For a piece ``a`` let ``x`` be the longest other piece that fits beside it and ``y`` the longest that fits beside both.
+    The bin is ``{a}`` if nothing fits; ``{a, x}`` if it is full, or if no two others fit beside ``a``. If two fit but
+    never three, every other bin of ``a`` holds at most a pair ``r >= s``: its pieces can take the places of ``x`` and ``y``
+    if ``s <= y``, or both that of ``x`` if ``r + s <= x``. If that holds for all pairs, ``{a, x, y}`` (without ``y``, if
+    none fits) dominates them. Lengths are tried from the longest down, all that remain are what may fit, and
+    a bin is fixed as many times as its pieces last: fewer pieces only leave fewer pairs to beat.
     """
     left = {n: c for n, c in count.items() if c > 0}
     bins: list[tuple[int, list[tuple[int, int]]]] = []
-    sizes = sorted(left)
-
-    def take(n: int, by: int) -> None:
-        left[n] -= by
-        if not left[n]:
-            del left[n]
-            sizes.remove(n)
-
-    while sizes:
-        a = sizes[-1]
-        others = sizes if left[a] > 1 else sizes[:-1]
-        room = capacity - a
-        fits = others[:int(np.searchsorted(others, room, "right"))]
-        if not fits:
-            bins.append((left[a], [(a, 1)]))
-            take(a, left[a])
-            continue
-        b = fits[-1]
-        if not (b == room or _best_two(fits, left, a, room) <= b):
-            break
-        if b == a:
-            many = left[a] // 2
-            bins.append((many, [(a, 2)]))
-            take(a, 2 * many)
-        else:
-            many = min(left[a], left[b])
-            bins.append((many, [(a, 1), (b, 1)]))
-            take(a, many)
-            take(b, many)
-    return bins + _best_fit(left, capacity)
-
-
-def _best_two(fits: list[int], left: dict[int, int], a: int, room: int) -> int:
-    """Largest total of two pieces among ``fits`` (one ``a`` is used already) within ``room``; 0 if none."""
-    best, lo, hi = 0, 0, len(fits) - 1
-    while lo <= hi:
-        x, y = fits[lo], fits[hi]
-        if x + y > room:
+    for a in sorted(left, reverse=True):
+        while left.get(a):
+            bin_ = _dominant(sorted(left), left, a, capacity - a)
+            if bin_ is None:
+                break
+            use = {n: bin_.count(n) for n in bin_}
+            many = min(left[n] // c for n, c in use.items())
+            bins.append((many, sorted(use.items(), reverse=True)))
+            for n, c in use.items():
+                left[n] -= many * c
+                if not left[n]:
+                    del left[n]
+    return bins, left
+
+
+def _dominant(sizes: list[int], left: dict[int, int], a: int, room: int) -> list[int] | None:
+    """The pieces of a bin with ``a`` that dominates all others, or None without a proof."""
+    spare = lambda n, *used: left[n] - (a, *used).count(n) > 0
+    fits = [n for n in sizes if n <= room and spare(n)]
+    if not fits:
+        return [a]
+    x = fits[-1]
+    few = [n for n in fits[:3] for _ in range(min(3, left[n] - (n == a)))]
+    if x == room or len(few) < 2 or few[0] + few[1] > room:
+        return [a, x]
+    if len(few) > 2 and sum(few[:3]) <= room:
+        return None
+    y = max((n for n in fits if n <= room - x and spare(n, x)), default=0)
+    lo, hi = 0, len(fits) - 1
+    while lo <= hi:                     # for every smaller piece over y, the longest partner within the room
+        small, long = fits[lo], fits[hi]
+        if small + long > room:
             hi -= 1
-            continue
-        if x != y or left[x] - (x == a) > 1:
-            best = max(best, x + y)
-        lo += 1
-    return best
+        else:
+            if small > y and small + long > x and (small != long or spare(small, small)):
+                return None
+            lo += 1
+    return [a, x, y] if y else [a, x]
+
+
+def _best_filled(left: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Bin by bin: the longest piece and the subset of the others that fills its room best (longer pieces first among
+    equals), found with bit sets of reachable totals; a bin is repeated as long as its pieces last."""
+    left, bins = dict(left), []
+    while left:
+        a = max(left)
+        room = capacity - a
+        parts, reach = [], [1]
+        for n in sorted((n for n in left if n <= room), reverse=True):
+            copies, step = min(left[n] - (n == a), room // n), 1
+            while copies > 0:
+                step = min(step, copies)
+                copies -= step
+                parts.append((n, step))
+                reach.append((reach[-1] | reach[-1] << n * step) & ((2 << room) - 1))
+                step *= 2
+        total, use = reach[-1].bit_length() - 1, {a: 1}
+        for (n, step), before in zip(reversed(parts), reversed(reach[:-1]), strict=True):
+            if not before >> total & 1:
+                use[n] = use.get(n, 0) + step
+                total -= n * step
+        many = min(left[n] // c for n, c in use.items())
+        bins.append((many, sorted(use.items(), reverse=True)))
+        for n, c in use.items():
+            left[n] -= many * c
+            if not left[n]:
+                del left[n]
+    return bins
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tandem.llm.packing import cut_pieces, default_tokenizer, load_encoder, pack, pack_histogram
+from tandem.llm.packing import _best_fit, cut_pieces, default_tokenizer, load_encoder, pack, pack_histogram, reduce_dominated
 
 ENCODE = load_encoder(default_tokenizer())
 TOKENIZER = Tokenizer.from_file(default_tokenizer())
@@ -80,34 +80,6 @@ def test_cut_pieces():
     assert cut_pieces([0] * 10, 5) == [(0, 5), (5, 5)]
 
 
-def reference_packing(lengths, capacity):
-    """The same rules, one piece at a time."""
-    left, bins = sorted(lengths), 0
-    while left:
-        a = left.pop()
-        room = capacity - a
-        fits = [x for x in left if x <= room]
-        if not fits:
-            bins += 1
-            continue
-        b = fits[-1]
-        pairs = [x + y for i, x in enumerate(fits) for y in fits[:i] if x + y <= room]
-        if b == room or max(pairs, default=0) <= b:
-            left.remove(b)
-            bins += 1
-            continue
-        left.append(a)
-        break
-    rooms = []
-    for n in reversed(left):
-        ok = [i for i, r in enumerate(rooms) if r >= n]
-        if ok:
-            rooms[min(ok, key=lambda i: rooms[i])] -= n
-        else:
-            rooms.append(capacity - n)
-    return bins + len(rooms)
-
-
 def optimum(lengths, capacity):
     best = [len(lengths)]
 
@@ -126,11 +98,28 @@ def optimum(lengths, capacity):
     return best[0]
 
 
-def test_groups_of_bins_equal_single_steps():
-    rnd = random.Random(2)
-    for n in range(300):
-        capacity = rnd.choice([10, 30, 100])
-        lengths = [rnd.randint(1, capacity) for _ in range(rnd.randint(0, 60 if n % 2 else 9))]
+def best_fit(lengths, capacity):
+    """Best-fit decreasing, one piece at a time."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        ok = [i for i, r in enumerate(rooms) if r >= n]
+        if ok:
+            rooms[min(ok, key=lambda i: rooms[i])] -= n
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+def instances(seed, n):
+    rnd = random.Random(seed)
+    for i in range(n):
+        capacity = rnd.choice([10, 23, 30, 100])
+        low = rnd.choice([1, capacity // 5, capacity // 4, capacity // 3 + 1])
+        yield capacity, [rnd.randint(low, capacity) for _ in range(rnd.randint(0, 60 if i % 3 == 0 else 9))]
+
+
+def test_every_piece_is_packed_no_worse_than_best_fit():
+    for capacity, lengths in instances(2, 400):
         count = {x: lengths.count(x) for x in lengths}
         bins = pack_histogram(count, capacity)
         used = {}
@@ -139,12 +128,34 @@ def test_groups_of_bins_equal_single_steps():
             for x, c in items:
                 used[x] = used.get(x, 0) + many * c
         assert used == count
+        fixed, left = reduce_dominated(count, capacity)
+        rest = [x for x, c in left.items() for _ in range(c)]
         total = sum(m for m, _ in bins)
-        assert total == reference_packing(lengths, capacity)
+        assert total <= sum(m for m, _ in fixed) + best_fit(rest, capacity)
+        assert sum(m for m, _ in _best_fit(left, capacity)) == best_fit(rest, capacity)
         if len(lengths) < 9:
             assert optimum(lengths, capacity) <= total <= optimum(lengths, capacity) + 1
 
 
+def test_fixed_bins_keep_the_optimum():
+    """Against an exact packer: the fixed bins and an optimum of the rest are an optimum of the whole."""
+    fixed_any = triples = 0
+    for capacity, lengths in instances(5, 1500):
+        lengths = lengths[:8]
+        fixed, left = reduce_dominated({x: lengths.count(x) for x in lengths}, capacity)
+        rest = [x for x, c in left.items() for _ in range(c)]
+        assert sum(m for m, _ in fixed) + optimum(rest, capacity) == optimum(lengths, capacity), (capacity, lengths)
+        fixed_any += bool(fixed)
+        triples += any(sum(c for _, c in items) == 3 for _, items in fixed)
+    assert fixed_any > 1000 and triples > 20
+
+
+def test_a_pair_is_not_fixed_where_three_fit():
+    assert sum(m for m, _ in pack_histogram({10: 2, 4: 6}, 23)) == 2
+    assert reduce_dominated({10: 2, 4: 6}, 23) == ([], {10: 2, 4: 6})
+    assert sum(m for m, _ in pack_histogram({10: 2000, 4: 6000}, 23)) == 2000
+
+
 def test_dominance_alone_is_optimal():
     """Instances that the reduction solves by itself are solved exactly."""
     rnd = random.Random(4)
