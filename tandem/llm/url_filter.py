@@ -2,7 +2,7 @@
 
 The trees are trained on the URLs that the rules label (a bounded sample of them) and use only the
 form of a URL: lengths, depth, digit ratio, character entropy, parameter counts and statistics of
-the host's suffix.
+the host's suffix, which are counted by hosts and out of fold.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from tandem.llm.tables import written
 #: (rule, verdict): fixed by the task.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 FEATURES = ["url_chars", "host_chars", "path_chars", "query_chars", "depth", "labels", "digit_ratio", "entropy",
-            "params", "hyphens", "suffix_share", "suffix_block"]
+            "params", "hyphens", "suffix_size", "suffix_block"]
+#: Folds of hosts for the suffix statistics of training rows, and the weight (in hosts) of the base share.
+FOLDS, PRIOR = 5, 8
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -67,10 +69,37 @@ def host_suffix() -> Column:
     return F.substring_index("host", ".", -1)
 
 
+def fold_of_host() -> Column:
+    return F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+
+
 def suffix_counts(rows: DataFrame) -> DataFrame:
-    """``(suffix, rows, labelled, blocked)`` of all ``rows(host, ruled)``."""
-    return (rows.groupBy(host_suffix().alias("suffix"))
-            .agg(F.count("*").alias("rows"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")))
+    """``(suffix, fold, hosts, blocked, allowed, rules)`` of all ``rows(host, rule, ruled)``: distinct hosts, those
+    with a blocked or an allowed URL, and the rules that label them. A host is in one fold."""
+    by_host = rows.groupBy("host").agg(F.max(F.expr("int(ruled = 'block')")).alias("b"), F.max(F.expr("int(ruled = 'allow')")).alias("a"),
+                                       F.collect_set("rule").alias("rules"))       # at most the number of rules
+    return (by_host.groupBy(host_suffix().alias("suffix"), fold_of_host().alias("fold"))
+            .agg(F.count("*").alias("hosts"), F.coalesce(F.sum("b"), F.lit(0)).alias("blocked"), F.coalesce(F.sum("a"), F.lit(0)).alias("allowed"),
+                 F.array_distinct(F.flatten(F.collect_set("rules"))).alias("rules")))
+
+
+def suffix_statistics(counts: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """What the trees see of a suffix: ``(suffix, fold, suffix_size, suffix_block)`` for training rows, counted
+    without the row's own fold of hosts; ``(suffix, suffix_size, suffix_block)`` for the others; and the base."""
+    whole = counts.groupBy("suffix").agg(*(F.sum(c).alias(c) for c in ("hosts", "blocked", "allowed")),
+                                         F.size(F.array_distinct(F.flatten(F.collect_set("rules")))).alias("n_rules"))
+    total = whole.agg(*(F.sum(c).alias(c) for c in ("hosts", "blocked", "allowed"))).first()
+    base = total.blocked / max(1, total.blocked + total.allowed)
+    size = F.floor(F.log10(F.col("hosts") / F.lit(total.hosts))).cast("double").alias("suffix_size")
+
+    def block(blocked: Column, allowed: Column) -> Column:
+        known = (F.col("n_rules") > 1) & (blocked + allowed > 1)
+        return F.when(known, (blocked + PRIOR * base) / (blocked + allowed + PRIOR)).otherwise(base).alias("suffix_block")
+
+    own = counts.select("suffix", "fold", F.col("blocked").alias("own_blocked"), F.col("allowed").alias("own_allowed"))
+    fold = whole.join(own, "suffix").select("suffix", "fold", size, block(F.col("blocked") - F.col("own_blocked"),
+                                                                         F.col("allowed") - F.col("own_allowed")))
+    return fold, whole.select("suffix", size, block(F.col("blocked"), F.col("allowed"))), base
 
 
 def judge_urls(pages: DataFrame, id: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES,  # noqa: A002
@@ -80,8 +109,11 @@ def judge_urls(pages: DataFrame, id: str = "page_id", url: str = "url", rules: S
     ``rule`` is the longest rule that fits and ``verdict`` its ``allow`` or ``block``; without one
     ``rule`` is null and the verdict is ``block`` where the trees give it a probability over 0.5.
     Training rows: the ``sample_rows`` labelled URLs with the smallest hash, repeats once. The suffix
-    statistics count the whole table: a suffix's share of all rows, and the blocked share of its labelled
-    rows, drawn to that of all labelled rows with a weight of 8 rows. Where
+    statistics count the distinct hosts of the whole table, so that a large host weighs no more than a
+    small one: the order of magnitude of the suffix's share of them, and the blocked share of
+    its labelled hosts, drawn to that of all with a weight of ``PRIOR`` hosts. A training row sees the hosts of other
+    folds only, and a suffix that fewer than two rules or two hosts label has the share of all: a single
+    rule on a suffix says nothing of the rest of it, so the trees judge the form of the URL. Where
     fewer than two verdicts are labelled there is nothing to learn and the only one (or ``allow``)
     is given. A null url, or one without ``://``, has an empty host and path and is judged by the
     trees like any other; repeated rows give repeated results; an empty table none.
@@ -100,19 +132,17 @@ def judge_urls(pages: DataFrame, id: str = "page_id", url: str = "url", rules: S
         return rows.select(*out, F.coalesce("ruled", F.lit(only)).alias("verdict"),
                            F.when(F.col("rule").isNull(), F.lit(float(only == "block"))).alias("p_block"))
     counts = written(suffix_counts(rows))
-    total = counts.agg(F.sum("rows").alias("rows"), (F.sum("blocked") / F.sum("labelled")).alias("block")).first()
-    base = total.block
-    stats = counts.select("suffix", (F.col("rows") / F.lit(total.rows)).alias("suffix_share"),
-                          ((F.col("blocked") + 8 * base) / (F.col("labelled") + 8)).alias("suffix_block"))
+    by_fold, whole, base = suffix_statistics(counts)
 
-    def features(df: DataFrame) -> DataFrame:
-        df = df.join(stats, "suffix", "left").fillna({"suffix_share": 0.0, "suffix_block": base})   # not bounded: no hint
+    def features(df: DataFrame, stats: DataFrame, on: list[str]) -> DataFrame:
+        df = df.join(stats, on, "left").fillna({"suffix_block": base})        # not bounded: no hint
         return VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(df)
 
-    train = features(few).withColumn("_label", (F.col("ruled") == "block").cast("double")).repartition(2, "url")
+    train = (features(few.withColumn("fold", fold_of_host()), by_fold, ["suffix", "fold"])
+             .withColumn("_label", (F.col("ruled") == "block").cast("double")).repartition(2, "url"))
     model = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, maxBins=64,
                           seed=1).fit(train)
-    scored = model.transform(features(lexical(rows)))
+    scored = model.transform(features(lexical(rows), whole, ["suffix"]))
     p = vector_to_array(F.col("probability"))[1]
     return scored.select(*out, F.coalesce("ruled", F.when(p > 0.5, "block").otherwise("allow")).alias("verdict"),
                          F.when(F.col("rule").isNull(), p).alias("p_block"))

@@ -52,22 +52,56 @@ def test_held_out_accuracy(spark, hide):
     assert sum((r.verdict == "block") == (r.page_id % 3 == 0) for r in judged) / 300 > 0.95
 
 
-def test_suffix_statistics_count_every_row(spark, monkeypatch):
-    """What the trees see of a suffix is counted on the whole table, with and without a rule, whatever the sample."""
+def test_suffix_statistics_count_hosts_of_the_whole_table(spark):
+    """Distinct hosts of every row count, a training row's own fold does not, and one rule alone gives no value."""
     from tandem.llm import url_filter
-    rows = [f"http://a{i}.net/{i}" for i in range(40)] + [f"http://b{i}.org/fr/{i}" for i in range(59)] + ["http://rare.example.com/de/1"]
-    rows += [f"http://c{i}.info/" for i in range(80)] + ["http://d.io/x"] * 20
-    seen = []
+    rows = [(f"a{i % 40}.net", "net/", "block") for i in range(400)] + [(f"a{i}.net", "x.net/en/", "allow") for i in range(10)]
+    rows += [(f"b{i}.org", "org/fr/", "allow") for i in range(59)] + [(f"c{i}.info", None, None) for i in range(2)]
+    df = spark.createDataFrame(rows, "host string, rule string, ruled string").repartition(4)
+    counts = url_filter.suffix_counts(df)
+    by_fold, whole, base = url_filter.suffix_statistics(counts)
+    assert base == 40 / 109
+    assert {r.suffix: (r.suffix_size, round(r.suffix_block, 9)) for r in whole.collect()} == {
+        "net": (-1, round((40 + 8 * base) / 58, 9)), "org": (-1, round(base, 9)), "info": (-2, round(base, 9))}
+    own = {(r.suffix, r.fold): r for r in counts.collect()}
+    seen = by_fold.where("suffix = 'net'").collect()
+    assert sum(own["net", r.fold].blocked for r in seen) == 40
+    for r in seen:
+        b, a = 40 - own["net", r.fold].blocked, 10 - own["net", r.fold].allowed
+        assert abs(r.suffix_block - (b + 8 * base) / (a + b + 8)) < 1e-12
 
-    class Spy(url_filter.VectorAssembler):
-        def transform(self, df, params=None):
-            seen.append(df.select("suffix", "suffix_share", "suffix_block").distinct())
-            return super().transform(df, params)
 
-    monkeypatch.setattr(url_filter, "VectorAssembler", Spy)
-    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
-    assert judge_urls(df, sample_rows=20, trees=2).count() == 200
-    got = {r.suffix: (round(r.suffix_share, 9), round(r.suffix_block, 9)) for r in seen[-1].collect()}
-    base = 41 / 100
-    want = {"net": (40, 40, 40), "org": (59, 59, 0), "com": (1, 1, 1), "info": (80, 0, 0), "io": (20, 0, 0)}
-    assert got == {k: (round(n / 200, 9), round((bad + 8 * base) / (known + 8), 9)) for k, (n, known, bad) in want.items()}
+def test_whole_table_against_brute_force(spark):
+    """Host, path, rule and its verdict of every page by string methods; without a rule the form decides, not the suffix."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in judge_urls(pages).collect()}
+    rows = pages.select("page_id", "url").collect()
+    assert len(rows) == len(got)
+    inside = {}
+    for r in rows:
+        _, sep, rest = (r.url or "").partition("://")
+        cut = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
+        host, path = rest[:cut].lower(), rest[cut:].split("#")[0].split("?")[0]
+        fits = [x for x, _ in RULES for d, p in [x.split("/", 1)] if ("." + host).endswith("." + d) and path.startswith("/" + p)]
+        rule = max(fits, key=len, default=None)
+        g = got[r.page_id]
+        assert (g.host, g.path, g.rule) == (host, path, rule)
+        if rule:
+            assert g.verdict == dict(RULES)[rule]
+        else:
+            assert g.verdict == ("block" if g.p_block > 0.5 else "allow")
+            inside.setdefault(host.rsplit(".")[-1], set()).add(g.verdict)
+    assert inside and all(v == {"allow", "block"} for v in inside.values())
+
+
+def test_form_decides_inside_a_suffix(spark):
+    """The form of the URLs that rules label is learnt; a suffix that no rule labels holds both forms and gets both verdicts."""
+    bad, good = "http://win-{0}-now-{1}.{2}/?id={1}&ref={0}&s={1}", "http://news.site{0}.{2}/story/a"
+    rules = (("com/", "allow"), ("org/", "allow"), ("net/", "block"), ("info/", "block"))
+    rows = []
+    for i in range(300):
+        rows += [bad.format(i, i * 31, ("net", "info")[i % 2]), good.format("abcde"[i % 5] * (1 + i % 3), i, ("com", "org")[i % 2])]
+        rows += [bad.format(i, i * 17, "dev"), good.format("fghij"[i % 5] * (1 + i % 3), i, "dev")]
+    got = judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules=rules).where("rule is null").collect()
+    assert len(got) == 600
+    assert sum((r.verdict == "block") == (r.page_id % 4 == 2) for r in got) / 600 > 0.95
