@@ -9,7 +9,6 @@ downward give every node's content marginal; the text runs over one half are the
 
 from __future__ import annotations
 
-import html
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -21,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.arrow import pick
+from tandem.llm.html_tokens import Tags, decoded
 from tandem.llm.html_training import labelled_pages
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTR = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTR = re.compile(r"""(?<![^\s=/"'])([^\s=/"']++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))""")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,13 +46,15 @@ KINDS = ("text", "top", "block")
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
          "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 _STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
+#: A block ends an open paragraph that is not outside one of these.
+_AROUND_P = ("table", "td", "th", "li", "div", "section", "article", "blockquote")
 
 
-def _ended(source: str) -> set[int]:
-    """Where the start tags of skipped elements are that have an end tag."""
+def _ended(source: str, last: int) -> set[int]:
+    """Where the start tags of skipped elements are that have an end tag; ``last`` is the last ``>``."""
     opened: dict[str, list[int]] = {}
     out = set()
-    for m in _SKIP_TAG.finditer(source):
+    for m in _SKIP_TAG.finditer(source, 0, last + 1):
         at = opened.setdefault(m[2].lower(), [])
         if not m[1]:
             if not m[3]:
@@ -86,26 +87,35 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]   # open elements and the block each is in
+        places: dict[str, list[int]] = {}               # name -> its places in the stack
         run: list[str] = []
-        linked = anchors = 0
+        linked = 0
         skips: list[tuple[int, bool]] = []              # open skipped elements: place in the stack, has an end tag
         ended = None
-        at = 0
+        tags = Tags(source)
+
+        def last(names) -> int:
+            """Place of the innermost open element of these names; 0 if none is open."""
+            return max((places[x][-1] for x in names if places.get(x)), default=0)
+
+        def push(name: str, block: int):
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, block))
 
         def flush():
             nonlocal linked
             if run:
-                t = _SPACE.sub(" ", html.unescape("".join(run))).strip()
+                t = _SPACE.sub(" ", "".join(run)).strip()
                 if t:
                     self._add(stack[-1][1], "#text", {}, t, min(linked, len(t)))
                 run.clear()
             linked = 0
 
         def close_to(i: int):
-            nonlocal anchors
             if any(b != stack[i - 1][1] for _, b in stack[i:]):
                 flush()
-            anchors -= sum(t == "a" for t, _ in stack[i:])
+            for t, _ in stack[i:]:
+                places[t].pop()
             del stack[i:]
             while skips and skips[-1][0] >= i:
                 skips.pop()
@@ -115,82 +125,70 @@ class Page:
             if stack[-1][0] == "head" and s.strip():
                 close_to(len(stack) - 1)
             if not skips:
+                s = decoded(s)
                 run.append(s)
-                if anchors:
+                if places.get("a"):
                     linked += len(s.strip())
 
-        while m := _TOKEN.search(source, at):
-            if m.start() > at:
-                words(source[at:m.start()])
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
+        at = 0
+        while tag := tags.next():
+            if tag.start > at:
+                words(source[at:tag.start])
+            at = tag.end
+            name, attrs = tag.name, tag.attrs
             if not name:
                 continue
-            closing, attrs = m[1] or m[4], m[3] or m[6] or ""
-            if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        close_to(i)
-                        break
+            if tag.closing:
+                if i := last((name,)):
+                    close_to(i)
                 continue
             if name == "br":
                 run.append(" ")
                 continue
             if stack[-1][0] == "head" and name not in IN_HEAD:
                 close_to(len(stack) - 1)
-            if skips and name == "body" and not any(t == "body" for t, _ in stack):
+            if skips and name == "body" and not last(("body",)):
                 close_to(skips[0][0])
             if name in RAW or name in SKIPPED:
-                if name in ("option", "button"):         # not inside one another
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == name:
-                            close_to(i)
-                            break
+                if name in ("option", "button") and (i := last((name,))):       # not inside one another
+                    close_to(i)
                 run.append(" ")
                 if name != "head" and attrs.rstrip().endswith("/"):
                     continue
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at) if name in RAW else None
+                end = tags.end_of(name) if name in RAW else None
                 if end or name in ("script", "style"):
-                    at = end.end() if end else len(source)
+                    at = tags.at = end or len(source)
                     continue
                 if ended is None:
-                    ended = _ended(source)
-                skips.append((len(stack), name == "head" or m.start() in ended))
-                stack.append((name, stack[-1][1]))
+                    ended = _ended(source, tags.last)
+                skips.append((len(stack), name == "head" or tag.start in ended))
+                push(name, stack[-1][1])
                 continue
             if skips and name in BLOCKS:
                 # a block ends what has no end tag, and an svg outside its parts of HTML
                 while skips and (not skips[-1][1] or stack[skips[-1][0]][0] == "svg"
-                                 and not any(t in ("foreignobject", "desc", "title") for t, _ in stack[skips[-1][0]:])):
+                                 and last(("foreignobject", "desc", "title")) < skips[-1][0]):
                     close_to(skips[-1][0])
                 if skips and stack[-1][0] == "head":
                     close_to(len(stack) - 1)
                 if skips:
                     if name != "hr":
-                        stack.append((name, stack[-1][1]))
+                        push(name, stack[-1][1])
                     continue
             if name in BLOCKS:
-                for i in range(len(stack) - 1, 0, -1):   # a block ends an open paragraph
-                    if stack[i][0] == "p":
-                        close_to(i)
-                        break
-                    if stack[i][0] in ("table", "td", "th", "li", "div", "section", "article", "blockquote"):
-                        break
+                if (i := last(("p",))) > last(_AROUND_P):
+                    close_to(i)
                 if name in _ENDS:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] in _STOP.get(name, {"table"}):
-                            break
-                        if stack[i][0] in _ENDS[name]:
-                            close_to(i)
+                    while (i := last(_ENDS[name])) > last(_STOP.get(name, ("table",))):
+                        close_to(i)
                 flush()
                 if name != "hr":
-                    found = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(attrs)} if attrs.strip() else {}
-                    stack.append((name, self._add(stack[-1][1], name, found)))
+                    found = {k.lower(): decoded(a or b or c or "") for k, a, b, c in _ATTR.findall(attrs)} if attrs.strip() else {}
+                    push(name, self._add(stack[-1][1], name, found))
                 continue
             if name in VOID or attrs.rstrip().endswith("/"):
                 continue
-            anchors += name == "a"
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
         if at < len(source):
             words(source[at:])
         flush()

@@ -112,14 +112,14 @@ def _marked(part: str) -> str:
     return part[:end] + ' y="0"' + part[end:]
 
 
-def labelled_pages(n: int = 120) -> list[str]:
+def labelled_pages(n: int = 120, articles=ARTICLES, before_=BEFORE, after_=AFTER) -> list[str]:
     """Page ``i`` has article ``i`` of the list, three parts before and four after it; each article meets many
     parts, and is a page of its own."""
     pages = []
     for i in range(n):
-        before = [_marked(BEFORE[(i * 3 + k) % len(BEFORE)]) for k in range(3)]
-        after = [_marked(AFTER[(i * 7 + k * 3) % len(AFTER)]) for k in range(4)]
-        inner = "".join([*before, ARTICLES[i % len(ARTICLES)], *after])
+        before = [_marked(before_[(i * 3 + k) % len(before_)]) for k in range(3)]
+        after = [_marked(after_[(i * 7 + k * 3) % len(after_)]) for k in range(4)]
+        inner = "".join([*before, articles[i % len(articles)], *after])
         pages.append(_filled(f'<html y="1"><body>{inner}</body></html>' if i % 3
                              else f'<html y="1"><body><div class="container">{inner}</div></body></html>'))
-    return pages + [f'<html y="1">{_filled(a)}</html>' for a in ARTICLES]
+    return pages + [f'<html y="1">{_filled(a)}</html>' for a in articles]

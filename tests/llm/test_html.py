@@ -4,11 +4,12 @@ import html
 import itertools
 import math
 import re
+import time
 
 import pytest
 
 from tandem.llm.html_text import Model, Page, extract, trained
-from tandem.llm.html_training import labelled_pages
+from tandem.llm.html_training import AFTER, ARTICLES, BEFORE, labelled_pages
 
 TEXT = "A first paragraph of the story, with some words in it that go on for a while, as they do."
 MORE = "The second one follows. It is not long."
@@ -59,19 +60,21 @@ def test_edges(spark):
     assert extract(df.limit(0)).count() == 0
 
 
-def test_accuracy_on_held_out_layouts():
-    pages = labelled_pages()
-    model = Model([p for i, p in enumerate(pages) if i % 4])
+def test_accuracy_on_held_out_parts():
+    """No article and no surrounding part of the judged pages is in the training pages (0.85; their class words are unseen, too)."""
     right = total = 0
-    for source in pages[::4]:
-        p = Page(source)
-        b, y = model.marginals(p), [True]
-        for i in range(1, len(p.parent)):
-            y.append(p.attrs[i]["y"] == "1" if "y" in p.attrs[i] else y[p.parent[i]])
-            if p.text[i] is not None:
-                total += 1
-                right += (b[i] > 0) == y[i]
-    assert right / total > 0.9
+    for fold in range(4):
+        lists = (ARTICLES, BEFORE, AFTER)
+        model = Model(labelled_pages(90, *([x for i, x in enumerate(part) if i % 4 != fold] for part in lists)))
+        for source in labelled_pages(30, *(part[fold::4] for part in lists)):
+            p = Page(source)
+            b, y = model.marginals(p), [True]
+            for i in range(1, len(p.parent)):
+                y.append(p.attrs[i]["y"] == "1" if "y" in p.attrs[i] else y[p.parent[i]])
+                if p.text[i] is not None:
+                    total += 1
+                    right += (b[i] > 0) == y[i]
+    assert right / total > 0.8, right / total
 
 
 def test_messages_equal_enumeration():
@@ -128,3 +131,23 @@ def test_skipped_elements_left_open_do_not_take_the_page(page):
 def test_math_and_text_in_a_head():
     assert Page("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.").text[-1] == "So x=2 here."
     assert [t for t in Page("<head><title>T</title>Seen.").text if t] == ["Seen."]
+
+
+MB = 1 << 20
+
+
+@pytest.mark.parametrize("source", [
+    *(p * (MB // len(p)) for p in ("if a <b then ", "<a '", "<a '>'", "<a \"'>", "<title>", "<title></title ", "<svg ", "<svg><div>", "&#", "<button>")),
+    "<div>" * (MB // 10) + "</x>" * (MB // 10), "<b>" * (MB // 7) + "<h1>" * (MB // 7), f"<div {'a' * MB}>", "<ul><li>" * (MB // 8)],
+    ids=lambda s: s[:9])
+def test_time_is_linear_in_broken_markup(source):
+    began = time.process_time()
+    Page(source)
+    assert time.process_time() - began < 5
+
+
+def test_references_end_with_their_piece_of_the_source():
+    runs = lambda s: [t for t in Page(s).text if t]
+    assert runs("<p>R&<b>amp;D</b> R&amp;D R&<!-- -->amp;D</p>") == ["R&amp;D R&D R&amp;D"]
+    assert runs(f"<p>&#00000000065;&#x41; &#{'9' * 10000};z &#; &#x; a < b &l<t;</p>") == ["AA \ufffdz &#; &#x; a < b &l"]
+    assert runs("<p>3 < 4 <b class='x>y' id=\"'>\">bold</b> <i a='>end") == ["3 < 4 bold end"]
