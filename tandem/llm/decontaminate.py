@@ -7,7 +7,9 @@ blocks: two within ``radius`` agree on at least one whole block, so looking ever
 items' index misses none of them. Candidates within the radius are verified by the exact
 weighted similarity ``sum(min) / sum(max)``.
 
-Windows that hold none of the benchmark's shingles have similarity 0 and are not fingerprinted.
+A window without a shingle of an item has similarity 0 to it: only windows that hold one are
+fingerprinted, and only items that share one with their run of windows are looked up. Radius 24 of 64
+bits loses fewer than 1 in 10,000 pairs at similarity 0.75 (tested), fewer above.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from tandem.llm.words import Words, grams, split_words
 
 _U = np.uint64
 BITS = 64
+#: (window, item) places looked up at once.
+PLACES = 1 << 21
 SCHEMA = "doc_id long, item_id long, n_windows long, window_start long, n_words long, hamming int, similarity double"
 
 
@@ -60,15 +64,20 @@ class Index:
             t[((self.prints >> lo) & mask).astype(int), np.arange(len(items))] = True
             self.tables.append(t)
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) of all fingerprints within the radius."""
-        hit = np.zeros((len(prints), len(self.ids)), bool)
-        for (lo, mask), t in zip(self.blocks, self.tables, strict=True):
-            hit |= t[((prints >> lo) & mask).astype(int)]
-        w, i = np.nonzero(hit)
-        d = np.bitwise_count(prints[w] ^ self.prints[i])
-        ok = d <= self.radius
-        return w[ok], i[ok], d[ok]
+    def near(self, prints: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(window, item, distance) of all fingerprints within the radius of one of ``items``, by window."""
+        tables = [t[:, items] for t in self.tables]
+        step = max(1, PLACES // len(items))
+        for at in range(0, len(prints), step):
+            part = prints[at:at + step]
+            hit = np.zeros((len(part), len(items)), bool)
+            for (lo, mask), t in zip(self.blocks, tables, strict=True):
+                hit |= t[((part >> lo) & mask).astype(int)]
+            w, i = np.nonzero(hit)
+            i = items[i]
+            d = np.bitwise_count(part[w] ^ self.prints[i])
+            ok = d <= self.radius
+            yield from zip((w[ok] + at).tolist(), i[ok].tolist(), d[ok].tolist(), strict=True)
 
     def overlap(self, i: int, window: np.ndarray) -> int:
         """``sum(min)`` of the multisets of item ``i`` and a window."""
@@ -95,13 +104,13 @@ class Benchmark:
         for m in sorted(self.index):
             self.sizes[min(k, m)].append(m)
         self.known: dict[int, np.ndarray] = {}
-        self.holders: dict[int, dict[int, set[int]]] = {}
+        self.holders: dict[int, dict[int, dict[int, list[int]]]] = {}     # shingle length -> shingle -> word count -> items
         for kk, sizes in self.sizes.items():
-            of: dict[int, set[int]] = defaultdict(set)
+            of: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
             for m in sizes:
-                for u, _ in self.index[m].counts:
+                for i, (u, _) in enumerate(self.index[m].counts):
                     for h in u.tolist():
-                        of[h].add(m)
+                        of[h][m].append(i)
             self.holders[kk] = of
             self.known[kk] = np.array(sorted(of), np.uint64)
         self.quick = {kk: self._bitmap(v) for kk, v in self.known.items()}
@@ -137,40 +146,47 @@ class Benchmark:
             for m in self.holders[kk][h]:
                 near[m].append(p)
         for m, ps in near.items():
+            ps = np.array(ps)
             if hi - lo < m:                         # shorter than the item: one window, if it can be over the threshold
                 if 100 * (hi - lo - kk + 1) >= self.percent * (m - kk + 1):
                     best = {}
-                    self._run(kk, m, hi - lo - kk + 1, g, lo, lo, best)
+                    self._run(kk, m, hi - lo - kk + 1, g, lo, lo, ps, best)
                     for item, (n, num, _, dist) in best.items():
                         yield d, item, n, 0, m, dist, num / (m + hi - lo - 2 * kk + 2 - num)
                 continue
             span = m - kk + 1                       # shingles of a window
-            first = np.maximum(np.array(ps) - span + 1, lo)
-            last = np.minimum(np.array(ps), hi - m)
+            first = np.maximum(ps - span + 1, lo)
+            last = np.minimum(ps, hi - m)
             new = np.append(True, first[1:] > np.maximum.accumulate(last)[:-1] + 1)
             a = first[new]
             b = np.maximum.reduceat(last, np.flatnonzero(new))
             best: dict[int, list] = {}
             for x, y in zip(a, b, strict=True):     # runs of window starts
                 for z in range(x, y + 1, 4096):     # bounded memory on long runs
-                    self._run(kk, m, span, g, z, min(y, z + 4095), best)
+                    self._run(kk, m, span, g, z, min(y, z + 4095), ps, best)
             for item, (n, num, start, dist) in best.items():
                 yield d, item, n, start - lo, m, dist, num / (2 * span - num)
 
-    def _run(self, kk, m, span, g, x, y, best):
+    def _run(self, kk, m, span, g, x, y, hits, best):
+        """Looks the windows from ``x`` to ``y`` up in the items that share a shingle with them; ``hits`` are
+        the places of shingles of items of ``m`` words."""
+        held = set(g[hits[np.searchsorted(hits, x):np.searchsorted(hits, y + span)]].tolist())
+        if not held:
+            return
+        items = np.unique(np.concatenate([self.holders[kk][h][m] for h in held]))
         idx = self.index[m]
         sums = np.zeros((y - x + span + 1, BITS), np.int32)
         np.cumsum(_signs(g[x:y + span]), axis=0, out=sums[1:])
-        for w, i, dist in zip(*idx.near(_pack(sums[span:] - sums[:-span])), strict=True):
+        for w, i, dist in idx.near(_pack(sums[span:] - sums[:-span]), items):
             num = idx.overlap(i, g[x + w:x + w + span])
             if 100 * num >= self.percent * (m - kk + 1 + span - num):
                 old = best.get(idx.ids[i])
                 if old is None:
-                    best[idx.ids[i]] = [1, num, x + w, int(dist)]
+                    best[idx.ids[i]] = [1, num, x + w, dist]
                 else:
                     old[0] += 1
                     if num > old[1]:
-                        old[1:] = [num, x + w, int(dist)]
+                        old[1:] = [num, x + w, dist]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text",  # noqa: A002

@@ -6,8 +6,11 @@ from collections import Counter
 
 import numpy as np
 
-from tandem.llm.decontaminate import BITS, Index, contaminated, simhash
-from tandem.llm.words import mix
+import pyarrow as pa
+
+from tandem.llm import decontaminate
+from tandem.llm.decontaminate import BITS, Benchmark, Index, contaminated, simhash
+from tandem.llm.words import mix, split_words
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -79,9 +82,10 @@ def test_blocks_find_every_fingerprint_within_the_radius():
         probes = np.array([index.prints[i % 40] ^ np.uint64(sum(1 << int(b) for b in rng.choice(BITS, rng.integers(0, radius + 3), False)))
                            for i in range(400)], np.uint64)
         far = np.bitwise_count(probes[:, None] ^ index.prints[None])
-        w, i, d = index.near(probes)
-        assert set(zip(w.tolist(), i.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(far <= radius)), strict=True))
-        assert (far[w, i] == d).all()
+        for some in (np.arange(40), np.array([3, 7, 39])):
+            got = list(index.near(probes, some))
+            assert {(w, i) for w, i, _ in got} == {(w, i) for w, i in zip(*(x.tolist() for x in np.nonzero(far <= radius)), strict=True) if i in some}
+            assert all(far[w, i] == d for w, i, d in got) and len(got) == len({x[:2] for x in got})
     assert simhash(items[0][1]) == index.prints[0]
 
 
@@ -119,3 +123,36 @@ def test_documents_shorter_than_the_item(spark):
     got = result(contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
     want = sorted(brute(docs, items) + brute_short(docs, items), key=str)
     assert got == want and {(1, 0), (2, 1), (3, 2), (4, 3), (7, 20)} <= {r[:2] for r in want}
+
+
+def test_radius_loses_next_to_no_pair():
+    """Windows at the lowest similarity of 0.75 or more, by the number of shingles."""
+    rng = np.random.default_rng(3)
+    for n in (11, 26, 55):
+        shared = -(-6 * n // 7)                     # shared / (2n - shared) >= 0.75
+        lost = 0
+        for _ in range(8):
+            signs = [(rng.integers(0, 2, (2500, k, BITS), dtype=np.int8) * 2 - 1).sum(1, dtype=np.int32) for k in (shared, n - shared, n - shared)]
+            lost += int((((signs[0] + signs[1] > 0) != (signs[0] + signs[2] > 0)).sum(1) > 24).sum())
+        assert lost <= 2, (n, lost)                 # of 20,000
+
+
+def test_only_items_that_share_a_shingle_are_looked_up(monkeypatch):
+    """Few pairs of a large benchmark are compared, and the size of a lookup changes nothing."""
+    rnd = random.Random(4)
+    line = lambda n: " ".join(str(rnd.randrange(5000)) for _ in range(n))
+    items = [(i, f"what is the name of this {line(14)}") for i in range(50)] + [(i, line(20)) for i in range(50, 2000)]
+    text = " ".join([line(300), items[7][1], line(100), items[1500][1], line(200), "what is the name of this", line(300)])
+    bench, looked = Benchmark(items, 5, 24, 75), []
+    near = Index.near
+
+    def spy(self, prints, some):
+        looked.append(len(prints) * len(some))
+        return near(self, prints, some)
+
+    monkeypatch.setattr(Index, "near", spy)
+    words = split_words(pa.array([text], pa.large_string()), lower=True)
+    want = list(bench.scan(words))
+    assert [x[1] for x in want] == [7, 1500] and 0 < sum(looked) < 16 * 3 * 50 * 4
+    monkeypatch.setattr(decontaminate, "PLACES", 3)
+    assert list(bench.scan(words)) == want
