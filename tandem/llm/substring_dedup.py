@@ -8,7 +8,12 @@ path with its smallest source. Where a minimizer has several paths (a branch, or
 ragged end) the paths are opened into edges, joined on them, and each edge gets the smallest source
 of all. Joining the paths back to the documents' coordinates gives the windows to remove.
 
-A twice-seen Bloom filter of minimizers, of bounded size, keeps the pieces of unrepeated text from
+Two lengths of paths are compacted one after the other. A chunk is a run of pieces up to one whose
+minimizer is marked by its hash, some 40 edges long. Copies of a chunk other than its smallest source are
+repeated as a whole and need no look at their pieces: every edge of them is in that source too. So
+only each chunk's smallest source is cut into pieces.
+
+A twice-seen Bloom filter of chunks, then of minimizers, of bounded size, keeps the pieces of unrepeated text from
 being shuffled at all; it never loses a repeated one.
 """
 
@@ -30,7 +35,11 @@ from tandem.llm.tables import written
 _U = np.uint64
 ANCHOR = 5
 MAX_EDGES = 32
+#: One piece in so many starts a chunk.
+CHUNK = 8
 _HASHES = 2
+_SALTS = (_U(0x8CB92BA72F3D8DD7), _U(0x5851F42D4C957F2D))
+_ROLL = _U(0xD6E8FEB86659FD93)
 _BREAKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -61,33 +70,99 @@ def _pieces(at: np.ndarray, m: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.flatnonzero(run % MAX_EDGES == 0)
 
 
+def _chunks(w: Words, k: int, at: np.ndarray, m: np.ndarray, doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First piece, number of windows and two 64-bit digests of the words of every chunk."""
+    new = mix(m[p] ^ _SALTS[0]) % _U(CHUNK) == 0
+    new[:1] = True
+    new[1:] |= doc[p][1:] != doc[p][:-1]
+    c = np.flatnonzero(new)
+    begin = p[c]
+    n = np.diff(np.append(begin, len(at)))
+    if not len(c):
+        return c, n, np.zeros((0, 2), np.uint64)
+    step = np.arange(len(at)) - np.repeat(begin, n)
+    tail = n.astype(np.uint64)                      # the last window; the sums below have the first words of all
+    for j in range(k):
+        tail = tail * _ROLL + w.hash[at[begin + n - 1] + j]
+    place = np.arange(int(n.max()), dtype=np.uint64)
+    return c, n, np.stack([mix(np.add.reduceat(mix(w.hash[at] ^ mix(place + x)[step]), begin) ^ mix(tail + x)) for x in _SALTS], 1)
+
+
+def _sources(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Filter keys of (chunk, document)."""
+    return np.stack([mix(keys[:, 0] ^ mix(ids.view(np.uint64))), mix(keys[:, 1] + ids.view(np.uint64))], 1)
+
+
 def repeated_windows(docs: DataFrame, k: int = 13, bits_per_key: int = 8, max_bits: int = 1 << 27) -> DataFrame:
-    """``docs(doc_id, th, text)`` -> ``(doc_id, th, start, mask, src)``: bit ``i`` of ``mask`` is set if the
-    window at word ``start + i`` also starts in a document with a smaller id; ``src`` lists the
-    smallest such id per window. ``th`` tells rows of one id apart."""
+    """``docs(doc_id, th, text)`` -> ``(doc_id, th, start, n, mask, src)``: the ``n`` windows from word ``start``
+    on, or where ``n`` is 0 those at ``start + i`` for every bit ``i`` of ``mask``, also start in a document
+    with a smaller id; ``src`` has one of all ``n``, or the smallest of each window. ``th`` tells rows of one id apart."""
     spark = docs.sparkSession
+    known = docs.where("doc_id is not null")
     words = docs.agg(F.sum(F.length("text") - F.length(F.translate("text", _BREAKS, "")) + 1)).first()[0] or 1
-    bits = filter_bits(2 * words // (k - min(ANCHOR, k) + 2), bits_per_key, max_bits)
+    n_pieces = 2 * words // (k - min(ANCHOR, k) + 2)
+    bits = filter_bits(n_pieces, bits_per_key, max_bits)
+    chunk_bits = filter_bits(2 * n_pieces // CHUNK, bits_per_key, max_bits)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    def chunked(batches: Iterator[pa.RecordBatch]):
         for b in small_slices(batches, 2, 1 << 20):
-            at, m, doc = _windows(split_words(b.column(2), lower=False), k)
+            w = split_words(b.column(2), lower=False)
+            at, m, doc = _windows(w, k)
             p = _pieces(at, m, doc)
-            m, doc = m[p], doc[p]
+            yield b, w, at, m, doc, p, *_chunks(w, k, at, m, doc, p)
+
+    def chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, _, _, _, doc, p, c, _, key in chunked(batches):
+            yield key[np.unique(np.stack([key[:, 0], doc[p[c]].astype(np.uint64)], 1), axis=0, return_index=True)[1]]
+
+    often = spark.sparkContext.broadcast(twice_seen(known, chunk_keys, chunk_bits, _HASHES))
+
+    def rows_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = np.frombuffer(often.value, np.uint8)
+        for b, w, at, _, doc, p, c, n, key in chunked(batches):
+            some = contains(twice, positions(key, chunk_bits, _HASHES))
+            first = p[c][some]
+            d = doc[first]
+            yield pa.record_batch([*(pa.array(x.view(np.int64)) for x in np.ascontiguousarray(key[some].T)), *(b.column(i).take(pa.array(d)) for i in (0, 1)),
+                                   pa.array((at[first] - w.first[d]).astype(np.int64)), pa.array(n[some].astype(np.int64))],
+                                  names=["c1", "c2", "doc_id", "th", "start", "n"])
+
+    chunks = written(known.mapInArrow(rows_of_chunks, "c1 long, c2 long, doc_id long, th long, start long, n long"))
+    firsts = written(chunks.groupBy("c1", "c2").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")))
+    copies = (chunks.join(firsts.where("src < last").drop("last"), ["c1", "c2"]).where("src < doc_id")
+              .select("doc_id", "th", "start", "n", F.lit(0).cast("long").alias("mask"), F.array("src").alias("src")))
+    source_bits = filter_bits(firsts.count(), 16, max_bits)
+
+    def source_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            c1, c2, src = (x.to_numpy() for x in b.columns)
+            yield np.repeat(_sources(np.stack([c1, c2], 1).view(np.uint64), src), 2, axis=0)   # twice: the filter is of keys seen twice
+
+    smallest_sources = spark.sparkContext.broadcast(twice_seen(firsts.select("c1", "c2", "src"), source_keys, source_bits, _HASHES))
+
+    def sources_only(batches: Iterator[pa.RecordBatch]):
+        """Slices with their windows and the pieces to look at. A chunk of the first filter is in ``firsts``, so
+        one that is not in the second is a copy for certain; a chance member is looked at for nothing."""
+        twice, first = (np.frombuffer(x.value, np.uint8) for x in (often, smallest_sources))
+        for b, w, at, m, doc, p, c, _, key in chunked(batches):
+            ids = b.column(0).to_numpy()[doc[p[c]]]
+            copy = contains(twice, positions(key, chunk_bits, _HASHES)) & ~contains(first, positions(_sources(key, ids), source_bits, _HASHES))
+            yield b, w, at, m, doc, p, ~np.repeat(copy, np.diff(np.append(c, len(p))))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, _, _, m, doc, p, look in sources_only(batches):
+            m, doc = m[p[look]], doc[p[look]]
             order = np.lexsort((doc, m))
             m, doc = m[order], doc[order]
             new = np.append(True, (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]))[:len(m)]
             yield np.stack([mix(m[new]), m[new]], 1)
 
-    seen = spark.sparkContext.broadcast(twice_seen(docs.where("doc_id is not null"), keys, bits, _HASHES))
+    seen = spark.sparkContext.broadcast(twice_seen(known, keys, bits, _HASHES))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(seen.value, np.uint8)
-        for b in small_slices(batches, 2, 1 << 20):
-            w = split_words(b.column(2), lower=False)
-            at, m, doc = _windows(w, k)
-            p = _pieces(at, m, doc)
-            keep = contains(twice, positions(np.stack([mix(m[p]), m[p]], 1), bits, _HASHES))
+        for b, w, at, m, doc, p, look in sources_only(batches):
+            keep = look & contains(twice, positions(np.stack([mix(m[p]), m[p]], 1), bits, _HASHES))
             size = np.diff(np.append(p, len(at)))[keep]
             p = p[keep]
             g, _ = grams(w, k)
@@ -105,22 +180,24 @@ def repeated_windows(docs: DataFrame, k: int = 13, bits_per_key: int = 8, max_bi
                                    pa.ListArray.from_arrays(pa.array(offs), pa.array(edges.view(np.int64)))],
                                   names=["m", "path", "doc_id", "th", "start", "edges"])
 
-    found = docs.where("doc_id is not null").mapInArrow(
+    found = known.mapInArrow(
         pieces, "m long, path long, doc_id long, th long, start long, edges array<long>")
-    paths = written(found.groupBy("m", "path", "edges").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")))
+    paths = written(found.groupBy("m", "path", "edges").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last"))
+                    .withColumn("n", F.size("edges")))
     branching = paths.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
     opened = paths.join(branching, "m").select("m", "path", "src", F.posexplode("edges").alias("i", "e"))
     smallest = opened.groupBy("m", "e").agg(F.min("src").alias("low"), F.max("src").alias("top")).where("low < top").drop("top")
     back = (opened.join(smallest, ["m", "e"]).where("low < src").groupBy("m", "path")
             .agg(F.map_from_entries(F.collect_list(F.struct("i", "low"))).alias("lows")))
     # only paths with an edge whose smallest source is below their largest document can remove anything
-    low = F.transform(F.sequence(F.lit(0), F.size("edges") - 1), lambda i: F.coalesce(F.try_element_at("lows", i), "src"))
-    sources = (paths.join(back, ["m", "path"], "left").select("m", "path", "last", low.alias("low"))
+    low = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("lows", i), "src"))
+    sources = (paths.drop("edges").join(back, ["m", "path"], "left").select("m", "path", "last", low.alias("low"))
                .where(F.array_min("low") < F.col("last")).drop("last"))
     hit = found.select("m", "path", "doc_id", "th", "start").join(sources, ["m", "path"])
     bit = F.aggregate(F.transform("low", lambda x, i: F.when(x < F.col("doc_id"), F.expr("1L") * F.pow(F.lit(2), i).cast("long")).otherwise(F.lit(0).cast("long"))),
                       F.lit(0).cast("long"), lambda s, v: s + v)
-    return hit.select("doc_id", "th", "start", bit.alias("mask"), F.col("low").alias("src")).where("mask > 0")
+    return hit.select("doc_id", "th", "start", F.lit(0).cast("long").alias("n"), bit.alias("mask"), F.col("low").alias("src")) \
+        .where("mask > 0").unionByName(copies)
 
 
 def drop_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 13,  # noqa: A002
@@ -136,7 +213,7 @@ def drop_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "tex
     """
     rows = pick(docs.withColumn(id, F.col(id).cast("long")), doc_id=id, text=text) \
         .select("doc_id", F.xxhash64("text").alias("th"), "text")
-    marks = written(repeated_windows(rows, k).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "mask")).alias("marks")))
+    marks = written(repeated_windows(rows, k).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n", "mask")).alias("marks")))
     # only documents that may have marks shuffle to meet them; a Bloom filter of bounded size tells the rest
     bits = filter_bits(marks.count(), 16, 1 << 27)
 
@@ -157,8 +234,8 @@ def drop_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "tex
     none = F.lit(None).cast("array<long>")
     joined = only(True).join(marks.toDF("mark_id", "mark_th", "marks"),
                              (F.col("doc_id") == F.col("mark_id")) & (F.col("th") == F.col("mark_th")), "left") \
-        .select("doc_id", "text", F.col("marks.start").alias("starts"), F.col("marks.mask").alias("masks"))
-    rest = only(False).select("doc_id", "text", none.alias("starts"), none.alias("masks"))
+        .select("doc_id", "text", F.col("marks.start").alias("starts"), F.col("marks.n").alias("ns"), F.col("marks.mask").alias("masks"))
+    rest = only(False).select("doc_id", "text", none.alias("starts"), none.alias("ns"), none.alias("masks"))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +246,9 @@ def drop_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "tex
                 if b.column(2)[c].is_valid:
                     base = w.first[c]
                     starts = b.column(2)[c].values.to_numpy() + base
-                    masks = b.column(3)[c].values.to_numpy()
+                    whole, masks = (b.column(i)[c].values.to_numpy() for i in (3, 4))
+                    np.add.at(gone, starts[whole > 0], 1)
+                    np.add.at(gone, (starts + whole + k - 1)[whole > 0], -1)
                     for i in range(MAX_EDGES):
                         s = np.unique(starts[(masks >> i) & 1 == 1]) + i    # repeated rows of one document repeat their marks
                         np.add.at(gone, s, 1)
