@@ -13,9 +13,9 @@ row-local, without a shuffle. Long tables (unit, step, model, joint_id, logit) h
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.hashing import gumbel, uniform
@@ -23,15 +23,24 @@ from tandem.functions.hashing import gumbel, uniform
 EPS = 1e-20   # fixed value: guard inside the logarithms
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once: a column that a lambda captures is inlined by the planner and computed again
+    for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax_arrays(dists: DataFrame, temperature: float) -> DataFrame:
-    """P11 + W4 on array rows: ``toks`` with the probability ``p`` added to each element. No shuffle."""
+    """P11 + W4 on array rows: ``toks`` with the probability ``p`` added to each element. No shuffle. The maximum and the sum
+    of a distribution are computed once, so the work is in proportion to its length."""
     z = F.transform("toks", lambda t: t["logit"] / F.lit(float(temperature)))
-    d = dists.withColumn("_z", z).withColumn("_m", F.array_max("_z")) \
-        .withColumn("_e", F.transform("_z", lambda x: F.exp(x - F.col("_m")))) \
-        .withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-    p = F.zip_with("toks", "_e", lambda t, e: F.struct(t["joint_id"].alias("joint_id"), t["token_id"].alias("token_id"),
-                                                       t["logit"].alias("logit"), (e / F.col("_s")).alias("p")))
-    return d.withColumn("toks", p).drop("_z", "_m", "_e", "_s")
+    e = _bound(z, lambda y: _bound(F.array_max(y), lambda m: F.transform(y, lambda x: F.exp(x - m))))
+
+    def shares(toks, es, total):
+        return F.zip_with(toks, es, lambda t, x: F.struct(t["joint_id"].alias("joint_id"), t["token_id"].alias("token_id"),
+                                                          t["logit"].alias("logit"), (x / total).alias("p")))
+
+    p = _bound(e, lambda es: _bound(F.aggregate(es, F.lit(0.0), lambda a, x: a + x), lambda total: shares(F.col("toks"), es, total)))
+    return dists.withColumn("toks", p)
 
 
 def draw_arrays(probs: DataFrame) -> DataFrame:

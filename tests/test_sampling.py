@@ -53,3 +53,19 @@ def test_array_form_equals_long_form_without_a_shuffle(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     r = out.collect()[0]
     assert (r.joint_id, r.token_id) in ((5, 0), (9, 1))
+
+
+def test_softmax_arrays_compute_maximum_and_sum_once(spark):
+    """Neither inside a lambda, once for each token, nor again in a filter that the planner infers from the explode."""
+    import numpy as np
+    plan = qs.q_softmax(spark, SF01)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.count("array_max(") == 1 and "size(" not in plan
+    rows = [(1, 0, 0, [(j, j, x) for j, x in enumerate([0.5, -1.0, None, 2.0])]), (2, 0, 0, []), (3, 0, 0, None), (4, 0, 0, [(7, 0, -800.0)])]
+    d = spark.createDataFrame(rows, "unit long, step int, model int, toks array<struct<joint_id:int,token_id:int,logit:double>>")
+    got = {r.unit: r.toks for r in sa.softmax_arrays(d.where("unit <> 1"), 0.7).collect()}
+    assert got[2] == [] and got[3] is None and [tuple(t) for t in got[4]] == [(7, 0, -800.0, 1.0)]
+    x = np.linspace(-3, 3, 500)
+    one = spark.createDataFrame([(1, 0, 0, [(j, j, float(v)) for j, v in enumerate(x)])], d.schema)
+    p = [t.p for t in sa.softmax_arrays(one, 0.7).first().toks]
+    assert np.allclose(p, np.exp(x / 0.7) / np.exp(x / 0.7).sum(), rtol=1e-12)
+    assert [t.p for t in sa.softmax_arrays(d.where("unit = 1"), 0.7).first().toks] == [None] * 4
