@@ -105,8 +105,9 @@ def write_reply_tree(replies: DataFrame, root: str, start: int = 0, end: int | N
     fs, path = _file_system(spark, root)
     done = []
     try:
-        # the partition column is a number, so the sink keeps the order of the sorted rows
-        replies.join(number, run).repartition(parts, "run").sortWithinPartitions("run", "qid", "rep") \
+        # the partition column is a number, so the sink keeps the order of the sorted rows; a row per run is sent to the
+        # rows (a table made by the driver has no size for the planner, which would broadcast the replies instead)
+        replies.join(F.broadcast(number), run).repartition(parts, "run").sortWithinPartitions("run", "qid", "rep") \
             .select("run", F.coalesce("reply", F.lit("")).alias("0")) \
             .write.partitionBy("run").option("header", True).option("escape", '"').option("emptyValue", '""') \
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(staging)
