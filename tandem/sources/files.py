@@ -149,6 +149,7 @@ _WORD = r'^\s*"\d+"\s*:\s*([-+.\w]++)[\s}]*$'
 _CELLS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("part", pa.int8()), ("col", pa.string()),
                     ("named", pa.bool_()), ("text", pa.string())])
 _HEAD, _WHOLE, _TAIL = 0, 1, 2
+TASK_CELLS = 1 << 20     # cells that one task sorts into rows, on average
 
 
 def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,8 +253,12 @@ def _rows_of_cells(cells: DataFrame, columns: dict[str, str]) -> DataFrame:
     value = F.when(F.col("text").rlike(_PLAIN), F.regexp_extract("text", _PLAIN, 1)).when(F.col("text").rlike(_WORD), word).otherwise(entry["value"])
     parsed = both.select("file", "col", F.regexp_extract("text", r'^\s*"(\d+)"', 1).cast("bigint").alias("pos"), value.alias("v"))
     cols = [F.first(F.when(F.col("col") == c, F.col("v")), ignorenulls=True).cast(t).alias(c) for c, t in columns.items()]
-    # paths share long prefixes: rows are sorted by the path's hash and compare whole paths only where it is equal
-    return parsed.groupBy(F.xxhash64("file").alias("_h"), "pos", "file").agg(*cols).select("file", "pos", *columns)
+    # Values of a row meet under a number for the file: a path in every value fills the sort of a task, while the compressed
+    # shuffle that the planner sizes tasks by hides it. The number of tasks follows the number of cells.
+    files = write_once(cells.select("file").distinct().withColumn("_file", F.monotonically_increasing_id()))
+    parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // TASK_CELLS))
+    keyed = parsed.join(files, "file").select("_file", "pos", "col", "v").repartition(parts, "_file", "pos")
+    return keyed.groupBy("_file", "pos").agg(*cols).join(files, "_file").select("file", "pos", *columns)
 
 
 def write_column_json(df: DataFrame, path: str, pos: str = "pos", rows_per_file: int = 10_000) -> None:

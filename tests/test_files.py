@@ -220,3 +220,30 @@ def test_lowest_runs_read_the_replies_once(spark):
     assert sorted(map(tuple, got.select(cols).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert {(r.noise, r.model, r.seed) for r in got.collect()} == {("Coupled", "m", 7), ("Coupled", "k", 7), ("Independent", "m", 9)}
     assert "reply#" not in got._jdf.queryExecution().executedPlan().toString()        # only the written scores
+
+
+def test_writing_runs_broadcasts_the_runs_not_the_replies(spark, tmp_path, monkeypatch):
+    """A small estimate of the replies (an exploded table) must not send them all through the driver."""
+    plans = []
+    frame = type(spark.range(1))
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *a))
+    r = spark.range(20).select(F.concat(F.lit("m"), F.col("id") % 2).alias("model"), (F.col("id") % 2).alias("seed"), F.col("id").alias("qid"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rep"),
+                               F.lit("A").alias("reply"))
+    assert [x.rows for x in write_reply_tree(r, str(tmp_path / "t")).collect()] == [100, 100]
+    joined = [p for p in plans if "BroadcastHashJoin" in p]
+    assert joined and all("BuildRight" in p for p in joined)
+
+
+def test_values_of_a_row_meet_without_their_path(spark, tmp_path, monkeypatch):
+    """The shuffle of the values carries a file number, over as many tasks as the cells need."""
+    from tandem.sources import files as fl
+    monkeypatch.setattr(fl, "TASK_CELLS", 7)
+    for name, n in (("one", 30), ("two", 12)):
+        (tmp_path / name).write_text(json.dumps({"a": {str(i): i for i in range(n)}, "b": {str(i): f"{name},{i}" for i in range(n)}}))
+    df = read_column_json(spark, [str(tmp_path / n) for n in ("one", "two")], {"a": "bigint", "b": "string"})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(moved) == 1 and "file#" not in moved[0].replace("_file#", "") and moved[0].rstrip().endswith("12")
+    got = sorted((r.file.rsplit("/", 1)[1], r.pos, r.a, r.b) for r in df.collect())
+    assert got == sorted((name, i, i, f"{name},{i}") for name, n in (("one", 30), ("two", 12)) for i in range(n))
