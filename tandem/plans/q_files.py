@@ -50,10 +50,11 @@ def reply_tree(spark, sf) -> str:
     def run(model, seed):
         return r.filter((F.col("model") == model) & (F.col("seed") == seed))
 
-    fl.write_reply_tree(r, root).count()
     coupled = run("m8b", fx.COUPLED_SEED)
-    fl.write_reply_tree(coupled.withColumn("seed", F.lit("9001")), root).count()
-    fl.write_reply_tree(coupled.filter("rep < 5").withColumn("seed", F.lit("777")), root).count()
+    # one task writes a run: the runs of a folder are written side by side
+    runs = r.withColumn("seed", F.col("seed").cast("string")).unionByName(coupled.withColumn("seed", F.lit("9001"))) \
+        .unionByName(coupled.filter("rep < 5").withColumn("seed", F.lit("777")))
+    fl.write_reply_tree(runs, root).count()
     fl.write_reply_tree(run("m3b", fx.COUPLED_SEED).withColumns({"seed": F.lit("abc"), "reply": F.lit("B")}), root + "/nested").count()
     second = run("m1b", fx.COUPLED_SEED).withColumn("reply", F.lit("A"))
     fl.write_reply_tree(second, root + "/nested", start=1).count()
