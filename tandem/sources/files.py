@@ -1,7 +1,7 @@
 """File scans and sinks of the evaluation runs.
 
 Readers accept the reference's on-disk layouts; writers use Spark's own sinks, whose task and job commit
-leave nothing of a failed attempt. Run files (reference layout, one CSV per (model, seed) run) are written by the CSV sink
+leave nothing of a failed attempt. Run files (reference layout, one CSV per (model, seed) run) are written by the text sink
 to a hidden folder beside them and renamed when the job is committed. All of it works on any file system that Spark does.
 """
 
@@ -81,12 +81,34 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString().rstrip("/")
 
 
+TASK_ROWS = 1 << 20       # rows that one task sorts, on average
+PIECE_BYTES = 1 << 20     # text that is handed on as one row, or one batch or line if that is less or more
+
+
+def _join_lines(piece_bytes: int):
+    """Sorted lines (run, seq, text) -> pieces of neighbouring lines of a run, under the first one's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs, text = batch.column("run").to_numpy(), batch.column("text")
+            nth = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // piece_bytes
+            start = np.flatnonzero(np.append(True, (runs[1:] != runs[:-1]) | (nth[1:] != nth[:-1])))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(runs)), pa.int32()), text)
+            first = pa.array(start)
+            yield pa.RecordBatch.from_arrays([batch.column("run").take(first), batch.column("seq").take(first), pc.binary_join(lists, "\n")],
+                                             names=["run", "seq", "text"])
+
+    return run
+
+
 def write_reply_tree(replies: DataFrame, root: str, start: int = 0, end: int | None = None) -> DataFrame:
     """S5 (reference layout): one CSV ``<root>/<model>/responses_<start>_<end>_seed<seed>.csv`` per (model, seed)
     run with header ``0``, rows in (qid, rep) order, a NULL reply written as an empty field.
 
-    A run is sorted by, and streamed through, one task (the layout has one file for it). The CSV sink writes to a
-    hidden folder below ``root``: attempts that fail or are killed leave no file there, and readers do not see it.
+    Rows are sorted and formatted by many tasks; one task puts a run's pieces of text (``PIECE_BYTES``) in order and writes them (the
+    layout has one file for a run). The text sink writes to a hidden folder below ``root``: attempts that fail or are killed leave no file there, and readers do not see it.
     After the job's commit its files replace those of the same names, one rename a run, and the folder is removed,
     also when the job fails. Returns (path, rows) per file."""
     spark = replies.sparkSession
@@ -99,20 +121,27 @@ def write_reply_tree(replies: DataFrame, root: str, start: int = 0, end: int | N
     if not runs:
         return spark.createDataFrame([], "path string, rows long")
     number = spark.createDataFrame([r[:3] for r in runs], f"run int, model {types['model']}, seed {types['seed']}")
-    parts = min(len(runs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, sorters = min(len(runs), conf), max(conf, -(-sum(r[3] for r in runs) // TASK_ROWS))
     root = root.rstrip("/")
     staging = f"{root}/_staging-{uuid.uuid4().hex}"
     fs, path = _file_system(spark, root)
     done = []
     try:
-        # the partition column is a number, so the sink keeps the order of the sorted rows; a row per run is sent to the
-        # rows (a table made by the driver has no size for the planner, which would broadcast the replies instead)
-        replies.join(F.broadcast(number), run).repartition(parts, "run").sortWithinPartitions("run", "qid", "rep") \
-            .select("run", F.coalesce("reply", F.lit("")).alias("0")) \
-            .write.partitionBy("run").option("header", True).option("escape", '"').option("emptyValue", '""') \
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(staging)
+        # A row per run is sent to the rows (a table made by the driver has no size for the planner, which would broadcast the
+        # replies instead). Rows are sorted and turned into pieces of CSV text by many tasks; the one that writes a run orders pieces.
+        line = F.to_csv(F.struct(F.coalesce("reply", F.lit(""))), {"escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": "false",
+                                                                 "ignoreTrailingWhiteSpace": "false"})
+        order = ["run", "qid", "rep", "reply"]
+        lines = replies.join(F.broadcast(number), run).select(*order).repartitionByRange(sorters, *order).sortWithinPartitions(*order) \
+            .select("run", F.monotonically_increasing_id().alias("seq"), line.alias("text"))
+        header = number.select("run", F.lit(-1).cast("long").alias("seq"), F.lit("0").alias("text"))
+        # the partition column is a number, so the sink keeps the order of the sorted pieces
+        lines.mapInArrow(_join_lines(PIECE_BYTES), "run int, seq long, text string").unionByName(header) \
+            .repartitionById(parts, F.col("run") % parts).sortWithinPartitions("run", "seq") \
+            .select("run", "text").write.partitionBy("run").text(staging)
         for i, model, seed, n in runs:
-            written = [f.getPath() for f in fs.listStatus(path(f"{staging}/run={i}")) if f.getPath().getName().endswith(".csv")]
+            written = [f.getPath() for f in fs.listStatus(path(f"{staging}/run={i}")) if f.getPath().getName().endswith(".txt")]
             if len(written) != 1:
                 raise RuntimeError(f"run {model}, {seed}: {len(written)} files")
             name = f"{root}/{model}/responses_{start}_{end}_seed{seed}.csv"

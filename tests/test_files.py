@@ -226,8 +226,8 @@ def test_writing_runs_broadcasts_the_runs_not_the_replies(spark, tmp_path, monke
     """A small estimate of the replies (an exploded table) must not send them all through the driver."""
     plans = []
     frame = type(spark.range(1))
-    plain = frame.repartition
-    monkeypatch.setattr(frame, "repartition", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *a))
+    plain = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *a))
     r = spark.range(20).select(F.concat(F.lit("m"), F.col("id") % 2).alias("model"), (F.col("id") % 2).alias("seed"), F.col("id").alias("qid"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rep"),
                                F.lit("A").alias("reply"))
     assert [x.rows for x in write_reply_tree(r, str(tmp_path / "t")).collect()] == [100, 100]
@@ -247,3 +247,25 @@ def test_values_of_a_row_meet_without_their_path(spark, tmp_path, monkeypatch):
     assert len(moved) == 1 and "file#" not in moved[0].replace("_file#", "") and moved[0].rstrip().endswith("12")
     got = sorted((r.file.rsplit("/", 1)[1], r.pos, r.a, r.b) for r in df.collect())
     assert got == sorted((name, i, i, f"{name},{i}") for name, n in (("one", 30), ("two", 12)) for i in range(n))
+
+
+@pytest.mark.parametrize("piece_bytes", [1, 30, 1 << 20])
+def test_one_task_orders_pieces_of_a_run_not_its_rows(spark, tmp_path, monkeypatch, piece_bytes):
+    """Many tasks sort and format the rows; the text equals the CSV writer's, whatever the size of the pieces."""
+    from tandem.sources import files as fl
+    monkeypatch.setattr(fl, "PIECE_BYTES", piece_bytes)
+    frame, moved = type(spark.range(1)), []
+    plain = frame.repartitionById
+    monkeypatch.setattr(frame, "repartitionById", lambda df, *a: moved.append(df.count()) or plain(df, *a))
+    values = ["A", None, "", 'say "B"', "two\nlines", "a,b", "  blank  ", "\u00e9\r\n", "\\"]
+    rows = [(m, s, q, rep, values[(q * 3 + rep) % 9]) for m, s in (("x", "1"), ("x", "2"), ("y", "1")) for q in range(40) for rep in range(3)]
+    random.Random(1).shuffle(rows)
+    write_reply_tree(spark.createDataFrame(rows, "model string, seed string, qid long, rep int, reply string").repartition(5), str(tmp_path / "t"))
+    pieces = moved[0] - 3                 # a header a run
+    assert pieces <= 3 + 8 if piece_bytes > 1000 else 3 <= pieces <= 360
+    want = spark.createDataFrame([(q, rep, values[(q * 3 + rep) % 9] or "") for q in range(40) for rep in range(3)], "qid long, rep int, `0` string")
+    want.coalesce(1).sortWithinPartitions("qid", "rep").select("0").write.option("header", True).option("escape", '"').option("emptyValue", '""') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(str(tmp_path / "one"))
+    text = next((tmp_path / "one").glob("*.csv")).read_bytes()
+    for m, s in (("x", "1"), ("x", "2"), ("y", "1")):
+        assert (tmp_path / "t" / m / f"responses_0_0_seed{s}.csv").read_bytes() == text
