@@ -3,10 +3,10 @@
 Every window of ``k`` words is an edge between its first and last ``k - 1`` words. Consecutive edges
 of a document that have the same minimizer (the smallest hash of the ``ANCHOR``-word runs in them)
 form a piece of a path without a branch in it; the cut points depend on the words only, so documents
-that share a passage share its inner pieces. Equal pieces of all documents compact into one
-path with its smallest source. Where a minimizer has several paths (a branch, or a passage's
-ragged end) the paths are opened into edges, joined on them, and each edge gets the smallest source
-of all. Joining the paths back to the documents' coordinates gives the windows to remove.
+that share a passage share its inner pieces. A piece travels once, to the task of its minimizer; all
+that is compared with it is there. Where a minimizer has equal pieces only, they compact into one
+path, an edge of its own. Where it has several paths (a branch, or a passage's ragged end) they are
+opened into edges. Each edge gets the smallest source of all, which gives the windows to remove.
 
 Two lengths of paths are compacted one after the other. A chunk is a run of pieces up to one whose
 minimizer is marked by its hash, some 40 edges long. Copies of a chunk other than its smallest source are
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm.arrow import pick, small_slices
@@ -170,34 +170,25 @@ def repeated_windows(docs: DataFrame, k: int = 13, bits_per_key: int = 8, max_bi
             pick_ = np.repeat(p - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(p) else p, size) + np.arange(total)
             edges = g[at[pick_]]
             offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            # order-dependent digest of the edges; with the minimizer it names the path
-            step = np.arange(total, dtype=np.uint64) - np.repeat(offs[:-1], size).astype(np.uint64)
-            s = np.add.reduceat(mix(edges ^ mix(step + _U(0x2545F4914F6CDD1D))), offs[:-1]) if len(p) else np.zeros(0, np.uint64)
-            digest = mix(s ^ size.astype(np.uint64)).view(np.int64)
             d = doc[p]
-            yield pa.record_batch([pa.array(m[p].view(np.int64)), pa.array(digest), b.column(0).take(pa.array(d)), b.column(1).take(pa.array(d)),
+            yield pa.record_batch([pa.array(m[p].view(np.int64)), b.column(0).take(pa.array(d)), b.column(1).take(pa.array(d)),
                                    pa.array((at[p] - w.first[d]).astype(np.int64)),
                                    pa.ListArray.from_arrays(pa.array(offs), pa.array(edges.view(np.int64)))],
-                                  names=["m", "path", "doc_id", "th", "start", "edges"])
-
-    found = known.mapInArrow(
-        pieces, "m long, path long, doc_id long, th long, start long, edges array<long>")
-    paths = written(found.groupBy("m", "path", "edges").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last"))
-                    .withColumn("n", F.size("edges")))
-    branching = paths.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
-    opened = paths.join(branching, "m").select("m", "path", "src", F.posexplode("edges").alias("i", "e"))
-    smallest = opened.groupBy("m", "e").agg(F.min("src").alias("low"), F.max("src").alias("top")).where("low < top").drop("top")
-    back = (opened.join(smallest, ["m", "e"]).where("low < src").groupBy("m", "path")
-            .agg(F.map_from_entries(F.collect_list(F.struct("i", "low"))).alias("lows")))
-    # only paths with an edge whose smallest source is below their largest document can remove anything
-    low = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("lows", i), "src"))
-    sources = (paths.drop("edges").join(back, ["m", "path"], "left").select("m", "path", "last", low.alias("low"))
-               .where(F.array_min("low") < F.col("last")).drop("last"))
-    hit = found.select("m", "path", "doc_id", "th", "start").join(sources, ["m", "path"])
-    bit = F.aggregate(F.transform("low", lambda x, i: F.when(x < F.col("doc_id"), F.expr("1L") * F.pow(F.lit(2), i).cast("long")).otherwise(F.lit(0).cast("long"))),
-                      F.lit(0).cast("long"), lambda s, v: s + v)
-    return hit.select("doc_id", "th", "start", F.lit(0).cast("long").alias("n"), bit.alias("mask"), F.col("low").alias("src")) \
-        .where("mask > 0").unionByName(copies)
+                                  names=["m", "doc_id", "th", "start", "edges"])
+
+    # one exchange, by the minimizer: the windows and the grouping below it keep its partitions
+    of_m, of_edge = Window.partitionBy("m"), Window.partitionBy("m", "e")
+    found = known.mapInArrow(pieces, "m long, doc_id long, th long, start long, edges array<long>").withColumn("n", F.size("edges"))
+    paths = (found.withColumn("low", F.min("doc_id").over(of_m)).withColumn("top", F.max("doc_id").over(of_m)).withColumn("path", F.xxhash64("edges"))
+             .withColumn("branches", F.min("path").over(of_m) < F.max("path").over(of_m)).where("low < top").drop("low", "top"))
+    # a path without branches is one edge of its own
+    opened = paths.select("m", "doc_id", "th", "start", "n", "branches", F.posexplode(F.when(F.col("branches"), F.col("edges")).otherwise(F.array("path"))).alias("i", "e"))
+    lows = (opened.withColumn("low", F.min("doc_id").over(of_edge)).where("low < doc_id").groupBy("m", "doc_id", "th", "start", "n", "branches")
+            .agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"), F.min("low").alias("src"), F.collect_set(F.struct("i", "low")).alias("lows")))
+    each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at(F.map_from_entries("lows"), i), "doc_id"))
+    return lows.select("doc_id", "th", "start", F.lit(0).cast("long").alias("n"),
+                       F.when(F.col("branches"), F.col("bits")).otherwise(F.expr("shiftleft(1L, n) - 1")).alias("mask"),
+                       F.when(F.col("branches"), each).otherwise(F.array_repeat("src", F.col("n"))).alias("src")).unionByName(copies)
 
 
 def drop_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 13,  # noqa: A002

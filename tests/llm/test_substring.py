@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
-from tandem.llm.substring_dedup import drop_repeated_passages
+from pyspark.sql import functions as F
+
+from tandem.llm.substring_dedup import drop_repeated_passages, repeated_windows
 
 
 def brute(rows, k):
@@ -53,3 +55,49 @@ def test_branches_ragged_ends_and_runs(spark):
     for k in (13, 3, 8):
         assert result(drop_repeated_passages(df, k=k)) == brute(rows, k), k
     assert drop_repeated_passages(df.limit(0)).count() == 0
+
+
+def passages(spark):
+    rnd = random.Random(11)
+    word = lambda: rnd.choice("abcdefghijklmnopqrstuvwxyz") * 2
+    shared = [[word() for _ in range(n)] for n in (13, 20, 45, 90)]
+    texts = []
+    for _ in range(60):
+        p = rnd.choice(shared)
+        a = rnd.randrange(len(p) - 12)
+        texts.append(" ".join([word() for _ in range(rnd.randint(0, 9))] + p[a:a + rnd.randint(13, 70)] + [word() for _ in range(rnd.randint(0, 9))]))
+    rows = [(rnd.randrange(45), t) for t in texts] + [(70, texts[0]), (70, texts[0])]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("text")).select("doc_id", "th", "text").repartition(5)
+
+
+def test_sources_of_windows(spark, capsys):
+    """Every window and its source against brute force; the lists of edges go through one exchange, by the
+    minimizer, and into no written table."""
+    rows, df = passages(spark)
+    k, first, want = 13, {}, set()
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - k + 1):
+            s = tuple(w[i:i + k])
+            first[s] = min(first.get(s, d), d)
+    for d, t in rows:
+        w = t.split()
+        want |= {(d, t, i) for i in range(len(w) - k + 1) if first[tuple(w[i:i + k])] < d}
+    marks, found = repeated_windows(df, k), set()
+    marks.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(m#") == 1
+    assert not [x for x in plan.splitlines() if "FileScan" in x and "edges" in x]
+    for r in marks.join(df.distinct(), ["doc_id", "th"]).collect():
+        w = r.text.split()
+        if r.n:
+            found |= {(r.doc_id, r.text, r.start + i) for i in range(r.n)}
+            assert r.src[0] < r.doc_id
+            continue
+        assert r.mask >> len(r.src) == 0
+        for i, src in enumerate(r.src):
+            low = first[tuple(w[r.start + i:r.start + i + k])]
+            assert (src, bool(r.mask >> i & 1)) == (low, low < r.doc_id)
+            if low < r.doc_id:
+                found.add((r.doc_id, r.text, r.start + i))
+    assert found == want and want
