@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tandem.operators import subsample as ss
 
@@ -58,3 +59,84 @@ def test_narrow_integers_round_trip():
         x = np.array(x, np.int64)
         assert (ss._widened(ss._narrow(x), len(x)) == x).all()
     assert len(ss._narrow(np.array([-128, 127]))) == 2
+
+
+def test_mixing_without_divisions_is_the_same_and_has_an_inverse():
+    from tandem.functions.hashing import MIX_P, mix_np, mix_premixed_np, premixed_np, unmix_np
+    r = np.concatenate([[0, 1, MIX_P - 1, MIX_P - 2], np.random.default_rng(1).integers(0, MIX_P, 5000)])
+    for draw in (0, 1, 7, 999, 10 ** 6):
+        want = mix_np(r, np.array([draw]))
+        got = mix_premixed_np(premixed_np(r), draw, np.empty(len(r), np.uint32), 999)
+        assert (got == want).all() and (unmix_np(want, draw) == r).all()
+
+
+def cell(tuples, size, repeats, seed=5):
+    """Seeds of a cell, some of them repeated, and its values: ``tuples`` different pairs."""
+    rng = np.random.default_rng(seed)
+    r = rng.integers(0, ss.MIX_P, size).astype(np.int32)
+    r[rng.integers(0, size, repeats)] = r[rng.integers(0, size, repeats)]
+    pairs = rng.integers(-6, 7, (tuples, 2)).astype(np.int8)
+    return r, list(pairs[rng.integers(0, tuples, size)].T.copy())
+
+
+@pytest.mark.parametrize("step", [20, 6])
+@pytest.mark.parametrize("k", [1, 3])
+@pytest.mark.parametrize("tuples,size,repeats", [(1, 700, 300), (2, 3000, 900), (7, 50_000, 9000), (30, 20_000, 100), (5, 400_000, 0)])
+def test_keys_that_bring_values_along_give_the_same_sums(tuples, size, repeats, k, step):
+    r, vals = cell(tuples, size, repeats)
+    coded = ss._Coded.of(r, vals, step, k, size)
+    for draw in (0, 11):
+        for bucket in range(k):
+            for before in ((0,) if k == 1 else (0, 3, step, 5 * step - 1)):
+                got = ss._Ranked(r, np.array([draw]), bucket, k, np.array([before]), step, size)
+                n, sums = coded.prefixes(draw, bucket, before)
+                assert (n == got.n).all()
+                assert all((s == got.prefix(v, np.zeros(1, np.int64))).all() for s, v in zip(sums, vals))
+
+
+def test_ties_that_cannot_be_resolved_are_left_to_wide_keys():
+    r, vals = cell(7, 50_000, 20_000)
+    coded = ss._Coded.of(r, vals, 20, 1, len(r))
+    coded.r = coded.r[::-1].copy()              # no seed is found
+    assert coded.prefixes(0, 0, 0) is None
+    wide = [np.arange(300), np.arange(300)]
+    assert ss._Coded.of(np.arange(300, dtype=np.int32), wide, 20, 1, 300) is None
+
+
+@pytest.mark.parametrize("form", [{"reduce": True}, {"packed": True}, {}])
+@pytest.mark.parametrize("bucket_rows", [10_000, 150])
+def test_coded_and_wide_cells_give_the_same_study(spark, monkeypatch, form, bucket_rows):
+    rng = np.random.default_rng(3)
+    rows = [(g, q, int(rng.integers(-1, 2)), int(rng.integers(-1, 2))) for g, size in (("a", 390), (None, 650), ("tiny", 5)) for q in range(size)]
+    df = spark.createDataFrame(rows, "g string, q long, v1 int, v2 int")
+
+    def study():
+        e = ss.subsample_error(df, ["v1", "v2"], ["g"], ["q"], iterations=11, seed=4, bucket_rows=bucket_rows, **form)
+        return sorted(map(repr, (tuple(r) for r in e.collect())))
+
+    want = study()
+    monkeypatch.setattr(ss, "CODED_ROWS", 1)
+    assert study() == want and len(want) > 0
+
+
+def test_rounding_without_decimals_equals_round(spark):
+    from tandem.plans.registry import rounded
+    rng = np.random.default_rng(2)
+    x = [0.0, -0.0, 0.5, 2.5e-6, -2.5e-6, 1.0000005, 0.1234565, 0.1234575, 1e-300, -1e-9, 1e9, 123456789.1234565, 1e15 + 0.5, 1e300,
+         float("inf"), float("-inf"), None, *map(float, rng.random(3000)), *(float(i) / 2e6 for i in range(-3000, 3000)),
+         *map(float, rng.normal(size=2000) * 10.0 ** rng.integers(-9, 12, 2000))]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double")
+    for places in (6, 9, 12, 0):
+        both = rounded(df, places).join(df.select("i", (F.round("x", places) + F.lit(0.0)).alias("want")), "i")
+        assert both.where("not (x <=> want)").count() == 0
+    assert np.isnan(rounded(spark.createDataFrame([(float("nan"),)], "x double")).first().x)
+
+
+def test_a_reply_computes_each_of_its_draws_once(spark, tmp_path):
+    """Written out in every branch, the draws made a stage too long for the JVM to compile."""
+    from tandem.sources import fixtures as fx
+    spark.createDataFrame([(50, "n", "b", "t", 3)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int") \
+        .write.parquet(f"{tmp_path}/part.parquet")
+    r = fx.replies(spark, str(tmp_path))
+    assert r._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 3
+    assert r.count() == 60
