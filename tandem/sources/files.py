@@ -175,65 +175,135 @@ _NAME = r'^\s*\{?\s*("(?:[^"\\]|\\.)*+")\s*:\s*\{\s*"\d+"\s*:'
 _PREFIX = r'^[\s\S]*?"\s*:\s*\{\s*(?="\d+"\s*:)'
 _PLAIN = r'^\s*"\d+"\s*:\s*"([^"\\]*+)"'             # a string without escapes, and a number or word: no parser needed
 _WORD = r'^\s*"\d+"\s*:\s*([-+.\w]++)[\s}]*$'
+# what of a cell's text needs no parser: number of the row, and a string without escapes or a number or word
+_SIMPLE = (r'^[ \t\n\x0b\f\r]*"(?P<pos>[0-9]{1,18})"[ \t\n\x0b\f\r]*:[ \t\n\x0b\f\r]*'
+           r'(?:"(?P<text>[^"\\]*)"|(?P<word>[-+.\w]+)[ \t\n\x0b\f\r}]*$)')
 _CELLS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("part", pa.int8()), ("col", pa.string()),
-                    ("named", pa.bool_()), ("text", pa.string())])
+                    ("named", pa.bool_()), ("text", pa.string()), ("range", pa.int64()), ("size", pa.int64()), ("data", pa.binary())])
 _HEAD, _WHOLE, _TAIL = 0, 1, 2
+_VALUES = pa.schema([("pos", pa.int64()), ("v", pa.string())])
 TASK_CELLS = 1 << 20     # cells that one task sorts into rows, on average
+RANGE = 1 << 16          # rows of a file that are put together at once
+
+
+def _runs(*columns: pa.Array) -> list[tuple[int, int]]:
+    """Runs of rows that are equal in all columns (without nulls): (first, behind the last)."""
+    size = len(columns[0])
+    if not size:
+        return []
+    new = np.zeros(size, bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, size - 1)).to_numpy(zero_copy_only=False)
+    lo = np.flatnonzero(new).tolist()
+    return list(zip(lo, [*lo[1:], size]))
+
+
+def _packed_cells(col: pa.Array, known: pa.Array, texts: pa.Array, rows: int) -> Iterator[dict]:
+    """Whole cells -> fields of one row per run of a column and range of ``rows`` positions, its values packed; cells that need a
+    parser come one by one, as their text."""
+    found = pc.extract_regex(texts, _SIMPLE)
+    simple = pc.is_valid(found)
+    for i in pc.indices_nonzero(pc.invert(simple)).to_pylist():
+        yield {"col": col[i].as_py(), "named": known[i].as_py(), "text": texts[i].as_py(), "size": 1}
+    pos, text, word = (pc.filter(found.field(i), simple) for i in range(3))
+    pos = pc.cast(pos, pa.int64())
+    # a group that has no part in the match is empty, as the empty string is; the text tells them apart
+    word = pc.if_else(pc.equal(word, "null"), pa.scalar(None, pa.string()), word)
+    value = pc.if_else(pc.equal(pc.binary_length(pc.filter(found.field(2), simple)), 0), text, word)
+    col, known = pc.filter(col, simple), pc.filter(known, simple)
+    span = pa.array(pos.to_numpy() // rows)
+    for a, b in _runs(pc.fill_null(col, ""), pc.is_null(col), known, span):
+        batch = pa.RecordBatch.from_arrays([pos.slice(a, b - a), value.slice(a, b - a)], schema=_VALUES)
+        yield {"col": col[a].as_py(), "named": known[a].as_py(), "range": span[a].as_py(), "size": b - a, "data": batch.serialize().to_pybytes()}
+
+
+def _join_pieces(rows: int):
+    """Pieces in file order -> cells. The pieces before the first start in a split belong to a cell of an earlier split
+    (head), those from the last start on may go on in a later one (tail). Other cells come packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None           # (file, block) being read
+        seq, col, named, open_, tail = 0, None, False, [], False
 
+        def out(cells: list[dict], part: int) -> pa.RecordBatch:
+            blank = {"file": at[0], "block": at[1], "part": part, "text": None, "range": None, "data": None}
+            return pa.RecordBatch.from_pylist([{**blank, "seq": seq + i, **c} for i, c in enumerate(cells)], schema=_CELLS)
 
-def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces in file order -> cells. The pieces before the first start in a split belong to a cell of an earlier split
-    (head), those from the last start on may go on in a later one (tail)."""
-
-    def cells(at, seq, col, named, texts, parts):
-        n = len(texts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([at[0]] * n, pa.string()), pa.array(np.full(n, at[1])), pa.array(np.arange(seq, seq + n)), pa.array(parts, pa.int8()),
-             col, named, texts], schema=_CELLS)
-
-    def one(value, kind):
-        return pa.array([value], kind)
-
-    at = None           # (file, block) being read
-    seq, col, named, open_, tail = 0, None, False, [], False
-    for batch in batches:
-        keys = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist())) if batch.num_rows else []
-        lo = 0
-        while lo < len(keys):
-            hi = lo + 1
-            while hi < len(keys) and keys[hi] == keys[lo]:
-                hi += 1
-            if keys[lo] != at:
+        def cut(part: int) -> pa.RecordBatch:
+            return out([{"col": col, "named": named, "text": ",".join(open_), "size": 1}], part)
+
+        for batch in batches:
+            for lo, hi in _runs(batch.column("file"), batch.column("block")):
+                here = batch.column("file")[lo].as_py(), batch.column("block")[lo].as_py()
+                if here != at:
+                    if open_:
+                        yield cut(_TAIL if tail else _HEAD)
+                    at, seq, col, named, open_, tail = here, 0, None, False, [], False
+                part = batch.slice(lo, hi - lo)
+                start = np.flatnonzero(part.column("start").to_numpy(zero_copy_only=False))
+                piece = part.column("piece")
+                first = int(start[0]) if len(start) else part.num_rows
+                open_ += piece.slice(0, first).to_pylist()
+                if not len(start):
+                    continue
                 if open_:
-                    yield cells(at, seq, one(col, pa.string()), one(named, pa.bool_()), one(",".join(open_), pa.string()), [_TAIL if tail else _HEAD])
-                at, seq, col, named, open_, tail = keys[lo], 0, None, False, [], False
-            part = batch.slice(lo, hi - lo)
-            lo = hi
-            start = np.flatnonzero(part.column("start").to_numpy(zero_copy_only=False))
-            piece = part.column("piece")
-            first = int(start[0]) if len(start) else part.num_rows
-            open_ += piece.slice(0, first).to_pylist()
-            if not len(start):
-                continue
-            if open_:
-                yield cells(at, seq, one(col, pa.string()), one(named, pa.bool_()), one(",".join(open_), pa.string()), [_WHOLE if tail else _HEAD])
-                seq += 1
-            # the column of a cell: the last column started up to it, or the one the split was in
-            begins = part.column("column").to_numpy(zero_copy_only=False)[start].astype(bool)
-            last = np.maximum.accumulate(np.where(begins, np.arange(len(start)), -1))
-            names = part.column("name").take(pa.array(start))
-            names = pc.if_else(pa.array(last >= 0), names.take(pa.array(np.maximum(last, 0))), pa.scalar(col, pa.string()))
-            known = pa.array((last >= 0) | named)
-            if len(start) > 1:
-                offsets = np.append(start[:-1], start[-1]) - first
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), piece.slice(first, int(start[-1]) - first))
-                texts = pc.binary_join(lists, ",")
-                yield cells(at, seq, names.slice(0, len(start) - 1), known.slice(0, len(start) - 1), texts, np.full(len(start) - 1, _WHOLE, np.int8))
-                seq += len(start) - 1
-            col, named = names[-1].as_py(), known[-1].as_py()
-            open_, tail = piece.slice(int(start[-1])).to_pylist(), True
-    if open_:
-        yield cells(at, seq, one(col, pa.string()), one(named, pa.bool_()), one(",".join(open_), pa.string()), [_TAIL if tail else _HEAD])
+                    yield cut(_WHOLE if tail else _HEAD)
+                    seq += 1
+                # the column of a cell: the last column started up to it, or the one the split was in
+                begins = part.column("column").to_numpy(zero_copy_only=False)[start].astype(bool)
+                last = np.maximum.accumulate(np.where(begins, np.arange(len(start)), -1))
+                names = part.column("name").take(pa.array(start))
+                names = pc.if_else(pa.array(last >= 0), names.take(pa.array(np.maximum(last, 0))), pa.scalar(col, pa.string()))
+                known = pa.array((last >= 0) | named)
+                if len(start) > 1:
+                    if int(start[-1]) - first == len(start) - 1:        # every piece is a cell
+                        texts = piece.slice(first, len(start) - 1)
+                    else:
+                        lists = pa.ListArray.from_arrays(pa.array(start - first, pa.int32()), piece.slice(first, int(start[-1]) - first))
+                        texts = pc.binary_join(lists, ",")
+                    cells = list(_packed_cells(names.slice(0, len(start) - 1), known.slice(0, len(start) - 1), texts, rows))
+                    yield out(cells, _WHOLE)
+                    seq += len(cells)
+                col, named = names[-1].as_py(), known[-1].as_py()
+                open_, tail = piece.slice(int(start[-1])).to_pylist(), True
+        if open_:
+            yield cut(_TAIL if tail else _HEAD)
+
+    return run
+
+
+def _rows_of_range(columns: int, rows: int):
+    """Values of one range of positions of a file, packed or one by one, -> a row per position; the first value that is no null wins."""
+
+    def run(table: pa.Table) -> pa.Table:
+        low = table["_range"][0].as_py() * rows
+        parts: list[list[tuple[np.ndarray, pa.Array]]] = [[] for _ in range(columns)]
+        alone = table.filter(pc.is_null(table["data"])).combine_chunks()
+        for c in range(columns):
+            one = alone.filter(pc.equal(alone["col"], c))
+            if one.num_rows:
+                parts[c].append((one["pos"].to_numpy(), one["v"].combine_chunks()))
+        packed = table.filter(pc.is_valid(table["data"]))
+        for c, data in zip(packed["col"].to_pylist(), packed["data"]):
+            batch = pa.ipc.read_record_batch(data.as_buffer(), _VALUES)
+            parts[c].append((batch.column(0).to_numpy(), batch.column(1)))
+        seen, out = np.zeros(rows, bool), []
+        for some in parts:
+            at = np.full(rows, -1)
+            if some:
+                pos = np.concatenate([p for p, _ in some]) - low
+                value = pa.concat_arrays([v.cast(pa.string()) for _, v in some])
+                seen[pos] = True
+                real = np.flatnonzero(value.is_valid().to_numpy(zero_copy_only=False))[::-1]
+                at[pos[real]] = real
+            out.append((at, value if some else pa.nulls(1, pa.string())))
+        here = np.flatnonzero(seen)
+        taken = [v.take(pa.array(at[here], mask=at[here] < 0)) for at, v in out]
+        return pa.table([pa.repeat(table["_file"][0], len(here)), pa.array(here + low), *taken],
+                        names=["_file", "pos", *[f"c{i}" for i in range(columns)]])
+
+    return run
 
 
 def read_column_json(spark: SparkSession, path: str | list[str], columns: dict[str, str]) -> DataFrame:
@@ -241,20 +311,22 @@ def read_column_json(spark: SparkSession, path: str | list[str], columns: dict[s
     Output has ``file`` (decoded path), ``pos`` (the row key in its file) and the typed columns.
 
     A file is read by as many tasks as it has splits, in memory bounded by a batch of pieces and the longest cell; only
-    cells of the asked columns leave the scan. A cell cut by a split is joined from its ends, which are few rows.
+    cells of the asked columns leave the scan, packed by column and range of positions, so that a row of the shuffle
+    holds thousands of values. A cell cut by a split is joined from its ends, which are few rows.
     Cells hold scalars, arrays or objects; an object inside a cell must not have numbers as keys. Names with commas
     cannot be asked for (columns of such names are passed over)."""
     if any("," in c for c in columns):
         raise ValueError("names of columns to read must not contain commas")
     ship_package(spark)
     raw = spark.read.option("lineSep", ",").text(path).select(
-        F.col("value").alias("piece"), _decoded(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        F.col("value").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     starts = F.col("piece").rlike(_COLUMN)
     name = F.from_json(F.concat(F.lit("["), F.nullif(F.regexp_extract("piece", _NAME, 1), F.lit("")), F.lit("]")), "array<string>")[0]
     marked = raw.select("file", "block", (starts | F.col("piece").rlike(_CELL)).alias("start"), starts.alias("column"),
                         F.when(starts, name).alias("name"), F.when(starts, F.regexp_replace("piece", _PREFIX, "")).otherwise(F.col("piece")).alias("piece"))
-    cells = marked.mapInArrow(_join_pieces, "file string, block long, seq long, part tinyint, col string, named boolean, text string")
-    return _rows_of_cells(cells, columns)
+    cells = marked.mapInArrow(_join_pieces(RANGE), "file string, block long, seq long, part tinyint, col string, named boolean, text string, "
+                                                   "range long, size long, data binary")
+    return _rows_of_cells(cells.withColumn("file", _decoded(F.col("file"))), columns)
 
 
 def _rows_of_cells(cells: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -272,22 +344,27 @@ def _rows_of_cells(cells: DataFrame, columns: dict[str, str]) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "text"))), lambda x: x["text"]), ",").alias("text"),
         F.min(F.when(F.col("part") == _TAIL, F.struct("block", "named", "col"))).alias("t")) \
         .where("t is not null").select("file", F.col("t.block").alias("block"), F.col("t.named").alias("named"), F.col("t.col").alias("col"), "text")
-    whole = cells.where(F.col("part") == _WHOLE).select("file", "block", "named", "col", "text")
+    whole = cells.where(F.col("part") == _WHOLE).select("file", "block", "named", "col", "text", "range", "data")
+    number = F.element_at(F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))]), F.col("col"))
     # ``begins`` has a row per split of the scan, a list that the driver already plans from: safe to broadcast
-    both = whole.unionByName(joined).join(F.broadcast(begins), ["file", "block"], "left") \
+    both = whole.unionByName(joined, allowMissingColumns=True).join(F.broadcast(begins), ["file", "block"], "left") \
         .withColumn("col", F.when(F.col("named"), F.col("col")).otherwise(F.col("inherited"))).where(F.col("col").isin(list(columns)))
     # a cell is '"<pos>": value'; what follows the value (the end of the object) is not read
     entry = F.map_entries(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "map<string, string>"))[0]
     word = F.nullif(F.regexp_extract("text", _WORD, 1), F.lit("null"))
     value = F.when(F.col("text").rlike(_PLAIN), F.regexp_extract("text", _PLAIN, 1)).when(F.col("text").rlike(_WORD), word).otherwise(entry["value"])
-    parsed = both.select("file", "col", F.regexp_extract("text", r'^\s*"(\d+)"', 1).cast("bigint").alias("pos"), value.alias("v"))
-    cols = [F.first(F.when(F.col("col") == c, F.col("v")), ignorenulls=True).cast(t).alias(c) for c, t in columns.items()]
+    alone = F.col("data").isNull()
+    pos = F.when(alone, F.regexp_extract("text", r'^\s*"(\d+)"', 1).cast("bigint"))
+    parsed = both.select("file", number.alias("col"), pos.alias("pos"), F.when(alone, value).alias("v"), "range", "data") \
+        .withColumn("_range", F.coalesce("range", F.floor(F.col("pos") / F.lit(RANGE)).cast("bigint")))
     # Values of a row meet under a number for the file: a path in every value fills the sort of a task, while the compressed
     # shuffle that the planner sizes tasks by hides it. The number of tasks follows the number of cells.
     files = write_once(cells.select("file").distinct().withColumn("_file", F.monotonically_increasing_id()))
-    parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // TASK_CELLS))
-    keyed = parsed.join(files, "file").select("_file", "pos", "col", "v").repartition(parts, "_file", "pos")
-    return keyed.groupBy("_file", "pos").agg(*cols).join(files, "_file").select("file", "pos", *columns)
+    parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(cells.agg(F.sum("size")).first()[0] or 0) // TASK_CELLS))
+    keyed = parsed.join(files, "file").select("_file", "_range", "col", "pos", "v", "data").repartition(parts, "_file", "_range")
+    rows = keyed.groupBy("_file", "_range").applyInArrow(_rows_of_range(len(columns), RANGE), "_file long, pos long, " + ", ".join(
+        f"c{i} string" for i in range(len(columns))))
+    return rows.join(files, "_file").select("file", "pos", *[F.col(f"c{i}").cast(t).alias(c) for i, (c, t) in enumerate(columns.items())])
 
 
 def write_column_json(df: DataFrame, path: str, pos: str = "pos", rows_per_file: int = 10_000) -> None:
@@ -295,10 +372,11 @@ def write_column_json(df: DataFrame, path: str, pos: str = "pos", rows_per_file:
     Each JSON object (one per line of a file part) holds at most ``rows_per_file`` consecutive
     positions, so no task gathers more than that into a row."""
     cols = [c for c in df.columns if c != pos]
-    per_col = [F.map_from_entries(F.collect_list(F.struct(F.col(pos).cast("string"), F.col(c).cast("string"))))
-               .alias(c) for c in cols]
+    # one list of rows a block, not one of positions and values a column
+    row = F.struct(F.col(pos).cast("string").alias("pos"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
     block = F.floor(F.col(pos) / F.lit(rows_per_file)).alias("_block")
-    obj = df.groupBy(block).agg(*per_col)
+    rows = df.groupBy(block).agg(F.collect_list(row).alias("rows"))
+    obj = rows.select(*[F.map_from_arrays(F.col("rows.pos"), F.col(f"rows.c{i}")).alias(c) for i, c in enumerate(cols)])
     obj.select(F.to_json(F.struct(*cols)).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 

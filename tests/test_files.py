@@ -269,3 +269,40 @@ def test_one_task_orders_pieces_of_a_run_not_its_rows(spark, tmp_path, monkeypat
     text = next((tmp_path / "one").glob("*.csv")).read_bytes()
     for m, s in (("x", "1"), ("x", "2"), ("y", "1")):
         assert (tmp_path / "t" / m / f"responses_0_0_seed{s}.csv").read_bytes() == text
+
+
+def test_cells_leave_the_scan_packed(spark, tmp_path):
+    """A row of the shuffle holds the values of a column and a range of positions; only cells that need a parser come one by one."""
+    from tandem.sources import files as fl
+    n = 700
+    cells = {"a": {str(i): f"x{i}" for i in range(n)}, "b": {str(i): None if i % 7 == 0 else i for i in range(n)}}
+    cells["a"]["3"] = 'q"uote'
+    (tmp_path / "one").write_text(json.dumps(cells))
+    moved, kept = [], fl.write_once
+    fl.write_once = lambda df: moved.append(kept(df)) or moved[-1]
+    try:
+        got = read_column_json(spark, str(tmp_path / "one"), {"a": "string", "b": "bigint"}).collect()
+    finally:
+        fl.write_once = kept
+    assert sorted((r.pos, r.a, r.b) for r in got) == [(i, cells["a"][str(i)], cells["b"][str(i)]) for i in range(n)]
+    assert moved[0].count() < 8 and moved[0].agg(F.sum("size")).first()[0] == 2 * n
+
+
+@pytest.mark.parametrize("rows", [1, 10, 1 << 16])
+def test_values_by_range_of_positions(spark, tmp_path, monkeypatch, rows):
+    """Any width of a range; columns of different positions; a key that comes twice keeps a value that is no null."""
+    from tandem.sources import files as fl
+    monkeypatch.setattr(fl, "RANGE", rows)
+    (tmp_path / "one").write_text('{"a": {"5": "", "70000": "null", "9": null, "9": "later"}, "b": {"0": 1, "70000": null, "31": -25, "33": null}, "c": {}}')
+    got = sorted((r.pos, r.a, r.b, r.c) for r in read_column_json(spark, str(tmp_path / "one"), {"a": "string", "b": "string", "c": "int"}).collect())
+    assert got == [(0, None, "1", None), (5, "", None, None), (9, "later", None, None), (31, None, "-25", None), (33, None, None, None), (70000, "null", None, None)]
+
+
+def test_column_json_writer_keeps_nulls_and_names(spark, tmp_path):
+    from tandem.sources.files import write_column_json
+    rows = [(i, None if i % 3 == 0 else f'v"{i}\n', i * 2) for i in range(25)]
+    write_column_json(spark.createDataFrame(rows, "pos long, `a b` string, rows int"), f"{tmp_path}/out", rows_per_file=10)
+    got = read_column_json(spark, f"{tmp_path}/out", {"a b": "string", "rows": "int"}).collect()
+    assert sorted((r.pos, r["a b"], r.rows) for r in got) == rows
+    texts = [json.loads(line) for r in spark.read.text(f"{tmp_path}/out").collect() for line in r]
+    assert sorted(int(k) for t in texts for k in t["rows"]) == list(range(25)) and len(texts) == 3
