@@ -26,14 +26,13 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def _tree_rows(spark: SparkSession, root: str, exclude: str) -> DataFrame:
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-           .schema("reply string").csv(root)
-           .select("reply", _decoded(F.col("_metadata.file_path")).alias("path")))
-    inside = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), "/[^/]*$", "") != F.lit(_qualified(spark, root))
-    named = ~F.element_at(F.split("path", "/"), -1).contains(exclude)
-    return raw.filter(named & inside).withColumn("_id", F.monotonically_increasing_id())
+def _tree_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of all '.csv' files below ``root`` with the path as the scan gives it: what is known of a path is worked out once a
+    file, not once a row."""
+    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+            .schema("reply string").csv(root)
+            .select("reply", F.col("_metadata.file_path").alias("_raw")).withColumn("_id", F.monotonically_increasing_id()))
 
 
 class ReplyTree:
@@ -44,18 +43,22 @@ class ReplyTree:
     files, and none whose name contains ``exclude``. Files without a row are not listed."""
 
     def __init__(self, spark: SparkSession, root: str, exclude: str = "900"):
-        self._rows = _tree_rows(spark, root, exclude)
+        self._rows = _tree_rows(spark, root)
+        self._root, self._exclude = _qualified(spark, root), exclude
         self._files: DataFrame | None = None
 
     def files(self) -> DataFrame:
-        """(model, seed, file, path, first_id, n_rows) of every file, from one scan, written once."""
+        """(model, seed, file, path, first_id, n_rows) of every file and its path in the scan, from one scan, written once."""
         if self._files is None:
-            facts = self._rows.groupBy("path").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"))
+            # written first: the planner would move what is asked of a path below the aggregate, to the rows
+            facts = write_once(self._rows.groupBy("_raw").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"))) \
+                .withColumn("path", _decoded(F.col("_raw")))
+            inside = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), "/[^/]*$", "") != F.lit(self._root)
             parts = F.split("path", "/")
             file = F.element_at(parts, -1)
             seed = F.substring_index(F.substring_index(file, ".", 1), "seed", -1)
-            self._files = write_once(facts.select(F.element_at(parts, -2).alias("model"), seed.alias("seed"), file.alias("file"),
-                                                  "path", "first_id", "n_rows"))
+            self._files = write_once(facts.filter(inside & ~file.contains(self._exclude)).select(
+                F.element_at(parts, -2).alias("model"), seed.alias("seed"), file.alias("file"), "path", "first_id", "n_rows", "_raw"))
         return self._files
 
     def read(self, files: DataFrame | None = None) -> DataFrame:
@@ -64,8 +67,8 @@ class ReplyTree:
         A multi-line CSV file is never split, so its rows get consecutive ids inside one task; ``pos`` is
         the id minus the file's first id."""
         files = self.files() if files is None else files
-        rest = [c for c in files.columns if c not in ("first_id", "model", "seed", "file", "path")]
-        return self._rows.withColumnRenamed("path", "_path").join(files, F.col("path") == F.col("_path")).select(
+        rest = [c for c in files.columns if c not in ("first_id", "model", "seed", "file", "path", "_raw")]
+        return self._rows.join(files, "_raw").select(
             "model", "seed", "file", "path", (F.col("_id") - F.col("first_id")).alias("pos"), "reply", *rest)
 
 
@@ -130,8 +133,10 @@ def write_reply_tree(replies: DataFrame, root: str, start: int = 0, end: int | N
     try:
         # A row per run is sent to the rows (a table made by the driver has no size for the planner, which would broadcast the
         # replies instead). Rows are sorted and turned into pieces of CSV text by many tasks; the one that writes a run orders pieces.
-        line = F.to_csv(F.struct(F.coalesce("reply", F.lit(""))), {"escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": "false",
+        csv = F.to_csv(F.struct(F.coalesce("reply", F.lit(""))), {"escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": "false",
                                                                  "ignoreTrailingWhiteSpace": "false"})
+        plain = r"\A[A-Za-z0-9.()]++(?: ++[A-Za-z0-9.()]++)*+\z"      # CSV writes such text as it is
+        line = F.when(F.col("reply").rlike(plain), F.col("reply")).otherwise(csv)
         order = ["run", "qid", "rep", "reply"]
         lines = replies.join(F.broadcast(number), run).select(*order).repartitionByRange(sorters, *order).sortWithinPartitions(*order) \
             .select("run", F.monotonically_increasing_id().alias("seq"), line.alias("text"))

@@ -298,6 +298,27 @@ def test_values_by_range_of_positions(spark, tmp_path, monkeypatch, rows):
     assert got == [(0, None, "1", None), (5, "", None, None), (9, "later", None, None), (31, None, "-25", None), (33, None, None, None), (70000, "null", None, None)]
 
 
+def test_a_path_is_worked_out_once_a_file(spark):
+    """No decoding, splitting or comparing of paths in the scans of the rows."""
+    from tandem.sources import files as fl
+    root = tempfile.mkdtemp(prefix="tandem-tree-") + "/a b%2B+c"
+    write(f"{root}/m x/responses_0_2_seed1.csv", ["A", "B", "C", "D"])
+    write(f"{root}/m x/responses_0_2_seed9001.csv", ["A"])
+    write(f"{root}/responses_0_2_seed1.csv", ["A"])                # not in a model's folder
+    plans, kept = [], fl.write_once
+    fl.write_once = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df)
+    try:
+        tree = fl.ReplyTree(spark, root)
+        files = [(r.model, r.seed, r.file, r.n_rows) for r in tree.files().collect()]
+        rows = tree.read()
+    finally:
+        fl.write_once = kept
+    assert files == [("m x", "1", "responses_0_2_seed1.csv", 4)]
+    scans = [p for p in [*plans, rows._jdf.queryExecution().optimizedPlan().toString()] if " csv" in p]
+    assert len(scans) == 2 and not any(w in p for p in scans for w in ("url_decode", "regexp_replace", "split(", "element_at"))
+    assert sorted((r.pos, r.reply, r.model) for r in rows.collect()) == [(i, c, "m x") for i, c in enumerate("ABCD")]
+
+
 def test_column_json_writer_keeps_nulls_and_names(spark, tmp_path):
     from tandem.sources.files import write_column_json
     rows = [(i, None if i % 3 == 0 else f'v"{i}\n', i * 2) for i in range(25)]
